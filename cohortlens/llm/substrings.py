@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.textops import U64, Words, pieces, split_words, window_hashes, window_starts, word_hashes

@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
