@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A new schema with more fields at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
