@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.textops import pieces
+from cohortlens.runtime import with_fields
 
 #: One encoder in each Python worker, so that its tasks share what they have cached: (key, encoder).
 _ENCODER: list = [None, None]
@@ -142,7 +143,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast(Vocabulary.read(vocab_path)), (uuid.uuid4().hex, cache_words)
     docs = docs.drop(*[c for c in (ids_col, decoded_col) if c in docs.columns])
-    schema = docs.schema.add(ids_col, "binary").add(decoded_col, "string")
+    schema = with_fields(docs.schema, f"`{ids_col}` binary, `{decoded_col}` string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _ENCODER[0] != key:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.textops import U64, Words, pieces, split_words, window_hashes, window_starts, word_hashes
-from cohortlens.runtime import Scratch, shuffle_partitions
+from cohortlens.runtime import Scratch, shuffle_partitions, with_fields
 
 #: A perfect difference set modulo 21 (Singer).
 COVER, PERIOD = (3, 6, 7, 12, 14), 21
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     candidates = joined.where("repeated is not null").select("doc", "text", "repeated")
     matched = scratch.keep(repeated_hashes(candidates, windows, buckets).withColumnRenamed("repeated", "matched"), "windows")
-    schema = rows.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = with_fields(rows.select("row").schema, "n_words long, n_removed long, kept string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
