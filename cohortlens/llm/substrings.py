@@ -74,26 +74,41 @@ def _packed(doc: np.ndarray, hash_: np.ndarray, check: np.ndarray, buckets: int)
             yield pa.RecordBatch.from_arrays([pa.array(b[s].astype(np.int64)), pa.array([known] * len(s)), cut(d, "<i8"), cut(h, "<u8"), cut(c, "<u4")], names=["bucket", "known", "doc", "hash", "check"])
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Repeated hashes of one bucket: for each document that holds some, those hashes."""
-    docs, hashes = [], []
-    asked: list[tuple[np.ndarray, ...]] = []
-    for known, d, h, c in zip(*(table[k].to_pylist() for k in ("known", "doc", "hash", "check"))):
-        d, h, c = np.frombuffer(d, "<i8"), np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")
-        if known:
-            docs.append(d), hashes.append(h)
-        else:
-            asked.append((d, h, c))
-    if asked:
-        d, h, c = (np.concatenate(x) for x in zip(*asked))
-        key = c >> np.uint32(1)
-        order = np.lexsort((key, h))
-        d, h, c, key = d[order], h[order], c[order], key[order]
-        same = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
-        repeated = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        tell = repeated & (c & np.uint32(1) == 0)
-        docs.append(d[tell]), hashes.append(h[tell])
-    d, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+def _answer(buckets: int):
+    """Repeated hashes of one bucket and the documents that hold them, packed by document group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, hashes = [], []
+        asked: list[tuple[np.ndarray, ...]] = []
+        for known, d, h, c in zip(*(table[k].to_pylist() for k in ("known", "doc", "hash", "check"))):
+            d, h, c = np.frombuffer(d, "<i8"), np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")
+            if known:
+                docs.append(d), hashes.append(h)
+            else:
+                asked.append((d, h, c))
+        if asked:
+            d, h, c = (np.concatenate(x) for x in zip(*asked))
+            key = c >> np.uint32(1)
+            order = np.lexsort((key, h))
+            d, h, c, key = d[order], h[order], c[order], key[order]
+            same = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
+            repeated = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            tell = repeated & (c & np.uint32(1) == 0)
+            docs.append(d[tell]), hashes.append(h[tell])
+        d, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+        group = (d.view(np.uint64) % U64(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        d, h, group = d[order], h[order], group[order]
+        s, e = _groups(group)
+        return pa.table({"group": pa.array(group[s], pa.int64())} | {name: pa.array([x[i:j].tobytes() for i, j in zip(s, e)], pa.binary()) for name, x in (("docs", d), ("hashes", h))})
+
+    return run
+
+
+def _per_document(table: pa.Table) -> pa.Table:
+    """One row for each document of a group: its repeated hashes."""
+    d = np.concatenate([np.frombuffer(x, "<i8") for x in table["docs"].to_pylist()])
+    h = np.concatenate([np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()])
     order = np.lexsort((h, d))
     d, h = d[order], h[order]
     s, e = _groups(d)
@@ -118,8 +133,8 @@ def repeated_hashes(rows: DataFrame, found: Callable[[pa.RecordBatch], tuple[np.
             yield from _packed(*(np.concatenate(x) for x in zip(*held)), buckets)
 
     asked = rows.mapInArrow(ask, _REQUEST)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, "doc long, repeated binary")
-    return answered.groupBy("doc").agg(F.collect_list("repeated").alias("repeated"))
+    answered = asked.groupBy("bucket").applyInArrow(_answer(buckets), "group long, docs binary, hashes binary")
+    return answered.groupBy("group").applyInArrow(_per_document, "doc long, repeated binary")
 
 
 def _doc_keys(part: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
@@ -132,7 +147,7 @@ def _isin(values: np.ndarray, doc_of: np.ndarray, repeated: list) -> np.ndarray:
     bounds = np.searchsorted(doc_of, np.arange(len(repeated) + 1))
     for k, packed in enumerate(repeated):
         if packed and bounds[k + 1] > bounds[k]:
-            out[bounds[k] : bounds[k + 1]] = np.isin(values[bounds[k] : bounds[k + 1]], np.frombuffer(b"".join(packed), "<u8"))
+            out[bounds[k] : bounds[k + 1]] = np.isin(values[bounds[k] : bounds[k + 1]], np.frombuffer(packed, "<u8"))
     return out
 
 
