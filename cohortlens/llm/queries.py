@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm.bpe import op1_bpe
 from cohortlens.llm.jaccard import op6_jaccard_join
 from cohortlens.llm.language import op3_language_id
+from cohortlens.llm.quality import op5_quality
 from cohortlens.llm.substrings import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
+    "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
