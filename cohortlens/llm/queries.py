@@ -11,9 +11,11 @@ from cohortlens.llm.jaccard import op6_jaccard_join
 from cohortlens.llm.language import op3_language_id
 from cohortlens.llm.quality import op5_quality
 from cohortlens.llm.substrings import op10_substring_dedup
+from cohortlens.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
