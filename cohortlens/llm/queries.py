@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm.bpe import op1_bpe
 from cohortlens.llm.jaccard import op6_jaccard_join
 from cohortlens.llm.language import op3_language_id
+from cohortlens.llm.packing import op8_packing
 from cohortlens.llm.quality import op5_quality
 from cohortlens.llm.substrings import op10_substring_dedup
 from cohortlens.llm.toxicity import op2_toxicity
+from cohortlens.llm.urls import op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_url_filter": op7_url_filter,
+    "op8_packing": op8_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
