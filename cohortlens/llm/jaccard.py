@@ -326,6 +326,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     known = classes.select("cid", "k2", "n", "rep", "size").join(linked, "cid", "left")
     known = known.select(F.col("cid").alias("k1"), "k2", "n", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "known")
+    scratch.drop("classes", "candidates", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
     ids = sketches.select("id", *key)
     found = ids.where("n > 0").join(known, key).select(F.col("id").alias(id_col), "class_id", "n_links")
     alone = ids.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

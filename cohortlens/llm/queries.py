@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm.bpe import op1_bpe
+from cohortlens.llm.embeddings import op9_embedding_dedup
 from cohortlens.llm.jaccard import op6_jaccard_join
 from cohortlens.llm.language import op3_language_id
+from cohortlens.llm.merkle import op4_fingerprints
 from cohortlens.llm.packing import op8_packing
 from cohortlens.llm.quality import op5_quality
 from cohortlens.llm.substrings import op10_substring_dedup
@@ -19,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}

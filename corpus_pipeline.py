@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm.stages import substring_stage
+from cohortlens.llm.stages import jaccard_stage, language_stage, packing_stage, quality_stage, substring_stage
 from cohortlens.runtime import Scratch
 
 STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", jaccard_stage),
     ("substring dedup", substring_stage),
+    ("packing", packing_stage),
 ]
 #: Hashing, trained models and iteration are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
