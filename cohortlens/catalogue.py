@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cohortlens.plans import cohort
+
+MODULES = (cohort,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.Q.queries.items()}
+ORACLES: dict[str, str] = {k: sql for m in MODULES for k, sql in m.Q.oracles.items()}
