@@ -30,6 +30,11 @@ from cohortlens.runtime import Scratch, shuffle_partitions
 POOL = 64
 #: Children with at most so many classes are compared by brute force.
 SMALL = 128
+#: In a large child, classes so similar to its leader leave the tree; those so similar, which any class at the
+#: threshold from one that left must be, are linked to the leader. Sampling errors are about 0.05.
+NEAR, REACH = 0.55, 0.25
+#: Expected children of a class at the nodes below the root.
+DEEP_BRANCH = 2.0
 #: Classes in a block of the exact comparison.
 BLOCK = 64
 #: From this depth on, large children are compared in blocks of SMALL.
@@ -149,8 +154,8 @@ def _paired(df: DataFrame, size_col: str, block: int) -> DataFrame:
 def runs_for(recall: float, threshold: float, branch: float) -> int:
     """Runs that find a pair at the threshold with probability ``recall``, if every tree is DEPTH levels deep."""
     lost = 0.0
-    for _ in range(DEPTH):
-        lost = math.exp(-branch * threshold * (1 - lost))
+    for level in range(DEPTH, -1, -1):
+        lost = math.exp(-(branch if level == 0 else DEEP_BRANCH) * threshold * (1 - lost))
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
@@ -172,7 +177,7 @@ def _expand(branch: float, runs: int):
     return run
 
 
-def _split(branch: float, near: float, reach: float, at: int):
+def _split(at: int):
     """In large children: links to the leader, and the next level's children of those not near it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +186,11 @@ def _split(branch: float, near: float, reach: float, at: int):
             for c, p, n, pool, lc, ln, lpool in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leader", "leader_n", "leader_pool"))):
                 tokens = np.frombuffer(pool, "<u8")
                 like = 1.0 if c == lc else float(_likeness(np.array([n, ln]), [tokens, np.frombuffer(lpool, "<u8")])[0, 1])
-                if like >= reach:
+                if like >= REACH:
                     out.append((c, None, lc))
-                if like < near:
+                if like < NEAR:
                     chosen = mix(tokens ^ U64(p % 2**64), 1000 + at)
-                    out += [(c, x, None) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), branch)[0]].view(np.int64).tolist()]
+                    out += [(c, x, None) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["cid", "path", "leader"])
 
     return run
@@ -231,7 +236,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, branch: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, branch: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, class_id, n_links) for every row of docs.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width`` consecutive words (words split
@@ -281,7 +286,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
         members = scratch.keep(members.join(pools, "cid"), f"members{level}")
         lead = members.groupBy("path").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
         lead = lead.select("path", F.col("l.cid").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pool").alias("leader_pool"))
-        told = members.join(lead, "path").mapInArrow(_split(branch, 0.75, 0.35, level), "cid long, path long, leader long")
+        told = members.join(lead, "path").mapInArrow(_split(level), "cid long, path long, leader long")
         told = scratch.keep(told, f"told{level}")
         scratch.drop(f"members{level}", f"big{level}", f"level{level}")
         links.append(told.where("leader is not null").select(F.col("cid").alias("src"), F.col("leader").alias("dst")))
