@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.runtime import Scratch
@@ -35,3 +37,94 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before, turn = seen, turn + 1
     roots = given.select("v").unionByName(given.select(F.col("u").alias("v"))).distinct().join(now.select(F.col("u").alias("v"), F.col("v").alias("m")), "v", "left")
     return roots.select(F.col("v").alias("node"), F.coalesce("m", "v").alias("component"))
+
+
+def family_representatives(samples: DataFrame, relatives: DataFrame, node: str, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, family, kept): the smallest of each family of relatives is kept; ids outside the sample list link nothing."""
+    known = samples.select(node).distinct()
+    inside = relatives.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    inside = inside.join(known.select(F.col(node).alias("src")), "src", "left_semi").join(known.select(F.col(node).alias("dst")), "dst", "left_semi")
+    family = connected_components(inside).select(F.col("node").alias(node), F.col("component").alias("family"))
+    out = known.join(family, node, "left").withColumn("family", F.coalesce("family", node))
+    return out.withColumn("kept", F.col(node) == F.col("family"))
+
+
+def pairwise_kinship(calls: DataFrame, sample: str, site: str, dosage: str, least: float | None = 0.0) -> DataFrame:
+    """KING-robust kinship of sample pairs over sites that both have: shared sites, both het, opposite homozygotes.
+
+    With h the heterozygotes of each and m the smaller: (HH - 2 O) / 2m + 1/2 - (ha + hb) / 4m, null if m is 0;
+    rows below ``least`` go (None keeps all). The pairs of a site are bounded by the cohort's samples.
+    """
+    x = calls.where(F.col(dosage).isNotNull())
+    left = x.select(F.col(sample).alias("a"), site, F.col(dosage).alias("da"))
+    right = x.select(F.col(sample).alias("b"), site, F.col(dosage).alias("db"))
+    da, db = F.col("da"), F.col("db")
+    t = left.join(right, site).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_sites"), F.count_if((da == 1) & (db == 1)).alias("het_het"), F.count_if(F.abs(da - db) == 2).alias("opposite"), F.count_if(da == 1).alias("__ha"), F.count_if(db == 1).alias("__hb"))
+    m = F.least("__ha", "__hb")
+    k = F.when(m > 0, (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * m) + 0.5 - (F.col("__ha") + F.col("__hb")) / (4.0 * m))
+    out = t.withColumn("kinship", k).drop("__ha", "__hb")
+    return out if least is None else out.where(F.col("kinship") >= least)
+
+
+def hwe_p(het, hom_a, hom_b):
+    """Exact Hardy-Weinberg p values of arrays of genotype counts, by recurrence over heterozygote counts."""
+    out = np.ones(len(het))
+    for k, (h, p, q) in enumerate(zip(het, hom_a, hom_b)):
+        rare, n = 2 * min(p, q) + h, h + p + q
+        if n == 0 or rare == 0:
+            continue
+        start = int(rare * (2 * n - rare) / (2 * n))
+        start += (start ^ rare) & 1
+        probs = {start: 1.0}
+        x, a, b = start, (rare - start) // 2, n - start - (rare - start) // 2
+        value = 1.0
+        while x > 1:
+            value *= x * (x - 1.0) / (4.0 * (a + 1.0) * (b + 1.0))
+            x, a, b = x - 2, a + 1, b + 1
+            probs[x] = value
+        x, a, b = start, (rare - start) // 2, n - start - (rare - start) // 2
+        value = 1.0
+        while x <= rare - 2:
+            value *= 4.0 * a * b / ((x + 2.0) * (x + 1.0))
+            x, a, b = x + 2, a - 1, b - 1
+            probs[x] = value
+        total, own = sum(probs.values()), probs[h]
+        out[k] = min(1.0, sum(v for v in probs.values() if v <= own * (1 + 1e-9)) / total)
+    return out
+
+
+def prune_sites(calls: DataFrame, site: str, dosage: str, n_samples: int, maf: float = 0.05, missing: float = 0.05, hwe: float = 1e-6) -> DataFrame:
+    """Sites with minor allele frequency, missing share and exact Hardy-Weinberg p inside the limits."""
+    @F.pandas_udf("double")
+    def exact(het: pd.Series, hom_a: pd.Series, hom_b: pd.Series) -> pd.Series:
+        return pd.Series(hwe_p(het.to_numpy(), hom_a.to_numpy(), hom_b.to_numpy()))
+
+    d = F.col(dosage)
+    t = calls.groupBy(site).agg(F.count(d).alias("n"), F.count_if(d == 0).alias("hom_ref"), F.count_if(d == 1).alias("het"), F.count_if(d == 2).alias("hom_alt"))
+    share = (F.col("het") + 2 * F.col("hom_alt")) / (2.0 * F.col("n"))
+    t = t.where("n > 0").withColumn("maf", F.least(share, 1 - share)).withColumn("missing", 1 - F.col("n") / n_samples)
+    return t.where((F.col("maf") >= maf) & (F.col("missing") <= missing)).withColumn("p", exact("het", "hom_ref", "hom_alt")).where(F.col("p") >= hwe)
+
+
+def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "set_a", b: str = "set_b", weight: str = "similarity", rounds: int = 10) -> DataFrame:
+    """Nodes with their ``community`` by weighted label propagation from the smallest label, at most ``rounds`` rounds.
+
+    A deterministic stand-in for randomised modularity optimisation: each round every node takes the label with the
+    largest weight among its neighbours and itself (its own counts its largest edge), the smallest label among ties.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "communities")
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).alias("w"))
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    own = both.groupBy("u").agg(F.max("w").alias("w")).select("u", F.col("u").alias("v"), "w")
+    both = scratch.keep(both.unionByName(own), "edges")
+    labels = scratch.keep(nodes.select(F.col(node).alias("v")).distinct().withColumn("label", F.col("v")), "labels0")
+    for k in range(1, rounds + 1):
+        votes = both.join(labels, "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("u").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("best")).select(F.col("u").alias("v"), F.col("best.label").alias("new"))
+        new = scratch.keep(labels.join(best, "v", "left").select("v", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")), f"labels{k}")
+        moved = new.where("moved").count()
+        labels = new.drop("moved")
+        if not moved:
+            break
+    return nodes.join(labels.select(F.col("v").alias(node), F.col("label").alias("community")), node, "left")
