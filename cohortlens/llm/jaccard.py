@@ -4,7 +4,7 @@ Each document is its set of hashed 5-word shingles. Documents with equal sets fo
 Per run, a class follows at each node of a tree the tokens that a hash of (node, token) selects at rate
 ``branch / set size``; so two similar sets choose common tokens, hence common children. Children with one class
 are dropped, small ones are compared by brute force, large ones are split again. To split a group of near copies
-would never end: in a large child each class is held against one leader. Those near it are linked to it and leave;
+would never end: in a large child each class is held against a few leaders. Those near one are linked to it and leave;
 those within reach of such a class (by the triangle inequality of Jaccard distance) are linked and go on. Runs are
 repeated until the recall that ``branch`` gives for pairs at the threshold reaches ``recall``.
 
@@ -30,9 +30,11 @@ from cohortlens.runtime import Scratch, shuffle_partitions
 POOL = 64
 #: Children with at most so many classes are compared by brute force.
 SMALL = 128
-#: In a large child, classes so similar to its leader leave the tree; those so similar, which any class at the
-#: threshold from one that left must be, are linked to the leader. Sampling errors are about 0.05.
+#: In a large child, classes so similar to a leader leave the tree; those so similar, which any class at the
+#: threshold from one that left must be, are linked to that leader. Sampling errors are about 0.05.
 NEAR, REACH = 0.55, 0.25
+#: Leaders of a large child at most.
+LEADERS = 4
 #: Expected children of a class at the nodes below the root.
 DEEP_BRANCH = 2.0
 #: Classes in a block of the exact comparison.
@@ -91,6 +93,14 @@ def _likeness(sizes: np.ndarray, pools: list[np.ndarray]) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 0)
 
 
+def _alike(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
+    """The same estimate for one pair."""
+    top = _rate(np.array([max(n, m)]), POOL)[0]
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    union = int(np.searchsorted(a, top, side="right")) + int(np.searchsorted(b, top, side="right")) - common
+    return common / union if union > 0 else 0.0
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets of distinct values."""
     n = len(sets)
@@ -178,20 +188,23 @@ def _expand(branch: float, runs: int):
 
 
 def _split(at: int):
-    """In large children: links to the leader, and the next level's children of those not near it."""
+    """In large children: links to leaders in reach, and the next level's children of those near no leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for c, p, n, pool, lc, ln, lpool in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leader", "leader_n", "leader_pool"))):
-                tokens = np.frombuffer(pool, "<u8")
-                like = 1.0 if c == lc else float(_likeness(np.array([n, ln]), [tokens, np.frombuffer(lpool, "<u8")])[0, 1])
-                if like >= REACH:
-                    out.append((c, None, lc))
-                if like < NEAR:
+            for c, p, n, pool, leaders in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leaders"))):
+                tokens, best = np.frombuffer(pool, "<u8"), 0.0
+                for lead in leaders:
+                    like = 1.0 if c == lead["cid"] else _alike(n, tokens, lead["n"], np.frombuffer(lead["pool"], "<u8"))
+                    best = max(best, like)
+                    if like >= REACH and c != lead["cid"]:
+                        out.append((c, None, lead["cid"], None, None))
+                if best < NEAR:
                     chosen = mix(tokens ^ U64(p % 2**64), 1000 + at)
-                    out += [(c, x, None) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["cid", "path", "leader"])
+                    out += [(c, x, None, n, pool) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "path", "leader", "n", "pool"])
 
     return run
 
@@ -271,31 +284,36 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
 
     # Levels of the tree: children with one class go, small ones are kept for brute force, large ones are split.
     rows = scratch.keep(pools.mapInArrow(_expand(branch, runs_for(recall, threshold, branch)), "cid long, path long"), "level0")
-    small, links, level = [], [], 0
+    small, links, rest, level = [], [], None, 0
     while True:
         sized = rows.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
         few = sized.where(F.col("size").between(2, SMALL)).groupBy("size", "mark").agg(F.min("path").alias("path"))  # equal children count once
-        small.append(scratch.keep(rows.join(few.select("path", "size"), "path"), f"small{level}"))
+        small.append(scratch.keep(rows.select("path", "cid").join(few.select("path"), "path"), f"small{level}"))
         big = scratch.keep(sized.where(F.col("size") > SMALL).select("path", "size"), f"big{level}")
         if big.isEmpty():
             break
-        members = rows.join(big, "path")
         if level == DEPTH:
-            small.append(scratch.keep(members, "rest"))
+            rest = scratch.keep(rows.join(big, "path").select("path", "cid", "size"), "rest")
             break
-        members = scratch.keep(members.join(pools, "cid"), f"members{level}")
-        lead = members.groupBy("path").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
-        lead = lead.select("path", F.col("l.cid").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.pool").alias("leader_pool"))
-        told = members.join(lead, "path").mapInArrow(_split(level), "cid long, path long, leader long")
+        members = rows.join(big, "path")
+        if level == 0:  # deeper rows carry their samples along
+            members = members.join(pools, "cid")
+        members = scratch.keep(members, f"members{level}")
+        lead = members.groupBy("path", F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
+        lead = lead.groupBy("path").agg(F.collect_list("l").alias("leaders"))
+        told = members.join(lead, "path").mapInArrow(_split(level), "cid long, path long, leader long, n long, pool binary")
         told = scratch.keep(told, f"told{level}")
         scratch.drop(f"members{level}", f"big{level}", f"level{level}")
         links.append(told.where("leader is not null").select(F.col("cid").alias("src"), F.col("leader").alias("dst")))
-        rows = told.where("path is not null").select("cid", "path")
+        rows = told.where("path is not null").select("cid", "path", "n", "pool")
         level += 1
     held = small[0]
     for more in small[1:]:
         held = held.unionByName(more)
-    held = _paired(held, "size", SMALL).join(pools, "cid")
+    held = held.withColumns({c: F.lit(0) for c in ("bi", "bj")})
+    if rest is not None:
+        held = held.unionByName(_paired(rest, "size", SMALL).select(*held.columns))
+    held = held.join(pools, "cid")
     links.append(held.repartition(parts, "path", "bi", "bj").sortWithinPartitions("path", "bi", "bj").mapInArrow(_compare_pools(threshold), "src long, dst long"))
     edges = links[0]
     for more in links[1:]:
@@ -318,7 +336,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
                 names = ["cid", "comp", "members", "n", "size"]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), sets], names=[*names, "tokens"]).filter(pa.array(same))
 
-    with_text = texts.join(chosen, texts["id"].eqNullSafe(chosen["rep"])).select("text", "cid", "comp", "members", "n", "size")
+    with_text = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["rep"])).select("text", "cid", "comp", "members", "n", "size")
     sets = with_text.mapInArrow(tokens, "cid long, comp long, members long, n long, size long, tokens binary")
     sets = _paired(scratch.keep(sets, "sets"), "members", BLOCK)
     checked = sets.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verify(threshold), "cid long, root long, links long")
