@@ -16,9 +16,26 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path) -> DataFrame:
-    """(file, n, value): lines with their number in their file, from 0. Whole small files, one row each, then exploded."""
-    whole = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("__l"))
-    return whole.select("file", F.posexplode("__l").alias("n", "value")).where("value <> ''")
+    """(file, block, n, value): lines that are not empty with their number in their file, from 0.
+
+    Lines are numbered within their file block in parallel; blocks then get offsets from the sizes of those before.
+    """
+    lines = spark.read.text(path).select(_file().alias("file"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    within = F.row_number().over(Window.partitionBy("__path", "block").orderBy("__id")) - 1
+    sizes = lines.groupBy("__path", "block").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("__path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("__path", "block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    t = lines.withColumn("__n", within).join(offset, ["__path", "block"]).withColumn("n", F.col("__n") + F.col("__offset"))
+    return t.where("value <> ''").select("file", "block", "n", "value")
+
+
+def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the last non-null value at or before each line of its file: within blocks, then across them."""
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("n"))
+    ends = lines.groupBy("file", "block").agg(F.max_by(value, F.when(value.isNotNull(), F.col("n"))).alias("__end"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", F.last("__end", ignorenulls=True).over(before).alias("__before"))
+    return lines.withColumn(name, own).join(ends, ["file", "block"]).withColumn(name, F.coalesce(name, "__before")).drop("__before")
 
 
 def _first_line(lines: DataFrame, test: Column) -> str | None:
@@ -181,9 +198,8 @@ def read_catalogue(spark: SparkSession, path, heading: str | None = None) -> Dat
 
     A catalogue is one short file. ``heading`` is a pattern that the section must match, in any case.
     """
-    w = Window.partitionBy("file").orderBy("n")
     title = F.when(F.col("value").rlike(r"^#+\s*\S"), F.trim(F.regexp_replace("value", r"^#+", "")))
-    t = _numbered(spark, path).withColumn("section", F.last(title, ignorenulls=True).over(w)).where(~F.col("value").startswith("#") & F.col("value").contains("\t"))
+    t = _carried(_numbered(spark, path), title, "section").where(~F.col("value").startswith("#") & F.col("value").contains("\t"))
     p = F.split("value", "\t")
     t = t.select("n", "section", F.trim(F.get(p, F.lit(0))).alias("name"), F.trim(F.get(p, F.lit(1))).alias("accession"))
     t = t.withColumn("id", F.concat(F.regexp_replace("name", r"[^A-Za-z0-9]+", "_"), F.lit("_"), "accession"))
@@ -248,9 +264,8 @@ def collection_of(name: Column) -> Column:
 
 def read_fasta_lengths(spark: SparkSession, path) -> DataFrame:
     """(contig, length): id is the first word of a header, length the letters of its lines."""
-    w = Window.partitionBy("file").orderBy("n")
     name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    t = _numbered(spark, path).withColumn("contig", F.last(name, ignorenulls=True).over(w)).where(~F.col("value").startswith(">"))
+    t = _carried(_numbered(spark, path), name, "contig").where(~F.col("value").startswith(">"))
     return t.groupBy("contig").agg(F.sum(F.length(F.trim("value"))).alias("length"))
 
 
