@@ -176,7 +176,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     Learns from labelled rows where ``train`` (over the id) holds; a null label is ignored, and of labels that
     repeat an id the largest counts. Text alone decides a score: rows with equal texts get equal scores. A null or
     empty text has no spans and the score of a text without any evidence. Columns of those two names are replaced;
-    all others are kept. Without labels of both kinds every score is 0. An empty table gives an empty one.
+    all others are kept. Without labels of both kinds, or texts that have them, every score is 0. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     new = ["score", "spans"]
@@ -184,8 +184,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     schema = with_fields(docs.schema, "score double, spans array<struct<start: int, end: int, peak: double>>")
     usable = labels.where(train & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    unscored = docs.select("*", F.lit(0.0).alias("score"), F.array().cast(schema["spans"].dataType).alias("spans"))
     if len(total) < 2:
-        return docs.select("*", F.lit(0.0).alias("score"), F.array().cast(schema["spans"].dataType).alias("spans"))
+        return unscored
     draw = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, F.lit(int(1e6 * min(1, TOXIC_ROWS / total.get(1, 1))))).otherwise(F.lit(int(1e6 * min(1, OTHER_ROWS / total.get(0, 1)))))
     chosen = usable.where(draw < share).limit(2 * (TOXIC_ROWS + OTHER_ROWS))  # the draw keeps it far below
@@ -207,6 +208,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     least = max(4, 0.01 * min(total[1], TOXIC_ROWS))
     lexicon = frozenset(r["stem"] for r in counted.where((F.col("n1") >= least) & (ratio >= 20)).select("stem").collect())
     learnt = sample.where("role < 7").groupBy("shard").applyInArrow(_learn(lexicon), "weights binary").collect()
+    if not learnt:
+        return unscored
     weights = np.mean([np.frombuffer(r["weights"], "<f8") for r in learnt], axis=0)
     shared = spark.sparkContext.broadcast(weights)
 
@@ -220,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
 
     unseen = sample.where("role >= 7").select("text", "toxic").mapInArrow(measure, "top double, total double, toxic int").toArrow()
     x, y = np.stack([np.asarray(unseen["top"]), np.asarray(unseen["total"])], axis=1).astype(np.float64), np.asarray(unseen["toxic"]).astype(np.float64)
-    link = fit_logistic(x, y)
+    link = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([4.0, 4.0, -4.0])  # too few to calibrate on
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
