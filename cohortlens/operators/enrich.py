@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.operators.ranking import bh_adjust, seeded_order
+from cohortlens.operators.ranking import bh_adjust
 from cohortlens.runtime import Scratch
 
 #: Entities hold gene-sized rankings; a longer one is refused, as each task that draws a null holds it whole.
