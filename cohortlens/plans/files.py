@@ -147,3 +147,93 @@ def ing1(spark, d):
     """The rows that the file stream appends for each batch, over all samples at once."""
     panel = role(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("ord"))
     return A.marker_expression(role(spark, d, "r_counts"), panel, "sample", "gene", "cnt", "ord").where("cnt > 0").select("sample", "gene", "cnt")
+
+
+@Q.add("src6_read_kinship", using("r_edges") + " select 'n' || src as a, 'n' || dst as b, (src % 10) / 40.0e0 as kinship from r_edges")
+def src6(spark, d):
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    line = F.concat_ws("  ", F.lit("f"), name("src"), F.lit("f"), name("dst"), F.lit("9"), ((F.col("src") % 10) / 40.0).cast("string"))
+    own = F.concat_ws("  ", F.lit("f"), name("src"), F.lit("f"), name("src"), F.lit("9"), F.lit("0.5"))
+    rows = role(spark, d, "r_edges").select("src", F.explode(F.array(line, own)).alias("line"))
+    return R.read_kinship(spark, _written(rows, "src", "kin", "#FID1 IID1 FID2 IID2 NSNP KINSHIP"))
+
+
+def _per_sample_files(lines: DataFrame, name: str) -> str:
+    """One text file per sample; columns sample, o and line."""
+    path = f"{Scratch(lines.sparkSession, 'text').base}/{name}"
+    lines.repartition("sample").sortWithinPartitions("sample", "o").select("sample", "line").write.partitionBy("sample").text(path)
+    return path
+
+
+@Q.add("src8_read_kv_metrics", "select cast(c_custkey as varchar) as sample, m as metric, case m when 'reads' then cast(c_nationkey as varchar) else cast(c_nationkey * 2 as varchar) end as value from customer, (values ('reads'), ('bases')) v(m) where c_custkey <= 20")
+def src8(spark, d):
+    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
+    pair = lambda k, v: F.concat(F.lit(f"{k}\t"), v.cast("string"))
+    rows = c.select("sample", F.posexplode(F.array(pair("sample", F.col("c_custkey")), pair("reads", F.col("c_nationkey")), pair("bases", F.col("c_nationkey") * 2))).alias("o", "line"))
+    return R.read_kv_metrics(spark, f"{_per_sample_files(rows, 'kv')}/*")
+
+
+@Q.add("src9_read_aligner_log", "select count(*) as files, sum(c_nationkey) as reads, sum(c_nationkey / 2.0e0) as pct from customer where c_custkey <= 20")
+def src9(spark, d):
+    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
+    rows = c.select("sample", F.posexplode(F.array(F.concat(F.lit("  Number of input reads |\t"), F.col("c_nationkey").cast("string")), F.concat(F.lit(" Uniquely mapped reads % |\t"), (F.col("c_nationkey") / 2.0).cast("string"), F.lit("%")))).alias("o", "line"))
+    t = R.read_aligner_log(spark, f"{_per_sample_files(rows, 'log')}/*", {"reads": "input reads", "pct": "mapped reads %"})
+    return t.agg(F.count("*").alias("files"), F.sum("reads").cast("long").alias("reads"), F.sum("pct").alias("pct"))
+
+
+@Q.add("src10_read_sectioned_metrics", "select cast(c_nationkey as varchar) as bases, count(*) as n from customer where c_custkey <= 20 group by 1")
+def src10(spark, d):
+    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
+    rows = c.select("sample", F.posexplode(F.array(F.lit("## METRICS"), F.lit("PF_BASES\tX"), F.concat(F.col("c_nationkey").cast("string"), F.lit("\t?")), F.lit("tail"))).alias("o", "line"))
+    t = R.read_sectioned_metrics(spark, f"{_per_sample_files(rows, 'sec')}/*")
+    return t.groupBy(F.col("metrics")["PF_BASES"].alias("bases")).agg(F.count("*").alias("n"))
+
+
+@Q.add("src11_read_contig_coverage", "select p_brand as contig, cast(0 as bigint) as s, sum(p_size) as covered, count(*) as n from part where p_size % 4 <> 0 group by 1")
+def src11(spark, d):
+    line = F.concat_ws("\t", "p_brand", F.lit("1"), F.lit("100"), F.lit("5"), F.when(F.col("p_size") % 4 == 0, "bad").otherwise(F.col("p_size").cast("string")))
+    t = R.read_contig_coverage(spark, _written(role(spark, d, "part").select("p_partkey", line.alias("line")), "p_partkey", "cov", "#rname\tstartpos\tendpos\tnumreads\tcovbases"))
+    return t.groupBy("contig", "s").agg(F.sum("covered").alias("covered"), F.count("*").alias("n"))
+
+
+@Q.add("src12_read_hla_json", "select 'A' as gene, 'A*' || c_nationkey as allele, count(*) as n from customer where c_custkey <= 20 group by 2 union all select 'B', 'B*1', count(*) from customer where c_custkey <= 20")
+def src12(spark, d):
+    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
+    made = F.to_json(F.struct(F.array(F.concat(F.lit("A*"), F.col("c_nationkey").cast("string"))).alias("A"), F.array(F.lit("B*1")).alias("B")))
+    t = R.read_hla_json(spark, f"{_per_sample_files(c.select('sample', F.lit(0).alias('o'), made.alias('line')), 'hla')}/*")
+    return t.select("gene", F.explode("alleles").alias("allele")).groupBy("gene", "allele").agg(F.count("*").alias("n"))
+
+
+@Q.add("src13_read_panel_json", "select p_brand as symbol, cast(p_size % 4 as varchar) as confidence, 'AD' as moi, p_type || '; ' || p_name as phenotypes from part where p_partkey <= 50 and p_partkey % 5 > 0")
+def src13(spark, d):
+    p = role(spark, d, "part").where("p_partkey <= 50")
+    symbol = F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise(" ")
+    gene = F.struct(F.struct(symbol.alias("gene_symbol")).alias("gene_data"), (F.col("p_size") % 4).cast("string").alias("confidence_level"), F.lit("AD").alias("mode_of_inheritance"), F.array("p_type", "p_name").alias("phenotypes"))
+    line = p.agg(F.to_json(F.struct(F.collect_list(gene).alias("genes"))).alias("line")).withColumn("o", F.lit(0))
+    return R.read_panel_json(spark, _written(line, "o", "panel"))
+
+
+@Q.add("src15_read_sample_sheet", "select 'kept' as side, count(*) as n from customer where c_custkey % 2 = 1 and c_custkey % 3 = 0 union all select 'gone', count(*) from customer where c_custkey % 2 = 1 and c_custkey % 3 <> 0")
+def src15(spark, d):
+    c = role(spark, d, "customer")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), (F.col("c_custkey") % 2).cast("string"))
+    present = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("sample"))
+    kept, gone = R.read_sample_sheet(spark, _written(c.select("c_custkey", line.alias("line")), "c_custkey", "sheet", "sample,include_in_analysis"), present)
+    return kept.agg(F.lit("kept").alias("side"), F.count("*").alias("n")).unionByName(gone.agg(F.lit("gone").alias("side"), F.count("*").alias("n")))
+
+
+@Q.add("src17_read_gene_table", "select p_brand as symbol, count(*) as n from part group by 1")
+def src17(spark, d):
+    line = F.concat("p_type", F.lit("\t"), "p_brand")
+    t = R.read_gene_table(spark, _written(role(spark, d, "part").select("p_partkey", line.alias("line")), "p_partkey", "genes", "kind\tGene_Symbol"), ["gene_symbol", "symbol"])
+    missing = R.read_gene_table(spark, f"{Scratch(spark, 'none').base}/none.csv", ["symbol"])
+    return t.select("symbol").unionByName(missing.select("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@Q.add("snk7_signature_inputs", using("r_counts") + ", k as (select sample, row_number() over (partition by 's' || (sample % 2) order by md5('4|' || sample), sample) as n from (select distinct sample from r_counts) t) select gene % 40 as gene, sum(cnt) as total from r_counts where sample in (select sample from k where n <= 3) group by 1")
+def snk7(spark, d):
+    counts = role(spark, d, "r_counts").withColumn("gene", F.col("gene") % 40)
+    cells = counts.select("sample").distinct().withColumn("cls", F.concat(F.lit("s"), (F.col("sample") % 2).cast("string")))
+    wide = W.signature_inputs(counts, cells, "gene", "sample", "cls", "cnt", 3, 4)
+    names = [c for c in wide.columns if c != "gene"]
+    return wide.select("gene", sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`")).alias("total"))

@@ -20,12 +20,12 @@ def _numbered(spark: SparkSession, path) -> DataFrame:
 
     Lines are numbered within their file block in parallel; blocks then get offsets from the sizes of those before.
     """
-    lines = spark.read.text(path).select(_file().alias("file"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("value"))
-    within = F.row_number().over(Window.partitionBy("__path", "block").orderBy("__id")) - 1
-    sizes = lines.groupBy("__path", "block").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("__path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select("__path", "block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    t = lines.withColumn("__n", within).join(offset, ["__path", "block"]).withColumn("n", F.col("__n") + F.col("__offset"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("__id")) - 1
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("file", "block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    t = lines.withColumn("__n", within).join(offset, ["file", "block"]).withColumn("n", F.col("__n") + F.col("__offset"))
     return t.where("value <> ''").select("file", "block", "n", "value")
 
 
@@ -149,7 +149,7 @@ def read_intervals(spark: SparkSession, path, kind: str) -> DataFrame:
 def read_kv_metrics(spark: SparkSession, paths) -> DataFrame:
     """(sample, metric, value) of key-tab-value files that name their sample in a ``sample`` row."""
     parts = F.split("value", "\t")
-    t = spark.read.text(paths).select(_file().alias("f"), F.get(parts, F.lit(0)).alias("metric"), F.get(parts, F.lit(1)).alias("value")).where("value is not null")
+    t = spark.read.text(paths).select(F.col("_metadata.file_path").alias("f"), F.get(parts, F.lit(0)).alias("metric"), F.get(parts, F.lit(1)).alias("value")).where("value is not null")
     names = t.where("metric = 'sample'").groupBy("f").agg(F.max("value").alias("sample"))
     return t.where("metric <> 'sample'").join(names, "f").select("sample", "metric", "value")
 
@@ -157,8 +157,8 @@ def read_kv_metrics(spark: SparkSession, paths) -> DataFrame:
 def read_aligner_log(spark: SparkSession, paths, labels: dict[str, str]) -> DataFrame:
     """One row per file: the values behind ``label | value`` lines whose label contains each text; sample from the file name."""
     parts = F.split("value", r"\|")
-    t = spark.read.text(paths).select(F.regexp_replace(_file(), r"(Log\.final.*|\..*)$", "").alias("sample"), F.trim(F.get(parts, F.lit(0))).alias("label"), F.trim(F.regexp_replace(F.get(parts, F.lit(1)), "[%\t]", "")).alias("v"))
-    return t.groupBy("sample").agg(*[F.max(F.when(F.col("label").contains(text), F.col("v").try_cast("double"))).alias(name) for name, text in labels.items()])
+    t = spark.read.text(paths).select(F.col("_metadata.file_path").alias("f"), F.regexp_replace(_file(), r"(Log\.final.*|\..*)$", "").alias("sample"), F.trim(F.get(parts, F.lit(0))).alias("label"), F.trim(F.regexp_replace(F.get(parts, F.lit(1)), "[%\t]", "")).alias("v"))
+    return t.groupBy("f", "sample").agg(*[F.max(F.when(F.col("label").contains(text), F.col("v").try_cast("double"))).alias(name) for name, text in labels.items()]).drop("f")
 
 
 def read_sectioned_metrics(spark: SparkSession, paths, start: str = "PF_BASES") -> DataFrame:
@@ -169,7 +169,7 @@ def read_sectioned_metrics(spark: SparkSession, paths, start: str = "PF_BASES")
     values = F.split("__next", "\t", -1)
     keys = F.split("value", "\t", -1)
     padded = F.transform(keys, lambda k, i: F.get(values, i))
-    return t.select(F.regexp_replace("file", r"\..*$", "").alias("sample"), F.map_from_arrays(keys, padded).alias("metrics"))
+    return t.select(F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\..*$", "").alias("sample"), F.map_from_arrays(keys, padded).alias("metrics"))
 
 
 def read_contig_coverage(spark: SparkSession, paths) -> DataFrame:
