@@ -40,7 +40,7 @@ DEEP_BRANCH = 2.0
 #: Classes in a block of the exact comparison.
 BLOCK = 64
 #: From this depth on, large children are compared in blocks of SMALL.
-DEPTH = 8
+DEPTH = 4
 _TOP = 2.0**64
 
 
