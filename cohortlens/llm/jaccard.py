@@ -31,10 +31,10 @@ POOL = 64
 #: Children with at most so many classes are compared by brute force.
 SMALL = 128
 #: In a large child, classes so similar to a leader leave the tree; those so similar, which any class at the
-#: threshold from one that left must be, are linked to that leader. Sampling errors are about 0.05.
-NEAR, REACH = 0.55, 0.25
+#: threshold from one that left must be, are linked to that leader or one that stands for it. Sampling errors are about 0.05.
+NEAR, REACH = 0.5, 0.25
 #: Leaders of a large child at most.
-LEADERS = 4
+LEADERS = 8
 #: Expected children of a class at the nodes below the root.
 DEEP_BRANCH = 2.0
 #: Classes in a block of the exact comparison.
@@ -187,20 +187,28 @@ def _expand(branch: float, runs: int):
     return run
 
 
+def _stands_for(leaders: list) -> list[int]:
+    """For each leader the first of those that it is linked with, directly or by way of others in reach."""
+    pools = [np.frombuffer(x["pool"], "<u8") for x in leaders]
+    return _forest(_likeness(np.array([x["n"] for x in leaders]), pools) >= REACH).tolist()
+
+
 def _split(at: int):
-    """In large children: links to leaders in reach, and the next level's children of those near no leader."""
+    """In large children: one link for each group of leaders in reach, and the next level's children of those near no leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list[int]] = {}
         for batch in batches:
             out: list[tuple] = []
             for c, p, n, pool, leaders in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leaders"))):
-                tokens, best = np.frombuffer(pool, "<u8"), 0.0
-                for lead in leaders:
-                    like = 1.0 if c == lead["cid"] else _alike(n, tokens, lead["n"], np.frombuffer(lead["pool"], "<u8"))
-                    best = max(best, like)
-                    if like >= REACH and c != lead["cid"]:
-                        out.append((c, None, lead["cid"], None, None))
-                if best < NEAR:
+                if p not in groups:
+                    groups = {p: _stands_for(leaders)}  # rows come sorted by path
+                tokens = np.frombuffer(pool, "<u8")
+                like = [1.0 if c == x["cid"] else _alike(n, tokens, x["n"], np.frombuffer(x["pool"], "<u8")) for x in leaders]
+                for first in {groups[p][k] for k, value in enumerate(like) if value >= REACH}:
+                    if leaders[first]["cid"] != c:
+                        out.append((c, None, leaders[first]["cid"], None, None))
+                if max(like) < NEAR:
                     chosen = mix(tokens ^ U64(p % 2**64), 1000 + at)
                     out += [(c, x, None, n, pool) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
