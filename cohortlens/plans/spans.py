@@ -87,13 +87,13 @@ def ag19(spark, d):
 
 
 @Q.add("ag20_sex_from_depth", using("r_reads", "r_regions") + _DEPTH + """, p as (select sample, max(o / cast(len as double)) filter (cls = 'auto') as a, max(o / cast(len as double)) filter (cls = 'x') as x, max(o / cast(len as double)) filter (cls = 'y') / 9 as y from x join l using (cls) group by sample)
- select sample, case when x / a >= 0.8 and y / a < 0.15 then 'XX' when x / a < 0.65 and y / a >= 0.15 then 'XY' else 'ambiguous' end as sex from p""")
+ select sample, case when coalesce(a, 0) <= 0 then 'NA' when x / a >= 0.8 and y / a < 0.15 then 'XX' when x / a < 0.65 and y / a >= 0.15 then 'XY' else 'ambiguous' end as sex from p""")
 def ag20(spark, d):
     wide = _depths(spark, d).groupBy("sample").pivot("cls", ["auto", "x", "y"]).agg(F.max("depth"))
     return wide.select("sample", A.sex_from_depth(F.col("auto"), F.col("x"), F.col("y") / 9).alias("sex"))
 
 
-@Q.add("prj27_mask_intervals", """select p_brand as contig, 0 as s, count(*) * 10 as n_masked from part where p_size > 40 group by p_brand""")
+@Q.add("prj27_mask_intervals", """select p_brand as contig, 0 as s, count(*) filter (p_size > 40) * 10 as n_masked from part group by p_brand""")
 def prj27(spark, d):
     part = role(spark, d, "part")
     sequences = part.groupBy("p_brand").agg(F.max("p_size").alias("x")).select(F.col("p_brand").alias("contig"), F.expr("repeat('ACGTACGTAC', 4000)").alias("seq"))
