@@ -3,27 +3,32 @@
 One model of order 4 for each language, over lower-case letters, with runs of anything else as one separator.
 Counts are summed by Spark over all training texts. All languages share one sorted array of 64-bit gram keys per
 order (four 16-bit characters), beside which stand the log probabilities of each language; a lookup is a binary
-search. The predicted language has the lowest cross-entropy per character. A text is rejected if even that is far
+search. A model of more than ``BROADCAST_GRAMS`` rows is not broadcast: its counts stay on Spark, and each block of
+documents joins those of its own grams; the probabilities are the same. The predicted language has the lowest cross-entropy per character. A text is rejected if even that is far
 above what texts of the language have: mean plus ``z`` standard deviations between documents (1.2 at least), plus
 ``z`` standard errors for its own length, all measured on a bounded sample of the training texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cohortlens.llm.textops import U64, pieces
 from cohortlens.runtime import Scratch, with_fields
 
 ORDER = 4
-#: Rows (language, gram) of the model at most; beyond it the rarest grams go. It bounds what is broadcast.
-MAX_GRAMS = 2_000_000
+#: Rows (language, gram) of a model that is broadcast, at most; a larger one is joined. Results do not depend on it.
+BROADCAST_GRAMS = 2_000_000
+#: A block of documents that joins its grams has 2**BLOCK_BITS rows at most.
+BLOCK_BITS = 10
 #: Training texts that calibrate the rejection, about.
 CALIBRATION_TEXTS = 4_000
 #: Nats per character that a text may always be above the mean, so that passages in a second language do not reject it.
@@ -128,23 +133,37 @@ def fit_model(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]
         for order in range(ORDER, 0, -1):
             by_order[order].append((keys, n))
             keys, n = np.unique(keys & U64(2 ** (16 * (order - 1)) - 1), return_counts=True)
-    none = np.zeros(0, np.uint64)
-    model = Model(langs, [none], [np.zeros((0, width), np.float32)], [none], [np.zeros((0, width))], np.full(width, -np.log(alphabet), np.float32))
+    discount = np.array([[_discount((n == 1).sum(), (n == 2).sum()) for _, n in by_order[order]] for order in range(1, ORDER + 1)])
+    tables = []
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([k for k, _ in by_order[order]]))
         context = np.unique(union >> U64(16))
         of = np.searchsorted(context, union >> U64(16))
-        seen, total, kinds, discount = np.zeros((len(union), width)), np.zeros((len(context), width)), np.zeros((len(context), width)), np.zeros(width)
+        seen, total, kinds = np.zeros((len(union), width)), np.zeros((len(context), width)), np.zeros((len(context), width))
         for j, (keys, n) in enumerate(by_order[order]):
             at = np.searchsorted(union, keys)
             seen[at, j] = n
             total[:, j] = np.bincount(of[at], weights=n, minlength=len(context))
             kinds[:, j] = np.bincount(of[at], minlength=len(context))
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount[j] = once / (once + 2 * twice) if once else 0.5
+        tables.append((union, context, seen, total, kinds))
+    return _interpolated(langs, alphabet, discount, tables)
+
+
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once else 0.5
+
+
+def _interpolated(langs: list[str], alphabet: int, discount: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> Model:
+    """Model of the grams and contexts in tables: per order, keys, contexts, counts, and totals and kinds of contexts."""
+    width = len(langs)
+    none = np.zeros(0, np.uint64)
+    model = Model(langs, [none], [np.zeros((0, width), np.float32)], [none], [np.zeros((0, width))], np.full(width, -np.log(alphabet), np.float32))
+    for order, (union, context, seen, total, kinds) in enumerate(tables, 1):
+        of = np.searchsorted(context, union >> U64(16))
+        less = discount[order - 1]
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.where(total > 0, discount * kinds / total, 1.0)
-            direct = np.where(total[of] > 0, np.maximum(seen - discount, 0) / total[of], 0.0)
+            rest = np.where(total > 0, less * kinds / total, 1.0)
+            direct = np.where(total[of] > 0, np.maximum(seen - less, 0) / total[of], 0.0)
         lower = np.exp(model.score(union, order - 1).astype(np.float64))
         model.keys.append(union)
         model.logp.append(np.log(direct + rest[of] * lower).astype(np.float32))
@@ -153,6 +172,66 @@ def fit_model(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]
     return model
 
 
+def _asked(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order, the distinct grams of texts and their contexts."""
+    key = np.unique(grams(texts)[0])
+    keys = [np.unique(key & U64(2 ** (16 * order) - 1)) for order in range(1, ORDER + 1)]
+    return [(k, np.unique(k >> U64(16))) for k in keys]
+
+
+def _joined_stats(scratch: Scratch, counts: DataFrame, langs: list[str]) -> tuple[int, np.ndarray, DataFrame]:
+    """What ``fit_model`` counts, for a model too large for the driver: alphabet, discounts, and rows (part, key, j, n, kinds).
+
+    Part is the order of a gram, or ORDER + order for a context of grams of that order; j is the place of the language.
+    """
+    place = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("j")
+    alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF))).distinct().count()
+    discount, stats = np.zeros((ORDER, len(langs))), None
+    for order in range(ORDER, 0, -1):
+        for r in counts.groupBy(place).agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+            discount[order - 1, r["j"]] = _discount(r["once"], r["twice"])
+        own = counts.select(F.lit(order).alias("part"), F.col("gram").alias("key"), place, "n", F.lit(0).cast("long").alias("kinds"))
+        context = counts.groupBy(F.shiftrightunsigned("gram", 16).alias("key"), place).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        own = own.unionAll(context.select(F.lit(ORDER + order).alias("part"), "key", "j", "n", "kinds"))
+        stats = own if stats is None else stats.unionAll(own)
+        if order > 1:
+            lower = F.col("gram").bitwiseAND(F.lit(2 ** (16 * (order - 1)) - 1)).alias("gram")
+            counts = scratch.keep(counts.groupBy("lang", lower).agg(F.count("*").alias("n")), f"counts{order - 1}")
+    return alphabet, discount, stats
+
+
+def _look_up(docs: DataFrame, stats: DataFrame, text_col: str) -> DataFrame:
+    """The rows of stats that the texts of each ``__block`` of docs need."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.asarray(batch["__block"])
+            for b in np.unique(block):
+                for part in pieces(batch.filter(pa.array(block == b)), text_col):
+                    for order, pair in enumerate(_asked(part[text_col].to_pylist()), 1):
+                        for which, key in zip((order, ORDER + order), pair):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b)), pa.array(np.full(len(key), which, np.int32)), pa.array(key.view(np.int64))], names=["__block", "part", "key"])
+
+    asked = docs.select("__block", text_col).mapInArrow(ask, "__block long, part int, key long").distinct()
+    return asked.join(stats, ["part", "key"])
+
+
+def _block_model(langs: list[str], alphabet: int, discount: np.ndarray, found: pa.Table, texts: list[str | None]) -> Model:
+    """The model for the grams of texts, from what was looked up for their block."""
+    part, key, j, n, kinds = (np.asarray(found[c].combine_chunks()) for c in ("part", "key", "j", "n", "kinds"))
+    key = key.view(np.uint64)
+
+    def fill(which: int, keys: np.ndarray) -> list[np.ndarray]:
+        own = np.flatnonzero((part == which) & np.isin(key, keys))
+        at, out = np.searchsorted(keys, key[own]), []
+        for values in (n, kinds):
+            out.append(np.zeros((len(keys), len(langs))))
+            out[-1][at, j[own]] = values[own]
+        return out
+
+    return _interpolated(langs, alphabet, discount, [(keys, context, fill(order, keys)[0], *fill(ORDER + order, context)) for order, (keys, context) in enumerate(_asked(texts), 1)])
+
+
 def _cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text and language: nats per character; grams and letters of each text."""
     key, text, letters = grams(texts)
@@ -174,56 +253,75 @@ def identify(docs: DataFrame, train: Column, z: float = 6.0, id_col: str = "doc_
     new = ["lang_pred", "score", "cross_entropy", "rejected"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
     schema = with_fields(docs.schema, "lang_pred string, score double, cross_entropy double, rejected boolean")
-    learn = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    of_use = train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    learn = docs.where(of_use)
     scratch = Scratch(spark, "language")
     counts = scratch.keep(gram_counts(learn, text_col, lang_col), "counts")
-    rows = counts.agg(*[F.count_if(F.col("n") >= 2**k).alias(f"t{k}") for k in range(40)]).first()
-    least = next(2**k for k in range(40) if (rows[k] or 0) <= MAX_GRAMS)
-    table = counts.where(F.col("n") >= least).toArrow()
-    scratch.drop("counts")
-    lang_of = np.asarray(table["lang"].to_pylist(), dtype=object)
-    langs = sorted(set(lang_of))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    gram, n = np.asarray(table["gram"]).view(np.uint64), np.asarray(table["n"])
-    by_lang = {}
-    for lang in langs:
-        k, c = gram[lang_of == lang], n[lang_of == lang]
-        order = np.argsort(k)
-        by_lang[lang] = k[order], c[order]
-    model = spark.sparkContext.broadcast(fit_model(langs, by_lang))
-
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text_col):
-                ce, size, _ = _cross_entropies(model.value, part[text_col].to_pylist())
-                own = np.array([model.value.langs.index(x) if x in model.value.langs else 0 for x in part[lang_col].to_pylist()], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part[lang_col], pa.array(ce[np.arange(len(own)), own]), pa.array(size)], names=["lang", "ce", "size"])
+    if counts.count() <= BROADCAST_GRAMS:
+        table = counts.toArrow()
+        scratch.drop("counts")
+        lang_of = np.asarray(table["lang"].to_pylist(), dtype=object)
+        gram, n = np.asarray(table["gram"]).view(np.uint64), np.asarray(table["n"])
+        by_lang = {}
+        for lang in langs:
+            k, c = gram[lang_of == lang], n[lang_of == lang]
+            order = np.argsort(k)
+            by_lang[lang] = k[order], c[order]
+        model = spark.sparkContext.broadcast(fit_model(langs, by_lang))
+
+        def apply(rows: DataFrame, work: Callable[[Model, pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part in pieces(batch, text_col):
+                        yield work(model.value, part)
+
+            return rows.mapInArrow(run, schema)
+    else:
+        alphabet, discount, stats = _joined_stats(scratch, counts, langs)
+        block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+        docs = scratch.keep(docs.withColumns({"__block": block, "__learn": F.coalesce(of_use, F.lit(False))}), "blocks")
+        looked_up = scratch.keep(_look_up(docs, stats, text_col), "looked_up")
+        learn = docs.where("__learn")
+
+        def apply(rows: DataFrame, work: Callable[[Model, pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+            def run(own: pa.Table, found: pa.Table) -> pa.Table:
+                drop = [c for c in ("__block", "__learn") if c in own.column_names]
+                batches = own.drop_columns(drop).combine_chunks().to_batches()
+                parts = [part for batch in batches for part in pieces(batch, text_col)]
+                done = [work(_block_model(langs, alphabet, discount, found, part[text_col].to_pylist()), part) for part in parts]
+                return pa.Table.from_batches(done) if done else empty
+
+            empty = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
+            return rows.groupBy("__block").cogroup(looked_up.groupBy("__block")).applyInArrow(run, schema)
+
+    def calibrate(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
+        ce, size, _ = _cross_entropies(m, part[text_col].to_pylist())
+        own = np.array([langs.index(x) for x in part[lang_col].to_pylist()], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([part[lang_col], pa.array(ce[np.arange(len(own)), own]), pa.array(size)], names=["lang", "ce", "size"])
 
     every = F.greatest(F.lit(1), F.floor(F.lit(learn.count() / CALIBRATION_TEXTS))).cast("long")
-    sample = learn.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), every) == 0).select(text_col, F.col(lang_col).cast("string").alias(lang_col))
-    measured = sample.mapInArrow(calibrate, "lang string, ce double, size long")
+    sample = learn.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), every) == 0)
+    measured = apply(sample.select(*[c for c in sample.columns if c == "__block"], text_col, F.col(lang_col).cast("string").alias(lang_col)), calibrate, "lang string, ce double, size long")
     long_ones = F.when(F.col("size") >= 200, F.col("ce"))
     stats = {r["lang"]: r for r in measured.groupBy("lang").agg(F.avg("ce").alias("all"), F.avg(long_ones).alias("mean"), F.stddev_samp(long_ones).alias("sd")).collect()}
     usual = np.array([(stats[x]["mean"] or stats[x]["all"] or np.inf) if x in stats else np.inf for x in langs])
     spread = np.array([(stats[x]["sd"] or 0.1) if x in stats else 0.1 for x in langs])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        names = pa.array([*m.langs, "und"], pa.string())
-        for batch in batches:
-            for part in pieces(batch, text_col):
-                ce, size, letters = _cross_entropies(m, part[text_col].to_pylist())
-                best = ce.argmin(axis=1)
-                low = ce.min(axis=1)
-                odds = np.exp((low[:, None] - ce) * np.minimum(size, 40)[:, None])
-                some = letters > 0
-                score = np.where(some, 1 / odds.sum(axis=1), 0.0)
-                limit = usual[best] + np.maximum(z * spread[best], MIXED_MARGIN) + z * 2.5 / np.sqrt(np.maximum(size, 1))
-                pred = names.take(pa.array(np.where(some, best, len(m.langs))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score), pa.array(low, mask=~some), pa.array(~some | (low > limit))], names=[*part.schema.names, *new])
-
-    return docs.mapInArrow(predict, schema)
+    def predict(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
+        ce, size, letters = _cross_entropies(m, part[text_col].to_pylist())
+        best = ce.argmin(axis=1)
+        low = ce.min(axis=1)
+        odds = np.exp((low[:, None] - ce) * np.minimum(size, 40)[:, None])
+        some = letters > 0
+        score = np.where(some, 1 / odds.sum(axis=1), 0.0)
+        limit = usual[best] + np.maximum(z * spread[best], MIXED_MARGIN) + z * 2.5 / np.sqrt(np.maximum(size, 1))
+        pred = pa.array([*langs, "und"], pa.string()).take(pa.array(np.where(some, best, len(langs))))
+        return pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score), pa.array(low, mask=~some), pa.array(~some | (low > limit))], names=[*part.schema.names, *new])
+
+    return apply(docs, predict, schema)
 
 
 def remainder(id_col: str, divisor: int) -> Column:

@@ -201,6 +201,23 @@ def test_language(spark, none):
     assert language.identify(df, F.lit(False)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_model_of_any_size_is_whole(spark, monkeypatch):
+    r = random.Random(8)
+    letters = {"aa": "abcdefghij", "bb": "klmnopqrst", "cc": "uvwxyzäöüß"}
+    rows = [(k, " ".join("".join(r.choice(letters[x]) for _ in range(r.randint(2, 7))) for _ in range(50)), x) for k, x in enumerate(["aa", "bb"] * 60)]
+    rows += [(900 + k, "vuxy wzäö üßuv", "cc") for k in range(3)]
+    rows += [(1000, "vuxy wzäö", None), (1001, None, None), (1002, "", None), (1003, "漢字", None), (1004, "ab kl uv ₿", None), (None, rows[0][1], "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    run = lambda: sorted(map(str, (tuple(x[c] if not isinstance(x[c], float) else round(x[c], 6) for c in x.asDict()) for x in language.identify(df, F.lit(True)).collect())))
+    want = run()
+    monkeypatch.setattr(language, "MAX_GRAMS", 50, raising=False)
+    monkeypatch.setattr(language, "BROADCAST_GRAMS", 50, raising=False)
+    monkeypatch.setattr(language, "BLOCK_BITS", 3, raising=False)
+    assert run() == want
+    got = {x["doc_id"]: x["lang_pred"] for x in language.identify(df, F.lit(True)).collect()}
+    assert got[1000] == got[900] == "cc"
+
+
 def test_kneser_ney_sums_to_one():
     text = ["abab abba baab", "abba"]
     key, _, _ = language.grams(text)
