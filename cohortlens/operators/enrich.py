@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.operators.ranking import bh_adjust
 from cohortlens.runtime import Scratch
 
-#: Entities hold gene-sized rankings; a longer one is refused, as each task that draws a null holds it whole.
-MAX_RANKED = 200_000
-
 
 def _hits(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, least: int, most: int) -> DataFrame:
     n = ranked.groupBy(*keys).agg(F.count("*").alias("n_ranked"))
@@ -46,24 +43,24 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], se
     return g.withColumn("es", es).select(*keys, set_col, "size", "es", F.transform(edge, lambda x: x[gene]).alias("leading_edge"))
 
 
-def null_scores(weights: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Scores of the sets made of the first k ranks of a random order, for each k."""
+def null_scores(rank: np.ndarray, weight: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """Scores of the sets made of the first k of the drawn ranks (from 0, of n), for each k; ``weight`` is |stat| there."""
     out = np.empty(len(sizes))
-    n = len(weights)
     for j, k in enumerate(sizes):
-        rank = np.sort(order[:k])
-        w = weights[rank]
+        along = np.argsort(rank[:k])
+        r, w = rank[along], weight[along]
         up = np.cumsum(w)
-        miss = (rank - np.arange(k)) / (n - k) if n > k else np.zeros(k)
+        miss = (r - np.arange(k)) / (n - k) if n > k else np.zeros(k)
         top, bottom = (up / up[-1] - miss).max(), ((up - w) / up[-1] - miss).min()
         out[j] = top if top > -bottom else bottom if top < -bottom else 0.0
     return out
 
 
 def enrichment_test(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, n_perm: int = 1000, seed: int = 1, least: int = 20, most: int = 200) -> DataFrame:
-    """Adds ``pval, nes, padj`` to the scores, from ``n_perm`` seeded random orders of each ranking.
+    """Adds ``pval, nes, padj`` to the scores, from ``n_perm`` seeded draws of ranks from each ranking.
 
-    The null of a score depends on the set's size alone, and the first k genes of one order serve all sizes.
+    The null of a score depends on the set's size alone, and the first k ranks of one draw serve all sizes. Weights
+    of drawn ranks are joined, so no task holds a ranking, and rankings may have any length.
     p = (1 + as extreme with the same sign) / (1 + with the same sign), NES = ES / mean |null ES| of the same sign,
     padj by Benjamini-Hochberg within the keys.
     """
@@ -72,20 +69,29 @@ def enrichment_test(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set
     scratch = Scratch(ranked.sparkSession, "enrichment")
     scores = scratch.keep(enrichment_score(ranked, sets, keys, set_col, gene, least, most), "scores")
     names = list(keys)
-    stats = ranked.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.abs("stat").alias("w")))), lambda x: x["w"]).alias("w"))
-    sizes = scores.groupBy(*names).agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    work = stats.where(F.size("w") <= MAX_RANKED).join(sizes, names).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // 50))))
-    schema = ", ".join(f"`{k}` {t}" for k, t in work.select(*names).dtypes) + ", size long, es0 double"
+    work = ranked.groupBy(*names).agg(F.count("*").alias("__k")).join(scores.groupBy(*names).agg(F.array_sort(F.collect_set("size")).alias("__sizes")), names)
+    blocks = work.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // 50))))
+    own = ", ".join(f"`{k}` {t}" for k, t in work.select(*names).dtypes)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                w, k = np.asarray(row["w"], dtype=float), np.asarray(row["sizes"])
-                for perm in range(row["block"] * 50, min(n_perm, row["block"] * 50 + 50)):
-                    order = np.random.default_rng([seed, perm]).permutation(len(w))
-                    yield pd.DataFrame({c: [row[c]] * len(k) for c in names} | {"size": k, "es0": null_scores(w, k, order)})
+                for perm in range(row["__block"] * 50, min(n_perm, row["__block"] * 50 + 50)):
+                    rank = np.random.default_rng([seed, perm]).choice(row["__k"], max(row["__sizes"]), replace=False)
+                    yield pd.DataFrame({c: [row[c]] * len(rank) for c in names} | {"__perm": perm, "__i": np.arange(len(rank)), "rank": rank + 1})
 
-    null = work.repartition(*names, "block").mapInPandas(draw, schema)
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                k = np.asarray(row["__sizes"])
+                es0 = null_scores(np.asarray(row["__at"]) - 1, np.asarray(row["__w"], dtype=float), row["__k"], k)
+                yield pd.DataFrame({c: [row[c]] * len(k) for c in names} | {"size": k, "es0": es0})
+
+    drawn = blocks.repartition(*names, "__block").mapInPandas(draw, own + ", __perm int, __i long, rank long")
+    drawn = drawn.join(ranked.select(*names, F.col("rank").cast("long").alias("rank"), F.abs("stat").alias("__w")), [*names, "rank"])
+    drawn = drawn.groupBy(*names, "__perm").agg(F.sort_array(F.collect_list(F.struct("__i", "rank", "__w"))).alias("__d"))
+    drawn = drawn.join(work, names).select(*names, "__k", "__sizes", F.col("__d.rank").alias("__at"), F.col("__d.__w").alias("__w"))
+    null = drawn.mapInPandas(score, own + ", size long, es0 double")
     t = scores.join(null, [*names, "size"])
     same = F.when(F.col("es") >= 0, F.col("es0") >= 0).otherwise(F.col("es0") < 0)
     far = same & (F.abs("es0") >= F.abs("es"))
