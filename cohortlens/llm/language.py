@@ -6,7 +6,7 @@ order (four 16-bit characters), beside which stand the log probabilities of each
 search. A model of more than ``BROADCAST_GRAMS`` rows is not broadcast: its counts stay on Spark, and each block of
 documents joins those of its own grams; the probabilities are the same. The predicted language has the lowest cross-entropy per character. A text is rejected if even that is far
 above what texts of the language have: mean plus ``z`` standard deviations between documents (1.2 at least), plus
-``z`` standard errors for its own length, all measured on a bounded sample of the training texts.
+``z`` standard errors for its own length, all measured on all training texts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ ORDER = 4
 BROADCAST_GRAMS = 2_000_000
 #: A block of documents that joins its grams has 2**BLOCK_BITS rows at most.
 BLOCK_BITS = 10
-#: Training texts that calibrate the rejection, about.
-CALIBRATION_TEXTS = 4_000
 #: Nats per character that a text may always be above the mean, so that passages in a second language do not reject it.
 MIXED_MARGIN = 1.2
 _SEPARATOR = 32
@@ -302,12 +300,11 @@ def identify(docs: DataFrame, train: Column, z: float = 6.0, id_col: str = "doc_
         own = np.array([langs.index(x) for x in part[lang_col].to_pylist()], dtype=np.int64)
         return pa.RecordBatch.from_arrays([part[lang_col], pa.array(ce[np.arange(len(own)), own]), pa.array(size)], names=["lang", "ce", "size"])
 
-    every = F.greatest(F.lit(1), F.floor(F.lit(learn.count() / CALIBRATION_TEXTS))).cast("long")
-    sample = learn.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), every) == 0)
-    measured = apply(sample.select(*[c for c in sample.columns if c == "__block"], text_col, F.col(lang_col).cast("string").alias(lang_col)), calibrate, "lang string, ce double, size long")
+    measured = apply(learn.select(*[c for c in learn.columns if c == "__block"], text_col, F.col(lang_col).cast("string").alias(lang_col)), calibrate, "lang string, ce double, size long").where("size > 0")
     long_ones = F.when(F.col("size") >= 200, F.col("ce"))
     stats = {r["lang"]: r for r in measured.groupBy("lang").agg(F.avg("ce").alias("all"), F.avg(long_ones).alias("mean"), F.stddev_samp(long_ones).alias("sd")).collect()}
-    usual = np.array([(stats[x]["mean"] or stats[x]["all"] or np.inf) if x in stats else np.inf for x in langs])
+    pooled = float(np.mean([r["all"] for r in stats.values()])) if stats else 0.0
+    usual = np.array([(stats[x]["mean"] or stats[x]["all"]) if x in stats else pooled for x in langs])
     spread = np.array([(stats[x]["sd"] or 0.1) if x in stats else 0.1 for x in langs])
 
     def predict(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:

@@ -218,6 +218,17 @@ def test_language_model_of_any_size_is_whole(spark, monkeypatch):
     assert got[1000] == got[900] == "cc"
 
 
+def test_rare_languages_are_calibrated(spark):
+    r = random.Random(3)
+    rare = [x["id"] for x in spark.range(10_000, 10_100).where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(2)) == 1).limit(3).collect()]
+    rows = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(4)), "aa") for k in range(8_100)]
+    rows += [(k, "vuxy wzäö " * 40, "cc") for k in rare]
+    rows += [(20_000, " ".join("".join(r.choice("uvwxyzäö") for _ in range(6)) for _ in range(80)), None)]
+    got = {x["doc_id"]: x for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).where(F.col("doc_id") >= 10_000).collect()}
+    assert all(got[k]["lang_pred"] == "cc" and not got[k]["rejected"] for k in rare)
+    assert got[20_000]["lang_pred"] == "cc" and got[20_000]["rejected"]
+
+
 def test_kneser_ney_sums_to_one():
     text = ["abab abba baab", "abba"]
     key, _, _ = language.grams(text)
