@@ -4,11 +4,12 @@ A window is ``window`` consecutive words of one document. A difference cover D m
 positions i and j, a shift d < v with (i + d) mod v and (j + d) mod v both in D. So two equal windows share an
 equal anchor of ``window - v + 1`` words that starts at a cover position of both documents: hashing anchors at
 cover positions alone (5 of 21) misses no repeated window. Anchors that occur twice are then extended: the
-windows that hold one are hashed whole, with 96 bits, and counted.
+windows that hold one are hashed whole, with 95 bits, and counted.
 
-What crosses the network is hashes, packed into one binary value for each task and hash bucket. A hash that a
-task has met twice is settled there (it repeats), and takes part once for all others; so a passage that a third of
-all documents hold counts once for each task, not once for each document, wherever its bucket lies.
+An occurrence is a plain row (hash, check, text key, place, n); one window over (hash, check) counts it, and the
+places of repeated ones go back to their text by its key. A hash that a task meets twice is settled there (it
+repeats): it takes part once for all others, and the task tells its own places as ranges. So a passage that a third
+of all documents hold is one row for each task, not one for each document, and copies of a text share their answer.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.llm.textops import U64, Words, pieces, split_words, window_hashes, window_starts, word_hashes
-from cohortlens.runtime import Scratch, shuffle_partitions, with_fields
+from cohortlens.llm.textops import U64, Words, mix, pieces, split_words, window_hashes, window_starts, word_hashes
+from cohortlens.runtime import Scratch, with_fields
 
 #: A perfect difference set modulo 21 (Singer).
 COVER, PERIOD = (3, 6, 7, 12, 14), 21
-#: A task sends what it has gathered whenever it has so many hashes.
-SEND_HASHES = 2_000_000
-_REQUEST = "bucket long, known boolean, doc binary, hash binary, check binary"
+#: A task settles hashes among so many at a time.
+SETTLED_TOGETHER = 2_000_000
+_OCCURRENCE = "hash long, check int, key long, place long, n int"
 
 
 def _anchor_mask(words: Words, width: int) -> np.ndarray:
@@ -43,112 +44,78 @@ def _anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, window_hashes(word_hashes(words), width)[at] if len(at) else np.zeros(0, np.uint64)
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the runs of equal values."""
-    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return start, np.append(start[1:], len(keys)).astype(np.int64)
+def _range(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A range of places, both ends included, as one number; empty if high < low."""
+    return low << 32 | high
 
 
-def _packed(doc: np.ndarray, hash_: np.ndarray, check: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Requests: what a task asks of others, by hash bucket; and what it knows itself, by document bucket."""
+def _occurrences(key: np.ndarray, place: np.ndarray, hash_: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_OCCURRENCE``: each distinct hash once, and ranges of the places whose hashes repeat among these.
+
+    A repeated hash has n = 2 and no place, since the ranges (check -1, n = 2) hold its places.
+    """
     order = np.lexsort((check, hash_))
-    doc, hash_, check = doc[order], hash_[order], check[order]
-    start, end = _groups(hash_)
-    # a hash with two check values is rare; it is asked about, not settled here
-    many = np.repeat((end - start > 1) & (check[start] == check[end - 1]), end - start)
-    first = np.zeros(len(hash_), dtype=bool)
-    first[start] = True
-    sets = [
-        (False, hash_ % U64(buckets), ~many | first),
-        (True, doc.view(np.uint64) % U64(buckets), many),
-    ]
-    for known, bucket, mask in sets:
-        b, d, h, c, m = bucket[mask], doc[mask], hash_[mask], check[mask], many[mask]
-        order = np.lexsort((d, b))
-        b, d, h, c, m = b[order], d[order], h[order], c[order], m[order]
-        if not known:
-            c = c << U64(1) | m.astype(np.uint64)  # the lowest bit: the sender has settled it for itself
-        s, e = _groups(b)
-        if len(s):
-            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(s, e)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(b[s].astype(np.int64)), pa.array([known] * len(s)), cut(d, "<i8"), cut(h, "<u8"), cut(c, "<u4")], names=["bucket", "known", "doc", "hash", "check"])
-
-
-def _answer(buckets: int):
-    """Repeated hashes of one bucket and the documents that hold them, packed by document group."""
-
-    def run(table: pa.Table) -> pa.Table:
-        docs, hashes = [], []
-        asked: list[tuple[np.ndarray, ...]] = []
-        for known, d, h, c in zip(*(table[k].to_pylist() for k in ("known", "doc", "hash", "check"))):
-            d, h, c = np.frombuffer(d, "<i8"), np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")
-            if known:
-                docs.append(d), hashes.append(h)
-            else:
-                asked.append((d, h, c))
-        if asked:
-            d, h, c = (np.concatenate(x) for x in zip(*asked))
-            key = c >> np.uint32(1)
-            order = np.lexsort((key, h))
-            d, h, c, key = d[order], h[order], c[order], key[order]
-            same = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
-            repeated = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            tell = repeated & (c & np.uint32(1) == 0)
-            docs.append(d[tell]), hashes.append(h[tell])
-        d, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
-        group = (d.view(np.uint64) % U64(buckets)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        d, h, group = d[order], h[order], group[order]
-        s, e = _groups(group)
-        return pa.table({"group": pa.array(group[s], pa.int64())} | {name: pa.array([x[i:j].tobytes() for i, j in zip(s, e)], pa.binary()) for name, x in (("docs", d), ("hashes", h))})
-
-    return run
-
-
-def _per_document(table: pa.Table) -> pa.Table:
-    """One row for each document of a group: its repeated hashes."""
-    d = np.concatenate([np.frombuffer(x, "<i8") for x in table["docs"].to_pylist()])
-    h = np.concatenate([np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()])
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
-    s, e = _groups(d)
-    return pa.table({"doc": pa.array(d[s], pa.int64()), "repeated": pa.array([h[i:j].tobytes() for i, j in zip(s, e)], pa.binary())})
-
-
-def repeated_hashes(rows: DataFrame, found: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """(doc, repeated): for each document key, the packed hashes that occur at two places or more.
-
-    ``found`` gives document keys, hashes and check values of a batch; an occurrence is one entry.
+    key, place, hash_, check = key[order], place[order], hash_[order], check[order]
+    first = np.ones(len(hash_), dtype=bool)
+    first[1:] = (hash_[1:] != hash_[:-1]) | (check[1:] != check[:-1])
+    start = np.flatnonzero(first)
+    many = np.diff(np.append(start, len(hash_))) > 1
+    settled = np.repeat(many, np.diff(np.append(start, len(hash_))))
+    k, p = key[settled], place[settled]
+    order = np.lexsort((p, k))
+    k, p = k[order], p[order]
+    cut = np.ones(len(k), dtype=bool)
+    cut[1:] = (k[1:] != k[:-1]) | (p[1:] > p[:-1] + 1)
+    low = np.flatnonzero(cut)
+    known, own = _range(p[low], p[np.append(low[1:], len(p)) - 1]) if len(p) else p, k[low]
+    spread = mix(own.view(np.uint64) ^ mix(known.view(np.uint64)))
+    columns = (
+        np.concatenate((hash_[start], spread)).view(np.int64),
+        np.concatenate((check[start], np.full(len(known), -1))).astype(np.int32),
+        np.concatenate((key[start], own)),
+        np.concatenate((np.where(many, _range(np.int64(1), np.int64(0)), _range(place[start], place[start])), known)),
+        np.concatenate((1 + many, np.full(len(known), 2))).astype(np.int32),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["hash", "check", "key", "place", "n"])
+
+
+def repeated_places(rows: DataFrame, found: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(key, places): for each text key, the ranges of places whose hashes occur at two places or more.
+
+    ``found`` gives keys, places, hashes and check values of a batch; an occurrence is one entry.
     """
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in pieces(batch, "text"):
                 held.append(found(part))
-                if sum(len(x[0]) for x in held) >= SEND_HASHES:
-                    yield from _packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+                if sum(len(x[0]) for x in held) >= SETTLED_TOGETHER:
+                    yield _occurrences(*(np.concatenate(x) for x in zip(*held)))
                     held = []
         if held:
-            yield from _packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+            yield _occurrences(*(np.concatenate(x) for x in zip(*held)))
 
-    asked = rows.mapInArrow(ask, _REQUEST)
-    answered = asked.groupBy("bucket").applyInArrow(_answer(buckets), "group long, docs binary, hashes binary")
-    return answered.groupBy("group").applyInArrow(_per_document, "doc long, repeated binary")
+    total = F.sum("n").over(Window.partitionBy("hash", "check"))
+    place = F.col("place")
+    told = rows.mapInArrow(tell, _OCCURRENCE).withColumn("total", total)
+    told = told.where((F.col("total") > 1) & (F.shiftright(place, 32) <= place.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return told.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
-def _doc_keys(part: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
-    return np.repeat(np.asarray(part["doc"], dtype=np.int64), counts)
+def _expanded(words: Words, column: pa.Array, first: np.ndarray) -> np.ndarray:
+    """True at the places in the ranges of each document; ``first`` has where each document's places begin, and their end."""
+    ranges = np.asarray(column.flatten())
+    owner = np.repeat(np.arange(len(column)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)))
+    edge = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+    np.add.at(edge, first[owner] + (ranges >> 32), 1)
+    np.add.at(edge, first[owner] + (ranges & 0xFFFFFFFF) + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _isin(values: np.ndarray, doc_of: np.ndarray, repeated: list) -> np.ndarray:
-    """Whether each value is among the packed hashes of its document."""
-    out = np.zeros(len(values), dtype=bool)
-    bounds = np.searchsorted(doc_of, np.arange(len(repeated) + 1))
-    for k, packed in enumerate(repeated):
-        if packed and bounds[k + 1] > bounds[k]:
-            out[bounds[k] : bounds[k + 1]] = np.isin(values[bounds[k] : bounds[k + 1]], np.frombuffer(packed, "<u8"))
-    return out
+def _counted(which: np.ndarray, n: int) -> np.ndarray:
+    """Where the entries of each of n documents begin, and the end; ``which`` has the document of each entry, ascending."""
+    return np.searchsorted(which, np.arange(n + 1))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -162,44 +129,41 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """
     if window <= PERIOD:
         raise ValueError(f"window must be above {PERIOD}")
-    spark = docs.sparkSession
     width = window - PERIOD + 1
-    buckets = 2 * shuffle_partitions(spark)
-    scratch = Scratch(spark, "substrings")
+    scratch = Scratch(docs.sparkSession, "substrings")
     new = ("n_words", "n_removed", "kept")
     names = [c for c in dict.fromkeys([id_col, *carry]) if c not in new]
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select(row.alias("row"), F.xxhash64(text).alias("key"), text.alias("text"))
 
     def anchors(part: pa.RecordBatch):
         words = split_words(part["text"])
         at, h = _anchors(words, width)
         which = np.searchsorted(words.first, at, side="right") - 1
-        return np.asarray(part["doc"], dtype=np.int64)[which], h, np.zeros(len(h), np.uint64)
+        place = np.arange(len(at)) - _counted(which, part.num_rows)[which]  # among the document's own anchors
+        return np.asarray(part["key"], dtype=np.int64)[which], place, h, np.zeros(len(h), np.int64)
 
-    flagged = scratch.keep(repeated_hashes(rows.select("doc", "text"), anchors, buckets), "anchors")
-    joined = scratch.keep(rows.join(flagged, "doc", "left"), "joined")
-    scratch.drop("anchors")
+    flagged = scratch.keep(repeated_places(rows.select("key", "text"), anchors), "anchors")
 
     def windows(part: pa.RecordBatch):
         words = split_words(part["text"])
-        at, h = _anchors(words, width)
+        at = np.flatnonzero(_anchor_mask(words, width))
         which = np.searchsorted(words.first, at, side="right") - 1
-        hit = at[_isin(h, which, part["repeated"].to_pylist())]
+        hit = at[_expanded(words, part["places"], _counted(which, part.num_rows))]
         n = int(words.first[-1])
         near = np.zeros(n + 1, dtype=np.int64)  # windows that hold a hit anchor less than a period after their start
         np.add.at(near, np.maximum(hit - PERIOD + 1, 0), 1)
         np.add.at(near, np.minimum(hit + 1, n), -1)
         starts = np.flatnonzero((np.cumsum(near[:-1]) > 0) & window_starts(words.first, window))
-        hashes = word_hashes(words)
         which = np.searchsorted(words.first, starts, side="right") - 1
-        doc = np.asarray(part["doc"], dtype=np.int64)[which]
-        if not len(starts):
-            return doc, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return doc, window_hashes(hashes, window)[starts], window_hashes(hashes, window, 7)[starts] >> U64(33)
+        key, none = np.asarray(part["key"], dtype=np.int64)[which], np.zeros(0, np.uint64)
+        hashes = word_hashes(words) if len(starts) else none
+        h, check = (window_hashes(hashes, window, seed)[starts] if len(starts) else none for seed in (0, 7))
+        return key, starts - words.first[which], h, (check >> U64(33)).astype(np.int64)
 
-    candidates = joined.where("repeated is not null").select("doc", "text", "repeated")
-    matched = scratch.keep(repeated_hashes(candidates, windows, buckets).withColumnRenamed("repeated", "matched"), "windows")
+    candidates = rows.select("key", "text").join(flagged, "key")
+    matched = scratch.keep(repeated_places(candidates, windows), "windows")
     schema = with_fields(rows.select("row").schema, "n_words long, n_removed long, kept string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,29 +171,22 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             for part in pieces(batch, "text"):
                 words = split_words(part["text"])
                 n = int(words.first[-1])
-                gone = np.zeros(n, dtype=bool)
-                packed = part["matched"].to_pylist() if "matched" in part.schema.names else [None] * part.num_rows
-                if any(packed):
-                    starts = np.flatnonzero(window_starts(words.first, window))
-                    h = window_hashes(word_hashes(words), window)[starts] if len(starts) else np.zeros(0, np.uint64)
-                    which = np.searchsorted(words.first, starts, side="right") - 1
-                    hit = starts[_isin(h, which, packed)]
-                    cover = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(cover, hit, 1)
-                    np.add.at(cover, hit + window, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
+                cover = np.zeros(n + 1, dtype=np.int64)
+                hit = np.flatnonzero(_expanded(words, part["places"], words.first))
+                np.add.at(cover, hit, 1)
+                np.add.at(cover, hit + window, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                total = np.concatenate(([0], np.cumsum(gone)))
+                removed = total[words.first[1:]] - total[words.first[:-1]]
                 kept = []
                 for k in range(part.num_rows):
                     a, b = words.first[k], words.first[k + 1]
-                    left = words.text(k)
-                    kept.append(b" ".join(left if not gone[a:b].any() else [w for w, x in zip(left, gone[a:b]) if not x]))
-                total = np.concatenate(([0], np.cumsum(gone)))
-                removed = total[words.first[1:]] - total[words.first[:-1]]
+                    left = words.text(k) if removed[k] < b - a else []
+                    kept.append(b" ".join(left if not removed[k] else [w for w, x in zip(left, gone[a:b]) if not x]))
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", *new])
 
-    untouched = joined.where("repeated is null").select("row", "text").mapInArrow(cut, schema)
-    touched = joined.where("repeated is not null").select("row", "doc", "text").join(matched, "doc", "left").select("row", "text", "matched").mapInArrow(cut, schema)
-    return untouched.unionByName(touched).select("row.*", *new)
+    judged = rows.join(matched, "key", "left").select("row", "text", "places")
+    return judged.mapInArrow(cut, schema).select("row.*", *new)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
