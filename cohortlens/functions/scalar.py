@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 #: Fixed values of the source's rules.
-LOF_TERMS = ("stop_gained", "frameshift_variant", "splice_acceptor_variant", "splice_donor_variant", "start_lost", "stop_lost", "transcript_ablation")
+LOF_TERMS = ("stop_gained", "frameshift_variant", "splice_donor_variant", "splice_acceptor_variant", "start_lost", "stop_lost", "transcript_ablation")
 MISSENSE_TERMS = ("missense_variant",)
-PROTEIN_ALTERING_TERMS = ("missense_variant", "inframe_insertion", "inframe_deletion", "protein_altering_variant")
+PROTEIN_ALTERING_TERMS = ("missense_variant", "inframe_insertion", "inframe_deletion", "splice_region_variant", "protein_altering_variant", *LOF_TERMS)
 CARRIER_GENOTYPES = ("0/1", "1/0", "1/1", "0|1", "1|0", "1|1")
 REFERENCE_GENOTYPES = ("0/0", "./.", "0|0", ".|.")
 SPLICE_MIN, AM_MIN, REVEL_MIN, AF_MAX = 0.20, 0.564, 0.773, 0.001
@@ -105,7 +105,7 @@ def any_term(terms, wanted: Sequence[str]) -> Column:
 def flag_lof(consequence, lof=None) -> Column:
     """Loss-of-function term, and high confidence where that column exists."""
     hit = any_term(consequence, LOF_TERMS)
-    return hit if lof is None else hit & F.coalesce(_c(lof) == "HC", F.lit(False))
+    return hit if lof is None else hit & F.coalesce(F.trim(_c(lof)) == "HC", F.lit(False))
 
 
 def flag_splice(score, least: float = SPLICE_MIN) -> Column:
@@ -114,14 +114,15 @@ def flag_splice(score, least: float = SPLICE_MIN) -> Column:
 
 
 def flag_damaging(consequence, constrained, am_class=None, am_score=None, revel=None) -> Column:
-    """Missense in a constrained gene with any predictor at its limit."""
+    """Missense in a constrained gene with any predictor at its limit; a score that is no number counts as missing."""
+    number = lambda c: F.nanvl(_c(c).try_cast("double"), F.lit(None).cast("double"))
     tests = [F.lit(False)]
     if am_class is not None:
-        tests.append(_c(am_class) == "likely_pathogenic")
+        tests.append(F.lower(F.trim(_c(am_class))) == "likely_pathogenic")
     if am_score is not None:
-        tests.append(_c(am_score) >= AM_MIN)
+        tests.append(number(am_score) >= AM_MIN)
     if revel is not None:
-        tests.append(_c(revel) >= REVEL_MIN)
+        tests.append(number(revel) >= REVEL_MIN)
     any_hit = reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
     return any_term(consequence, MISSENSE_TERMS) & _c(constrained) & any_hit
 

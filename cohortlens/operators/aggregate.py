@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -54,6 +54,27 @@ def recurrent_artifacts(counts: DataFrame, freq: DataFrame, site: str, af: str,
     return counts.where(F.col("ac") >= ac_min).join(freq.select(site, af), site, "left").where(F.col(af).isNull() | (F.col(af) < af_max)).select(site, "ac", "an")
 
 
+def tier_counts(rows: DataFrame, tier: str, site: str) -> DataFrame:
+    """Rows and distinct sites of each tier."""
+    return rows.groupBy(tier).agg(F.count("*").alias("n"), F.count_distinct(site).alias("n_sites"))
+
+
+class StageCounts:
+    """Row counts of the stages of a job, taken while it runs (one pass, no extra job)."""
+
+    def __init__(self) -> None:
+        self.stages: dict[str, Observation] = {}
+
+    def seen(self, rows: DataFrame, stage: str) -> DataFrame:
+        """The same rows, counted as they pass."""
+        self.stages[stage] = Observation()
+        return rows.observe(self.stages[stage], F.count("*").alias("n"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(stage, n) after the job has run; one row a stage."""
+        return spark.createDataFrame([(stage, int(o.get["n"])) for stage, o in self.stages.items()], "stage string, n long")
+
+
 def sum_duplicates(counts: DataFrame, sample: str, symbol: str, count: str) -> DataFrame:
     """Counts per sample and symbol; rows without a symbol go before any library size."""
     return counts.where(F.col(symbol).isNotNull()).groupBy(sample, symbol).agg(F.sum(count).alias(count))

@@ -12,36 +12,68 @@ Q = Catalogue()
 _MAX = "greatest(case when af_a is null then af_b else af_a end, case when af_b is null then af_a else af_b end)"
 
 
-@Q.add("tier_candidates", using("r_annot", "r_calls", "r_freq", "r_panel") + f""",
+#: The oracle's own statement of the rules: loss-of-function terms, and terms that alter a protein besides.
+_LOF = "['stop_gained', 'frameshift_variant', 'splice_donor_variant', 'splice_acceptor_variant', 'start_lost', 'stop_lost', 'transcript_ablation']"
+_ALTERING = f"list_concat({_LOF}, ['missense_variant', 'inframe_insertion', 'inframe_deletion', 'splice_region_variant', 'protein_altering_variant'])"
+_TERMS, _SPLICE = "string_split(consequence, ',')", "coalesce(greatest(coalesce(s1, s2), coalesce(s2, s1)) >= 0.2, false)"
+_LOSS = f"(list_has_any({_TERMS}, {_LOF}) and coalesce(lof = 'HC', false))"
+_DAMAGING = f"(list_contains({_TERMS}, 'missense_variant') and coalesce(lower(am_class) = 'likely_pathogenic', false) or list_contains({_TERMS}, 'missense_variant') and (coalesce(score >= 0.564, false) or coalesce(try_cast(revel as double) >= 0.773, false)))"
+
+
+@Q.add("tier_candidates", using("r_annot", "r_calls", "r_freq", "r_panel", "r_constraint") + f""",
 af as (select site, {_MAX} as af from r_freq),
 art as (select c.site from r_calls c left join af using (site) where sample % 2 = 0 group by c.site, af having sum(dosage) >= 6 and (af is null or af < 0.001)),
-pan as (select symbol, max(confidence) as confidence, min(ord) as ord from r_panel group by symbol),
-base as (select c.sample, c.site, a.symbol, a.consequence, a.lof, coalesce(greatest(coalesce(s1, s2), coalesce(s2, s1)), -1) as sp, score, dosage,
-  coalesce(p.confidence, -1) as confidence from r_calls c join r_annot a using (site) left join af using (site) left join pan p using (symbol)
-  where (af is null or af < 0.001) and c.site not in (select site from art))
-select sample, site, symbol, dosage, confidence,
- case when (consequence like '%stop_gained%') and lof = 'HC' and confidence >= 3 then 'A' when sp >= 0.2 and confidence >= 2 then 'B'
-      when consequence like '%missense_variant%' and score >= 0.564 then 'C' else '' end as tier from base""")
+pan as (select distinct symbol from r_panel where confidence >= 2),
+con as (select distinct symbol from r_constraint where loeuf < 0.6),
+pick as (select symbol, arg_min(loeuf, ord) as loeuf from r_constraint where mane group by symbol)
+select c.sample, c.site, a.symbol, c.dosage, pick.loeuf, a.symbol in (select symbol from pan) as in_panel,
+ case when {_LOSS} or {_SPLICE} then 'A' when {_DAMAGING} and a.symbol in (select symbol from con) then 'B'
+      when a.symbol in (select symbol from pan) and list_has_any({_TERMS}, {_ALTERING}) then 'C' else '' end as tier
+from r_calls c join r_annot a using (site) left join af using (site) left join pick on a.symbol = pick.symbol
+where (af is null or af < 0.001) and c.site not in (select site from art)""")
 def tier_candidates(spark, d):
+    return _tiered(spark, d)
+
+
+def _tiered(spark, d, seen=lambda rows, stage: rows):
+    """Rare candidates with their tier; ``seen`` is told the rows of each stage.
+
+    Common and recurrent sites leave the calls before anything is joined to them.
+    """
     freq = role(spark, d, "r_freq").select("site", S.row_max_ignore_null("af_a", "af_b").alias("af"))
     calls = role(spark, d, "r_calls")
     reps = calls.where("sample % 2 = 0").select("sample").distinct()
     artifacts = A.recurrent_artifacts(A.allele_counts(calls, reps, "site", "sample", "dosage"), freq, "site", "af", ac_min=6)
-    panel = role(spark, d, "r_panel").groupBy("symbol").agg(F.max("confidence").alias("confidence"))
-    rows = J.join_on_key(calls, role(spark, d, "r_annot"), ["site"]).join(freq, "site", "left").where(S.rare_or_absent("af"))
-    rows = J.drop_listed(rows, artifacts, ["site"]).join(F.broadcast(panel), "symbol", "left").withColumn("confidence", F.coalesce("confidence", F.lit(-1)))
-    splice = F.coalesce(S.row_max_ignore_null("s1", "s2"), F.lit(-1.0))
+    rare = seen(J.drop_listed(seen(calls, "calls"), freq.where(~S.rare_or_absent("af")), ["site"]), "rare")
+    rare = seen(J.drop_listed(rare, artifacts, ["site"]), "not recurrent")
+    constraint = role(spark, d, "r_constraint")
+    panel = A.gene_set(role(spark, d, "r_panel"), "symbol", F.col("confidence") >= 2).withColumn("in_panel", F.lit(True))
+    constrained = A.constrained_set(constraint, "symbol", "loeuf").withColumn("constrained", F.lit(True))
+    best = A.preferred_per_key(constraint, "symbol", ["mane", "canonical"], "ord")
+    rows = J.join_on_key(rare, role(spark, d, "r_annot"), ["site"]).join(panel, "symbol", "left").join(constrained, "symbol", "left")
+    rows = J.join_constraint(rows, best, "symbol", ["loeuf"]).withColumn("in_panel", F.coalesce("in_panel", F.lit(False)))
     tier = S.assign_tier([
-        ("A", S.flag_lof("consequence", "lof") & (F.col("confidence") >= 3)),
-        ("B", S.flag_splice(splice) & (F.col("confidence") >= 2)),
-        ("C", S.flag_damaging("consequence", F.lit(True), am_score="score")),
+        ("A", S.flag_lof("consequence", "lof") | S.flag_splice(S.row_max_ignore_null("s1", "s2"))),
+        ("B", S.flag_damaging("consequence", F.coalesce("constrained", F.lit(False)), "am_class", "score", "revel")),
+        ("C", F.col("in_panel") & S.any_term("consequence", S.PROTEIN_ALTERING_TERMS)),
     ])
-    return rows.select("sample", "site", "symbol", "dosage", "confidence", tier.alias("tier"))
+    return seen(rows.select("sample", "site", "symbol", "dosage", "loeuf", "in_panel", tier.alias("tier")), "annotated")
 
 
 @Q.add("ag8_tier_counts", "with t as (" + Q.oracles["tier_candidates"] + ") select tier, count(*) as n, count(distinct site) as n_sites from t group by tier")
 def tier_counts(spark, d):
-    return tier_candidates(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("site").alias("n_sites"))
+    return A.tier_counts(tier_candidates(spark, d), "tier", "site")
+
+
+@Q.add("ag8_stage_counts", using("r_calls", "r_freq", "r_annot") + f""", af as (select site, {_MAX} as af from r_freq),
+ art as (select c.site from r_calls c left join af using (site) where sample % 2 = 0 group by c.site, af having sum(dosage) >= 6 and (af is null or af < 0.001)),
+ rare as (select * from r_calls where site not in (select site from af where af >= 0.001)), recur as (select * from rare where site not in (select site from art))
+ select 'calls' as stage, count(*) as n from r_calls union all select 'rare', count(*) from rare union all select 'not recurrent', count(*) from recur
+ union all select 'annotated', count(*) from recur join r_annot using (site)""")
+def stage_counts(spark, d):
+    counter = A.StageCounts()
+    _tiered(spark, d, counter.seen).write.format("noop").mode("overwrite").save()
+    return counter.table(spark)
 
 
 @Q.add("prj1_variant_key", """select p_partkey as k, 'chr' || (p_partkey % 22 + 1) as chrom, cast(p_partkey * 7 as int) as pos,
@@ -107,17 +139,16 @@ def prj9(spark, d):
     return one.select("k", (F.col("i") + 1).alias("i"), S.trim_alleles(F.col("k"), "ref", "alt").alias("t")).select("k", "i", "t.*")
 
 
-@Q.add("prj11_12_flags", using("r_annot") + """ select site, consequence like '%stop_gained%' and coalesce(lof = 'HC', false) as is_lof,
- coalesce(greatest(coalesce(s1, s2), coalesce(s2, s1)) >= 0.2, false) as is_splice, consequence like '%missense_variant%' and score >= 0.564 as is_damaging,
- (consequence like '%missense_variant%' or consequence like '%inframe_deletion%') as is_altering from r_annot""")
+@Q.add("prj11_12_flags", using("r_annot") + f""" select site, {_LOSS} as is_lof, {_SPLICE} as is_splice, {_DAMAGING} as is_damaging,
+ list_has_any({_TERMS}, {_ALTERING}) as is_altering from r_annot""")
 def prj11(spark, d):
     splice = S.row_max_ignore_null("s1", "s2")
-    return role(spark, d, "r_annot").select("site", S.flag_lof("consequence", "lof").alias("is_lof"), S.flag_splice(splice).alias("is_splice"), S.flag_damaging("consequence", F.lit(True), am_score="score").alias("is_damaging"), S.any_term("consequence", S.PROTEIN_ALTERING_TERMS).alias("is_altering"))
+    return role(spark, d, "r_annot").select("site", S.flag_lof("consequence", "lof").alias("is_lof"), S.flag_splice(splice).alias("is_splice"), S.flag_damaging("consequence", F.lit(True), "am_class", "score", "revel").alias("is_damaging"), S.any_term("consequence", S.PROTEIN_ALTERING_TERMS).alias("is_altering"))
 
 
 @Q.add("prj14_15_columns", using("r_annot") + " select symbol as gene, site, round(coalesce(s1, 0), 2) as ds_ag, lof, score, consequence from r_annot")
 def prj14(spark, d):
-    rows = role(spark, d, "r_annot").withColumn("s1", F.round(F.coalesce("s1", F.lit(0.0)), 2)).drop("s2")
+    rows = role(spark, d, "r_annot").withColumn("s1", F.round(F.coalesce("s1", F.lit(0.0)), 2)).drop("s2", "am_class", "revel")
     found = S.resolve_column(rows.columns, ["SYMBOL", "gene_symbol"])
     order = S.ordered_columns(rows.columns, {found: "gene", "s1": "ds_ag"}, [["gene"], ["site"], ["ds_ag"]], last=["consequence"])
     return rows.select(*[F.col(old).alias(new) for old, new in order])
@@ -188,20 +219,15 @@ def jn4(spark, d):
     return J.annotate_by_symbol(role(spark, d, "r_annot").select("site", "symbol"), {"ndd": panel}, "symbol")
 
 
-_CON = "select p_brand as symbol, p_partkey as ord, p_size % 5 = 0 as mane, p_size % 3 = 0 as canonical, p_size / 50.0e0 as loeuf from part"
-
-
-@Q.add("jn5_ag2_constraint", using("r_annot") + f", c as ({_CON}), m as (select symbol, arg_min(loeuf, ord) as loeuf from c where mane group by symbol) select site, symbol, m.loeuf from r_annot left join m using (symbol)")
+@Q.add("jn5_ag2_constraint", using("r_annot", "r_constraint") + ", m as (select symbol, arg_min(loeuf, ord) as loeuf from r_constraint where mane group by symbol) select site, symbol, m.loeuf from r_annot left join m using (symbol)")
 def jn5(spark, d):
-    role(spark, d, "part").createOrReplaceTempView("part")
-    best = A.preferred_per_key(spark.sql(_CON), "symbol", ["mane", "canonical"], "ord")
+    best = A.preferred_per_key(role(spark, d, "r_constraint"), "symbol", ["mane", "canonical"], "ord")
     return J.join_constraint(role(spark, d, "r_annot").select("site", "symbol"), best, "symbol", ["loeuf"])
 
 
-@Q.add("ag5_constrained_set", f"with c as ({_CON}) select distinct symbol from c where loeuf < 0.04")
+@Q.add("ag5_constrained_set", using("r_constraint") + " select distinct symbol from r_constraint where loeuf < 0.6")
 def ag5(spark, d):
-    role(spark, d, "part").createOrReplaceTempView("part")
-    return A.constrained_set(spark.sql(_CON), "symbol", "loeuf", 0.04)
+    return A.constrained_set(role(spark, d, "r_constraint"), "symbol", "loeuf")
 
 
 @Q.add("jn6_ag1_ag3_annotations", using("r_panel") + """, f as (select symbol, arg_min(confidence, ord) as first_confidence from r_panel group by symbol),

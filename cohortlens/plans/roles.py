@@ -23,9 +23,13 @@ ROLES = {
         case when p_partkey % 4 = 0 then 'HC' when p_partkey % 4 = 1 then 'LC' else null end as lof,
         case when p_partkey % 11 = 0 then null else (p_partkey % 37) / 100.0e0 end as s1,
         case when p_partkey % 13 = 0 then null else (p_partkey % 23) / 100.0e0 end as s2,
-        (p_partkey % 101) / 100.0e0 as score from part""",
+        (p_partkey % 101) / 100.0e0 as score, case p_partkey % 17 when 0 then 'Likely_Pathogenic' when 1 then 'likely_benign' end as am_class,
+        case when p_partkey % 19 = 0 then 'low' when p_partkey % 19 < 15 then cast((p_partkey % 89) / 100.0e0 as varchar(9)) end as revel from part""",
+    # several transcripts per symbol, some symbols constrained
+    "r_constraint": """select p_brand as symbol, p_partkey as ord, p_size % 5 = 0 as mane, p_size % 3 = 0 as canonical,
+        (cast(substr(p_brand, 7) as int) + p_size % 3) / 30.0e0 as loeuf from part""",
     # several rows per symbol, in order
-    "r_panel": "select p_partkey as ord, p_brand as symbol, p_name as phenotype, cast(p_size % 4 as int) as confidence from part where p_partkey % 7 = 0",
+    "r_panel": "select p_partkey as ord, p_brand as symbol, p_name as phenotype, cast(p_size % 4 as int) as confidence from part where p_partkey % 7 = 0 and cast(substr(p_brand, 7) as int) % 3 > 0",
     # chains of random length
     "r_edges": "select c_custkey as src, c_custkey + 1 as dst from customer where c_acctbal > 6000",
     # half-open intervals with flag bits
