@@ -21,19 +21,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     given = scratch.keep(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "given")
     now, before, turn = given.where("u <> v"), None, 0
+
+    def with_least(rows: DataFrame, label: str) -> DataFrame:
+        """Each edge and the smallest neighbour m of its u; the minima are written first, so that the join reads
+        both sides from plain exchanges, whose partitions Spark splits where a hub makes them large."""
+        return rows.join(scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m")), label), "u")
+
     while True:
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == before:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = with_least(both, f"up{turn}").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = scratch.keep(large, f"large{turn}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = with_least(large, f"down{turn}")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = scratch.keep(small.distinct(), f"small{turn}")
-        scratch.drop(f"large{turn}", f"small{turn - 1}")
+        scratch.drop(f"up{turn}", f"large{turn}", f"down{turn}", f"small{turn - 1}")
         before, turn = seen, turn + 1
     roots = given.select("v").unionByName(given.select(F.col("u").alias("v"))).distinct().join(now.select(F.col("u").alias("v"), F.col("v").alias("m")), "v", "left")
     return roots.select(F.col("v").alias("node"), F.coalesce("m", "v").alias("component"))
