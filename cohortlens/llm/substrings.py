@@ -76,7 +76,8 @@ def _occurrences(key: np.ndarray, place: np.ndarray, hash_: np.ndarray, check: n
         np.concatenate((np.where(many, _range(np.int64(1), np.int64(0)), _range(place[start], place[start])), known)),
         np.concatenate((1 + many, np.full(len(known), 2))).astype(np.int32),
     )
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["hash", "check", "key", "place", "n"])
+    order = np.lexsort((columns[3], columns[2]))  # rows of a text side by side: shuffled blocks compress to little more than the hashes
+    return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in columns], names=["hash", "check", "key", "place", "n"])
 
 
 def repeated_places(rows: DataFrame, found: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> DataFrame:
