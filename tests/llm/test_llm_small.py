@@ -160,31 +160,64 @@ def test_estimates_are_unbiased_and_inside_their_bounds():
     assert abs(off.mean()) < 0.005 and (np.abs(guess - x @ x.T) <= error).mean() > 0.9999
 
 
+def leaf_ids(text):
+    """Merkle tree by brute force: the fingerprint and its distinct leaves."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections, leaves = [], set()
+    for s in text.split("\n\n"):
+        paragraphs = []
+        for p in s.split("\n"):
+            own = [sha(x) for x in re.findall(r"[^.!?]{1,24}[.!?]*|[.!?]+", p, re.S)]
+            leaves |= {x[:6] for x in own}
+            paragraphs.append((sha("".join(own)), "".join(x[:6] for x in own)))
+        sections.append((sha("".join(h for h, _ in paragraphs)), ",".join(f"{h[:16]}~{x}" for h, x in paragraphs)))
+    return sha("".join(h for h, _ in sections)) + "|" + ";".join(f"{h[:16]}:{x}" for h, x in sections), leaves
+
+
 def test_fingerprints(spark, docs, none):
     got = merkle.fingerprint_texts(docs.withColumn("fingerprint", F.lit(1))).select("text", "fingerprint").collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["fingerprint"], set()).add(r["text"] or "")
-    assert all(len(v) == 1 for v in by.values()) and len(by) == len({r["text"] or "" for r in got})
-    a, b = "first line\nsecond line\n\nthird", "first line\nsecond lime\n\nthird\nmore"
+    assert all(r["fingerprint"] == leaf_ids(r["text"] or "")[0] for r in got)
+    assert len({r["fingerprint"] for r in got}) == len({r["text"] or "" for r in got})
+    a, b = "first line\nsecond line\n\nthird\n\nfourth", "first line\nsecond lime\n\nthird\n\nfourth\nmore"
     df = merkle.fingerprint_texts(spark.createDataFrame([(a, b)], "text string, other string")).withColumnRenamed("fingerprint", "fa")
     df = merkle.fingerprint_texts(df, "other")
-    assert df.select(merkle.differing_paragraphs(F.col("fa"), F.col("fingerprint"))).first()[0] == [1, 4]
+    assert [tuple(x) for x in df.select(merkle.differing_paragraphs(F.col("fa"), F.col("fingerprint"))).first()[0]] == [(0, 1), (2, 1)]
+    assert df.select(F.size(merkle.differing_paragraphs(F.col("fa"), F.col("fa")))).first()[0] == 0
     assert merkle.fingerprint_texts(none).count() == 0
 
 
-def test_fingerprint_query_edits(spark, tmp_path):
+@pytest.mark.parametrize("parts", [2, 7])
+def test_fingerprint_query_equals_brute_force(spark, tmp_path, parts):
     r = random.Random(1)
-    rows = [(k * 7 % 101, "".join(r.choice("abc é\n") for _ in range(r.randint(0, 90)))) for k in range(60)] + [(500, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {x["doc_id"]: x for x in merkle.op4_fingerprints(spark, str(tmp_path)).collect()}
-    order = sorted(rows, reverse=True)
+    rows = [(k * 7 % 101, "".join(r.choice("abc é.\n") for _ in range(r.randint(0, 190)))) for k in range(60)] + [(500, None), (501, ""), (None, "no id"), (502, "x " * 30_000)]
+    spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = merkle.op4_fingerprints(spark, str(tmp_path)).withColumn("leaves", merkle.leaves_of(F.col("fingerprint"))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows) + 1
+    by = {x["doc_id"]: x for x in got}
+    order = sorted(rows, key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+    near = lambda a, b: 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        (own, leaves), (new, other), (_, following) = leaf_ids(t), leaf_ids(edited), leaf_ids(after)
+        x = by[i]
+        assert (x["n_chars"], x["edited_sha256"], x["fingerprint"], x["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, new)
+        assert abs(x["near_edited"] - near(leaves, other)) < 1e-12 and abs(x["near_next"] - near(leaves, following)) < 1e-12
+        assert {f"{v:06x}" for v in x["leaves"]} == leaves
+
+
+def test_fingerprint_query_of_an_empty_table_and_one_row(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert merkle.op4_fingerprints(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([(1, "abcdef")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = merkle.op4_fingerprints(spark, f"{tmp_path}/b").first()
+    assert got["near_next"] == 1.0 and got["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
 def test_language(spark, none):
