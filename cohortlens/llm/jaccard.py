@@ -30,9 +30,12 @@ from cohortlens.runtime import Scratch, shuffle_partitions
 POOL = 64
 #: Children with at most so many classes are compared by brute force.
 SMALL = 128
-#: In a large child, classes so similar to a leader leave the tree; those so similar, which any class at the
-#: threshold from one that left must be, are linked to that leader or one that stands for it. Sampling errors are about 0.05.
-NEAR, REACH = 0.5, 0.25
+#: In a large child, classes so similar to a leader leave the tree; those so similar, which any class at the threshold
+#: from one that left must be, are linked to that leader or one that stands for it. The partner of a class that left
+#: has 0.4 with the leader at least, so an estimate is REACH or more unless it is three standard errors (0.05) off.
+NEAR, REACH = 0.6, 0.25
+#: Rows of a large child that are held against its leaders in one group.
+SHARE = 2048
 #: Leaders of a large child at most.
 LEADERS = 8
 #: Expected children of a class at the nodes below the root.
@@ -197,7 +200,7 @@ def _split(at: int):
     """In large children: one link for each group of leaders in reach, and the next level's children of those near no leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[int]] = {}
+        groups: dict[int, list[int]] = {}  # of the child at hand
         for batch in batches:
             out: list[tuple] = []
             for c, p, n, pool, leaders in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leaders"))):
@@ -269,7 +272,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,12 +285,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
                 token, owner = token[mask][order], doc[mask][order]
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 pool = pa.array([token[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pool], names=["id", "n", "k1", "k2", "pool"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["h"], pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pool], names=["id", "h", "n", "k1", "k2", "pool"])
 
-    sketches = scratch.keep(texts.mapInArrow(sketch, "id long, n long, k1 long, k2 long, pool binary"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(sketch, "id long, h long, n long, k1 long, k2 long, pool binary"), "sketches")
     key = ["k1", "k2", "n"]
-    classes = sketches.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("pool").alias("pool"))
-    classes = scratch.keep(classes.withColumnRenamed("k1", "cid"), "classes")
+    classes = sketches.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.count("*").alias("size"), F.first("pool").alias("pool"))
+    classes = classes.select(*key, F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"), "size", "pool", F.monotonically_increasing_id().alias("cid"))
+    classes = scratch.keep(classes, "classes")  # numbered as it is written
     pools = classes.select("cid", "n", "pool")
 
     # Levels of the tree: children with one class go, small ones are kept for brute force, large ones are split.
@@ -307,9 +311,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
         if level == 0:  # deeper rows carry their samples along
             members = members.join(pools, "cid")
         members = scratch.keep(members, f"members{level}")
-        lead = members.groupBy("path", F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
-        lead = lead.groupBy("path").agg(F.collect_list("l").alias("leaders"))
-        told = members.join(lead, "path").mapInArrow(_split(level), "cid long, path long, leader long, n long, pool binary")
+        lead = members.groupBy("path", "size", F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
+        lead = lead.groupBy("path", "size").agg(F.collect_list("l").alias("leaders"))
+        # a child is dealt out in shares of its rows, each with a copy of the leaders
+        shares = F.ceil(F.col("size") / SHARE).cast("int")
+        lead = lead.select("path", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "leaders")
+        members = members.withColumn("share", F.pmod(F.xxhash64("cid", F.lit(7)), shares).cast("int")).drop("size")
+        told = members.repartition(parts, "path", "share").join(lead.repartition(parts, "path", "share").hint("merge"), ["path", "share"]).mapInArrow(_split(level), "cid long, path long, leader long, n long, pool binary")
         told = scratch.keep(told, f"told{level}")
         scratch.drop(f"members{level}", f"big{level}", f"level{level}")
         links.append(told.where("leader is not null").select(F.col("cid").alias("src"), F.col("leader").alias("dst")))
@@ -331,20 +339,25 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     # Exact comparison inside each candidate component.
     sizes = candidates.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     chosen = candidates.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "members")
-    chosen = scratch.keep(chosen.join(classes.select("cid", "n", "rep", "size"), "cid"), "chosen")
+    chosen = scratch.keep(chosen.join(classes.select("cid", *key, "rep", "rep_h", "size"), "cid"), "chosen")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1
         for batch in batches:
+            cid = np.asarray(batch["cid"])
+            fresh = np.diff(cid, prepend=last) != 0  # rows equal in id and text come side by side
+            last = cid[-1] if len(cid) else last
+            batch = batch.filter(pa.array(fresh))
             for part in pieces(batch, "text"):
                 doc, h = shingle_sets(split_words(part["text"]), width)
-                n, k1, _ = _keys(doc, h, part.num_rows)
+                n, k1, k2 = _keys(doc, h, part.num_rows)
                 cut = np.concatenate(([0], np.cumsum(n)))
-                same = (k1 == np.asarray(part["cid"])) & (n == np.asarray(part["n"]))  # a repeated id may have another text
+                same = np.logical_and.reduce([x == np.asarray(part[c]) for x, c in zip((k1, k2, n), key)])  # a repeated id may have another text
                 sets = pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
                 names = ["cid", "comp", "members", "n", "size"]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), sets], names=[*names, "tokens"]).filter(pa.array(same))
 
-    with_text = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["rep"])).select("text", "cid", "comp", "members", "n", "size")
+    with_text = texts.join(chosen.hint("merge"), texts["id"].eqNullSafe(chosen["rep"]) & (texts["h"] == chosen["rep_h"])).select("text", "cid", "comp", "members", *key, "size")
     sets = with_text.mapInArrow(tokens, "cid long, comp long, members long, n long, size long, tokens binary")
     sets = _paired(scratch.keep(sets, "sets"), "members", BLOCK)
     checked = sets.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verify(threshold), "cid long, root long, links long")
@@ -354,8 +367,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     names = groups.groupBy("component").agg(F.min("rep").alias("class_id"))
     counts = checked.groupBy(F.col("cid").alias("node")).agg(F.sum("links").alias("links"))
     linked = groups.join(names, "component").join(counts, "node", "left").select(F.col("node").alias("cid"), "class_id", "links")
-    known = classes.select("cid", "k2", "n", "rep", "size").join(linked, "cid", "left")
-    known = known.select(F.col("cid").alias("k1"), "k2", "n", F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = classes.select("cid", *key, "rep", "size").join(linked, "cid", "left")
+    known = known.select(*key, F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "known")
     scratch.drop("classes", "candidates", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
     ids = sketches.select("id", *key)
