@@ -4,9 +4,13 @@ One model of order 4 for each language, over lower-case letters, with runs of an
 Counts are summed by Spark over all training texts. All languages share one sorted array of 64-bit gram keys per
 order (four 16-bit characters), beside which stand the log probabilities of each language; a lookup is a binary
 search. A model of more than ``BROADCAST_GRAMS`` rows is not broadcast: its counts stay on Spark, and each block of
-documents joins those of its own grams; the probabilities are the same. The predicted language has the lowest cross-entropy per character. A text is rejected if even that is far
-above what texts of the language have: mean plus ``z`` standard deviations between documents (1.2 at least), plus
-``z`` standard errors for its own length, all measured on all training texts.
+documents joins those of its own grams; the probabilities are the same.
+
+The predicted language has the lowest cross-entropy per character. For rejection, a text is cut into blocks of 64
+characters, each taken in the language that explains it best, so that passages in a second known language count as
+explained. A text is rejected if its mean over blocks is more than ``z`` standard deviations above what the texts
+of its predicted language have. That deviation has a part between documents and a part that falls with the length,
+both measured on all training texts.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ ORDER = 4
 BROADCAST_GRAMS = 2_000_000
 #: A block of documents that joins its grams has 2**BLOCK_BITS rows at most.
 BLOCK_BITS = 10
-#: Nats per character that a text may always be above the mean, so that passages in a second language do not reject it.
-MIXED_MARGIN = 1.2
+#: Characters of a block that is taken in its best language; texts from LONG on show the spread between documents.
+BLOCK_CHARS, LONG = 64, 200
+#: The least standard deviation between documents, in nats per character.
+LEAST_SPREAD = 0.02
 _SEPARATOR = 32
 
 
@@ -230,16 +236,44 @@ def _block_model(langs: list[str], alphabet: int, discount: np.ndarray, found: p
     return _interpolated(langs, alphabet, discount, [(keys, context, fill(order, keys)[0], *fill(ORDER + order, context)) for order, (keys, context) in enumerate(_asked(texts), 1)])
 
 
-def _cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text and language: nats per character; grams and letters of each text."""
+def _cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text and language nats per character, and per text the same with each block in its best language; grams and letters of each text."""
     key, text, letters = grams(texts)
     logp = model.score(key)
     n = np.bincount(text, minlength=len(texts))
-    total = np.stack([np.bincount(text, weights=logp[:, j], minlength=len(texts)) for j in range(len(model.langs))], axis=1)
-    return -total / np.maximum(n, 1)[:, None], n, letters
+    blocks = -(-n // BLOCK_CHARS)
+    block = (np.arange(len(text)) - (np.cumsum(n) - n)[text]) // BLOCK_CHARS + (np.cumsum(blocks) - blocks)[text]
+    by_block = np.stack([np.bincount(block, weights=logp[:, j], minlength=int(blocks.sum())) for j in range(len(model.langs))], axis=1)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    total = np.stack([np.bincount(owner, weights=x, minlength=len(texts)) for x in by_block.T], axis=1)
+    best = np.bincount(owner, weights=by_block.max(axis=1), minlength=len(texts))
+    size = np.maximum(n, 1)
+    return -total / size[:, None], -best / size, n, letters
+
 
+def _limits(langs: list[str], measured: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per language the mean of ``explained``, its variance between documents, and the variance of one character.
 
-def identify(docs: DataFrame, train: Column, z: float = 6.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    A language without long texts (or without texts) has the mean of the others' variances (or means).
+    """
+    long_ones = F.when(F.col("size") >= LONG, F.col("explained"))
+    w = F.when(F.col("size") < LONG, F.col("size").cast("double"))
+    e = F.col("explained")
+    rows = measured.groupBy("lang").agg(
+        F.avg(e).alias("all"), F.avg(long_ones).alias("mean"), F.var_samp(long_ones).alias("between"),
+        F.count(w).alias("short"), F.sum(w).alias("w0"), F.sum(w * e).alias("w1"), F.sum(w * e * e).alias("w2"))
+    mean, between, single = (np.full(len(langs), np.nan) for _ in range(3))
+    for r in rows.collect():  # one row a language
+        j = langs.index(r["lang"])
+        mean[j] = r["all"] if r["mean"] is None else r["mean"]
+        between[j] = np.nan if r["between"] is None else r["between"]
+        if r["short"] >= 10:
+            single[j] = max(0.0, (r["w2"] - 2 * mean[j] * r["w1"] + mean[j] ** 2 * r["w0"]) / r["short"])
+    known = lambda x, other: np.where(np.isnan(x), np.nanmean(x) if (~np.isnan(x)).any() else other, x)
+    return known(mean, 0.0), np.maximum(known(between, 0.01), LEAST_SPREAD**2), np.maximum(known(single, 2.0), 1.0)
+
+
+def identify(docs: DataFrame, train: Column, z: float = 8.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Adds ``lang_pred, score, cross_entropy, rejected`` to every row; columns of those names are replaced.
 
     Learns from the text and non-null language of the rows where ``train`` holds, and predicts from text alone.
@@ -296,27 +330,22 @@ def identify(docs: DataFrame, train: Column, z: float = 6.0, id_col: str = "doc_
             return rows.groupBy("__block").cogroup(looked_up.groupBy("__block")).applyInArrow(run, schema)
 
     def calibrate(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
-        ce, size, _ = _cross_entropies(m, part[text_col].to_pylist())
-        own = np.array([langs.index(x) for x in part[lang_col].to_pylist()], dtype=np.int64)
-        return pa.RecordBatch.from_arrays([part[lang_col], pa.array(ce[np.arange(len(own)), own]), pa.array(size)], names=["lang", "ce", "size"])
+        _, explained, size, _ = _cross_entropies(m, part[text_col].to_pylist())
+        return pa.RecordBatch.from_arrays([part[lang_col], pa.array(explained), pa.array(size)], names=["lang", "explained", "size"])
 
-    measured = apply(learn.select(*[c for c in learn.columns if c == "__block"], text_col, F.col(lang_col).cast("string").alias(lang_col)), calibrate, "lang string, ce double, size long").where("size > 0")
-    long_ones = F.when(F.col("size") >= 200, F.col("ce"))
-    stats = {r["lang"]: r for r in measured.groupBy("lang").agg(F.avg("ce").alias("all"), F.avg(long_ones).alias("mean"), F.stddev_samp(long_ones).alias("sd")).collect()}
-    pooled = float(np.mean([r["all"] for r in stats.values()])) if stats else 0.0
-    usual = np.array([(stats[x]["mean"] or stats[x]["all"]) if x in stats else pooled for x in langs])
-    spread = np.array([(stats[x]["sd"] or 0.1) if x in stats else 0.1 for x in langs])
+    measured = apply(learn.select(*[c for c in learn.columns if c == "__block"], text_col, F.col(lang_col).cast("string").alias(lang_col)), calibrate, "lang string, explained double, size long").where("size > 0")
+    usual, between, single = _limits(langs, measured)
 
     def predict(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
-        ce, size, letters = _cross_entropies(m, part[text_col].to_pylist())
+        ce, explained, size, letters = _cross_entropies(m, part[text_col].to_pylist())
         best = ce.argmin(axis=1)
         low = ce.min(axis=1)
         odds = np.exp((low[:, None] - ce) * np.minimum(size, 40)[:, None])
         some = letters > 0
         score = np.where(some, 1 / odds.sum(axis=1), 0.0)
-        limit = usual[best] + np.maximum(z * spread[best], MIXED_MARGIN) + z * 2.5 / np.sqrt(np.maximum(size, 1))
+        limit = usual[best] + z * np.sqrt(between[best] + single[best] / np.maximum(size, 1))
         pred = pa.array([*langs, "und"], pa.string()).take(pa.array(np.where(some, best, len(langs))))
-        return pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score), pa.array(low, mask=~some), pa.array(~some | (low > limit))], names=[*part.schema.names, *new])
+        return pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score), pa.array(low, mask=~some), pa.array(~some | (explained > limit))], names=[*part.schema.names, *new])
 
     return apply(docs, predict, schema)
 

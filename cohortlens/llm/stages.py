@@ -17,9 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; learnt from the stage's own input, held-out rows aside."""
+    """Documents whose language is identified, which becomes their ``lang``; learnt from the stage's own input, held-out rows aside."""
     learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
-    return identify(docs, learn).where("not rejected").select(*docs.columns)
+    return identify(docs, learn).where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

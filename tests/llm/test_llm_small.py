@@ -262,16 +262,63 @@ def test_rare_languages_are_calibrated(spark):
     assert got[20_000]["lang_pred"] == "cc" and got[20_000]["rejected"]
 
 
-def test_kneser_ney_sums_to_one():
-    text = ["abab abba baab", "abba"]
-    key, _, _ = language.grams(text)
-    keys, n = np.unique(key, return_counts=True)
-    model = language.fit_model(["x"], {"x": (keys, n)})
-    letters = np.unique(keys & np.uint64(0xFFFF))
-    context = np.unique(keys >> np.uint64(16))[:5]
-    for c in context:
-        p = np.exp(model.score((c << np.uint64(16)) | letters))[:, 0].sum()
-        assert 0.85 < p <= 1.0001
+def kneser_ney(texts, order=4):
+    """Log probability of a character after its context by the formula, on plain strings."""
+    lines = []
+    for t in texts:
+        t = re.sub(r"[^a-z]+", " ", t)
+        lines.append(" " * (order - 1) + t)
+    grams = [g[i : i + order] for g in lines for i in range(len(g) - order + 1)]
+    counts = {order: {}}
+    for g in grams:
+        counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    letters = {g[-1] for g in counts[order]}
+    discount = {}
+    for k, c in counts.items():
+        once, twice = (sum(v == n for v in c.values()) for n in (1, 2))
+        discount[k] = once / (once + 2 * twice) if once else 0.5
+
+    def p(gram, k):
+        if k == 0:
+            return 1 / (1 + len(letters))
+        own = gram[len(gram) - k :]
+        inside = [v for g, v in counts[k].items() if g[:-1] == own[:-1]]
+        lower = p(gram, k - 1)
+        if not inside:
+            return lower
+        return max(counts[k].get(own, 0) - discount[k], 0) / sum(inside) + discount[k] * len(inside) / sum(inside) * lower
+
+    return p, letters
+
+
+def test_kneser_ney_equals_the_formula():
+    texts = ["abab abba baab", "abba cab abc", "bca cc"]
+    key, _, _ = language.grams(texts)
+    model = language.fit_model(["x"], {"x": np.unique(key, return_counts=True)})
+    p, letters = kneser_ney(texts)
+    pack = lambda g: sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(g))
+    asked = ["".join(x) for x in itertools.product("abcz ", repeat=4)]
+    got = np.exp(model.score(np.array([pack(g) for g in asked], dtype=np.uint64)))[:, 0]
+    assert np.allclose(got, [p(g, 4) for g in asked], rtol=1e-4)
+    for context in ("aba", " ab", "zzz"):
+        assert abs(sum(p(context + x, 4) for x in letters) + p(context + "z", 4) - 1) < 1e-9
+
+
+def test_foreign_texts_are_rejected_and_own_ones_kept(spark):
+    r = random.Random(12)
+    kinds = {"aa": ["kala", "tuna", "mika", "sola", "runa", "lemi", "taku"], "bb": ["strz", "przy", "krzy", "wszy", "szcz", "drza", "brze"]}
+    text = lambda x, n: " ".join(r.choice(kinds[x]) + r.choice(["", "n", "s", "a"]) for _ in range(n))
+    rows = [(k, text(x, r.choice([3, 20, 60, 200])), x) for k, x in enumerate(["aa", "bb"] * 150)]
+    mixed = [(1000 + k, text("aa", 60) + ". " + text("bb", 60), "aa") for k in range(20)]
+    foreign = ["".join(r.choice(x) for _ in range(n)) for n in (120, 400) for x in ("dfghjqwvx ", "漢字語文化", "абвгдежз ") for _ in range(10)]
+    rows += mixed + [(2000 + k, t, None) for k, t in enumerate(foreign)] + [(3000, text("bb", 20_000), "bb")]
+    got = {x["doc_id"]: x["rejected"] for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 4 != 2).collect()}
+    assert sum(got[k] for k in got if k < 2000 or k == 3000) == 0
+    assert all(got[2000 + k] for k in range(len(foreign)))
 
 
 def test_quality(spark, none, docs):
