@@ -13,14 +13,17 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a
-    temporary folder of this machine is taken and set as the checkpoint folder.
+    It is what the session names in ``spark.checkpoint.dir``, else the checkpoint folder that has been set. Only in
+    local mode, where both are one machine, a temporary folder is taken if neither is there; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if not set_before:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         set_before = spark.sparkContext.getCheckpointDir()
     return set_before.rstrip("/")
