@@ -1,11 +1,13 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Chains are sentences. A token has hashed features (its letters, prefixes, a suffix, its shape), the chain has two
-labels. Token labels come from document labels: within toxic documents those tokens are toxic whose word or prefix
+Chains are sentences, cut after ``LONGEST`` tokens. A token has hashed features (its letters, prefixes, a suffix, its
+shape) and those of its neighbours in the chain; the chain has two labels. Token labels come from document labels:
+within toxic documents those tokens are toxic whose word or prefix
 occurs far more often in toxic documents than in others. The field learns on a bounded sample of the labelled rows
-(whose ids alone are broadcast), in shards whose weights are averaged, by gradient ascent with forward-backward
-expectations. On all documents, forward-backward marginals give toxic spans; their largest value and their sum
-give the document score, calibrated by logistic regression on sampled documents that the field has not seen.
+(whose ids alone are broadcast), from all their sentences, in shards whose weights are averaged, by gradient ascent
+with forward-backward expectations. On all documents, forward-backward marginals give toxic spans; their largest
+value and their sum give the document score, calibrated by logistic regression on sampled documents that the field
+has not seen.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.llm.textops import Words, pieces, split_words
@@ -23,16 +26,19 @@ from cohortlens.runtime import with_fields
 #: Labelled rows that are learnt from, at most about: toxic ones, others. Shards learn side by side.
 TOXIC_ROWS, OTHER_ROWS, SHARDS = 4_000, 8_000, 4
 BITS = 18
-N_FEATURES = 7
+#: Tokens of a chain, at most.
+LONGEST = 256
+#: Features of a token itself, and those that it lends to each neighbour.
+OWN, LENT = 7, 2
 _CACHE = 400_000
 
 
 def features(word: bytes) -> list[int]:
-    """Slots of a token's features."""
+    """Slots of a token's own features, of those it lends to the token after it, and to the one before it."""
     text = word.decode("utf-8", "replace")
     core = text.strip(".,;:!?\"'()[]*|&%$#").lower()
     shape = f"{text[:1].isupper():d}{text[1:].isupper():d}{any(c.isdigit() for c in text):d}{core != text.lower():d}"
-    named = (f"w{core}", f"3{core[:3]}", f"4{core[:4]}", f"5{core[:5]}", f"6{core[:6]}", f"s{core[-3:]}", f"h{shape}")
+    named = (f"w{core}", f"3{core[:3]}", f"4{core[:4]}", f"5{core[:5]}", f"6{core[:6]}", f"s{core[-3:]}", f"h{shape}", f"<{core}", f"<{core[:4]}", f">{core}", f">{core[:4]}")
     return [crc32(x.encode()) & (2**BITS - 1) for x in named]
 
 
@@ -43,7 +49,7 @@ def stems(word: bytes) -> set[str]:
 
 
 def _chains(words: Words) -> np.ndarray:
-    """Where sentences begin among the words of a batch, and the end."""
+    """Where chains begin among the words of a batch, and the end."""
     n = len(words.start)
     if not n:
         return np.zeros(1, np.int64)
@@ -52,77 +58,116 @@ def _chains(words: Words) -> np.ndarray:
     begin[1:] = stop
     begin[words.first[words.first < n]] = True
     begin[n] = True
+    sentences = np.flatnonzero(begin)
+    place = np.arange(n) - np.repeat(sentences[:-1], np.diff(sentences))
+    begin[:n] |= place % LONGEST == 0
     return np.flatnonzero(begin)
 
 
-def marginals(emission: np.ndarray, chains: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(label 1) of each token and the expected transitions (2 x 2), by forward-backward over all chains at once.
+def marginals(emission: np.ndarray, chains: np.ndarray, weights: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(label 1) of each token and the expected transitions (2 x 2; zeros if not wanted), by forward-backward over all chains at once.
 
-    ``weights`` are the scores start (2), transitions (2 x 2, row: label before) and end (2). At step t only the
-    chains longer than t take part; forward and backward messages are scaled to sum to one.
+    ``weights`` are the scores start (2), transitions (2 x 2, row: label before) and end (2). Tokens are laid out by
+    step, longest chains first, so that step t is one slice; messages are scaled to sum to one.
     """
     size = np.diff(chains)
     order = np.argsort(-size, kind="stable")
     start, size = chains[:-1][order], size[order]
-    n = len(emission)
-    begin, step, end = np.exp(weights[:2]), np.exp(weights[2:6].reshape(2, 2)), np.exp(weights[6:8])
-    local = np.exp(np.clip(emission, -30, 30))
-    ahead, back = np.empty((n, 2)), np.empty((n, 2))
-    longest = int(size[0]) if len(size) else 0
+    n, longest = len(emission), int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
+    off = np.concatenate(([0], np.cumsum(live)))
+    step_of = np.repeat(np.arange(longest), live)
+    at = start[np.arange(n) - off[step_of]] + step_of
+    (s0, s1), (t00, t01, t10, t11), (e0, e1) = np.exp(weights[:2]), np.exp(weights[2:6]), np.exp(weights[6:8])
+    local = np.exp(np.clip(emission[at], -30, 30))
+    ahead, back = np.empty(n), np.empty(n)  # the scaled messages of label 1; label 0 has the rest
     for t in range(longest):
-        at = start[: live[t]] + t
-        m = np.broadcast_to(begin, (len(at), 2)) if t == 0 else ahead[at - 1] @ step
-        m = np.stack([m[:, 0], m[:, 1] * local[at]], axis=1)
-        ahead[at] = m / m.sum(axis=1, keepdims=True)
+        a, b = off[t], off[t + 1]
+        if t:
+            one = ahead[off[t - 1] : off[t - 1] + b - a]
+            zero = 1 - one
+            m0, m1 = zero * t00 + one * t10, (zero * t01 + one * t11) * local[a:b]
+        else:
+            m0, m1 = s0, s1 * local[a:b]
+        ahead[a:b] = m1 / (m0 + m1)
     pairs = np.zeros((2, 2))
     for t in range(longest - 1, -1, -1):
+        a, b = off[t], off[t + 1]
         last = live[t + 1] if t + 1 < longest else 0
-        at = start[: live[t]] + t
-        m = np.empty((len(at), 2))
-        m[last:] = end
+        back[a + last : b] = e1 / (e0 + e1)
         if last:
-            after = np.stack([back[at[:last] + 1, 0], back[at[:last] + 1, 1] * local[at[:last] + 1]], axis=1)
-            m[:last] = after @ step.T
-            joint = ahead[at[:last]][:, :, None] * step[None] * after[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        back[at] = m / m.sum(axis=1, keepdims=True)
-    both = ahead * back
-    return both[:, 1] / np.maximum(both.sum(axis=1), 1e-300), pairs
+            one = back[b : b + last]
+            c0, c1 = 1 - one, one * local[b : b + last]
+            m0, m1 = t00 * c0 + t01 * c1, t10 * c0 + t11 * c1
+            back[a : a + last] = m1 / (m0 + m1)
+            if moves:
+                f1 = ahead[a : a + last]
+                f0 = 1 - f1
+                total = f0 * m0 + f1 * m1
+                pairs += [[(f0 * t00 * c0 / total).sum(), (f0 * t01 * c1 / total).sum()], [(f1 * t10 * c0 / total).sum(), (f1 * t11 * c1 / total).sum()]]
+    p = np.empty(n)
+    hit = ahead * back
+    p[at] = hit / np.maximum(hit + (1 - ahead) * (1 - back), 1e-300)
+    return p, pairs
+
+
+def _emissions(own: np.ndarray, after: np.ndarray, before: np.ndarray, chains: np.ndarray) -> np.ndarray:
+    """Scores of label 1: each token's own, what the token before it lends, and the token after it; inside chains."""
+    out = own.copy()
+    if len(own) > 1:
+        inner = np.ones(len(own) - 1, dtype=bool)
+        inner[chains[1:-1] - 1] = False
+        out[1:] += np.where(inner, after[:-1], 0)
+        out[:-1] += np.where(inner, before[1:], 0)
+    return out
 
 
 def _learn(lexicon: frozenset, epochs: int = 25, rate: float = 0.5):
-    """Weights of one shard; of each document the sentences with toxic tokens and as many others."""
+    """Weights of one shard, from all sentences of its documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, labels, sizes = [], [], []
+        known: dict[bytes, int] = {}
+        slots, bad = [], []
+        ids, labels, sizes = [], [], []
         for batch in table.select(["text", "toxic"]).combine_chunks().to_batches():
             for part in pieces(batch, "text"):
                 words = split_words(part["text"])
-                toxic = np.asarray(part["toxic"])
-                chains, doc_end = _chains(words), words.first[1:]
-                for k in range(len(chains) - 1):
-                    a, b = chains[k], chains[k + 1]
-                    own = [words.buf[i:j].tobytes() for i, j in zip(words.start[a:b], words.end[a:b])]
-                    bad = [bool(toxic[np.searchsorted(doc_end, a, side="right")]) and not lexicon.isdisjoint(stems(w)) for w in own]
-                    if any(bad) or crc32(b" ".join(own)) % 8 == 0:
-                        rows += [features(w) for w in own]
-                        labels += bad
-                        sizes.append(len(own))
+                raw = words.buf.tobytes()
+                found = np.empty(len(words.start), dtype=np.int64)
+                for k, (i, j) in enumerate(zip(words.start.tolist(), words.end.tolist())):
+                    word = raw[i:j]
+                    at = known.get(word)
+                    if at is None:
+                        at = known[word] = len(slots)
+                        slots.append(features(word))
+                        bad.append(not lexicon.isdisjoint(stems(word)))
+                    found[k] = at
+                ids.append(found)
+                labels.append(np.repeat(np.asarray(part["toxic"]).astype(bool), words.count) & np.array(bad, dtype=bool)[found])
+                sizes.append(np.diff(_chains(words)))
         weights, tail = np.zeros(2**BITS), np.zeros(8)
-        if sizes:
-            x, y = np.array(rows), np.array(labels, dtype=np.float64)
-            chains = np.concatenate(([0], np.cumsum(sizes)))
+        if sum(map(len, sizes)):
+            x, y = np.concatenate(ids), np.concatenate(labels).astype(np.float64)
+            chains = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
             first, last = chains[:-1], chains[1:] - 1
-            inner = np.setdiff1d(np.arange(len(y)), last)
+            inner = np.ones(len(y), dtype=bool)
+            inner[last] = False
+            inner = np.flatnonzero(inner)
             seen = np.zeros((2, 2))
             np.add.at(seen, (y[inner].astype(int), y[inner + 1].astype(int)), 1)
-            used, slot = np.unique(x, return_inverse=True)
-            slot = slot.reshape(x.shape)
+            used, slot = np.unique(np.array(slots), return_inverse=True)
+            slot = slot.reshape(len(slots), -1)
+            parts = slot[:, :OWN], slot[:, OWN : OWN + LENT], slot[:, OWN + LENT :]
             w, g2, t2 = np.zeros(len(used)), np.full(len(used), 1e-3), np.full(8, 1e-3)
+            total = lambda index, error: np.bincount(x[index], weights=error, minlength=len(slots))
             for _ in range(epochs):
-                p, pairs = marginals(w[slot].sum(axis=1), chains, tail)
-                grad = np.bincount(slot.ravel(), weights=np.repeat(y - p, N_FEATURES), minlength=len(used)) - 1e-2 * w
+                own, after, before = (w[p].sum(axis=1)[x] for p in parts)
+                p, pairs = marginals(_emissions(own, after, before, chains), chains, tail)
+                error = y - p
+                by_word = (np.bincount(x, weights=error, minlength=len(slots)), total(inner, error[inner + 1]), total(inner + 1, error[inner]))
+                grad = -1e-2 * w
+                for index, e in zip(parts, by_word):
+                    grad += np.bincount(index.ravel(), weights=np.repeat(e, index.shape[1]), minlength=len(used))
                 ends = np.array([(p[first] - y[first]).sum(), (y[first] - p[first]).sum(), *(seen - pairs).ravel(), (p[last] - y[last]).sum(), (y[last] - p[last]).sum()]) - 1e-2 * tail
                 g2, t2 = g2 + grad**2, t2 + ends**2
                 w, tail = w + rate * grad / np.sqrt(g2), tail + rate * ends / np.sqrt(t2)
@@ -133,22 +178,40 @@ def _learn(lexicon: frozenset, epochs: int = 25, rate: float = 0.5):
 
 
 class Tagger(dict):
-    """Emission score of each word; the bytes of a word are the key."""
+    """Number of each word met, by its bytes; ``scores`` has its own score and what it lends to the words after and before."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.tail = weights[: 2**BITS], weights[2**BITS :]
+        self.weights, self.tail, self.scores = weights[: 2**BITS], weights[2**BITS :], []
 
-    def __missing__(self, word: bytes) -> float:
-        out = float(self.weights[features(word)].sum())
-        if len(self) < _CACHE:
-            self[word] = out
-        return out
+    def __missing__(self, word: bytes) -> int:
+        w = self.weights[features(word)]
+        self.scores.append((w[:OWN].sum(), w[OWN : OWN + LENT].sum(), w[OWN + LENT :].sum()))
+        self[word] = len(self.scores) - 1
+        return self[word]
 
     def tag(self, words: Words) -> np.ndarray:
+        """P(toxic) of each word."""
+        if not len(words.start):
+            return np.zeros(0)
+        if len(self) > _CACHE:
+            self.clear(), self.scores.clear()
         raw = words.buf.tobytes()
-        emission = np.fromiter((self[raw[i:j]] for i, j in zip(words.start.tolist(), words.end.tolist())), np.float64, len(words.start))
-        return marginals(emission, _chains(words), self.tail)[0] if len(emission) else emission
+        at = np.fromiter((self[raw[i:j]] for i, j in zip(words.start.tolist(), words.end.tolist())), np.int64, len(words.start))
+        chains = _chains(words)
+        return marginals(_emissions(*np.array(self.scores).T[:, at], chains), chains, self.tail, moves=False)[0]
+
+
+_TAGGERS: dict[int, Tagger] = {}
+
+
+def _tagger(weights: np.ndarray) -> Tagger:
+    """The tagger of these weights; tasks that a worker runs one after another share its words."""
+    key = crc32(weights.tobytes())
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(weights)
+    return _TAGGERS[key]
 
 
 def _evidence(words: Words, p: np.ndarray) -> np.ndarray:
@@ -214,7 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     shared = spark.sparkContext.broadcast(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = _tagger(shared.value)
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = split_words(part["text"])
@@ -226,7 +289,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     link = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([4.0, 4.0, -4.0])  # too few to calibrate on
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = _tagger(shared.value)
         for batch in batches:
             for part in pieces(batch, text_col):
                 words = split_words(part[text_col])
@@ -234,15 +297,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
                 score = 1 / (1 + np.exp(-np.clip(_evidence(words, p) @ link[:2] + link[2], -30, 30)))
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 hit = np.flatnonzero(p >= 0.5)
-                doc = np.searchsorted(words.first, hit, side="right") - 1
-                for d, run in ((d, hit[doc == d]) for d in np.unique(doc)):
-                    base = words.start[words.first[d]]
-                    head = part[text_col][int(d)].as_py().encode()
-                    lead = len(head) - len(head.lstrip(b" \t\n\v\f\r"))
-                    for piece in np.split(run, np.flatnonzero(np.diff(run) > 1) + 1):
-                        a, b = words.start[piece[0]] - base + lead, words.end[piece[-1]] - base + lead
-                        start = len(head[:a].decode())
-                        spans[d].append({"start": start, "end": start + len(head[a:b].decode()), "peak": float(p[piece].max())})
+                if len(hit):
+                    letters = np.concatenate(([0], np.cumsum((words.buf & 0xC0) != 0x80)))  # code points before each byte
+                    begin = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(part[text_col]), 0), dtype=np.int64))))
+                    doc = np.searchsorted(words.first, hit, side="right") - 1
+                    for run in np.split(hit, np.flatnonzero((np.diff(hit) > 1) | (np.diff(doc) > 0)) + 1):
+                        d = int(np.searchsorted(words.first, run[0], side="right")) - 1
+                        base = letters[begin[d]]
+                        spans[d].append({"start": int(letters[words.start[run[0]]] - base), "end": int(letters[words.end[run[-1]]] - base), "peak": float(p[run].max())})
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(spans, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "peak": pa.float64()})))], names=[*part.schema.names, *new])
 
     return docs.mapInArrow(judge, schema)
