@@ -261,13 +261,15 @@ def _verify(threshold: float):
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, branch: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id_col, class_id, n_links) for every row of docs.
+    """One row (id_col, class_id, n_links, text_hash, kept) for every row of docs.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width`` consecutive words (words split
     at ASCII white space, unchanged) is at least ``threshold``. ``n_links`` counts the other rows linked directly,
     ``class_id`` is the smallest id reachable by links. A text with fewer words is one shingle; a null text or one
     without words links with nothing and is its own class. Rows that repeat an id are documents of their own; a
-    null id never names a class that has another. An empty table gives an empty one; other columns are ignored.
+    null id never names a class that has another. ``kept`` marks the row of a class with the smallest id and then the
+    smallest ``text_hash`` (xxhash64 of the text); rows equal in both are marked alike. An empty table gives an empty
+    one; other columns are ignored.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -363,20 +365,22 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     checked = sets.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verify(threshold), "cid long, root long, links long")
     checked = scratch.keep(checked, "checked")
     groups = connected_components(checked.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
-    groups = groups.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    names = groups.groupBy("component").agg(F.min("rep").alias("class_id"))
+    first = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("rep_h").alias("h"))
+    groups = groups.join(classes.select(F.col("cid").alias("node"), first.alias("rep")), "node")
+    names = groups.groupBy("component").agg(F.min("rep").alias("head"))
     counts = checked.groupBy(F.col("cid").alias("node")).agg(F.sum("links").alias("links"))
-    linked = groups.join(names, "component").join(counts, "node", "left").select(F.col("node").alias("cid"), "class_id", "links")
-    known = classes.select("cid", *key, "rep", "size").join(linked, "cid", "left")
-    known = known.select(*key, F.coalesce("class_id", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = groups.join(names, "component").join(counts, "node", "left").select(F.col("node").alias("cid"), "head", "links")
+    known = classes.select("cid", *key, first.alias("rep"), "size").join(linked, "cid", "left").withColumn("head", F.coalesce("head", "rep"))
+    known = known.select(*key, F.col("head.id").alias("class_id"), F.col("head.h").alias("class_h"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "known")
     scratch.drop("classes", "candidates", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
-    ids = sketches.select("id", *key)
-    found = ids.where("n > 0").join(known, key).select(F.col("id").alias(id_col), "class_id", "n_links")
-    alone = ids.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    ids = sketches.select("id", "h", *key)
+    kept = (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))).alias("kept")
+    found = ids.where("n > 0").join(known, key).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("h").alias("text_hash"), kept)
+    alone = ids.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("h").alias("text_hash"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, five words, similarity of 0.8 or more."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "kept")

@@ -127,12 +127,12 @@ def _margin(weights: np.ndarray, words: Words, slot: np.ndarray, s: np.ndarray)
 
 
 def _learn(posterior: np.ndarray, text_col: str, epochs: int = 12, rate: float = 0.3):
-    """Weights of one shard: logistic regression on posteriors, AdaGrad over texts in their order."""
+    """Weights of one shard: logistic regression on posteriors, AdaGrad over texts in the order of their draw."""
 
     def run(table: pa.Table) -> pa.Table:
         weights, squares = np.zeros(2**BITS + N_STATS + 1), np.full(2**BITS + N_STATS + 1, 1e-2)
         rows = []
-        for batch in table.select([text_col]).combine_chunks().to_batches():
+        for batch in table.sort_by("draw").select([text_col]).combine_chunks().to_batches():
             for part in pieces(batch, text_col):
                 words, slot, s = _prepared(part, text_col)
                 target, dense = posterior[patterns(votes(s))], _dense(s)
@@ -155,7 +155,8 @@ def score_quality(docs: DataFrame, keep_from: float = 0.25, id_col: str = "doc_i
     """Adds ``quality_score`` (0 to 1, higher is better), ``weak_label`` (the posterior of the votes) and ``kept``.
 
     Columns of those names are replaced. A null or empty text has only bad votes, score 0, and is not kept. Rows
-    are judged one by one, so repeated rows and ids change nothing but counts. An empty table gives an empty one.
+    are judged one by one, and ids are not used, so null and repeated ids change nothing; repeated rows count once each
+    in the histogram and once in all for the scorer. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     new = ["quality_score", "weak_label", "kept"]
@@ -175,8 +176,9 @@ def score_quality(docs: DataFrame, keep_from: float = 0.25, id_col: str = "doc_i
     count[np.asarray(counted["pattern"])] = np.asarray(counted["n"])
     posterior = fit_labellers(count)
     every = max(1, int(count.sum()) // TRAIN_TEXTS)
-    draw = F.xxhash64(F.col(id_col), F.lit(11))
-    sample = docs.where((F.pmod(draw, F.lit(every)) == 0) & F.col(text_col).isNotNull()).select(F.pmod(F.shiftright(draw, 32), F.lit(SHARDS)).alias("shard"), text_col)
+    draw = F.xxhash64(F.col(text_col), F.lit(11))  # by the text: copies are drawn together, and learnt from once
+    sample = docs.where((F.pmod(draw, F.lit(every)) == 0) & F.col(text_col).isNotNull()).select(draw.alias("draw"), text_col).dropDuplicates(["draw"])
+    sample = sample.withColumn("shard", F.pmod(F.shiftright("draw", 32), F.lit(SHARDS)))
     learnt = sample.groupBy("shard").applyInArrow(_learn(posterior, text_col), "weights binary").collect()
     weights = np.mean([np.frombuffer(r["weights"], "<f8") for r in learnt], axis=0) if learnt else np.zeros(2**BITS + N_STATS + 1)
 

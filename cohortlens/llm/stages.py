@@ -23,10 +23,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id; of rows equal in id and text, one."""
-    chosen = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    own = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    """One document of each class of near copies, the one with the smallest id (null ids last); of rows equal in id and text, one."""
+    chosen = jaccard_classes(docs).where("kept").select(F.col("doc_id").alias("chosen"), "text_hash").distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
+    own = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))
     return kept.withColumn("__copy", F.row_number().over(own)).where("__copy = 1").select(*docs.columns)
 
 
