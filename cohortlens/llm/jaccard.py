@@ -32,10 +32,10 @@ POOL = 64
 SMALL = 128
 #: In a large child, classes so similar to a leader leave the tree; those so similar, which any class at the threshold
 #: from one that left must be, are linked to that leader or one that stands for it. The partner of a class that left
-#: has 0.4 with the leader at least, so an estimate is REACH or more unless it is three standard errors (0.05) off.
-NEAR, REACH = 0.6, 0.25
+#: has 0.3 with the leader at least, so its estimate is below REACH only if it is two standard errors (0.05) off.
+NEAR, REACH = 0.5, 0.2
 #: Rows of a large child that are held against its leaders in one group.
-SHARE = 2048
+SHARE = 512
 #: Leaders of a large child at most.
 LEADERS = 8
 #: Expected children of a class at the nodes below the root.
