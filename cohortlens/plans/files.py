@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.operators import aggregate as A
 from cohortlens.plans.roles import Catalogue, role, using
 from cohortlens.runtime import Scratch
 from cohortlens.sources import readers as R, writers as W
+from cohortlens.streaming.ingest import incremental_samples
 
 Q = Catalogue()
 
@@ -73,15 +73,12 @@ def src14(spark, d):
     return R.read_catalogue(spark, _written(first, "p_partkey", "cat", "# all\n# section 0")).select("section", "id")
 
 
-@Q.add("src16_snk5_mtx", using("r_counts") + " select 'g' || gene as gene, 's' || sample as cell, cnt as count from r_counts where sample < 3")
+@Q.add("src16_snk5_mtx", using("r_counts") + " select 'g' || gene as gene, 's' || sample as cell, cnt as count from r_counts")
 def src16(spark, d):
-    rows = role(spark, d, "r_counts").where("sample < 3").select(F.concat(F.lit("g"), F.col("gene").cast("string")).alias("gene"), F.concat(F.lit("s"), F.col("sample").cast("string")).alias("cell"), F.col("cnt").alias("count"))
+    rows = role(spark, d, "r_counts").select(F.concat(F.lit("g"), F.col("gene").cast("string")).alias("gene"), F.concat(F.lit("s"), F.col("sample").cast("string")).alias("cell"), F.col("cnt").alias("count"))
     folder = f"{Scratch(spark, 'mtx').base}/m"
     W.write_mtx(rows, folder, "gene", "cell", "count")
-    ids = lambda name: spark.read.csv(f"{folder}/{name}", sep="\t", header=True)
-    p = F.split("value", " ")
-    t = spark.read.text(f"{folder}/entries").select(p[0].alias("i"), p[1].alias("j"), p[2].cast("long").alias("count"))
-    return t.join(ids("features").withColumnRenamed("id", "i"), "i").join(ids("cells").withColumnRenamed("id", "j"), "j").select("gene", "cell", "count")
+    return R.read_mtx(spark, folder)
 
 
 @Q.add("src18_read_gene_sets", "select p_brand as gene, case when p_size % 3 = 0 then 'WikiPathways' when p_size % 3 = 1 then 'GO BP' else 'OTHER' end as collection, count(distinct p_type) as n from part group by 1, 2")
@@ -99,9 +96,9 @@ def src19(spark, d):
     return R.read_fasta_lengths(spark, _written(rows, "item_id", "fa"))
 
 
-@Q.add("src20_read_sam_fastq", "select 'q' || event_id as name, cast(event_id % 61 as int) as mapq, 'c' || (event_id % 3) as xa from events where event_id % 5 = 0")
+@Q.add("src20_read_sam_fastq", "select 'q' || event_id as name, cast(event_id % 61 as int) as mapq, 'c' || (event_id % 3) as xa from events")
 def src20(spark, d):
-    e = role(spark, d, "events").where("event_id % 5 = 0")
+    e = role(spark, d, "events")
     name = F.concat(F.lit("q"), F.col("event_id").cast("string"))
     fastq = R.read_fastq(spark, _written(e.select("event_id", F.concat(F.lit("@"), name, F.lit("\nACGT\n+\n@III")).alias("line")), "event_id", "fq"))
     sam = F.concat_ws("\t", name, F.lit("16"), F.lit("c"), F.lit("5"), (F.col("event_id") % 61).cast("string"), F.lit("4M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGT"), F.lit("IIII"), F.concat(F.lit("XA:Z:c"), (F.col("event_id") % 3).cast("string")))
@@ -136,17 +133,34 @@ def snk6(spark, d):
     return W.flatten_lists(role(spark, d, "part").groupBy(F.col("p_brand").alias("b")).agg(F.array_sort(F.collect_set("p_type")).alias("types")))
 
 
-@Q.add("ag28_file_manifest", "select 'part-' || (p_size % 3) as name, 'missing' as reason from part group by 1")
+@Q.add("ag28_file_manifest", """select cast(n_regionkey as varchar) as region, sum(length(n_name) + 1) as size, sha256(string_agg(n_name, chr(10) order by n_nationkey) || chr(10)) as sha256, 'ok' as status from nation group by n_regionkey""")
 def ag28(spark, d):
-    expected = role(spark, d, "part").select(F.concat(F.lit("part-"), (F.col("p_size") % 3).cast("string")).alias("name")).distinct()
-    return R.missing_files(expected, R.file_manifest(spark, f"{d}/region.parquet", hash_content=False))
+    """Manifest of one written file a region, with hashes of their contents."""
+    rows = role(spark, d, "nation").select(F.col("n_regionkey").alias("sample"), F.col("n_nationkey").alias("o"), F.col("n_name").alias("line"))
+    t = R.file_manifest(spark, f"{_per_sample_files(rows, 'manifest')}/*")
+    return t.select(F.regexp_extract("path", "sample=([^/]+)", 1).alias("region"), "size", "sha256", "status")
 
 
-@Q.add("ing1_marker_rows", using("r_counts") + " select sample, gene, cnt from r_counts where gene < 20")
+@Q.add("ag28_missing_files", """select name, reason from (select 's' || (c_custkey % 50) || x as name, case when c_custkey % 50 % 7 = 0 then 'missing' when c_custkey % 50 % 7 = 1 then 'empty' when x = '.bam' and c_custkey % 50 % 3 = 0 then 'unindexed' end as reason
+ from customer, (values ('.bam'), ('.txt')) v(x)) t where reason is not null group by 1, 2""")
+def ag28b(spark, d):
+    """Expected files that a manifest lacks, has empty, or has without their index."""
+    k = F.col("c_custkey") % 50
+    each = role(spark, d, "customer").select(k.alias("k"), F.explode(F.array(F.lit(".bam"), F.lit(".txt"))).alias("x")).distinct()
+    name = F.concat(F.lit("s"), F.col("k").cast("string"), F.col("x")).alias("name")
+    have = each.where("k % 7 <> 0").select(F.concat(F.lit("/data/"), name).alias("path"), F.when(F.col("k") % 7 == 1, "empty").otherwise("ok").alias("status"))
+    index = each.where("x = '.bam' and k % 3 <> 0").select(F.concat(F.lit("/data/"), name, F.lit(".bai")).alias("path"), F.lit("ok").alias("status"))
+    return R.missing_files(each.select(name), have.unionByName(index), index={".bam": ".bai"})
+
+
+@Q.add("ing1_marker_rows", using("r_counts") + " select cast(sample as varchar) as sample, cast(gene as varchar) as gene, cnt from r_counts join part on gene = p_partkey where p_size % 10 = 0 and cnt > 0")
 def ing1(spark, d):
-    """The rows that the file stream appends for each batch, over all samples at once."""
-    panel = role(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("ord"))
-    return A.marker_expression(role(spark, d, "r_counts"), panel, "sample", "gene", "cnt", "ord").where("cnt > 0").select("sample", "gene", "cnt")
+    """Count files, one a sample, taken by the file stream; the marker rows that it has appended."""
+    panel = role(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_partkey").alias("ord"))
+    lines = role(spark, d, "r_counts").select("sample", F.col("gene").alias("o"), F.concat_ws("\t", F.col("gene").cast("string"), F.col("cnt").cast("string")).alias("line"))
+    base = Scratch(spark, "stream").base
+    incremental_samples(spark, f"{_per_sample_files(lines, 'counts')}/*", f"{base}/out", f"{base}/checkpoint", panel, F.regexp_extract("path", "sample=([^/]+)", 1))
+    return spark.read.parquet(f"{base}/out/markers").where("count > 0").select("sample", "gene", F.col("count").alias("cnt"))
 
 
 @Q.add("src6_read_kinship", using("r_edges") + " select 'n' || src as a, 'n' || dst as b, (src % 10) / 40.0e0 as kinship from r_edges")
@@ -165,28 +179,35 @@ def _per_sample_files(lines: DataFrame, name: str) -> str:
     return path
 
 
-@Q.add("src8_read_kv_metrics", "select cast(c_custkey as varchar) as sample, m as metric, case m when 'reads' then cast(c_nationkey as varchar) else cast(c_nationkey * 2 as varchar) end as value from customer, (values ('reads'), ('bases')) v(m) where c_custkey <= 20")
+@Q.add("src8_read_kv_metrics", "select cast(c_custkey // 100 as varchar) as sample, m || '_' || c_custkey as metric, case m when 'reads' then cast(c_nationkey as varchar) else cast(c_nationkey * 2 as varchar) end as value from customer, (values ('reads'), ('bases')) v(m)")
 def src8(spark, d):
-    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
-    pair = lambda k, v: F.concat(F.lit(f"{k}\t"), v.cast("string"))
-    rows = c.select("sample", F.posexplode(F.array(pair("sample", F.col("c_custkey")), pair("reads", F.col("c_nationkey")), pair("bases", F.col("c_nationkey") * 2))).alias("o", "line"))
-    return R.read_kv_metrics(spark, f"{_per_sample_files(rows, 'kv')}/*")
+    c = role(spark, d, "customer").withColumn("sample", F.floor(F.col("c_custkey") / 100))
+    pair = lambda k, v: F.concat(F.lit(f"{k}_"), F.col("c_custkey").cast("string"), F.lit("\t"), v.cast("string"))
+    rows = c.select("sample", F.col("c_custkey").alias("o"), F.explode(F.array(pair("reads", F.col("c_nationkey")), pair("bases", F.col("c_nationkey") * 2))).alias("line"))
+    names = c.select("sample", F.lit(-1).cast("long").alias("o"), F.concat(F.lit("sample\t"), F.col("sample").cast("string")).alias("line")).distinct()
+    return R.read_kv_metrics(spark, f"{_per_sample_files(rows.withColumn('o', F.col('o').cast('long')).unionByName(names), 'kv')}/*")
+
+
+_LABELS = {"reads": "input reads", "unique": "Uniquely mapped reads number", "unique_pct": "Uniquely mapped reads %", "multi_pct": "mapped to multiple loci", "many_pct": "mapped to too many loci", "short_pct": "unmapped: too short", "splices": "splices: Total"}
 
 
-@Q.add("src9_read_aligner_log", "select count(*) as files, sum(c_nationkey) as reads, sum(c_nationkey / 2.0e0) as pct from customer where c_custkey <= 20")
+@Q.add("src9_read_aligner_log", """select cast(count(*) as double) as reads, cast(min(c_custkey) as double) as unique, sum(c_nationkey) / 4.0e0 as unique_pct, 1.5e0 as multi_pct, cast(max(c_nationkey) as double) as many_pct, cast(min(c_nationkey) as double) as short_pct,
+ cast(max(c_custkey) as double) as splices from customer group by c_custkey // 100""")
 def src9(spark, d):
-    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
-    rows = c.select("sample", F.posexplode(F.array(F.concat(F.lit("  Number of input reads |\t"), F.col("c_nationkey").cast("string")), F.concat(F.lit(" Uniquely mapped reads % |\t"), (F.col("c_nationkey") / 2.0).cast("string"), F.lit("%")))).alias("o", "line"))
-    t = R.read_aligner_log(spark, f"{_per_sample_files(rows, 'log')}/*", {"reads": "input reads", "pct": "mapped reads %"})
-    return t.agg(F.count("*").alias("files"), F.sum("reads").cast("long").alias("reads"), F.sum("pct").alias("pct"))
+    c = role(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("sample")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"), F.sum("c_nationkey").alias("s"), F.min("c_nationkey").alias("lo"), F.max("c_nationkey").alias("hi"))
+    line = lambda label, v, end="": F.concat(F.lit(f"  {label} |\t"), v.cast("string"), F.lit(end))
+    lines = F.array(F.lit("Started job on |\tnow"), line("Number of input reads", F.col("n")), line("Uniquely mapped reads number", F.col("a")), line("Uniquely mapped reads %", F.col("s") / 4.0, "%"), line("% of reads mapped to multiple loci", F.lit(1.5), "%"),
+                    line("% of reads mapped to too many loci", F.col("hi"), "%"), line("% of reads unmapped: too short", F.col("lo"), "%"), line("Number of splices: Total", F.col("b")))
+    t = R.read_aligner_log(spark, f"{_per_sample_files(c.select('sample', F.posexplode(lines).alias('o', 'line')), 'log')}/*", _LABELS)
+    return t.select(*_LABELS)
 
 
-@Q.add("src10_read_sectioned_metrics", "select cast(c_nationkey as varchar) as bases, count(*) as n from customer where c_custkey <= 20 group by 1")
+@Q.add("src10_read_sectioned_metrics", "select cast(sum(c_nationkey) as varchar) as bases, cast(count(*) as varchar) as reads from customer group by c_custkey // 100")
 def src10(spark, d):
-    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
-    rows = c.select("sample", F.posexplode(F.array(F.lit("## METRICS"), F.lit("PF_BASES\tX"), F.concat(F.col("c_nationkey").cast("string"), F.lit("\t?")), F.lit("tail"))).alias("o", "line"))
-    t = R.read_sectioned_metrics(spark, f"{_per_sample_files(rows, 'sec')}/*")
-    return t.groupBy(F.col("metrics")["PF_BASES"].alias("bases")).agg(F.count("*").alias("n"))
+    c = role(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("sample")).agg(F.sum("c_nationkey").alias("s"), F.count("*").alias("n"))
+    lines = F.array(F.lit("## METRICS"), F.lit("PF_BASES\tPF_READS\tX"), F.concat_ws("\t", F.col("s").cast("string"), F.col("n").cast("string"), F.lit("?")), F.lit("tail"))
+    t = R.read_sectioned_metrics(spark, f"{_per_sample_files(c.select('sample', F.posexplode(lines).alias('o', 'line')), 'sec')}/*")
+    return t.select(F.col("metrics")["PF_BASES"].alias("bases"), F.col("metrics")["PF_READS"].alias("reads"))
 
 
 @Q.add("src11_read_contig_coverage", "select p_brand as contig, cast(0 as bigint) as s, sum(p_size) as covered, count(*) as n from part where p_size % 4 <> 0 group by 1")
@@ -196,21 +217,23 @@ def src11(spark, d):
     return t.groupBy("contig", "s").agg(F.sum("covered").alias("covered"), F.count("*").alias("n"))
 
 
-@Q.add("src12_read_hla_json", "select 'A' as gene, 'A*' || c_nationkey as allele, count(*) as n from customer where c_custkey <= 20 group by 2 union all select 'B', 'B*1', count(*) from customer where c_custkey <= 20")
+@Q.add("src12_read_hla_json", "select 'A' as gene, 'A*' || c_custkey as allele, 1 as n from customer union all select 'B', 'B*' || (c_custkey // 20), 1 from customer group by c_custkey // 20")
 def src12(spark, d):
-    c = role(spark, d, "customer").where("c_custkey <= 20").withColumn("sample", F.col("c_custkey"))
-    made = F.to_json(F.struct(F.array(F.concat(F.lit("A*"), F.col("c_nationkey").cast("string"))).alias("A"), F.array(F.lit("B*1")).alias("B")))
+    """Files of the alleles of at most 20 customers each."""
+    c = role(spark, d, "customer").withColumn("sample", F.floor(F.col("c_custkey") / 20))
+    c = c.groupBy("sample").agg(F.sort_array(F.collect_list(F.concat(F.lit("A*"), F.col("c_custkey").cast("string")))).alias("A"))
+    made = F.to_json(F.struct("A", F.array(F.concat(F.lit("B*"), F.col("sample").cast("string"))).alias("B")))
     t = R.read_hla_json(spark, f"{_per_sample_files(c.select('sample', F.lit(0).alias('o'), made.alias('line')), 'hla')}/*")
     return t.select("gene", F.explode("alleles").alias("allele")).groupBy("gene", "allele").agg(F.count("*").alias("n"))
 
 
-@Q.add("src13_read_panel_json", "select p_brand as symbol, cast(p_size % 4 as varchar) as confidence, 'AD' as moi, p_type || '; ' || p_name as phenotypes from part where p_partkey <= 50 and p_partkey % 5 > 0")
+@Q.add("src13_read_panel_json", "select p_brand as symbol, cast(p_size % 4 as varchar) as confidence, 'AD' as moi, p_type || '; ' || p_name as phenotypes from part where p_partkey % 5 > 0")
 def src13(spark, d):
-    p = role(spark, d, "part").where("p_partkey <= 50")
+    """Panel files of at most 100 genes each."""
     symbol = F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise(" ")
     gene = F.struct(F.struct(symbol.alias("gene_symbol")).alias("gene_data"), (F.col("p_size") % 4).cast("string").alias("confidence_level"), F.lit("AD").alias("mode_of_inheritance"), F.array("p_type", "p_name").alias("phenotypes"))
-    line = p.agg(F.to_json(F.struct(F.collect_list(gene).alias("genes"))).alias("line")).withColumn("o", F.lit(0))
-    return R.read_panel_json(spark, _written(line, "o", "panel"))
+    panels = role(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("sample")).agg(F.to_json(F.struct(F.collect_list(gene).alias("genes"))).alias("line"))
+    return R.read_panel_json(spark, f"{_per_sample_files(panels.withColumn('o', F.lit(0)), 'panel')}/*")
 
 
 @Q.add("src15_read_sample_sheet", "select 'kept' as side, count(*) as n from customer where c_custkey % 2 = 1 and c_custkey % 3 = 0 union all select 'gone', count(*) from customer where c_custkey % 2 = 1 and c_custkey % 3 <> 0")

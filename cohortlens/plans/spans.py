@@ -32,11 +32,11 @@ def st5(spark, d):
     return I.merge_intervals(role(spark, d, "r_regions"), ["contig"], block=4096)
 
 
-@Q.add("cv1_bases_at_depth", using("r_reads", "r_regions") + """, ev as (select sample, contig, pos, sum(x) as x from (select sample, contig, s as pos, 1 as x from r_reads where sample < 3 union all select sample, contig, e, -1 from r_reads where sample < 3) group by 1, 2, 3),
+@Q.add("cv1_bases_at_depth", using("r_reads", "r_regions") + """, ev as (select sample, contig, pos, sum(x) as x from (select sample, contig, s as pos, 1 as x from r_reads union all select sample, contig, e, -1 from r_reads) group by 1, 2, 3),
  st as (select sample, contig, pos as s, lead(pos) over w as e, sum(x) over w as depth from ev window w as (partition by sample, contig order by pos))
  select sample, region_id, sum(least(st.e, g.e) - greatest(st.s, g.s)) as bases from st join r_regions g on st.contig = g.contig and st.s < g.e and g.s < st.e where depth >= 2 group by 1, 2""")
 def cv1(spark, d):
-    return I.bases_at_depth(role(spark, d, "r_reads").where("sample < 3"), role(spark, d, "r_regions"), "region_id", ["sample"], 2)
+    return I.bases_at_depth(role(spark, d, "r_reads"), role(spark, d, "r_regions"), "region_id", ["sample"], 2)
 
 
 @Q.add("cv2_contig_coverage", using("r_reads") + _MERGE.format(t="r_reads") + """, c as (select contig, sum(e - s) as covered from (select contig, min(s) as s, max(e) as e from i group by contig, g) t group by contig)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -214,16 +214,27 @@ def read_sample_sheet(spark: SparkSession, path, present: DataFrame, sample: str
     return t.join(names, sample, "left_semi"), t.join(names, sample, "left_anti")
 
 
+def _along(spark: SparkSession, path) -> DataFrame:
+    """(n, value): lines numbered from 0 through all files of a path in the order of their names."""
+    lines = _numbered(spark, path)
+    sizes = lines.groupBy("file").agg(F.max("n").alias("__last"))  # one row a file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("file", F.coalesce(F.sum(F.col("__last") + 1).over(before), F.lit(0)).alias("__base"))
+    return lines.join(offset, "file").select((F.col("n") + F.col("__base")).alias("n"), "value")
+
+
 def read_mtx(spark: SparkSession, folder: str) -> DataFrame:
-    """(gene, cell, count) of a MatrixMarket triple with features and cells; stays sparse."""
-    body = _lines(spark, f"{folder}/matrix.mtx").where(~F.col("value").startswith("%"))
+    """(gene, cell, count) of a MatrixMarket triple with features and cells; stays sparse.
+
+    Each of the three is a file, or a folder of part files in the order of their names. The first line that is no
+    comment holds the dimensions.
+    """
+    body = _along(spark, f"{folder}/matrix.mtx").where(~F.col("value").startswith("%"))
+    first = body.agg(F.min("n")).first()[0]
     p = F.split(F.trim("value"), r"\s+")
-    t = body.select(*[F.get(p, F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(("i", "j", "count"))])
-    dims = spark.read.text(f"{folder}/matrix.mtx").where(~F.col("value").startswith("%")).limit(1).collect()[0]["value"].split()
-    # the dimensions line looks like an entry; it is the one with both numbers at their limits and the entries' count
-    t = t.where(~((F.col("i") == float(dims[0])) & (F.col("j") == float(dims[1])) & (F.col("count") == float(dims[2]))))
-    genes = _numbered(spark, f"{folder}/features.tsv").select((F.col("n") + 1).cast("double").alias("i"), F.split("value", "\t")[0].alias("gene"))
-    cells = _numbered(spark, f"{folder}/cells.tsv").select((F.col("n") + 1).cast("double").alias("j"), F.split("value", "\t")[0].alias("cell"))
+    t = body.where(F.col("n") > first).select(*[F.get(p, F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(("i", "j", "count"))])
+    genes = _along(spark, f"{folder}/features.tsv").select((F.col("n") + 1).cast("double").alias("i"), F.split("value", "\t")[0].alias("gene"))
+    cells = _along(spark, f"{folder}/cells.tsv").select((F.col("n") + 1).cast("double").alias("j"), F.split("value", "\t")[0].alias("cell"))
     return t.join(genes, "i").join(cells, "j").select("gene", "cell", F.col("count").cast("long").alias("count"))
 
 
@@ -297,8 +308,16 @@ def file_manifest(spark: SparkSession, path, hash_content: bool = True) -> DataF
     return t.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), digest.alias("sha256"), F.when(F.col("length") > 0, "ok").otherwise("empty").alias("status"))
 
 
-def missing_files(expected: DataFrame, manifest: DataFrame, name: str = "name") -> DataFrame:
-    """Expected file names that are missing or empty, with the reason."""
+def missing_files(expected: DataFrame, manifest: DataFrame, name: str = "name", index: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006
+    """Expected file names that are missing, empty or unindexed, with the reason.
+
+    ``index`` maps an ending to what the name of its index has behind it, such as ``.bam`` to ``.bai``.
+    """
     have = manifest.select(F.regexp_extract("path", r"([^/]+)$", 1).alias(name), "status")
-    t = expected.join(have, name, "left")
-    return t.where("status is null or status <> 'ok'").select(name, F.coalesce("status", F.lit("missing")).alias("reason"))
+    needed = F.lit(None).cast("string")
+    for ending, more in index.items():
+        needed = F.when(F.col(name).endswith(ending), F.concat(name, F.lit(more))).otherwise(needed)
+    there = have.where("status = 'ok'").select(F.col(name).alias("__needed"), F.lit(True).alias("__there"))
+    t = expected.withColumn("__needed", needed).join(have, name, "left").join(there, "__needed", "left")
+    reason = F.when(F.col("status").isNull(), "missing").when(F.col("status") != "ok", F.col("status")).when(F.col("__needed").isNotNull() & F.col("__there").isNull(), "unindexed")
+    return t.select(name, reason.alias("reason")).where("reason is not null")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType
 
 from cohortlens.functions.scalar import not_reference
+from cohortlens.runtime import Scratch
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -48,18 +49,18 @@ def dense_ids(df: DataFrame, col: str) -> DataFrame:
 
 
 def write_mtx(df: DataFrame, folder: str, gene: str, cell: str, count: str, facts: Mapping[str, object] = {}) -> None:  # noqa: B006
-    """MatrixMarket text (entries, then features and cells in id order) and a provenance row."""
-    genes, cells = dense_ids(df, gene), dense_ids(df, cell)
-    genes.cache(), cells.cache()
+    """A MatrixMarket triple (``matrix.mtx``, ``features.tsv``, ``cells.tsv``, each of ordered part files) and a provenance row."""
+    scratch = Scratch(df.sparkSession, "mtx-ids")
+    genes, cells = scratch.keep(dense_ids(df, gene), "genes"), scratch.keep(dense_ids(df, cell), "cells")
     entries = df.join(genes.withColumnRenamed("id", "i"), gene).join(cells.withColumnRenamed("id", "j"), cell).select("i", "j", count)
-    size = entries.agg(F.count("*").alias("n")).first()["n"]
-    head = df.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), (f"{genes.count()} {cells.count()} {size}",)], "value string").coalesce(1)
-    head.write.mode("overwrite").text(f"{folder}/head")
-    entries.select(F.concat_ws(" ", "i", "j", count).alias("value")).write.mode("overwrite").text(f"{folder}/entries")
-    write_tsv(genes.orderBy("id"), f"{folder}/features")
-    write_tsv(cells.orderBy("id"), f"{folder}/cells")
+    size = entries.count()
+    head = df.sparkSession.createDataFrame([(-2, "%%MatrixMarket matrix coordinate integer general"), (-1, f"{genes.count()} {cells.count()} {size}")], "i long, value string")
+    lines = entries.select(F.col("i").cast("long").alias("i"), F.concat_ws(" ", "i", "j", count).alias("value")).unionByName(head)
+    lines.repartitionByRange("i").sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{folder}/matrix.mtx")
+    for ids, col, name in ((genes, gene, "features"), (cells, cell, "cells")):
+        ids.repartitionByRange("id").sortWithinPartitions("id").select(F.col(col).cast("string")).write.mode("overwrite").text(f"{folder}/{name}.tsv")
     df.sparkSession.createDataFrame([(k, str(v)) for k, v in {**facts, "entries": size}.items()], "fact string, value string").write.mode("overwrite").json(f"{folder}/provenance")
-    genes.unpersist(), cells.unpersist()
+    scratch.drop("genes", "cells")
 
 
 def flatten_lists(df: DataFrame, sep: str = ", ") -> DataFrame:
