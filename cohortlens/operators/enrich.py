@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.operators.ranking import bh_adjust
 from cohortlens.runtime import Scratch
@@ -109,23 +109,30 @@ def leave_one_out(ranked: DataFrame, sets: DataFrame, candidates: DataFrame, set
     return enrichment_test(r, s, ["left_out"], set_col, gene, **how)
 
 
-def collapse_sets(tested: DataFrame, ranked: DataFrame, sets: DataFrame, set_col: str, gene: str, p: float = 0.01, **how) -> DataFrame:
-    """(set, kept): sets by p value, each dropped that an earlier kept set explains.
+def collapse_sets(tested: DataFrame, ranked: DataFrame, sets: DataFrame, set_col: str, gene: str, p: float = 0.01, significant: Column | None = None, **how) -> DataFrame:
+    """(set, kept): sets (those that are ``significant``, if given) by p value, each dropped that an earlier kept set explains.
 
     A set is explained by another if its enrichment both among the other's genes and among all others has p above
-    the limit. All ordered pairs are tested as one job; the greedy walk is then a fix-point of joins: a set is
+    the limit. Only a set that shares genes can explain another, since outside of it the ranking would be as before.
+    All such ordered pairs are tested as one job; the greedy walk is then a fix-point of joins: a set is
     dropped once an earlier kept one explains it, and kept once none that is undecided or kept does.
     """
     scratch = Scratch(ranked.sparkSession, "collapse")
+    tested = tested if significant is None else tested.where(significant)
     order = scratch.keep(tested.select(set_col, "pval").withColumn("o", F.row_number().over(Window.orderBy("pval", set_col))), "order")  # a collection's significant sets
     members = sets.join(order.select(set_col), set_col, "left_semi")
     parent = order.select(F.col(set_col).alias("parent"), F.col("o").alias("po"))
     inside = members.select(F.col(set_col).alias("parent"), gene).withColumn("in", F.lit(True))
-    both = ranked.join(parent.select("parent"), how="cross").join(inside, ["parent", gene], "left").withColumn("side", F.coalesce("in", F.lit(False))).drop("in")
+    # pairs that share genes, the earlier one as parent
+    shared = members.join(order.select(set_col, "o"), set_col).join(inside.drop("in").join(parent, "parent"), gene).where("po < o").select(set_col, "parent").distinct()
+    shared = scratch.keep(shared, "shared")
+    wanted = shared.select("parent").distinct()
+    # each parent splits the ranking in two, so parents x ranking rows are ranked anew
+    both = ranked.join(wanted, how="cross")
+    both = both.join(inside, ["parent", gene], "left").withColumn("side", F.coalesce("in", F.lit(False))).drop("in")
     w = Window.partitionBy("parent", "side").orderBy("rank")
     both = both.withColumn("rank", F.row_number().over(w))
-    names = parent.join(F.broadcast(ranked.sparkSession.createDataFrame([(True,), (False,)], "side boolean")), how="cross").select("parent", "side")
-    spread = members.join(names, how="cross").where(F.col(set_col) != F.col("parent"))
+    spread = members.join(shared, set_col).withColumn("side", F.explode(F.array(F.lit(True), F.lit(False))))
     result = enrichment_test(both, spread, ["parent", "side"], set_col, gene, least=1, most=10**9, **how)
     pairs = result.groupBy("parent", set_col).agg(F.min("pval").alias("least"))
     pairs = pairs.where(F.col("least") > p).join(parent, "parent").join(order.select(set_col, "o"), set_col).where("po < o").select("parent", set_col)
@@ -251,6 +258,15 @@ def shuffled_sequences(rows: DataFrame, key: str, seq: str, n: int, seed: int) -
     return t.select(key, "shuffle", F.array_join(F.transform(F.array_sort(letters), lambda x: x["c"]), "").alias(seq))
 
 
+def shuffle_test(rows: DataFrame, key: str, seq: str, scorer: Callable[[Column], Column], n: int, seed: int) -> DataFrame:
+    """The permutation null of a count: ``scorer`` gives a number for each sequence, which is summed over the real ones and
+    over each of ``n`` seeded shuffles of all; columns as :func:`permutation_null` has them."""
+    total = F.sum(scorer(F.col(seq))).alias("n")
+    observed = rows.agg(total).first()["n"]
+    null = shuffled_sequences(rows, key, seq, n, seed)
+    return permutation_null(observed, null.groupBy("shuffle").agg(total), "n")
+
+
 def composition_null(frequencies: DataFrame, letter: str, freq: str, n: int, length: int, seed: int) -> DataFrame:
     """(k, seq): n sequences of letters drawn by frequency; an alphabet's cumulative frequencies are one small array."""
     w = Window.orderBy(letter)

@@ -110,8 +110,8 @@ def prune_sites(calls: DataFrame, site: str, dosage: str, n_samples: int, maf: f
     return t.where((F.col("maf") >= maf) & (F.col("missing") <= missing)).withColumn("p", exact("het", "hom_ref", "hom_alt")).where(F.col("p") >= hwe)
 
 
-def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "set_a", b: str = "set_b", weight: str = "similarity", rounds: int = 10) -> DataFrame:
-    """Nodes with their ``community`` by weighted label propagation from the smallest label, at most ``rounds`` rounds.
+def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "set_a", b: str = "set_b", weight: str = "similarity") -> DataFrame:
+    """Nodes with their ``community`` by weighted label propagation, until the labels no longer change or come again.
 
     A deterministic stand-in for randomised modularity optimisation: each round every node takes the label with the
     largest weight among its neighbours and itself (its own counts its largest edge), the smallest label among ties.
@@ -123,12 +123,14 @@ def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "se
     own = both.groupBy("u").agg(F.max("w").alias("w")).select("u", F.col("u").alias("v"), "w")
     both = scratch.keep(both.unionByName(own), "edges")
     labels = scratch.keep(nodes.select(F.col(node).alias("v")).distinct().withColumn("label", F.col("v")), "labels0")
-    for k in range(1, rounds + 1):
+    seen, k = set(), 0
+    while True:
+        mark = labels.agg(F.sum(F.xxhash64("v", "label").cast("decimal(38,0)"))).first()[0]
+        if mark in seen:
+            break
+        seen.add(mark)
         votes = both.join(labels, "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("u").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("best")).select(F.col("u").alias("v"), F.col("best.label").alias("new"))
-        new = scratch.keep(labels.join(best, "v", "left").select("v", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")), f"labels{k}")
-        moved = new.where("moved").count()
-        labels = new.drop("moved")
-        if not moved:
-            break
+        k += 1
+        labels = scratch.keep(labels.join(best, "v", "left").select("v", F.coalesce("new", "label").alias("label")), f"labels{k}")
     return nodes.join(labels.select(F.col("v").alias(node), F.col("label").alias("community")), node, "left")

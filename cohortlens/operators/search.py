@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortlens.functions.scalar import kmer_entropy
+
 
 def kmer_tile(rows: DataFrame, key: str, seq: str, lengths: Sequence[int]) -> DataFrame:
     """(key, k, kmer, first): every k-mer of each length with its first offset from 0."""
@@ -16,6 +18,26 @@ def kmer_tile(rows: DataFrame, key: str, seq: str, lengths: Sequence[int]) -> Da
     return t.select(key, "k", F.substr("__s", F.col("at") + 1, k).alias("kmer"), "at").groupBy(key, "k", "kmer").agg(F.min("at").alias("first"))
 
 
+def sequence_entropy(rows: DataFrame, key: str, seq: str, k: int = 5, window: int = 20) -> DataFrame:
+    """(key, entropy): mean over all windows of a sequence of their k-mer entropy over its maximum; windows are rows, so a
+    sequence may have any length. Sequences shorter than a window are left out."""
+    at = F.explode(F.sequence(F.lit(1), F.length(seq) - window + 1))
+    t = rows.where(F.length(seq) >= window).select(key, seq, at.alias("__at")).select(key, F.substr(seq, F.col("__at"), F.lit(window)).alias("__w"))
+    return t.groupBy(key).agg(F.avg(kmer_entropy("__w", k, window)).alias("entropy"))
+
+
+def low_complexity_filter(reads: DataFrame, key: str, name: str, seq: str, least: float = 0.7, both: bool = True, k: int = 5, window: int = 20) -> DataFrame:
+    """Reads with their ``entropy`` whose pair passes; mates share ``name`` and stay or go together.
+
+    A pair goes if both mates fail, or with ``both`` false if any does. A read shorter than a window has a null
+    entropy and passes.
+    """
+    scored = reads.join(sequence_entropy(reads, key, seq, k, window), key, "left")
+    passed = F.coalesce(F.col("entropy") >= least, F.lit(True))
+    pairs = scored.groupBy(name).agg((F.bool_or(passed) if both else F.bool_and(passed)).alias("__ok")).where("__ok").select(name)
+    return scored.join(pairs, name, "left_semi")
+
+
 def near_matches(queries: DataFrame, db: DataFrame, query: str, db_id: str, seq: str, mismatches: int = 2, anchors: Sequence[int] = (2, -1), similar: Sequence[str] = (), fraction: float = 1.0) -> DataFrame:
     """(query, db_id, at, found, identities, tier): full-length ungapped matches of the queries in the database.
 

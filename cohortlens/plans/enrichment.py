@@ -35,18 +35,25 @@ def en2(spark, d):
     return out.select("donor", "set_id", "size", "es", "pval", "nes", "padj")
 
 
+def _ranked_over_all(spark, d):
+    """One ranking of the genes, by their statistic over all donors."""
+    z = role(spark, d, "r_z").groupBy("gene").agg(F.sum("z").alias("stat"))
+    return R.rank_desc(z.withColumn("one", F.lit(0)), "one", "stat", "gene").drop("one")
+
+
 @Q.add("en4_leave_one_out")
 def en4(spark, d):
-    ranked = _ranked(spark, d).where("donor = 0").drop("donor")
+    """Each of the three top genes left out in turn."""
+    ranked = _ranked_over_all(spark, d)
     return E.leave_one_out(ranked, role(spark, d, "r_sets"), ranked.where("rank <= 3"), "set_id", "gene", n_perm=100).select("left_out", "set_id", "size", "es", "pval", "nes", "padj")
 
 
 @Q.add("en3_collapse_sets")
 def en3(spark, d):
-    ranked = _ranked(spark, d).where("donor = 0").drop("donor")
-    sets = role(spark, d, "r_sets").where("set_id <= 15")
+    """The sets with p of 0.1 at most among all sets."""
+    ranked, sets = _ranked_over_all(spark, d), role(spark, d, "r_sets")
     tested = E.enrichment_test(ranked, sets, [], "set_id", "gene", n_perm=100)
-    return E.collapse_sets(tested, ranked, sets, "set_id", "gene", n_perm=100)
+    return E.collapse_sets(tested, ranked, sets, "set_id", "gene", n_perm=100, significant=F.col("pval") <= 0.1)
 
 
 _P = ", tp as (select set_id, (set_id * 37 % 101) / 101.0e0 as pval, count(*) as size from r_sets group by set_id)"
@@ -109,21 +116,33 @@ def en10(spark, d):
     return E.permutation_null(40, null, "c").select("observed", F.round("p", 9).alias("p"), F.round("mean", 9).alias("mean"), F.col("median").cast("double").alias("median"), "p95")
 
 
-@Q.add("en10_shuffles", """select item_id as k, s as shuffle, string_agg(c, '' order by o) as seq from (select item_id, s, substr(substr(text, 1, 12), i, 1) as c, md5('9|' || item_id || '|' || s || '|' || i) as o
- from benchmark, range(1, 4) t(s), range(1, 13) u(i)) x group by 1, 2""")
+@Q.add("en10_shuffles", """select item_id as k, s as shuffle, string_agg(c, '' order by o) as seq from (select item_id, s, substr(text, i, 1) as c, md5('9|' || item_id || '|' || s || '|' || i) as o
+ from benchmark, range(1, 4) t(s), range(1, 20000) u(i) where i <= length(text)) x group by 1, 2""")
 def en10b(spark, d):
-    return E.shuffled_sequences(role(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 12).alias("seq")), "k", "seq", 3, 9)
+    return E.shuffled_sequences(role(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("seq")), "k", "seq", 3, 9)
+
+
+@Q.add("en10_scored_shuffles", """with s as (select p_partkey as k, 0 as shuffle, p_brand as seq from part), c as (select p_partkey, sh, substr(p_brand, i, 1) as c, md5('5|' || p_partkey || '|' || sh || '|' || i) as o from part, range(1, 21) t(sh), range(1, 20) u(i) where i <= length(p_brand)),
+ a as (select * from s union all select p_partkey, sh, string_agg(c, '' order by o) from c group by 1, 2), n as (select shuffle, count(*) filter (substr(seq, 1, 1) < 'B') as n from a group by 1), v as (select list(n order by n) as v from n where shuffle > 0)
+ select o.n as observed, round((select count(*) from n x, n y where x.shuffle > 0 and y.shuffle = 0 and x.n >= y.n) / 20.0e0, 9) as p, list_sum(v) / 20.0e0 as mean, (v[10] + v[11]) / 2.0e0 as median, v[19] as p95 from v, n o where o.shuffle = 0""")
+def en10c(spark, d):
+    """Brands that begin before B, and in twenty shuffles of each."""
+    rows = role(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("seq"))
+    out = E.shuffle_test(rows, "k", "seq", lambda s: (F.substr(s, F.lit(1), F.lit(1)) < "B").cast("int"), 20, 5)
+    return out.select("observed", F.round("p", 9).alias("p"), "mean", "median", "p95")
 
 
-@Q.add("en11_composition_null")
+@Q.add("en11_composition_null", """with f as (select substr(p_type, 1, 1) as l, count(*) as n from part group by 1), c as (select l, sum(n) over (order by l) / cast(sum(n) over () as double) as c from f),
+ u as (select k, i, cast('0x' || substr(md5('4|' || k || '|' || i), 1, 12) as bigint) / 281474976710656.0e0 as u from range((select count(*) from part)) t(k), range(1, 10) r(i)),
+ g as (select k, i, arg_min(l, c) filter (c > u) as l from u, c group by 1, 2) select k, string_agg(l, '' order by i) as seq from g group by k""")
 def en11(spark, d):
     f = role(spark, d, "part").groupBy(F.substring("p_type", 1, 1).alias("letter")).agg(F.count("*").alias("n"))
     return E.composition_null(f, "letter", "n", role(spark, d, "part").count(), 9, 4)
 
 
-@Q.add("en12_taxa_recurrence", "select p_brand as organism, count(distinct p_size) as n_shuffles from part where p_partkey % 3 = 0 group by 1 order by 2 desc, 1 limit 12")
+@Q.add("en12_taxa_recurrence", "select p_brand as organism, count(distinct p_size) as n_shuffles from part group by 1 order by 2 desc, 1 limit 12")
 def en12(spark, d):
-    return E.taxa_recurrence(role(spark, d, "part").where("p_partkey % 3 = 0").withColumnRenamed("p_brand", "organism"), "organism", "p_size")
+    return E.taxa_recurrence(role(spark, d, "part").withColumnRenamed("p_brand", "organism"), "organism", "p_size")
 
 
 _MK = """, v as (select gene, sample % 3 as cls, avg(log2(cnt + 1)) as m from r_counts group by 1, 2), t as (select gene, list(struct_pack(m := m, cls := cls) order by m desc, cls desc)[1:2] as t from v group by gene),

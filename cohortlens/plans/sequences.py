@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalar import kmer_entropy
 from cohortlens.operators import mapping as M, ranking as R, search as S
 from cohortlens.plans.roles import Catalogue, role
 
@@ -17,17 +16,18 @@ def prj25(spark, d):
     return S.kmer_tile(role(spark, d, "benchmark").withColumnRenamed("item_id", "k0"), "k0", "text", [8, 11])
 
 
-_Q12 = "select distinct substr(text, 1, 12) as q from benchmark"
+_WORDS = "q as (select distinct w as q from (select unnest(regexp_split_to_array(text, '[^A-Za-z]+')) as w from benchmark) x where length(w) = 12)"
 
 
-@Q.add("sq1_near_matches", f"""with q as ({_Q12}), t as (select p_partkey, i - 1 as pos, substr(s, i, 12) as f from (select p_partkey, substr(text, 1 + p_partkey % 5, 40) as s from part join benchmark on item_id = p_partkey % 40) x, range(1, 30) r(i) where i <= length(s) - 11),
- m as (select q, p_partkey, pos, f, (select sum(case when substr(q, k, 1) = substr(f, k, 1) then 1 else 0 end) from range(1, 13) u(k)) as ident from t, q where substr(q, 2, 1) = substr(f, 2, 1) and substr(q, 12, 1) = substr(f, 12, 1))
- select q as query, p_partkey as k, pos, cast(ident as int) as identities, case when ident = 12 then 'exact' else 'near' end as tier from m where ident >= 10""")
+@Q.add("sq1_near_matches", f"""with {_WORDS}, t as (select doc_id, i - 1 as pos, substr(text, i, 12) as f from (select doc_id, text, unnest(range(1, length(text) - 10)) as i from documents) x),
+ c as (select q, doc_id, pos, f from t join q on substr(q, 1, 4) = substr(f, 1, 4) union select q, doc_id, pos, f from t join q on substr(q, 5, 4) = substr(f, 5, 4) union select q, doc_id, pos, f from t join q on substr(q, 9, 4) = substr(f, 9, 4)),
+ m as (select q, doc_id, pos, list_sum(list_transform(range(1, 13), lambda k: cast(substr(q, k, 1) = substr(f, k, 1) as int))) as ident from c where substr(q, 2, 1) = substr(f, 2, 1) and substr(q, 12, 1) = substr(f, 12, 1))
+ select q as query, doc_id as k, pos, cast(ident as int) as identities, case when ident = 12 then 'exact' else 'near' end as tier from m where ident >= 10""")
 def sq1(spark, d):
-    queries = role(spark, d, "benchmark").select(F.substring("text", 1, 12).alias("q"))
-    text = role(spark, d, "benchmark").select("item_id", "text")
-    db = role(spark, d, "part").join(text, F.col("item_id") == F.col("p_partkey") % 40).select(F.col("p_partkey").alias("k"), F.substr("text", (1 + F.col("p_partkey") % 5).cast("int"), F.lit(40)).alias("s"))
-    return S.near_matches(queries, db, "q", "k", "s").select("query", "k", F.col("at").alias("pos"), "identities", "tier")
+    """Words of twelve letters, searched in all whole texts."""
+    words = F.explode(F.split("text", "[^A-Za-z]+")).alias("q")
+    queries = role(spark, d, "benchmark").select(words).where(F.length("q") == 12)
+    return S.near_matches(queries, role(spark, d, "documents"), "q", "doc_id", "text").select("query", F.col("doc_id").alias("k"), F.col("at").alias("pos"), "identities", "tier")
 
 
 @Q.add("sq2_hits_by_organism", "select p_type as organism, count(*) as hits, count(*) filter (p_size % 2 = 0) as exact, p_type = 'PROMO' as is_self, p_type in ('SMALL', 'LARGE') as is_priority from part group by p_type")
@@ -50,11 +50,13 @@ def ud4(spark, d):
     return S.score_peptides(role(spark, d, "part"), "p_brand", "p_type", load).select(F.col("p_partkey").alias("k"), "rank")
 
 
-@Q.add("prj18_low_complexity", """with s as (select doc_id, substr(text, 1, 24) as t from documents), w as (select doc_id, i, substr(t, i + j, 5) as m from s, range(1, 6) a(i), range(0, 16) b(j) where length(t) >= 20 and i <= length(t) - 19),
- c as (select doc_id, i, m, count(*) / 16.0e0 as p from w group by 1, 2, 3) select doc_id, round(avg(e) / 4, 6) as entropy from (select doc_id, i, -sum(p * log2(p)) as e from c group by 1, 2) x group by doc_id""")
+@Q.add("prj18_low_complexity", """with w as (select doc_id, text, unnest(range(1, length(text) - 18)) as i from documents), m as (select doc_id, i, list_transform(range(0, 16), lambda j: substr(text, i + j, 5)) as m from w),
+ e as (select doc_id, avg(list_entropy(m)) / 4 as entropy from m group by doc_id), p as (select doc_id // 2 as pair from documents left join e using (doc_id) group by 1 having bool_or(coalesce(entropy, 1.0) >= 0.96))
+ select doc_id, round(entropy, 6) as entropy from documents left join e using (doc_id) where doc_id // 2 in (select pair from p)""")
 def prj18(spark, d):
-    rows = role(spark, d, "documents").select("doc_id", F.substring("text", 1, 24).alias("t")).where(F.length("t") >= 20)
-    return rows.select("doc_id", F.round(kmer_entropy("t"), 6).alias("entropy"))
+    """Whole texts as reads, two neighbours a pair; the limit is one that some of them fail."""
+    reads = role(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 2).alias("pair"))
+    return S.low_complexity_filter(reads, "doc_id", "pair", "text", least=0.96).select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 @Q.add("prj10_left_align", "select p_partkey as k, 11 as pos, 'G' as ref, 'GT' as alt from part where p_size % 2 = 0 union all select p_partkey, 29, 'GAC', 'G' from part where p_size % 2 = 1")
