@@ -40,8 +40,8 @@ SHARE = 512
 LEADERS = 8
 #: Expected children of a class at the nodes below the root.
 DEEP_BRANCH = 2.0
-#: Classes in a block of the exact comparison.
-BLOCK = 64
+#: Classes in a block of the exact comparison, and shingles (about) that it holds at most.
+BLOCK, BLOCK_TOKENS = 128, 2_000_000
 #: From this depth on, large children are compared in blocks of SMALL.
 DEPTH = 4
 _TOP = 2.0**64
@@ -339,9 +339,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     candidates = scratch.keep(connected_components(edges), "candidates")
 
     # Exact comparison inside each candidate component.
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    chosen = candidates.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "members")
-    chosen = scratch.keep(chosen.join(classes.select("cid", *key, "rep", "rep_h", "size"), "cid"), "chosen")
+    chosen = candidates.select(F.col("node").alias("cid"), F.col("component").alias("comp")).join(classes.select("cid", *key, "rep", "rep_h", "size"), "cid")
+    chosen = scratch.keep(chosen, "unsized")
+    wide = F.greatest(F.count("*"), F.ceil(F.sum("n") * (BLOCK / BLOCK_TOKENS)))  # long texts count as many members
+    sizes = chosen.groupBy("comp").agg(F.count("*").alias("n_members"), wide.alias("members")).where("n_members > 1").drop("n_members")
+    chosen = scratch.keep(chosen.join(sizes, "comp"), "chosen")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = -1
@@ -373,7 +375,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     known = classes.select("cid", *key, first.alias("rep"), "size").join(linked, "cid", "left").withColumn("head", F.coalesce("head", "rep"))
     known = known.select(*key, F.col("head.id").alias("class_id"), F.col("head.h").alias("class_h"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "known")
-    scratch.drop("classes", "candidates", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
+    scratch.drop("classes", "candidates", "unsized", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
     ids = sketches.select("id", "h", *key)
     kept = (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))).alias("kept")
     found = ids.where("n > 0").join(known, key).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("h").alias("text_hash"), kept)
