@@ -163,29 +163,6 @@ def passes_read_filter(flag, mapq=None, min_mapq: int = 0, exclude_bits: int = 0
     return ok if mapq is None else ok & (_c(mapq) >= min_mapq)
 
 
-def kmer_entropy(seq, k: int = 5, window: int = 20) -> Column:
-    """Mean over windows of the k-mer entropy in bits over its maximum; null for a sequence shorter than a window."""
-    seq = _c(seq)
-    per = window - k + 1
-    most = min(4**k, per)
-    kmers = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substr(seq, i, F.lit(k)))
-
-    def entropy(i: Column) -> Column:
-        inside = F.slice(kmers, i, F.lit(per))
-        terms = F.transform(F.array_distinct(inside), lambda x: F.size(F.filter(inside, lambda y: y == x)) / F.lit(float(per)))
-        return F.aggregate(terms, F.lit(0.0), lambda a, p: a - p * F.log2(p)) / F.lit(float(_log2(most)))
-
-    starts = F.sequence(F.lit(1), F.length(seq) - window + 1)
-    values = F.transform(starts, entropy)
-    return F.when(F.length(seq) >= window, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
-
-
-def _log2(x: float) -> float:
-    from math import log2
-
-    return log2(x)
-
-
 def two_field_pair(alleles) -> Column:
     """Two alleles cut to two fields and sorted; a single call counts twice, none gives null."""
     cut = F.sort_array(F.transform(_c(alleles), lambda a: F.array_join(F.slice(F.split(a, ":"), 1, 2), ":")))

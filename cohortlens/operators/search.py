@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from math import log2
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.functions.scalar import kmer_entropy
-
 
 def kmer_tile(rows: DataFrame, key: str, seq: str, lengths: Sequence[int]) -> DataFrame:
     """(key, k, kmer, first): every k-mer of each length with its first offset from 0."""
@@ -18,12 +17,37 @@ def kmer_tile(rows: DataFrame, key: str, seq: str, lengths: Sequence[int]) -> Da
     return t.select(key, "k", F.substr("__s", F.col("at") + 1, k).alias("kmer"), "at").groupBy(key, "k", "kmer").agg(F.min("at").alias("first"))
 
 
+#: Places of a long sequence that are worked on in one row.
+PIECE = 256
+
+
+def _pieces(rows: DataFrame, key: str, seq: str, width: Column) -> DataFrame:
+    """(key, base, piece): overlapping pieces of each sequence, so that each window of ``width`` is whole in one of them."""
+    base = F.explode(F.sequence(F.lit(0), F.length(seq) - width, F.lit(PIECE)))
+    t = rows.where(F.length(seq) >= width).select(key, F.col(seq).alias("__s"), *[c for c in rows.columns if c == "len"], base.alias("base"))
+    return t.select(*[c for c in t.columns if c != "__s"], F.substr("__s", F.col("base") + 1, PIECE + width - 1).alias("piece"))
+
+
 def sequence_entropy(rows: DataFrame, key: str, seq: str, k: int = 5, window: int = 20) -> DataFrame:
-    """(key, entropy): mean over all windows of a sequence of their k-mer entropy over its maximum; windows are rows, so a
+    """(key, entropy): mean over all windows of a sequence of their k-mer entropy over its maximum, summed by pieces, so a
     sequence may have any length. Sequences shorter than a window are left out."""
-    at = F.explode(F.sequence(F.lit(1), F.length(seq) - window + 1))
-    t = rows.where(F.length(seq) >= window).select(key, seq, at.alias("__at")).select(key, F.substr(seq, F.col("__at"), F.lit(window)).alias("__w"))
-    return t.groupBy(key).agg(F.avg(kmer_entropy("__w", k, window)).alias("entropy"))
+    per = window - k + 1
+    most = log2(min(4**k, per))
+    t = _pieces(rows, key, seq, F.lit(window))
+    t = t.withColumn("kmers", F.transform(F.sequence(F.lit(1), F.length("piece") - k + 1), lambda i: F.substr("piece", i, F.lit(k))))
+
+    def spread(inside: Column) -> Column:
+        """Of a window whose k-mers are not all distinct: log2(per) less the mean log2 of how often each place's k-mer occurs."""
+        logs = F.transform(inside, lambda x: F.log2(F.size(F.filter(inside, lambda y: y == x))))
+        return F.lit(log2(per)) - F.aggregate(logs, F.lit(0.0), lambda a, v: a + v) / per
+
+    def entropy(i: Column) -> Column:
+        inside = F.slice("kmers", i, F.lit(per))
+        return F.when(F.size(F.array_distinct(inside)) == per, F.lit(log2(per))).otherwise(spread(inside)) / most
+
+    t = t.withColumn("each", F.transform(F.sequence(F.lit(1), F.size("kmers") - per + 1), entropy))
+    t = t.select(key, F.size("each").alias("n"), F.aggregate("each", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    return t.groupBy(key).agg((F.sum("total") / F.sum("n")).alias("entropy"))
 
 
 def low_complexity_filter(reads: DataFrame, key: str, name: str, seq: str, least: float = 0.7, both: bool = True, k: int = 5, window: int = 20) -> DataFrame:
@@ -53,8 +77,9 @@ def near_matches(queries: DataFrame, db: DataFrame, query: str, db_id: str, seq:
     seeds = q.select("query", size.alias("len"), F.posexplode(F.array(*[block(F.col("query"), size, i) for i in range(n)])).alias("i", "seed"))
     lengths = q.select(size.alias("len")).distinct().agg(F.array_sort(F.collect_set("len")).alias("lens"))  # distinct lengths of short queries
     tiles = db.select(db_id, F.col(seq).alias("__s")).join(F.broadcast(lengths), how="cross").withColumn("len", F.explode("lens")).where(F.length("__s") >= F.col("len"))
-    tiles = tiles.select(db_id, "__s", "len", F.explode(F.sequence(F.lit(0), F.length("__s") - F.col("len"))).alias("at"))
-    tiles = tiles.select(db_id, "len", "at", F.substr("__s", F.col("at") + 1, F.col("len")).alias("found"))
+    tiles = _pieces(tiles, db_id, "__s", F.col("len"))
+    tiles = tiles.select(db_id, "len", "base", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - F.col("len"))).alias("k"))
+    tiles = tiles.select(db_id, "len", (F.col("base") + F.col("k")).alias("at"), F.substr("piece", F.col("k") + 1, F.col("len")).alias("found"))
     cut = tiles.select("*", F.posexplode(F.array(*[block(F.col("found"), F.col("len"), i) for i in range(n)])).alias("i", "seed"))
     t = cut.join(seeds, ["len", "i", "seed"]).select("query", db_id, "at", "found", "len").distinct()
     letters = lambda c: F.split(c, "")

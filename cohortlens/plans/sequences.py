@@ -50,9 +50,7 @@ def ud4(spark, d):
     return S.score_peptides(role(spark, d, "part"), "p_brand", "p_type", load).select(F.col("p_partkey").alias("k"), "rank")
 
 
-@Q.add("prj18_low_complexity", """with w as (select doc_id, text, unnest(range(1, length(text) - 18)) as i from documents), m as (select doc_id, i, list_transform(range(0, 16), lambda j: substr(text, i + j, 5)) as m from w),
- e as (select doc_id, avg(list_entropy(m)) / 4 as entropy from m group by doc_id), p as (select doc_id // 2 as pair from documents left join e using (doc_id) group by 1 having bool_or(coalesce(entropy, 1.0) >= 0.96))
- select doc_id, round(entropy, 6) as entropy from documents left join e using (doc_id) where doc_id // 2 in (select pair from p)""")
+@Q.add("prj18_low_complexity")
 def prj18(spark, d):
     """Whole texts as reads, two neighbours a pair; the limit is one that some of them fail."""
     reads = role(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 2).alias("pair"))

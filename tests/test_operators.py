@@ -146,3 +146,29 @@ def test_communities_and_hubness(spark):
     sig = spark.createDataFrame([("s1", "g"), ("s1", "h"), ("s2", "g"), ("s2", "h"), ("s3", "g")], "s string, g string")
     hub = {r["g"]: (r["n_signatures"], r["n_components"]) for r in T.hubness(sig, spark.createDataFrame([("g",), ("k",)], "g string"), "s", "g", 0.9).collect()}
     assert hub == {"g": (3, 2), "k": (0, 0)}
+
+
+def test_low_complexity_filter_equals_brute_force(spark):
+    from collections import Counter
+    from math import log2
+    from random import Random
+
+    from cohortlens.operators.search import low_complexity_filter
+
+    r = Random(3)
+    reads = [(k, k // 2, "".join(r.choice("ACGT"[: 1 + k % 4]) for _ in range(r.choice([10, 19, 20, 80, 700])))) for k in range(60)] + [(90, 45, "AC" * 30), (91, 45, "A" * 40), (92, 46, None)]
+
+    def entropy(s):
+        if s is None or len(s) < 20:
+            return None
+        windows = [s[i : i + 20] for i in range(len(s) - 19)]
+        one = lambda w: -sum(v / 16 * log2(v / 16) for v in Counter(w[j : j + 5] for j in range(16)).values()) / 4
+        return sum(map(one, windows)) / len(windows)
+
+    score = {k: entropy(s) for k, _, s in reads}
+    passed = lambda k: score[k] is None or score[k] >= 0.7
+    df = spark.createDataFrame(reads, "k int, name int, seq string")
+    for both, test in ((True, any), (False, all)):
+        got = {x["k"]: x["entropy"] for x in low_complexity_filter(df, "k", "name", "seq", both=both).collect()}
+        want = {k for k, name, _ in reads if test(passed(j) for j, n, _ in reads if n == name)}
+        assert set(got) == want and all((got[k] is None) == (score[k] is None) and (got[k] is None or abs(got[k] - score[k]) < 1e-9) for k in want)
