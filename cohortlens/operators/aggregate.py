@@ -96,7 +96,7 @@ def pseudobulk(cells: DataFrame, gene: str, subject: str, cls: str, count: str)
 
 
 def specificity(expression: DataFrame, gene: str, cls: str, value: str, classes: Sequence[str]) -> DataFrame:
-    """Two classes: ``log2_ratio`` (first over second in alphabetical order) and ``higher_in``; more: ``tau`` and ``dominant``.
+    """Two classes: ``log2_ratio`` (first over second in alphabetical order) and ``higher_in`` (the first if equal); more: ``tau`` and ``dominant``.
 
     A class without a row counts as 0; a gene that no class expresses has null tau.
     """
@@ -105,7 +105,7 @@ def specificity(expression: DataFrame, gene: str, cls: str, value: str, classes:
     x = [F.col(f"`{c}`").cast("double") for c in classes]
     if len(classes) == 2:
         ratio = F.log2((x[0] + 1) / (x[1] + 1))
-        return wide.select(gene, ratio.alias("log2_ratio"), F.when(ratio > 0, classes[0]).when(ratio < 0, classes[1]).otherwise("equal").alias("higher_in"))
+        return wide.select(gene, ratio.alias("log2_ratio"), F.when(ratio >= 0, classes[0]).otherwise(classes[1]).alias("higher_in"))
     top = F.greatest(*x)
     total = sum(x[1:], x[0])
     dominant = F.coalesce(*[F.when(v == top, F.lit(c)) for v, c in zip(x, classes)])
@@ -127,10 +127,14 @@ def attribute_alignments(hits: DataFrame, sample: str, primary: str, alternates:
     return hits.select(sample, F.explode(every).alias("contig")).groupBy(sample, "contig").agg(F.count("*").alias("n"))
 
 
-def wide_summary(counts: DataFrame, samples: DataFrame, sample: str, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """One row per sample and one column per key in the given order; a sample without rows stays, with nulls."""
-    wide = counts.groupBy(sample).pivot(key, list(order)).agg(F.sum(value))
-    return samples.select(sample).distinct().join(wide, sample, "left").select(sample, *[F.col(f"`{c}`") for c in order])
+def wide_summary(counts: DataFrame, samples: DataFrame, sample: str, key: str, value: str, order: Sequence[str], unknown: str = "unknown") -> DataFrame:
+    """One row per sample and one column per key: those in the catalogue's order, then others sorted, then ``unknown``
+    if any of its values is above 0; a sample without rows stays, with nulls."""
+    found = counts.groupBy(key).agg(F.max(value).alias("most")).where(F.col(key).isNotNull()).collect()  # a catalogue's keys
+    extras = sorted({r[key] for r in found} - {*order, unknown})
+    columns = [*order, *extras, *[r[key] for r in found if r[key] == unknown and (r["most"] or 0) > 0]]
+    wide = counts.groupBy(sample).pivot(key, columns).agg(F.sum(value))
+    return samples.select(sample).distinct().join(wide, sample, "left").select(sample, *[F.col(f"`{c}`") for c in columns])
 
 
 def fractions(counts: DataFrame, totals: DataFrame, sample: str, value: str, total: str, places: int = 6) -> DataFrame:
@@ -164,10 +168,18 @@ def sex_from_depth(auto, x, y) -> Column:
 
 
 def sex_from_markers(xist, y_panel, xist_min: float = 10.0, y_min: float = 20.0) -> Column:
-    """female, male, both or neither from marker CPM."""
+    """XX, XY, ambiguous_possible_XXY or ambiguous_low_signal from marker CPM; low signal where one is missing."""
     xist, y_panel = (F.col(c) if isinstance(c, str) else c for c in (xist, y_panel))
-    a, b = xist >= xist_min, y_panel >= y_min
-    return F.when(a & ~b, "female").when(b & ~a, "male").when(a & b, "both").otherwise("neither")
+    a, b = F.coalesce(xist >= xist_min, F.lit(False)), F.coalesce(y_panel >= y_min, F.lit(False))
+    return F.when(a & ~b, "XX").when(b & ~a, "XY").when(a & b, "ambiguous_possible_XXY").otherwise("ambiguous_low_signal")
+
+
+def sex_concordance(called, reported) -> Column:
+    """Whether a sex from markers agrees with the reported one (female, male or unknown)."""
+    called, reported = (F.col(c) if isinstance(c, str) else c for c in (called, reported))
+    expected = F.when(called == "XX", "female").when(called == "XY", "male")
+    told = F.coalesce(reported, F.lit("unknown"))
+    return F.when(told == "unknown", "no_reported_sex").when(expected.isNull(), "check_aneuploidy").when(told == expected, "concordant").otherwise("DISCORDANT")
 
 
 def marker_expression(counts: DataFrame, panel: DataFrame, sample: str, gene: str, count: str, order: str) -> DataFrame:
@@ -189,6 +201,30 @@ def panel_scores(values: DataFrame, panel: DataFrame, gene: str, region: str, do
     return scored.join(panel, gene).groupBy(donor, region, name).agg(F.avg("z").alias("score"))
 
 
+def panel_contrast(scores: DataFrame, donor: str, region: str, name: str, score: str, neuron: str, glia: Sequence[str]) -> DataFrame:
+    """Panel scores side by side, the mean of the ``glia`` panels that a donor and region has, and neuron minus glia."""
+    wide = scores.groupBy(donor, region).pivot(name, [neuron, *glia]).agg(F.first(score))
+    there = [F.col(f"`{c}`") for c in glia]
+    n = sum((c.isNotNull().cast("int") for c in there), F.lit(0))
+    mean = F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in there), F.lit(0.0)), n)
+    return wide.withColumn("glia", mean).withColumn("neuron_minus_glia", F.col(f"`{neuron}`") - F.col("glia"))
+
+
+#: Flag, metric, comparison, limit.
+QC_LIMITS = (("high_rrna", "rrna", ">", 0.10), ("low_mrna", "mrna", "<", 0.60), ("low_unique_reads", "unique_reads", "<", 10e6), ("high_contamination", "contamination_pct", ">", 0.01), ("high_species", "species_pct", ">", 0.001))
+
+
+def threshold_flags(rows: DataFrame, limits: Sequence[tuple[str, str, str, float]] = QC_LIMITS) -> DataFrame:
+    """Adds a flag for each limit whose metric is a column: true, false, or null where the value is no number."""
+    number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
+    return rows.withColumns({flag: number(c) > x if op == ">" else number(c) < x for flag, c, op, x in limits if c in rows.columns})
+
+
+def cross_table(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n): counts of the pairs of two columns' values."""
+    return rows.groupBy(a, b).agg(F.count("*").alias("n"))
+
+
 def qc_flags(rows: DataFrame, value: str, k: float = 3.0) -> DataFrame:
     """Adds ``high``: above the median plus k unscaled median absolute deviations over all rows; null where not a number."""
     x = F.col(value).try_cast("double")

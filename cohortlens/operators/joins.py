@@ -90,3 +90,18 @@ def cohort_matrix(calls: DataFrame, samples: DataFrame, site: Sequence[str], sam
     names = samples.agg(F.array_sort(F.collect_set(sample)).alias("__all"))
     grid = calls.select(*site).distinct().join(names, how="cross").select(*site, F.explode("__all").alias(sample))
     return grid.join(calls, [*site, sample], "left").withColumn(value, F.coalesce(value, F.lit(missing)))
+
+
+def prefix_contigs(rows: DataFrame, contig: str, pos: str, prefix: str = "chr") -> DataFrame:
+    """Rows with a numeric position, the contig's name prefixed, sorted by contig and position over range partitions."""
+    kept = rows.withColumn(pos, F.col(pos).try_cast("int")).where(F.col(pos).isNotNull()).withColumn(contig, F.concat(F.lit(prefix), contig))
+    return kept.repartitionByRange(contig, pos).sortWithinPartitions(contig, pos)
+
+
+def project_info(tables: Sequence[DataFrame], info: str, keep: Sequence[str]) -> DataFrame:
+    """The tables one below the other, in their order by ``contig_order``, with only the named keys of the info map."""
+    parts = [t.withColumn(info, F.map_filter(info, lambda k, _: k.isin(*keep))).withColumn("contig_order", F.lit(i)) for i, t in enumerate(tables)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -105,9 +105,26 @@ def specificity_counts(rows: DataFrame, pathway: str, donor: str, padj: str, sco
     return t.groupBy(pathway).agg(F.count_if(F.col(padj) <= most).alias("n_significant"), F.count_if(F.col(padj) <= F.col("own_p")).alias("n_better"), F.min((F.col("own") - F.col(score)) * sign).alias("gap"))
 
 
-def top_n_per_group(rows: DataFrame, group: str, value: str, tie: str, n: DataFrame | int) -> DataFrame:
-    """The best n rows of each group; n is a number or a table (group, n), and groups without one are dropped."""
-    rows = rows.withColumn("n", F.lit(n)) if isinstance(n, int) else rows.join(F.broadcast(n.select(group, "n")), group)
+def group_order(rows: DataFrame, group: str, value: str, first: Sequence[str] = ()) -> DataFrame:
+    """(group, place): the groups in ``first`` in that order, then the others by their best value, then by name."""
+    best = rows.groupBy(group).agg(F.max(value).alias("__best"))
+    listed = F.array_position(F.array(*map(F.lit, first)), F.col(group)) if first else F.lit(0).cast("long")
+    rank = F.row_number().over(Window.orderBy(F.when(listed > 0, listed).otherwise(len(first) + 1), F.col("__best").desc(), group))  # one row a group
+    return best.select(group, rank.alias("place"))
+
+
+def top_n_per_group(rows: DataFrame, group: str, value: str, tie: str, n: DataFrame | int | Sequence[int], first: Sequence[str] = ()) -> DataFrame:
+    """The best n rows of each group, with their ``place``.
+
+    n is a number, a table (group, n), or a list that goes to the groups by their order (:func:`group_order`); groups
+    without one are dropped.
+    """
+    if isinstance(n, int):
+        rows = rows.withColumn("n", F.lit(n))
+    else:
+        if not isinstance(n, DataFrame):
+            n = group_order(rows, group, value, first).select(group, F.get(F.array(*map(F.lit, n)), F.col("place") - 1).alias("n")).where("n is not null")
+        rows = rows.join(n.select(group, "n"), group)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(value).desc(), tie))
     return rows.withColumn("place", place).where("place <= n").drop("n")
 
@@ -120,6 +137,12 @@ def top_up_down(rows: DataFrame, group: str, es: str, padj: str, tie: str, k: in
     return up.unionByName(down.withColumn("place", -F.col("place")).withColumn("direction", F.lit("down")))
 
 
+def top_with_candidate(rows: DataFrame, group: str, es: str, padj: str, tie: str, leading: str, candidates: Sequence, k: int = 12, most: float = 0.05) -> DataFrame:
+    """The same over the sets that are significant and have a candidate in their leading edge."""
+    hit = F.arrays_overlap(F.col(leading), F.array(*map(F.lit, candidates)))
+    return top_up_down(rows.where((F.col(padj) < most) & hit), group, es, padj, tie, k)
+
+
 def duplicate_columns(rows: DataFrame, donor: str, key: str, value: str, within: float = 1e-10) -> DataFrame:
     """Pairs of donors whose values agree on all keys. Donors are a cohort's, so the pairs of one key are few."""
     a = rows.select(F.col(donor).alias("donor_a"), key, F.col(value).alias("__a"))

@@ -179,16 +179,17 @@ def prj21(spark, d):
 
 @Q.add("prj23_prefix_contigs", """select 'chr' || (p_size % 23) as contig, cast(p_partkey as int) as pos, count(*) as n from part where p_partkey % 7 <> 0 group by 1, 2""")
 def prj23(spark, d):
-    raw = role(spark, d, "part").select((F.col("p_size") % 23).cast("string").alias("c"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_partkey").cast("string")).alias("p"))
-    rows = raw.where(F.col("p").try_cast("int").isNotNull()).select(F.concat(F.lit("chr"), "c").alias("contig"), F.col("p").cast("int").alias("pos"))
-    return rows.groupBy("contig", "pos").agg(F.count("*").alias("n")).repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos")
+    raw = role(spark, d, "part").select((F.col("p_size") % 23).cast("string").alias("contig"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_partkey").cast("string")).alias("pos"))
+    return J.prefix_contigs(raw, "contig", "pos").groupBy("contig", "pos").agg(F.count("*").alias("n"))
 
 
-@Q.add("prj24_project_info", "select p_partkey as k, 'AF' as field, cast(p_size / 100.0 as varchar) as value from part where p_size % 2 = 0 union all select p_partkey, 'AN', cast(p_size * 2 as varchar) from part")
+@Q.add("prj24_project_info", """with t as (select p_partkey as k, 'AF' as field, cast(p_size / 100.0 as varchar) as value from part where p_size % 2 = 0 union all select p_partkey, 'AN', cast(p_size * 2 as varchar) from part)
+ select k, field, value, cast(k % 2 as int) as contig_order from t""")
 def prj24(spark, d):
     info = F.concat_ws(";", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("AF="), (F.col("p_size") / 100.0).cast("string"))), F.concat(F.lit("AN="), (F.col("p_size") * 2).cast("string")), F.lit("DB=1"))
     rows = role(spark, d, "part").select(F.col("p_partkey").alias("k"), F.str_to_map(info, F.lit(";"), F.lit("=")).alias("info"))
-    return rows.select("k", F.explode(F.map_filter("info", lambda key, _: key.isin("AF", "AN"))).alias("field", "value"))
+    contigs = [rows.where(F.col("k") % 2 == i) for i in range(2)]
+    return J.project_info(contigs, "info", ["AF", "AN"]).select("k", F.explode("info").alias("field", "value"), "contig_order")
 
 
 @Q.add("prj26_last_bracket", "select p_partkey as k, case when p_partkey % 3 = 0 then 'unknown' else p_type end as org from part")
@@ -331,6 +332,14 @@ def ag12(spark, d):
     return A.specificity(rows, "gene", "cls", "cnt", ["c0", "c1", "c2"]).withColumn("tau", F.round("tau", 6))
 
 
+@Q.add("ag12_two_classes", """select p_brand as gene, case when a >= b then 'a' else 'b' end as higher_in, round(log2((a + 1) / cast(b + 1 as double)), 6) as log2_ratio
+ from (select p_brand, cast(count(*) filter (p_size % 2 = 0) as bigint) as a, cast(count(*) filter (p_size % 2 = 1) as bigint) as b from part where p_size <= 6 group by 1) t""")
+def ag12b(spark, d):
+    """Small parts only, so that classes are equal now and then."""
+    rows = role(spark, d, "part").where("p_size <= 6").select("p_brand", F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("cls"), F.lit(1).alias("x"))
+    return A.specificity(rows.withColumnRenamed("p_brand", "gene"), "gene", "cls", "x", ["a", "b"]).select("gene", "higher_in", F.round("log2_ratio", 6).alias("log2_ratio"))
+
+
 @Q.add("ag13_group_expression", using("r_counts") + """ select p_type as grp, count(*) as n, round(avg(coalesce(cnt, 0)), 6) as mean, count(*) filter (cnt > 0) as n_pos, round(100.0 * count(*) filter (cnt > 0) / count(*), 6) as pct_pos
  from part left join (select gene, cnt from r_counts where sample = 1) t on gene = p_partkey group by p_type""")
 def ag13(spark, d):
@@ -348,11 +357,12 @@ def ag14(spark, d):
     return A.attribute_alignments(role(spark, d, "r_hits"), "sample", "prim", "alts")
 
 
-@Q.add("ag15_wide_summary", using("r_hits") + _ATT + """ select s.sample, sum(n) filter (contig = 'view') as view, sum(n) filter (contig = 'other') as other, sum(n) filter (contig = 'none') as none
- from (select distinct o_custkey % 24 as sample from orders) s left join n on n.sample = s.sample group by s.sample""")
+@Q.add("ag15_wide_summary", using("r_hits") + _ATT + """ select s.sample, sum(n) filter (contig = 'view') as view, sum(n) filter (contig = 'none') as none, sum(n) filter (contig = 'click') as click, sum(n) filter (contig = 'other') as other,
+ sum(n) filter (contig = 'purchase') as purchase, sum(n) filter (contig = 'signup') as signup, sum(n) filter (contig = 'error') as unknown from (select distinct o_custkey % 24 as sample from orders) s left join n on n.sample = s.sample group by s.sample""")
 def ag15(spark, d):
     samples = role(spark, d, "orders").select((F.col("o_custkey") % 24).alias("sample"))
-    return A.wide_summary(ag14(spark, d), samples, "sample", "contig", "n", ["view", "other", "none"])
+    counts = ag14(spark, d).withColumn("contig", F.when(F.col("contig") == "error", "unknown").otherwise(F.col("contig")))
+    return A.wide_summary(counts, samples, "sample", "contig", "n", ["view", "none"])
 
 
 @Q.add("ag16_fractions", using("r_hits") + _ATT + ", t as (select sample, case when sample % 5 = 0 then 0 else count(*) end as total from r_hits group by sample) select sample, contig, case when total > 0 then round(n / cast(total as double), 6) end as fraction from n left join t using (sample)")
@@ -362,12 +372,19 @@ def ag16(spark, d):
 
 
 @Q.add("ag21_sex_markers", using("r_counts") + """, m as (select sample, sum(cnt) filter (gene % 97 = 1) * 1e6 / sum(cnt) as x, sum(cnt) filter (gene % 101 = 2) * 1e6 / sum(cnt) as y from r_counts group by sample)
- select sample, case when x >= 10500 and not y >= 9800 then 'female' when y >= 9800 and not x >= 10500 then 'male' when x >= 10500 and y >= 9800 then 'both' else 'neither' end as sex from m""")
+ select sample, case when x >= 10500 and not y >= 9800 then 'XX' when y >= 9800 and not x >= 10500 then 'XY' when x >= 10500 and y >= 9800 then 'ambiguous_possible_XXY' else 'ambiguous_low_signal' end as sex from m""")
 def ag21(spark, d):
     m = role(spark, d, "r_counts").groupBy("sample").agg((F.sum(F.when(F.col("gene") % 97 == 1, F.col("cnt"))) * 1e6 / F.sum("cnt")).alias("x"), (F.sum(F.when(F.col("gene") % 101 == 2, F.col("cnt"))) * 1e6 / F.sum("cnt")).alias("y"))
     return m.select("sample", A.sex_from_markers("x", "y", 10500, 9800).alias("sex"))
 
 
+@Q.add("ag21_sex_concordance", "with t as (" + Q.oracles["ag21_sex_markers"] + """), r as (select sample, sex, case sample % 4 when 0 then 'male' when 1 then 'female' when 2 then 'unknown' end as reported from t) select sample, sex, reported,
+ case when coalesce(reported, 'unknown') = 'unknown' then 'no_reported_sex' when sex not in ('XX', 'XY') then 'check_aneuploidy' when (sex = 'XX') = (reported = 'female') then 'concordant' else 'DISCORDANT' end as concordance from r""")
+def ag21b(spark, d):
+    reported = F.element_at(F.array(F.lit("male"), F.lit("female"), F.lit("unknown"), F.lit(None)), (F.col("sample") % 4 + 1).cast("int"))
+    return ag21(spark, d).withColumn("reported", reported).withColumn("concordance", A.sex_concordance("sex", "reported"))
+
+
 @Q.add("ag22_marker_expression", using("r_counts") + """, p as (select p_partkey as gene, p_partkey as ord from part where p_partkey % 100 = 7), l as (select sample, sum(cnt) as lib from r_counts group by sample)
  select l.sample, ord, p.gene, coalesce(cnt, 0) as cnt, round(coalesce(cnt, 0) * 1e6 / lib, 6) as cpm, round(log2(coalesce(cnt, 0) * 1e6 / lib + 1), 6) as log2cpm from l cross join p left join r_counts c on c.sample = l.sample and c.gene = p.gene""")
 def ag22(spark, d):
@@ -384,11 +401,27 @@ def ag23(spark, d):
     return A.panel_scores(values, panel, "gene", "region", "donor", "cnt", "panel").withColumn("score", F.round("score", 6))
 
 
+@Q.add("ag23_panel_contrast", "with s as (" + Q.oracles["ag23_panel_scores"].replace("with ", "with ", 1) + """), w as (select donor, region, max(score) filter (panel = 'PROMO') as n, max(score) filter (panel = 'SMALL') as a, max(score) filter (panel = 'LARGE') as b from s group by 1, 2)
+ select donor, region, n as "PROMO", a as "SMALL", b as "LARGE", round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as glia, round(n - (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as neuron_minus_glia from w""")
+def ag23b(spark, d):
+    out = A.panel_contrast(ag23(spark, d), "donor", "region", "panel", "score", "PROMO", ["SMALL", "LARGE"])
+    return out.withColumns({c: F.round(c, 6) for c in ("glia", "neuron_minus_glia")})
+
+
 @Q.add("ag24_qc_flags", using("r_qc") + ", a as (select median(m2) as m from r_qc), b as (select median(abs(m2 - m)) as dv from r_qc, a) select sample, n, m2 > m + 3 * dv as high from r_qc, a, b")
 def ag24(spark, d):
     return A.qc_flags(role(spark, d, "r_qc"), "m2").select("sample", "n", "high")
 
 
+@Q.add("ag24_threshold_flags", """select p_partkey as k, p_size / 100.0e0 > 0.10 as high_rrna, case when p_partkey % 5 > 0 then p_size / 50.0e0 < 0.60 end as low_mrna, p_retailprice * 10000 < 10000000 as low_unique_reads,
+ p_size / 1000.0e0 > 0.01 as high_contamination, case when p_partkey % 3 > 0 then p_size / 10000.0e0 > 0.001 end as high_species from part""")
+def ag24b(spark, d):
+    text = lambda c, test: F.when(test, c.cast("string")).otherwise("NA")
+    rows = role(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") / 100.0).alias("rrna"), text(F.col("p_size") / 50.0, F.col("p_partkey") % 5 > 0).alias("mrna"), (F.col("p_retailprice") * 10000).alias("unique_reads"),
+                                         (F.col("p_size") / 1000.0).alias("contamination_pct"), text(F.col("p_size") / 10000.0, F.col("p_partkey") % 3 > 0).alias("species_pct"))
+    return A.threshold_flags(rows).select("k", *[flag for flag, *_ in A.QC_LIMITS])
+
+
 @Q.add("ag25_fraction_summary", "select l_returnflag as region, round(coalesce(avg(l_discount) filter (l_linestatus = 'F'), 0), 6) as F, round(coalesce(avg(l_discount) filter (l_linestatus = 'O'), 0), 6) as O, round(coalesce(avg(l_discount) filter (l_linestatus = 'Z'), 0), 6) as Z from lineitem group by 1")
 def ag25(spark, d):
     out = A.fraction_summary(role(spark, d, "lineitem").withColumnRenamed("l_returnflag", "region"), ["region"], "l_linestatus", "l_discount", ["F", "O", "Z"])
@@ -405,3 +438,8 @@ def ag26(spark, d):
 @Q.add("ag27_column_profile", "select 'p_type' as \"column\", p_type as value, count(*) as n from part group by p_type union all select 'p_brand', p_brand, count(*) from part group by p_brand union all select 'p_size', cast(p_size as varchar), count(*) from part group by p_size")
 def ag27(spark, d):
     return A.column_profile(role(spark, d, "part"), ["p_type", "p_brand", "p_size", "p_partkey"])
+
+
+@Q.add("ag27_cross_table", "select p_type, p_brand, count(*) as n from part group by 1, 2")
+def ag27b(spark, d):
+    return A.cross_table(role(spark, d, "part"), "p_type", "p_brand")

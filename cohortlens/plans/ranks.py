@@ -87,6 +87,13 @@ def wn9(spark, d):
     return R.top_n_per_group(rows, "g", "v", "k", n)
 
 
+@Q.add("wn9_positional", """with o as (select p_type as g, max(p_retailprice) as best from part group by 1), q as (select g, row_number() over (order by case g when 'SMALL' then 1 when 'PROMO' then 2 else 3 end, best desc, g) as m from o),
+ t as (select p_type as g, p_partkey as k, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) as place from part) select t.g, k, cast(place as int) as place from t join q on q.g = t.g where place <= case m when 1 then 4 when 2 then 2 when 3 then 7 end""")
+def wn9b(spark, d):
+    rows = role(spark, d, "part").select(F.col("p_type").alias("g"), F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    return R.top_n_per_group(rows, "g", "v", "k", [4, 2, 7], first=["SMALL", "PROMO"]).select("g", "k", "place")
+
+
 @Q.add("wn10_top_up_down", using("r_z") + f""", x as ({_DP}), u as (select *, row_number() over (partition by donor, z > 0 order by padj, gene) as n from x where z <> 0)
  select donor, gene, cast(case when z > 0 then n else -n end as int) as place, case when z > 0 then 'up' else 'down' end as direction from u where n <= 12""")
 def wn10(spark, d):
@@ -94,6 +101,13 @@ def wn10(spark, d):
     return R.top_up_down(rows, "donor", "z", "padj", "gene", 12).select("donor", "gene", "place", "direction")
 
 
+@Q.add("wn10_with_candidate", using("r_z") + f""", x as ({_DP}), u as (select *, row_number() over (partition by donor, z > 0 order by padj, gene) as n from x where z <> 0 and padj < 0.05 and (gene % 4 = 1 or gene % 3 = 1))
+ select donor, gene, cast(case when z > 0 then n else -n end as int) as place, case when z > 0 then 'up' else 'down' end as direction from u where n <= 12""")
+def wn10b(spark, d):
+    rows = role(spark, d, "r_z").withColumn("padj", (F.col("gene") * 31 + F.col("donor") * 17) % 100 / 100.0).withColumn("edge", F.array(F.col("gene") % 4, F.col("gene") % 3 + 10))
+    return R.top_with_candidate(rows, "donor", "z", "padj", "gene", "edge", [1, 11]).select("donor", "gene", "place", "direction")
+
+
 @Q.add("wn11_duplicate_columns", """select a.d as donor_a, b.d as donor_b from (values (0), (1), (2), (3), (4), (5)) a(d), (values (0), (1), (2), (3), (4), (5)) b(d) where a.d < b.d and a.d % 3 = b.d % 3 and (select count(*) from part) > 0""")
 def wn11(spark, d):
     rows = role(spark, d, "part").select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("donor"), "p_partkey", "p_size").withColumn("x", F.col("p_size") * (F.col("donor") % 3 + 1))
