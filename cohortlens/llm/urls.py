@@ -5,11 +5,14 @@ suffixes, suffixes to one root. At each level a beta-binomial prior centred on t
 the counts; its strength is fitted by the method of moments over the children of that level. A page is blocked if
 the lower bound of its host's posterior badness is above a limit. Rules over host and path come first.
 
-Outcomes are counted once per host in one aggregation; the reputation of hosts joins back to pages by host.
+Outcomes are counted once per host in one aggregation; the reputation of hosts joins back to pages by host. Where no
+labels are given, outcomes are measured on the pages themselves (:func:`page_outcomes`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.runtime import Scratch
@@ -18,10 +21,9 @@ from cohortlens.runtime import Scratch
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Suffixes of two labels; all others have one.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn", "com.mx")
-
-
-#: Terms that mark a URL as spam when outcomes are labelled.
-SPAM_TERMS = ("casino", "bets", "betting", "pills", "poker", "jackpot", "viagra", "payday", "xxx")
+#: A page is bad if fewer than so many visible words are left, the text is a smaller share of the markup, there are more
+#: links for a word, or the same visible text stands on so many pages.
+LEAST_WORDS, LEAST_SHARE, MOST_LINKS, MOST_PAGES = 20, 0.05, 0.5, 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -44,11 +46,11 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def domain_of(host: Column) -> tuple[Column, Column]:
+def domain_of(host: Column, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> tuple[Column, Column]:
     """Registered domain and suffix of a host; a host without a dot is both."""
     two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*DOUBLE_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*DOUBLE_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    suffix = F.when(two.isin(*double_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    domain = F.when(two.isin(*double_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
     return domain, suffix
 
 
@@ -64,7 +66,7 @@ def _strength(children: DataFrame, mean: Column) -> Column:
     return F.least(F.greatest(1 / F.greatest(rho, F.lit(0.001)) - 1, F.lit(1.0)), F.lit(1000.0))
 
 
-def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad", z: float = 2.0) -> DataFrame:
+def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad", z: float = 2.0, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
     """(host, n, bad, posterior, lower): shrunk badness of each host and its lower bound.
 
     ``bad_col`` is 1 or 0; rows with a null outcome give their host a place without counting. The bound is ``z``
@@ -72,7 +74,7 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
     """
     scratch = Scratch(outcomes.sparkSession, "hosts")
     host = F.coalesce(F.col(host_col), F.lit(""))
-    domain, suffix = domain_of(F.col("host"))
+    domain, suffix = domain_of(F.col("host"), double_suffixes)
     hosts = outcomes.groupBy(host.alias("host")).agg(F.count(bad_col).alias("n"), F.coalesce(F.sum(bad_col), F.lit(0)).cast("long").alias("bad"))
     hosts = scratch.keep(hosts.select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     root = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"] or 0.5
@@ -91,29 +93,41 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
     return leaves.select("host", "n", "bad", mean.alias("posterior"), F.greatest(mean - z * sd, F.lit(0.0)).alias("lower"))
 
 
-def page_outcome(url: Column, html: Column) -> Column:
-    """1 for a page that looks like spam, else 0; null if there is no html and the URL says nothing.
+def page_outcomes(pages: DataFrame, scratch: Scratch, html_col: str = "html") -> DataFrame:
+    """Adds ``bad``: 1 or 0 by what is measured on a page, null where there is no html.
 
-    It stands in for human labels, which no table has: a spam term in the URL, or under 80 letters of visible text.
+    It stands in for human labels, which no table has. Measured are visible words, the share of visible text in the
+    markup, links for a word, and on how many pages the same visible text stands.
     """
-    text = F.length(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " "))
-    spam = F.coalesce(F.lower(url).rlike("|".join(SPAM_TERMS)), F.lit(False))
-    return F.when(spam | (text < 80), 1).when(html.isNotNull(), 0).cast("int")
-
-
-def judge_urls(pages: DataFrame, limit: float = 0.5, rules=RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None) -> DataFrame:
+    html = F.col(html_col)
+    visible = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " "), r"\s+", " "))
+    rows = pages.withColumn("__text", visible)
+    words = F.when(F.col("__text") == "", 0).otherwise(F.size(F.split("__text", " ")))
+    links = F.size(F.split(F.lower(html), "<a ")) - 1
+    thin = (words < LEAST_WORDS) | (F.length("__text") < LEAST_SHARE * F.length(html)) | (links > MOST_LINKS * words)
+    rows = scratch.keep(rows.select("*", F.xxhash64("__text").alias("__body"), thin.alias("__thin")).drop("__text", html_col), "pages")
+    often = scratch.keep(rows.where("__thin is not null").groupBy("__body").count().where(F.col("count") >= MOST_PAGES).select("__body", F.lit(True).alias("__often")), "often")
+    bad = (F.col("__thin") | F.coalesce("__often", F.lit(False))).cast("int")
+    return rows.join(often, "__body", "left").withColumn("bad", bad).drop("__body", "__thin", "__often")
+
+
+def judge_urls(pages: DataFrame, limit: float = 0.5, rules=RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
     """(id_col, host, path, rule, verdict, posterior, lower) for every page.
 
     The longest rule that fits decides; else a page is blocked if its host's lower bound of badness is above
-    ``limit``. A null URL, or one without ``://``, has an empty host and path and is judged as the host ''. Rows
-    that repeat an id are pages of their own. An empty table gives an empty one.
+    ``limit``. ``outcome`` gives a page's label (1 bad, 0 good, null unknown); without it labels are measured. A null
+    URL, or one without ``://``, has an empty host and path and is judged as the host ''. Rows that repeat an id are
+    pages of their own; other columns are ignored. An empty table gives an empty one.
     """
     host, path = url_parts(F.col(url_col))
-    bad = page_outcome(F.col(url_col), F.col("html")) if outcome is None else outcome
-    seen = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), bad.alias("bad"))
     scratch = Scratch(pages.sparkSession, "urls")
+    named = [F.col(id_col), host.alias("host"), path.alias("path")]
+    if outcome is None:
+        seen = page_outcomes(pages.select(*named, F.col("html").alias("__html")), scratch, "__html")
+    else:
+        seen = pages.select(*named, outcome.cast("int").alias("bad"))
     seen = scratch.keep(seen, "seen")
-    judged = scratch.keep(host_reputation(seen), "judged").select("host", "posterior", "lower")
+    judged = scratch.keep(host_reputation(seen, double_suffixes=double_suffixes), "judged").select("host", "posterior", "lower")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return seen.join(judged, "host").select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "posterior", "lower")

@@ -393,7 +393,7 @@ def test_packing(spark, none, docs):
 
 def test_urls(spark):
     rows = [(1, "http://A.Com/x?y", "<p>" + "word " * 50), (2, "https://www.example.com/en/1", None), (3, "http://example.com/en/1#a", ""), (4, "nothing", "x"), (5, None, None), (6, "http://x.net/es/", "y"), (7, "http://net/fr/1", "y"), (8, "http://com", "z"), (9, "ftp://h?q/://", "z")]
-    rows += [(100 + k, f"http://casino.bad.org/{k}", "<p>x") for k in range(40)] + [(200 + k, f"http://good.org/{k}", "<p>" + "text " * 60) for k in range(40)]
+    rows += [(100 + k, f"http://thin.bad.org/{k}", "<p>x") for k in range(40)] + [(200 + k, f"http://good.org/{k}", f"<p>page {k} " + "text " * 60) for k in range(40)] + [rows[0], (300, "http://same.org/a", "<p>" + "copy " * 60)] * 9
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {1: ("a.com", "/x", "com/", "allow"), 2: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 3: ("example.com", "/en/1", "example.com/en/", "block"), 6: ("x.net", "/es/", "net/es/", "block"), 7: ("net", "/fr/1", "net/fr/", "block")}
     for k, v in want.items():
@@ -433,6 +433,50 @@ def test_labellers_equal_a_plain_expectation_maximisation():
     assert ((post > 0.5) == good).mean() > 0.95
 
 
+def test_reputation_equals_the_formula(spark):
+    """Posteriors and bounds by plain code over hosts, domains and suffixes."""
+    r = random.Random(9)
+    hosts = {f"{h}.{d}.{x}": r.randint(1, 30) for x in ("org", "co.uk") for d in "pq" for h in "abc"} | {"": 4}
+    rows = [(h, int(r.random() < (0.8 if ".p." in h else 0.1))) for h, n in hosts.items() for _ in range(n)] + [("lone.org", None)]
+    got = {x["host"]: x for x in urls.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    n, bad = {}, {}
+    for h, b in rows:
+        n[h], bad[h] = n.get(h, 0) + (b is not None), bad.get(h, 0) + (b or 0)
+    domain = lambda h: ".".join(h.split(".")[-3:]) if h.endswith(".co.uk") else ".".join(h.split(".")[-2:])
+    suffix = lambda h: "co.uk" if h.endswith(".co.uk") else h.split(".")[-1]
+
+    def strength(children, mean):
+        pairs = [(n_, b, mean[k]) for k, (n_, b) in children.items() if n_]
+        spread = sum(n_ * (b / n_ - m) ** 2 - m * (1 - m) for n_, b, m in pairs)
+        share = sum((n_ - 1) * m * (1 - m) for n_, _, m in pairs)
+        rho = min(spread / share, 0.999) if share > 0 and spread > 0 else 0.001
+        return min(max(1 / max(rho, 0.001) - 1, 1), 1000)
+
+    def level(name):
+        out = {}
+        for h in n:
+            a = out.setdefault(name(h), [0, 0])
+            a[0] += n[h]
+            a[1] += bad[h]
+        return out
+
+    root = (sum(bad.values()) + 1) / (sum(n.values()) + 2)
+    s1 = level(suffix)
+    s = strength(s1, dict.fromkeys(s1, root))
+    up = {k: (b + root * s) / (n_ + s) for k, (n_, b) in s1.items()}
+    d1 = level(domain)
+    of = {domain(h): up[suffix(h)] for h in n}
+    s = strength(d1, of)
+    up = {k: (b + of[k] * s) / (n_ + s) for k, (n_, b) in d1.items()}
+    h1 = {h: (n[h], bad[h]) for h in n}
+    of = {h: up[domain(h)] for h in n}
+    s = strength(h1, of)
+    for h in n:
+        mean = (bad[h] + of[h] * s) / (n[h] + s)
+        low = max(mean - 2 * (mean * (1 - mean) / (n[h] + s + 1)) ** 0.5, 0)
+        assert abs(got[h]["posterior"] - mean) < 1e-9 and abs(got[h]["lower"] - low) < 1e-9
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     """Null and repeated ids, near copies and repeated passages; every stage held against plain code on its own input."""
     import corpus_pipeline
