@@ -22,8 +22,9 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Suffixes of two labels; all others have one.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn", "com.mx")
 #: A page is bad if fewer than so many visible words are left, the text is a smaller share of the markup, there are more
-#: links for a word, or the same visible text stands on so many pages.
-LEAST_WORDS, LEAST_SHARE, MOST_LINKS, MOST_PAGES = 20, 0.05, 0.5, 5
+#: links for a word, more of the text are signs (neither letters, digits, blanks nor common punctuation), or the same
+#: visible text stands on so many pages.
+LEAST_WORDS, LEAST_SHARE, MOST_LINKS, MOST_SIGNS, MOST_PAGES = 20, 0.05, 0.5, 0.1, 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -97,14 +98,15 @@ def page_outcomes(pages: DataFrame, scratch: Scratch, html_col: str = "html") ->
     """Adds ``bad``: 1 or 0 by what is measured on a page, null where there is no html.
 
     It stands in for human labels, which no table has. Measured are visible words, the share of visible text in the
-    markup, links for a word, and on how many pages the same visible text stands.
+    markup, links for a word, the share of signs, and on how many pages the same visible text stands.
     """
     html = F.col(html_col)
     visible = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " "), r"\s+", " "))
     rows = pages.withColumn("__text", visible)
     words = F.when(F.col("__text") == "", 0).otherwise(F.size(F.split("__text", " ")))
     links = F.size(F.split(F.lower(html), "<a ")) - 1
-    thin = (words < LEAST_WORDS) | (F.length("__text") < LEAST_SHARE * F.length(html)) | (links > MOST_LINKS * words)
+    signs = F.length(F.regexp_replace("__text", r"""[\p{L}\p{N}\s.,;:!?'"()-]+""", ""))
+    thin = (words < LEAST_WORDS) | (F.length("__text") < LEAST_SHARE * F.length(html)) | (links > MOST_LINKS * words) | (signs > MOST_SIGNS * F.length("__text"))
     rows = scratch.keep(rows.select("*", F.xxhash64("__text").alias("__body"), thin.alias("__thin")).drop("__text", html_col), "pages")
     often = scratch.keep(rows.where("__thin is not null").groupBy("__body").count().where(F.col("count") >= MOST_PAGES).select("__body", F.lit(True).alias("__often")), "often")
     bad = (F.col("__thin") | F.coalesce("__often", F.lit(False))).cast("int")
