@@ -104,8 +104,8 @@ def leave_one_out(ranked: DataFrame, sets: DataFrame, candidates: DataFrame, set
     """The enrichment test once for each candidate gene, without it in ranking and sets: one job, ``left_out`` as key."""
     each = candidates.select(F.col(gene).alias("left_out")).distinct()
     w = Window.partitionBy("left_out").orderBy("rank")
-    r = ranked.join(F.broadcast(each), how="cross").where(F.col(gene) != F.col("left_out")).withColumn("rank", F.row_number().over(w))
-    s = sets.join(F.broadcast(each), how="cross").where(F.col(gene) != F.col("left_out"))
+    r = ranked.join(each, how="cross").where(F.col(gene) != F.col("left_out")).withColumn("rank", F.row_number().over(w))
+    s = sets.join(each, how="cross").where(F.col(gene) != F.col("left_out"))
     return enrichment_test(r, s, ["left_out"], set_col, gene, **how)
 
 

@@ -27,10 +27,12 @@ def overlap_pairs(a: DataFrame, b: DataFrame, contig: str = "contig", start: str
     return joined.where(inside & once).drop("__bin", "__bbin")
 
 
-def count_overlaps(reads: DataFrame, regions: DataFrame, record: str, keys: Sequence[str], **how) -> DataFrame:
-    """Records that overlap each region, per further keys of the reads; a record counts once per region."""
+def count_overlaps(reads: DataFrame, regions: DataFrame, record: str, keys: Sequence[str], unique: bool = False, **how) -> DataFrame:
+    """Records that overlap each region, per further keys of the reads; a record counts once per region.
+
+    With ``unique`` each record is one row of reads and each region one row, so pairs are counted as they are."""
     t = overlap_pairs(reads, regions, **how)
-    return t.groupBy(*keys).agg(F.count_distinct(record).alias("n"))
+    return t.groupBy(*keys).agg((F.count("*") if unique else F.count_distinct(record)).alias("n"))
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame, contig: str = "contig", start: str = "s", end: str = "e", **how) -> DataFrame:

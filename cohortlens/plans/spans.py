@@ -15,7 +15,7 @@ _OV = "r_reads.contig = r_regions.contig and r_reads.s < r_regions.e and r_regio
 @Q.add("jn9_count_overlaps", using("r_reads", "r_regions") + f" select sample, region_id, count(distinct rid) as n from r_reads join r_regions on {_OV} where mapq >= 20 and flag & 1028 = 0 group by 1, 2")
 def jn9(spark, d):
     reads = role(spark, d, "r_reads").where(passes_read_filter("flag", "mapq", 20, 1028))
-    return I.count_overlaps(reads, role(spark, d, "r_regions"), "rid", ["sample", "b_region_id"]).withColumnRenamed("b_region_id", "region_id")
+    return I.count_overlaps(reads, role(spark, d, "r_regions"), "rid", ["sample", "b_region_id"], unique=True).withColumnRenamed("b_region_id", "region_id")
 
 
 @Q.add("jn10_intersect_intervals", using("r_reads", "r_regions") + f" select rid, r_reads.contig, greatest(r_reads.s, r_regions.s) as s, least(r_reads.e, r_regions.e) as e, count(*) as n from r_reads join r_regions on {_OV} group by all")
