@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     def with_least(rows: DataFrame, label: str) -> DataFrame:
         """Each edge and the smallest neighbour m of its u; the minima are written first, so that the join reads
         both sides from plain exchanges, whose partitions Spark splits where a hub makes them large."""
-        return rows.join(scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m")), label), "u")
+        return rows.join(scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m")), label, tidy=False), "u")
 
     while True:
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, f"up{turn}").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = scratch.keep(large, f"large{turn}")
+        large = scratch.keep(large, f"large{turn}", tidy=False)
         small = with_least(large, f"down{turn}")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = scratch.keep(small.distinct(), f"small{turn}")

@@ -41,14 +41,15 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Writes df under label and returns the written table."""
+    def keep(self, df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
+        """Writes df under label and returns the written table; ``tidy`` false leaves the garbage to a later call."""
         path = f"{self.base}/{label}"
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if tidy:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
