@@ -12,6 +12,7 @@ has not seen.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,13 +34,21 @@ OWN, LENT = 7, 2
 _CACHE = 400_000
 
 
-def features(word: bytes) -> list[int]:
+_MASK = 2**BITS - 1
+_DIGIT = re.compile(rb"[0-9]")
+#: Start values that tell the kinds of features apart.
+_WORD, _P3, _P4, _P5, _P6, _END, _SHAPE, _AFTER, _AFTER4, _BEFORE, _BEFORE4 = (crc32(x) for x in (b"w", b"3", b"4", b"5", b"6", b"s", b"h", b"<", b"<4", b">", b">4"))
+
+
+def features(word: bytes) -> tuple[int, ...]:
     """Slots of a token's own features, of those it lends to the token after it, and to the one before it."""
     text = word.decode("utf-8", "replace")
     core = text.strip(".,;:!?\"'()[]*|&%$#").lower()
-    shape = f"{text[:1].isupper():d}{text[1:].isupper():d}{any(c.isdigit() for c in text):d}{core != text.lower():d}"
-    named = (f"w{core}", f"3{core[:3]}", f"4{core[:4]}", f"5{core[:5]}", f"6{core[:6]}", f"s{core[-3:]}", f"h{shape}", f"<{core}", f"<{core[:4]}", f">{core}", f">{core[:4]}")
-    return [crc32(x.encode()) & (2**BITS - 1) for x in named]
+    b = core.encode()
+    shape = text[:1].isupper() | 2 * text[1:].isupper() | 4 * (_DIGIT.search(word) is not None) | 8 * (core != text.lower())
+    p4 = b[:4]
+    slots = crc32(b, _WORD), crc32(b[:3], _P3), crc32(p4, _P4), crc32(b[:5], _P5), crc32(b[:6], _P6), crc32(b[-3:], _END), _SHAPE + shape, crc32(b, _AFTER), crc32(p4, _AFTER4), crc32(b, _BEFORE), crc32(p4, _BEFORE4)
+    return tuple([x & _MASK for x in slots])
 
 
 def stems(word: bytes) -> set[str]:
@@ -182,24 +191,35 @@ class Tagger(dict):
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.tail, self.scores = weights[: 2**BITS], weights[2**BITS :], []
+        self.weights, self.tail = weights[: 2**BITS], weights[2**BITS :]
+        self.scores = np.zeros((3, 1024))
+        self.fresh: list[tuple[int, ...]] = []
 
     def __missing__(self, word: bytes) -> int:
-        w = self.weights[features(word)]
-        self.scores.append((w[:OWN].sum(), w[OWN : OWN + LENT].sum(), w[OWN + LENT :].sum()))
-        self[word] = len(self.scores) - 1
-        return self[word]
+        self.fresh.append(features(word))
+        self[word] = at = len(self)
+        return at
+
+    def _score_fresh(self) -> None:
+        """Scores of the words that have come since the last call."""
+        n = len(self)
+        if n > self.scores.shape[1]:
+            self.scores = np.concatenate((self.scores, np.zeros((3, 2 * n - self.scores.shape[1]))), axis=1)
+        w = self.weights[np.array(self.fresh, dtype=np.int64).reshape(len(self.fresh), OWN + 2 * LENT)]
+        self.scores[:, n - len(self.fresh) : n] = w[:, :OWN].sum(axis=1), w[:, OWN : OWN + LENT].sum(axis=1), w[:, OWN + LENT :].sum(axis=1)
+        self.fresh.clear()
 
     def tag(self, words: Words) -> np.ndarray:
         """P(toxic) of each word."""
         if not len(words.start):
             return np.zeros(0)
         if len(self) > _CACHE:
-            self.clear(), self.scores.clear()
+            self.clear()
         raw = words.buf.tobytes()
         at = np.fromiter((self[raw[i:j]] for i, j in zip(words.start.tolist(), words.end.tolist())), np.int64, len(words.start))
+        self._score_fresh()
         chains = _chains(words)
-        return marginals(_emissions(*np.array(self.scores).T[:, at], chains), chains, self.tail, moves=False)[0]
+        return marginals(_emissions(*self.scores[:, at], chains), chains, self.tail, moves=False)[0]
 
 
 _TAGGERS: dict[int, Tagger] = {}

@@ -151,6 +151,31 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_recall_on_a_planted_table(spark):
+    """Thousands of vectors at graded distances, a dense group among them, scales near the ends of doubles; null ids and other columns."""
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(1200, 32))
+    near = base[rng.integers(0, 1200, 2600)]
+    near = near + rng.normal(size=near.shape) * rng.uniform(0.05, 0.5, (len(near), 1))
+    dense = base[:1] + rng.normal(size=(500, 32)) * 0.27
+    x = np.concatenate([base, near, dense])
+    label = rng.integers(0, 3, len(x))
+    label[-500:] = label[0]
+    scale = np.where(np.arange(len(x)) % 97 == 0, 1e160, np.where(np.arange(len(x)) % 89 == 0, 1e-170, 1.0))
+    rows = [(k, [float(v) for v in x[k] * scale[k]], int(label[k]), 7) for k in range(len(x))] + [(None, [1.0] * 32, 0, 7), (None, [1.0] * 32, 0, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cid int").withColumn("component_id", F.lit("x"))
+    found = embeddings.near_vectors(df).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found}
+    assert sorted(r["n_links"] for r in found if r["vec_id"] is None) == [1, 1]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    links = np.array([got[k][0] for k in range(len(x))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.9999 * near.sum() > 10_000
+    root = jaccard._forest(near)
+    assert np.mean([got[k][1] == root[k] for k in range(len(x))]) > 0.999
+
+
 def test_estimates_are_unbiased_and_inside_their_bounds():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 64))
@@ -403,6 +428,36 @@ def test_urls(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_jaccard_recall_on_a_planted_table(spark):
+    """Six thousand texts: graded copies in groups, one group of hundreds, a passage that many share."""
+    r = random.Random(40)
+    text = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage, rows, group = text(60), [], []
+
+    def copies(n, edits):
+        words_ = (passage if r.random() < 0.4 else []) + text(r.randint(40, 160))
+        for _ in range(n):
+            copy = list(words_)
+            for _ in range(r.randint(0, edits)):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+            group.append(g)
+
+    for g in range(1500):
+        copies(400 if g == 0 else r.choice([1, 2, 4, 8]), 5)
+    got = {x["doc_id"]: x["n_links"] for x in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    sets, members, want = [shingles(t) for _, t in rows], {}, 0
+    for k, g in enumerate(group):
+        members.setdefault(g, []).append(k)
+    found = 0
+    for own in members.values():  # texts of different groups share the passage at most
+        for i in own:
+            n = sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own)
+            assert got[i] <= n
+            want, found = want + n, found + got[i]
+    assert found >= 0.999 * want > 20_000
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     r = random.Random(21)
     text = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
