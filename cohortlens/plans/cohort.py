@@ -371,7 +371,7 @@ def ag16(spark, d):
     return A.fractions(ag14(spark, d), totals, "sample", "n", "total").select("sample", "contig", "fraction")
 
 
-@Q.add("ag21_sex_markers", using("r_counts") + """, m as (select sample, sum(cnt) filter (gene % 97 = 1) * 1e6 / sum(cnt) as x, sum(cnt) filter (gene % 101 = 2) * 1e6 / sum(cnt) as y from r_counts group by sample)
+@Q.add("ag21_sex_markers", using("r_counts") + """, m as (select sample, coalesce(sum(cnt) filter (gene % 97 = 1), 0) * 1e6 / sum(cnt) as x, coalesce(sum(cnt) filter (gene % 101 = 2), 0) * 1e6 / sum(cnt) as y from r_counts group by sample)
  select sample, case when x >= 10500 and not y >= 9800 then 'XX' when y >= 9800 and not x >= 10500 then 'XY' when x >= 10500 and y >= 9800 then 'ambiguous_possible_XXY' else 'ambiguous_low_signal' end as sex from m""")
 def ag21(spark, d):
     m = role(spark, d, "r_counts").groupBy("sample").agg((F.sum(F.when(F.col("gene") % 97 == 1, F.col("cnt"))) * 1e6 / F.sum("cnt")).alias("x"), (F.sum(F.when(F.col("gene") % 101 == 2, F.col("cnt"))) * 1e6 / F.sum("cnt")).alias("y"))
