@@ -74,10 +74,9 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, id_col: str =
     """Adds ``bucket`` (0 is the shortest), ``padded_to`` (its boundary) and ``batch`` (number within the bucket).
 
     A batch holds ``max(1, budget div padded_to)`` texts, all but a bucket's last exactly so many; a text above the
-    budget is a batch of its own. Places in a bucket follow the id's remainder by the number of chunks, then the
-    id, then the row's other columns do not matter: rows that repeat an id take places of their own in any order. A
-    null or negative length counts as 0; null ids come first. An empty table gives an empty one. Columns named
-    like the new ones are replaced.
+    budget is a batch of its own. In a bucket, texts are placed by the chunk of their id, then by id, null ids first;
+    rows that repeat an id take places of their own, in any order. A null or negative length counts as 0. An empty
+    table gives an empty one. Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     new = ["bucket", "padded_to", "batch"]

@@ -256,6 +256,8 @@ def test_language(spark, none):
     assert all(got[k]["lang_pred"] == x and not got[k]["rejected"] for k, _, x in rows[:80])
     assert [got[k]["lang_pred"] for k in (100, 101, 102, 103)] == ["und", "und", "und", "aa"]
     assert got[102]["rejected"] and got[104]["rejected"] and got[104]["lang_pred"] in kinds
+    tied = spark.createDataFrame([(1, "kala tuna", "zz"), (2, "kala tuna", "aa"), (3, "kala", None), (3, "kala", None)], "doc_id long, text string, lang string")
+    assert [x["lang_pred"] for x in language.identify(tied, F.lit(True)).collect()] == ["aa"] * 4
     assert language.identify(none, F.lit(True)).count() == 0
     assert language.identify(df, F.lit(False)).where("lang_pred <> 'und'").count() == 0
 
@@ -352,7 +354,9 @@ def test_quality(spark, none, docs):
     good = lambda: ". ".join(" ".join(r.choice(["the", "house", "water", "many", "people", "walked", "under", "green", "trees"]) + r.choice("abcdefgh") for _ in range(9)) for _ in range(8)) + "."
     bad = lambda: " ".join(r.choice(["BUY", "NOW", "CHEAP", "DEAL"]) + "!!" for _ in range(70))
     rows = [(k, bad() if k % 10 == 0 else good()) for k in range(200)] + [(300, None), (301, ""), (0, good())]
+    rows += [(None, rows[3][1]), rows[3], (302, rows[5][1] * 100)]
     got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1))).collect()
+    assert len({(x["text"], x["quality_score"]) for x in got}) == len({x["text"] for x in got})
     for x in got:
         assert x["kept"] == (x["text"] not in (None, "") and "!!" not in x["text"])
     assert quality.score_quality(none).count() == 0 and quality.score_quality(docs).count() == docs.count()
@@ -387,11 +391,13 @@ def test_toxicity(spark, none):
         rows.append((k, clean() + (" you grumblefoo and nastybar. " if toxic else " ") + clean()))
         labels.append((k, int(toxic)))
     rows += [(500, None), (501, ""), (502, "  grumblefoo nastybar"), (0, rows[0][1])]
+    rows += [(600, "calmé " * 20_000 + "grumblefoo nastybar"), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
     lab = spark.createDataFrame([*labels, (500, 1), (3, None)], "doc_id long, toxic int")
     got = {x["doc_id"]: x for x in toxicity.score_toxicity(df, lab, F.col("doc_id") % 3 != 1).collect()}
     assert all((got[k]["score"] >= 0.7) == bool(t) for k, t in labels)
-    assert [got[502]["text"][s["start"] : s["end"]] for s in got[502]["spans"]] == ["grumblefoo nastybar"]
+    assert [got[k]["text"][s["start"] : s["end"]] for k in (502, 600) for s in got[k]["spans"]] == ["grumblefoo nastybar"] * 2
+    assert got[None]["score"] == got[0]["score"]
     assert got[500]["score"] < 0.5 and got[501]["spans"] == []
     assert toxicity.score_toxicity(none, lab, F.lit(True)).count() == 0
     assert toxicity.score_toxicity(df, lab.where("toxic = 1"), F.lit(True)).agg(F.max("score")).first()[0] == 0
@@ -419,7 +425,11 @@ def test_packing(spark, none, docs):
 def test_urls(spark):
     rows = [(1, "http://A.Com/x?y", "<p>" + "word " * 50), (2, "https://www.example.com/en/1", None), (3, "http://example.com/en/1#a", ""), (4, "nothing", "x"), (5, None, None), (6, "http://x.net/es/", "y"), (7, "http://net/fr/1", "y"), (8, "http://com", "z"), (9, "ftp://h?q/://", "z")]
     rows += [(100 + k, f"http://thin.bad.org/{k}", "<p>x") for k in range(40)] + [(200 + k, f"http://good.org/{k}", f"<p>page {k} " + "text " * 60) for k in range(40)] + [rows[0], (300, "http://same.org/a", "<p>" + "copy " * 60)] * 9
-    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "path", "bad", "verdict")})
+    assert urls.judge_urls(pages).count() == len(rows)
+    got = {r["page_id"]: r for r in urls.judge_urls(pages).collect()}
+    told = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, outcome=(F.col("page_id") >= 200)).collect()}
+    assert told[100] == "allow" and told[200] == "block" and told[1] == "allow"
     want = {1: ("a.com", "/x", "com/", "allow"), 2: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 3: ("example.com", "/en/1", "example.com/en/", "block"), 6: ("x.net", "/es/", "net/es/", "block"), 7: ("net", "/fr/1", "net/fr/", "block")}
     for k, v in want.items():
         assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == v
