@@ -396,16 +396,20 @@ def ag22(spark, d):
 @Q.add("ag23_panel_scores", using("r_counts") + """, v as (select gene, sample % 2 as region, sample as donor, cnt, count(cnt) over w as k, avg(cnt) over w as m, stddev_samp(cnt) over w as sd from r_counts window w as (partition by sample % 2, gene))
  select donor, region, p_type as panel, round(avg((cnt - m) / sd), 6) as score from v join part on gene = p_partkey where k >= 3 and sd > 0 group by 1, 2, 3""")
 def ag23(spark, d):
+    return _panel_scores(spark, d).withColumn("score", F.round("score", 6))
+
+
+def _panel_scores(spark, d):
     values = role(spark, d, "r_counts").select("gene", (F.col("sample") % 2).alias("region"), F.col("sample").alias("donor"), "cnt")
     panel = role(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("panel"))
-    return A.panel_scores(values, panel, "gene", "region", "donor", "cnt", "panel").withColumn("score", F.round("score", 6))
+    return A.panel_scores(values, panel, "gene", "region", "donor", "cnt", "panel")
 
 
-@Q.add("ag23_panel_contrast", "with s as (" + Q.oracles["ag23_panel_scores"].replace("with ", "with ", 1) + """), w as (select donor, region, max(score) filter (panel = 'PROMO') as n, max(score) filter (panel = 'SMALL') as a, max(score) filter (panel = 'LARGE') as b from s group by 1, 2)
- select donor, region, n as "PROMO", a as "SMALL", b as "LARGE", round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as glia, round(n - (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as neuron_minus_glia from w""")
+@Q.add("ag23_panel_contrast", "with s as (" + Q.oracles["ag23_panel_scores"].replace("round(avg((cnt - m) / sd), 6)", "avg((cnt - m) / sd)") + """), w as (select donor, region, max(score) filter (panel = 'PROMO') as n, max(score) filter (panel = 'SMALL') as a, max(score) filter (panel = 'LARGE') as b from s group by 1, 2)
+ select donor, region, round(n, 6) as "PROMO", round(a, 6) as "SMALL", round(b, 6) as "LARGE", round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as glia, round(n - (coalesce(a, 0) + coalesce(b, 0)) / nullif((a is not null)::int + (b is not null)::int, 0), 6) as neuron_minus_glia from w""")
 def ag23b(spark, d):
-    out = A.panel_contrast(ag23(spark, d), "donor", "region", "panel", "score", "PROMO", ["SMALL", "LARGE"])
-    return out.withColumns({c: F.round(c, 6) for c in ("glia", "neuron_minus_glia")})
+    out = A.panel_contrast(_panel_scores(spark, d), "donor", "region", "panel", "score", "PROMO", ["SMALL", "LARGE"])
+    return out.withColumns({c: F.round(c, 6) for c in ("PROMO", "SMALL", "LARGE", "glia", "neuron_minus_glia")})
 
 
 @Q.add("ag24_qc_flags", using("r_qc") + ", a as (select median(m2) as m from r_qc), b as (select median(abs(m2 - m)) as dv from r_qc, a) select sample, n, m2 > m + 3 * dv as high from r_qc, a, b")
