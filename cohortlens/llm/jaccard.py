@@ -197,20 +197,28 @@ def _stands_for(leaders: list) -> list[int]:
 
 
 def _split(at: int):
-    """In large children: one link for each group of leaders in reach, and the next level's children of those near no leader."""
+    """In large children: a link for each class with leaders in reach, and the next level's children of those near no leader.
+
+    Leaders whose groups a class joins are linked with each other once, not by every such class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list[int]] = {}  # of the child at hand
+        joined: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
             for c, p, n, pool, leaders in zip(*(batch[k].to_pylist() for k in ("cid", "path", "n", "pool", "leaders"))):
                 if p not in groups:
-                    groups = {p: _stands_for(leaders)}  # rows come sorted by path
+                    groups, joined = {p: _stands_for(leaders)}, set()  # rows come sorted by path
                 tokens = np.frombuffer(pool, "<u8")
                 like = [1.0 if c == x["cid"] else _alike(n, tokens, x["n"], np.frombuffer(x["pool"], "<u8")) for x in leaders]
-                for first in {groups[p][k] for k, value in enumerate(like) if value >= REACH}:
-                    if leaders[first]["cid"] != c:
-                        out.append((c, None, leaders[first]["cid"], None, None))
+                reached = sorted({groups[p][k] for k, value in enumerate(like) if value >= REACH})
+                if reached and leaders[reached[0]]["cid"] != c:
+                    out.append((c, None, leaders[reached[0]]["cid"], None, None))
+                for other in reached[1:]:
+                    if (reached[0], other) not in joined:
+                        joined.add((reached[0], other))
+                        out.append((leaders[other]["cid"], None, leaders[reached[0]]["cid"], None, None))
                 if max(like) < NEAR:
                     chosen = mix(tokens ^ U64(p % 2**64), 1000 + at)
                     out += [(c, x, None, n, pool) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
