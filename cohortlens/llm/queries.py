@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm.bpe import op1_bpe
+from cohortlens.llm.bytebpe import op12_byte_bpe
 from cohortlens.llm.embeddings import op9_embedding_dedup
 from cohortlens.llm.jaccard import op6_jaccard_join
 from cohortlens.llm.language import op3_language_id
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
