@@ -14,6 +14,7 @@ from cohortlens.llm.language import op3_language_id
 from cohortlens.llm.merkle import op4_fingerprints
 from cohortlens.llm.packing import op8_packing
 from cohortlens.llm.quality import op5_quality
+from cohortlens.llm.resampling import OP13_SQL, op13_resampling
 from cohortlens.llm.substrings import op10_substring_dedup
 from cohortlens.llm.toxicity import op2_toxicity
 from cohortlens.llm.urls import op7_url_filter
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_resampling": op13_resampling,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_resampling": OP13_SQL}
