@@ -18,6 +18,7 @@ from cohortlens.llm.resampling import OP13_SQL, op13_resampling
 from cohortlens.llm.substrings import op10_substring_dedup
 from cohortlens.llm.toxicity import op2_toxicity
 from cohortlens.llm.urls import op7_url_filter
+from cohortlens.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_resampling": op13_resampling,
 }
