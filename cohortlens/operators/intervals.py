@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlens.runtime import Scratch
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width)))
@@ -41,26 +43,46 @@ def intersect_intervals(a: DataFrame, b: DataFrame, contig: str = "contig", star
     return t.withColumn(start, F.greatest(start, f"b_{start}")).withColumn(end, F.least(end, f"b_{end}")).select(*a.columns)
 
 
-def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "s", end: str = "e", block: int | None = None) -> DataFrame:
+def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "s", end: str = "e", block: int = 1 << 16, name: str | None = None) -> DataFrame:
     """Overlapping or touching intervals of a group joined; empty ones take part in none.
 
-    With ``block``, groups are cut into blocks of positions that are merged in parallel, then runs that touch at
-    block borders are joined; use it where one contig holds a large part of all rows.
-    """
-    rows = rows.where(F.col(end) > F.col(start)).select(*by, F.col(start).alias("__s"), F.col(end).alias("__e"))
-    if block:
-        k = F.explode(F.sequence(F.floor(F.col("__s") / block), F.floor((F.col("__e") - 1) / block)))
-        cut = rows.withColumn("__k", k).select(*by, "__k", F.greatest("__s", F.col("__k") * block).alias("__s"), F.least("__e", (F.col("__k") + 1) * block).alias("__e"))
-        rows = _islands(cut, [*by, "__k"]).drop("__k")
-    return _islands(rows, by).withColumnsRenamed({"__s": start, "__e": end})
-
+    With ``name``, intervals are merged whatever their names, and each merged one is given back once for each distinct
+    name in it: A 0-10 and B 5-20 give both 0-20. A null name is one of its own.
 
-def _islands(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("__s", "__e")
-    before = F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(before.isNull() | (F.col("__s") > before), 1).otherwise(0))
-    marked = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "__island").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e")).drop("__island")
+    Only the farthest end of each start is kept, and starts go to blocks of ``block`` positions, so what a window
+    sees is bounded by the block, not by the depth or the group. The farthest end and the last new start of all
+    blocks before a block are carried into it, from one row a block. Null keys are a group of their own.
+    """
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "merge")
+    good = rows.where(F.col(end) > F.col(start)).select(*by, *([name] if name else []), F.col(start).alias("__s"), F.col(end).alias("__e"))
+    starts = good.groupBy(*by, F.floor(F.col("__s") / block).alias("__k"), "__s").agg(F.max("__e").alias("__e"))
+    starts = scratch.keep(starts, "starts")
+    earlier = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    tops = starts.groupBy(*by, "__k").agg(F.max("__e").alias("__top"))
+    tops = tops.select(*by, "__k", F.max("__top").over(earlier).alias("__reach"))
+    inside = Window.partitionBy(*by, "__k").orderBy("__s")
+    reach = F.greatest("__reach", F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = _null_safe_join(starts, tops, [*by, "__k"]).withColumn("__fresh", F.when(reach.isNull() | (F.col("__s") > reach), F.col("__s")))
+    marked = marked.withColumn("__own", F.last("__fresh", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = scratch.keep(marked.select(*by, "__k", "__s", "__e", "__own"), "marked")
+    lasts = marked.groupBy(*by, "__k").agg(F.max("__own").alias("__last"))
+    lasts = lasts.select(*by, "__k", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    marked = _null_safe_join(marked, lasts, [*by, "__k"]).withColumn("__island", F.coalesce("__own", "__carried"))
+    merged = marked.groupBy(*by, "__island").agg(F.max("__e").alias("__end"))
+    if not name:
+        return merged.select(*by, F.col("__island").alias(start), F.col("__end").alias(end))
+    named = good.select(*by, name, "__s").distinct()
+    named = _null_safe_join(named, marked.select(*by, "__s", "__island"), [*by, "__s"]).select(*by, name, "__island").distinct()
+    out = _null_safe_join(named, merged, [*by, "__island"])
+    return out.select(*by, name, F.col("__island").alias(start), F.col("__end").alias(end))
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on the keys, null equal to null; the keys once."""
+    side = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]
+    return left.join(side, on).drop(*[f"__r_{c}" for c in keys])
 
 
 def bases_at_depth(reads: DataFrame, regions: DataFrame, region: str, keys: Sequence[str], least: int, contig: str = "contig", start: str = "s", end: str = "e", block: int = 4096) -> DataFrame:
@@ -96,7 +118,7 @@ def region_depth(reads: DataFrame, regions: DataFrame, keys: Sequence[str], cls:
 def contig_coverage(reads: DataFrame, lengths: DataFrame, contig: str = "contig", start: str = "s", end: str = "e", length: str = "length") -> DataFrame:
     """Records, covered bases and percent covered per contig; contigs without reads have zeros."""
     n = reads.groupBy(contig).agg(F.count("*").alias("n"))
-    bases = merge_intervals(reads, [contig], start, end, block=1 << 16).groupBy(contig).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+    bases = merge_intervals(reads, [contig], start, end).groupBy(contig).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
     out = lengths.join(n, contig, "left").join(bases, contig, "left").na.fill(0, ["n", "covered"])
     return out.withColumn("pct", F.try_divide(100.0 * F.col("covered"), F.col(length)))
 

@@ -25,9 +25,20 @@ def annotate_exact(rows: DataFrame, sites: DataFrame, keys: Sequence[str], field
     return rows.join(sites.select(*keys, *[F.col(f).alias(f"{prefix}{f}") for f in fields]), list(keys), "left")
 
 
-def annotate_by_symbol(rows: DataFrame, tables: Mapping[str, DataFrame], symbol: str) -> DataFrame:
-    """Left joins of per-symbol tables with their columns prefixed by the table's name, and ``in_<name>`` flags."""
+def _first_rows(table: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row a key: the first by ``order``, or as the table is read where none is given."""
+    if order is not None:
+        return first_per_key(table, [key], order)
+    return first_per_key(table.withColumn("__row_order", F.monotonically_increasing_id()), [key], "__row_order").drop("__row_order")
+
+
+def annotate_by_symbol(rows: DataFrame, tables: Mapping[str, DataFrame], symbol: str, order: str | None = None) -> DataFrame:
+    """Left joins of per-symbol tables with their columns prefixed by the table's name, and ``in_<name>`` flags.
+
+    A symbol that a table repeats counts with its first row, by ``order`` or as the table is read; rows never multiply.
+    """
     for name, table in tables.items():
+        table = _first_rows(table, symbol, order)
         fields = [c for c in table.columns if c != symbol]
         side = table.select(symbol, *[F.col(c).alias(f"{name}_{c}") for c in fields], F.lit(True).alias(f"in_{name}"))
         rows = rows.join(side, symbol, "left").withColumn(f"in_{name}", F.coalesce(f"in_{name}", F.lit(False)))
@@ -51,9 +62,13 @@ def map_ids(rows: DataFrame, dictionary: DataFrame, id_col: str, symbol_col: str
     return out.withColumn(symbol_col, F.coalesce("__symbol", id_col) if keep_unmapped else F.col("__symbol")).drop("__id", "__symbol")
 
 
-def align_to_order(counts: DataFrame, reference: DataFrame, id_col: str, value: str, order: str) -> DataFrame:
-    """Every reference id in its order with its value, 0 where absent; ids outside the reference go, the first wins among duplicates."""
-    own = first_per_key(counts.withColumn("__id", strip_version(id_col)), ["__id"], id_col).select("__id", F.col(value).alias("__value"))
+def align_to_order(counts: DataFrame, reference: DataFrame, id_col: str, value: str, order: str, first: str | None = None) -> DataFrame:
+    """Every reference id in its order with its value, 0 where absent; ids outside the reference go.
+
+    Ids are compared without their versions. Of rows with equal ids the first counts: by the column ``first`` of the
+    counts, or as they are read where none is given.
+    """
+    own = _first_rows(counts.withColumn("__id", strip_version(id_col)), "__id", first).select("__id", F.col(value).alias("__value"))
     side = reference.withColumn("__id", strip_version(id_col)).join(own, "__id", "left")
     return side.select(F.col(order), F.col(id_col), F.coalesce("__value", F.lit(0)).alias(value))
 
@@ -65,9 +80,9 @@ def overlap_counts(left: DataFrame, right: DataFrame, key: str, warn_below: floa
     return n.withColumn("low", F.col("both") < warn_below * (F.col("both") + F.col("only_right")))
 
 
-def lookup_default(rows: DataFrame, mapping: DataFrame, key: str, value: str, default: str = "unknown") -> DataFrame:
-    """Value of the mapping, or the default."""
-    return rows.join(mapping, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+def lookup_default(rows: DataFrame, mapping: DataFrame, key: str, value: str, default: str = "unknown", order: str | None = None) -> DataFrame:
+    """Value of the mapping, or the default. A repeated key counts with its first row, by ``order`` or as it is read."""
+    return rows.join(_first_rows(mapping, key, order).select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def shared_keys(a: DataFrame, b: DataFrame, key: str, least: int = 200) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
-from cohortlens.operators import aggregate as A, joins as J
+from cohortlens.operators import aggregate as A, joins as J, variants as V
 from cohortlens.plans.roles import Catalogue, role, using
 
 Q = Catalogue()
@@ -139,6 +139,28 @@ def prj9(spark, d):
     return one.select("k", (F.col("i") + 1).alias("i"), S.trim_alleles(F.col("k"), "ref", "alt").alias("t")).select("k", "i", "t.*")
 
 
+_PL = "(select string_agg(cast(p_partkey + 10 * j + 100 * k as varchar), ',' order by k, j) from (values (0, 0), (0, i), (i, i)) g(j, k))"
+
+
+@Q.add("prj9_split_multiallelic", f"""with t as (select p_partkey, p_size, unnest([1, 2, 3]) as i from part)
+ select p_partkey as k, i as allele, p_partkey + (case i when 1 then 3 when 2 then 1 else 0 end) as pos, case i when 1 then 'G' when 2 then 'ATG' else 'CATG' end as ref, case i when 1 then 'T' when 2 then 'A' else '*' end as alt,
+  cast(p_size + i as varchar) as ac, '1,' || (i + 1) as r, {_PL} as pl, '5,' || (5 + i) as haploid, '.' as missing, 'kept,whole' as other,
+  case p_size % 4 when 0 then (case i when 1 then '1' else '0' end) || '/' || (case i when 2 then '1' else '0' end) when 1 then '0|' || (case i when 3 then '1' else '0' end) when 2 then './.' else (case i when 2 then '1' else '0' end) end as gt
+ from t""")
+def prj9_all(spark, d):
+    """Every part as a site with three alternates: fields with a value an alternate, an allele and a genotype, and phased, missing and haploid calls."""
+    text = lambda c: c.cast("string")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    genotypes = [(j, i) for i in range(4) for j in range(i + 1)]
+    info = {"AC": F.concat_ws(",", *[text(size + i) for i in (1, 2, 3)]), "NOTE": F.lit("kept,whole")}
+    call = {"GT": F.element_at(F.array(*map(F.lit, ("1/2", "0|3", "./.", "2"))), (size % 4 + 1).cast("int")), "AD": F.lit("1,2,3,4"), "PL": F.concat_ws(",", *[text(k + 10 * j + 100 * i) for j, i in genotypes]), "HL": F.lit("5,6,7,8"), "GL": F.lit(".")}
+    as_map = lambda m: F.create_map(*[x for key, v in m.items() for x in (F.lit(key), v)])
+    sites = role(spark, d, "part").select(k.alias("k"), k.alias("pos"), F.lit("CATG").alias("ref"), F.lit("CATT,CA,*").alias("alt"), as_map(info).alias("info"), as_map(call).alias("call"))
+    out = V.split_multiallelic(sites, info="info", calls=["call"], info_numbers={"AC": "A", "NOTE": "A"}, call_numbers={"AD": "R", "PL": "G", "HL": "G", "GL": "G"})
+    field = lambda m, key, name: F.col(m)[key].alias(name)
+    return out.select("k", "allele", "pos", "ref", "alt", field("info", "AC", "ac"), field("call", "AD", "r"), field("call", "PL", "pl"), field("call", "HL", "haploid"), field("call", "GL", "missing"), field("info", "NOTE", "other"), field("call", "GT", "gt"))
+
+
 @Q.add("prj11_12_flags", using("r_annot") + f""" select site, {_LOSS} as is_lof, {_SPLICE} as is_splice, {_DAMAGING} as is_damaging,
  list_has_any({_TERMS}, {_ALTERING}) as is_altering from r_annot""")
 def prj11(spark, d):
@@ -250,11 +272,16 @@ def jn7(spark, d):
     return J.map_ids(rows, names, "gene_id", "symbol", "ord").select("k", "symbol")
 
 
-@Q.add("jn8_align_to_order", using("r_counts") + " select p_partkey as ord, p_partkey as gene, coalesce(cnt, 0) as cnt from part left join (select gene, cnt from r_counts where sample = 3) t on gene = p_partkey where p_size < 30")
+@Q.add("jn8_align_to_order", using("r_counts") + """, own as (select gene, arg_min(cnt, ord) as cnt from (select gene, cnt, gene * 2 as ord from r_counts where sample = 3 union all select gene, cnt + 100, gene * 2 + (case when gene % 3 = 0 then -1 else 1 end) from r_counts where sample = 3 and gene % 2 = 0) t group by gene)
+ select p_partkey as ord, p_partkey as gene, coalesce(cnt, 0) as cnt from part left join own on gene = p_partkey""")
 def jn8(spark, d):
-    own = role(spark, d, "r_counts").where("sample = 3").select(F.col("gene").cast("string").alias("gene"), "cnt")
-    reference = role(spark, d, "part").where("p_size < 30").select(F.col("p_partkey").alias("ord"), F.concat(F.col("p_partkey").cast("string"), F.lit(".2")).alias("gene"))
-    return J.align_to_order(own, reference, "gene", "cnt", "ord").select("ord", F.split("gene", r"\.")[0].cast("long").alias("gene"), "cnt")
+    """Half of the genes come in two versions, of which the one in the earlier row counts, not the one with the smaller id."""
+    counts = role(spark, d, "r_counts").where("sample = 3")
+    plain = counts.select(F.concat(F.col("gene").cast("string"), F.lit(".9")).alias("id"), "cnt", (F.col("gene") * 2).alias("row"))
+    second = counts.where("gene % 2 = 0").select(F.concat(F.col("gene").cast("string"), F.lit(".10")).alias("id"), F.col("cnt") + 100, F.col("gene") * 2 + F.when(F.col("gene") % 3 == 0, -1).otherwise(1))
+    reference = role(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.col("p_partkey").cast("string"), F.lit(".2")).alias("id"))
+    out = J.align_to_order(plain.union(second), reference, "id", "cnt", "ord", first="row")
+    return out.select("ord", F.split("id", r"\.")[0].cast("long").alias("gene"), "cnt")
 
 
 @Q.add("jn8_overlap_counts", using("r_counts") + """ select count(*) filter (a is not null and b is not null) as both, count(*) filter (b is null) as only_left, count(*) filter (a is null) as only_right,
@@ -265,8 +292,10 @@ def jn8b(spark, d):
 
 @Q.add("jn11_lookup_default", using("r_hits") + " select sample, case prim when 'click' then 'mouse' when 'view' then 'rat' else 'unknown' end as species, count(*) as n from r_hits group by 1, 2")
 def jn11(spark, d):
-    mapping = role(spark, d, "events").where("event_type in ('click', 'view')").select(F.col("event_type").alias("prim"), F.when(F.col("event_type") == "click", "mouse").otherwise("rat").alias("species")).distinct()
-    return J.lookup_default(role(spark, d, "r_hits"), mapping, "prim", "species").groupBy("sample", "species").agg(F.count("*").alias("n"))
+    """The mapping names each contig twice; the first name counts."""
+    named = role(spark, d, "events").where("event_type in ('click', 'view')").select(F.col("event_type").alias("prim"), F.when(F.col("event_type") == "click", "mouse").otherwise("rat").alias("species")).distinct()
+    mapping = named.withColumn("ord", F.lit(1)).unionByName(named.select("prim", F.lit("another").alias("species"), F.lit(2).alias("ord")))
+    return J.lookup_default(role(spark, d, "r_hits"), mapping, "prim", "species", order="ord").groupBy("sample", "species").agg(F.count("*").alias("n"))
 
 
 @Q.add("jn12_shared_keys", using("r_counts", "r_sets") + " select distinct gene from r_counts where gene in (select gene from r_sets)")

@@ -32,6 +32,13 @@ def st5(spark, d):
     return I.merge_intervals(role(spark, d, "r_regions"), ["contig"], block=4096)
 
 
+@Q.add("st5_merge_named", using("r_regions") + _MERGE.format(t="r_regions").replace("select contig, s, e,", "select contig, name, s, e,").replace("select contig, s, e, sum", "select contig, name, s, e, sum") + """,
+ w as (select contig, g, min(s) as s, max(e) as e from i group by contig, g) select distinct contig, name, w.s, w.e from i join w using (contig, g)""")
+def st5b(spark, d):
+    """Merged intervals, once for each name in them."""
+    return I.merge_intervals(role(spark, d, "r_regions"), ["contig"], block=512, name="name")
+
+
 @Q.add("cv1_bases_at_depth", using("r_reads", "r_regions") + """, ev as (select sample, contig, pos, sum(x) as x from (select sample, contig, s as pos, 1 as x from r_reads union all select sample, contig, e, -1 from r_reads) group by 1, 2, 3),
  st as (select sample, contig, pos as s, lead(pos) over w as e, sum(x) over w as depth from ev window w as (partition by sample, contig order by pos))
  select sample, region_id, sum(least(st.e, g.e) - greatest(st.s, g.s)) as bases from st join r_regions g on st.contig = g.contig and st.s < g.e and g.s < st.e where depth >= 2 group by 1, 2""")

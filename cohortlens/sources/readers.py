@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -59,8 +60,24 @@ def read_vep_tab(spark: SparkSession, path) -> DataFrame:
     return t.select(*[F.when(~F.col(f"`{c}`").isin("-", "."), F.col(f"`{c}`")).alias(c) for c in names])
 
 
-def read_vcf(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """Sites (chrom, pos, id, ref, alt, qual, filter, info map) and long calls (chrom, pos, ref, alt, sample, gt, dp, ad, gq)."""
+def _first_of_each(entries: Column) -> Column:
+    """Map of an array of (k, v) entries; a repeated key keeps its first value."""
+    return F.map_from_entries(F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda y: y["k"] == x["k"])))
+
+
+def read_vcf_numbers(spark: SparkSession, path) -> tuple[dict[str, str], dict[str, str]]:
+    """The Number of each INFO and of each FORMAT field, as the header lines declare them."""
+    lines = _lines(spark, path).where(F.col("value").rlike("^##(INFO|FORMAT)=<"))
+    part = lambda k: F.regexp_extract("value", rf"[<,]{k}=([^,>]*)", 1)
+    found = lines.select(F.regexp_extract("value", "^##([A-Z]+)", 1).alias("kind"), part("ID").alias("id"), part("Number").alias("number")).distinct().collect()  # a row a field
+    return tuple({r["id"]: r["number"] for r in found if r["kind"] == kind} for kind in ("INFO", "FORMAT"))
+
+
+def read_vcf(spark: SparkSession, path, all_fields: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sites (chrom, pos, id, ref, alt, qual, filter, info map) and long calls (chrom, pos, ref, alt, sample, gt, dp, ad, gq).
+
+    A repeated INFO key keeps its first value. With ``all_fields`` the calls also have all their fields as a map.
+    """
     lines = _lines(spark, path)
     head = _first_line(lines, F.col("value").startswith("#CHROM"))
     if head is None:
@@ -70,13 +87,14 @@ def read_vcf(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     names = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(names)], F.slice(parts, 10, max(len(samples), 1)).alias("__v"))
     rows = rows.withColumn("pos", F.col("pos").try_cast("int"))
-    sites = rows.select("chrom", "pos", F.nullif("id", F.lit(".")).alias("id"), "ref", "alt", F.col("qual").try_cast("double").alias("qual"), "filter", F.str_to_map("info", F.lit(";"), F.lit("=")).alias("info"))
+    pairs = F.transform(F.split("info", ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+    sites = rows.select("chrom", "pos", F.nullif("id", F.lit(".")).alias("id"), "ref", "alt", F.col("qual").try_cast("double").alias("qual"), "filter", _first_of_each(pairs).alias("info"))
     long = rows.select("chrom", "pos", "ref", "alt", "format", F.posexplode("__v").alias("__k", "__c"))
     keys, given = F.split("format", ":"), F.split("__c", ":")
     fields = F.map_from_arrays(F.slice(keys, F.lit(1), F.size(given)), given)
     long = long.withColumn("__m", fields).withColumn("sample", F.element_at(F.array(*map(F.lit, samples or [""])), F.col("__k") + 1))
     get = lambda k: F.nullif(F.try_element_at("__m", F.lit(k)), F.lit("."))
-    calls = long.select("chrom", "pos", "ref", "alt", "sample", F.try_element_at("__m", F.lit("GT")).alias("gt"), get("DP").try_cast("int").alias("dp"), F.transform(F.split(get("AD"), ","), lambda x: x.try_cast("int")).alias("ad"), get("GQ").try_cast("int").alias("gq"))
+    calls = long.select("chrom", "pos", "ref", "alt", "sample", F.try_element_at("__m", F.lit("GT")).alias("gt"), get("DP").try_cast("int").alias("dp"), F.transform(F.split(get("AD"), ","), lambda x: x.try_cast("int")).alias("ad"), get("GQ").try_cast("int").alias("gq"), *([F.col("__m").alias("fields")] if all_fields else []))
     return sites, calls
 
 
@@ -86,9 +104,7 @@ def read_gtf(spark: SparkSession, path, feature: str | None = None, first_per: s
     rows = _numbered(spark, path).where(~F.col("value").startswith("#") & (F.size(parts) >= 9))
     pairs = F.regexp_extract_all(F.get(parts, F.lit(8)), F.lit(r'(\w+) "([^"]*)"'), F.lit(0))
     entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("k"), F.regexp_extract(x, r'"([^"]*)"', 1).alias("v")))
-    # a repeated key keeps its first value
-    unique = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda y: y["k"] == x["k"]))
-    t = rows.select("n", F.get(parts, F.lit(0)).alias("contig"), F.get(parts, F.lit(2)).alias("feature"), (F.get(parts, F.lit(3)).try_cast("long") - 1).alias("s"), F.get(parts, F.lit(4)).try_cast("long").alias("e"), F.get(parts, F.lit(6)).alias("strand"), F.map_from_entries(unique).alias("attrs"))
+    t = rows.select("n", F.get(parts, F.lit(0)).alias("contig"), F.get(parts, F.lit(2)).alias("feature"), (F.get(parts, F.lit(3)).try_cast("long") - 1).alias("s"), F.get(parts, F.lit(4)).try_cast("long").alias("e"), F.get(parts, F.lit(6)).alias("strand"), _first_of_each(entries).alias("attrs"))
     if feature:
         t = t.where(F.col("feature") == feature)
     if first_per:
@@ -287,10 +303,10 @@ def whole_contig_features(lengths: DataFrame) -> DataFrame:
 
 
 def read_sam_text(spark: SparkSession, path) -> DataFrame:
-    """(qname, flag, contig, pos, mapq, cigar, seq, tags map) of SAM lines."""
+    """(qname, flag, contig, pos, mapq, cigar, seq, tags map) of SAM lines; a repeated tag keeps its first value."""
     p = F.split("value", "\t")
     t = _lines(spark, path).where(~F.col("value").startswith("@") & (F.size(p) >= 11))
-    tags = F.map_from_entries(F.transform(F.array_distinct(F.slice(p, F.lit(12), F.size(p))), lambda x: F.struct(F.substring(x, 1, 2), F.substr(x, F.lit(6), F.length(x)))))
+    tags = _first_of_each(F.transform(F.slice(p, F.lit(12), F.size(p)), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substr(x, F.lit(6), F.length(x)).alias("v"))))
     return t.select(F.get(p, F.lit(0)).alias("qname"), F.get(p, F.lit(1)).try_cast("int").alias("flag"), F.get(p, F.lit(2)).alias("contig"), F.get(p, F.lit(3)).try_cast("long").alias("pos"), F.get(p, F.lit(4)).try_cast("int").alias("mapq"), F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"), tags.alias("tags"))
 
 
@@ -301,11 +317,25 @@ def read_fastq(spark: SparkSession, path) -> DataFrame:
     return g.select(F.regexp_extract("name", r"^@(\S+)", 1).alias("name"), "seq", "qual")
 
 
-def file_manifest(spark: SparkSession, path, hash_content: bool = True) -> DataFrame:
-    """(path, size, modified, sha256, status) of the files under a path."""
+def file_manifest(spark: SparkSession, path, hash_content: bool = True, largest_hashed: int = (1 << 31) - (1 << 20)) -> DataFrame:
+    """(path, size, modified, sha256, status) of the files under a path.
+
+    A file is hashed as one value, which Spark bounds at 2 GiB; longer ones than ``largest_hashed`` are listed without
+    being read, with a null hash and the status ``unhashed``. Spark's reader leaves out empty files; they come from its
+    listing (names only), with the status ``empty``, no time and, where content is hashed, the hash of nothing.
+    """
     t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digest = F.sha2("content", 256) if hash_content else F.lit(None).cast("string")
-    return t.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), digest.alias("sha256"), F.when(F.col("length") > 0, "ok").otherwise("empty").alias("status"))
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    names = spark.createDataFrame([(unquote(f),) for f in t.inputFiles()], "path string").select(plain("path").alias("__path")).distinct()
+    listed = t.select("path", plain("path").alias("__path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    listed = names.join(listed, "__path", "left").select(F.coalesce("path", "__path").alias("path"), F.coalesce("size", F.lit(0)).alias("size"), "modified")
+    status = F.when(F.col("size") == 0, "empty").otherwise("ok")
+    if not hash_content:
+        return listed.select("*", F.lit(None).cast("string").alias("sha256"), status.alias("status"))
+    digests = t.where(F.col("length") <= largest_hashed).select("path", F.sha2("content", 256).alias("sha256"))
+    digest = F.when(F.col("size") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("sha256"))
+    status = F.when(F.col("size") > largest_hashed, "unhashed").otherwise(status)
+    return listed.join(digests, "path", "left").select("path", "size", "modified", digest.alias("sha256"), status.alias("status"))
 
 
 def missing_files(expected: DataFrame, manifest: DataFrame, name: str = "name", index: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006

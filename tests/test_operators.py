@@ -18,15 +18,33 @@ def test_components_do_not_depend_on_edge_order(spark):
     assert G.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_merged_intervals_cover_the_same_bases(spark):
+def merged_plainly(rows):
+    """(contig, start, end, names) of merged intervals, one after the other."""
+    out = []
+    for c, s, e, name in sorted((r for r in rows if r[2] > r[1]), key=lambda r: (str(r[0]), r[1], r[2])):
+        if out and out[-1][0] == c and s <= out[-1][2]:
+            out[-1] = (c, out[-1][1], max(out[-1][2], e), out[-1][3] | {name})
+        else:
+            out.append((c, s, e, {name}))
+    return out
+
+
+def test_merged_intervals_equal_a_plain_sweep(spark):
     rng = np.random.default_rng(1)
-    rows = [("c", int(s), int(s + n)) for s, n in zip(rng.integers(0, 500, 80), rng.integers(0, 20, 80))]
-    df = spark.createDataFrame(rows, "contig string, s long, e long")
-    for block in (None, 16):
-        merged = [tuple(r) for r in I.merge_intervals(df, ["contig"], block=block).collect()]
-        assert {p for _, s, e in rows for p in range(s, e)} == {p for _, s, e in merged for p in range(s, e)}
-        merged.sort()
-        assert all(a[2] < b[1] for a, b in zip(merged, merged[1:]))
+    n = 300
+    rows = [("c" if k % 3 else "d" if k % 2 else None, int(s), int(s + w), "ABC"[k % 3] if k % 7 else None) for k, (s, w) in enumerate(zip(rng.integers(0, 3000, n), rng.integers(0, 12, n)))]
+    rows += [("c", 5, 900, "long"), ("d", 2, 2950, "A"), ("c", 5, 5, "empty"), ("c", 9, 3, "bad"), rows[0]]
+    df = spark.createDataFrame(rows, "contig string, s long, e long, name string").repartition(3)
+    want = merged_plainly(rows)
+    key = lambda r: tuple(str(x) for x in r)
+    for block in (1, 16, 1 << 16):
+        got = [tuple(r) for r in I.merge_intervals(df, ["contig"], block=block).collect()]
+        assert sorted(got, key=key) == sorted([w[:3] for w in want], key=key)
+        named = [(r["contig"], r["s"], r["e"], r["name"]) for r in I.merge_intervals(df, ["contig"], block=block, name="name").collect()]
+        assert sorted(named, key=key) == sorted([(*w[:3], x) for w in want for x in w[3]], key=key)
+    assert I.merge_intervals(df.limit(0), ["contig"], name="name").count() == 0
+    two = spark.createDataFrame([("c", 0, 10, "A"), ("c", 5, 20, "B")], "contig string, s long, e long, name string")
+    assert sorted(map(tuple, I.merge_intervals(two, ["contig"], name="name").select("s", "e", "name").collect())) == [(0, 20, "A"), (0, 20, "B")]
 
 
 def test_range_joins_have_no_cartesian_plan(spark):
