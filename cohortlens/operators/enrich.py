@@ -8,20 +8,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.operators.ranking import bh_adjust
+from cohortlens.operators.nulls import null_blocks, null_counts, tail_p, weight_chunks
+from cohortlens.operators.ranking import bh_adjust, rank_over_all
 from cohortlens.runtime import Scratch
 
 
-def _hits(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, least: int, most: int) -> DataFrame:
+def _hits(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], gene: str) -> DataFrame:
+    """Members of the sets with their rank and statistic in each ranking, and the ranking's length ``n_ranked``."""
     n = ranked.groupBy(*keys).agg(F.count("*").alias("n_ranked"))
-    hits = sets.join(ranked, [c for c in sets.columns if c in ranked.columns and c in (*keys, gene)]).join(n, list(keys))
+    return sets.join(ranked, [c for c in sets.columns if c in ranked.columns and c in (*keys, gene)]).join(n, list(keys))
+
+
+def _scores(hits: DataFrame, keys: Sequence[str], set_col: str, gene: str, least: int, most: int) -> DataFrame:
+    """(keys, set, size, es, leading_edge, n_ranked) from hits with ``rank``, ``stat`` and ``n_ranked``."""
     w = Window.partitionBy(*keys, set_col)
     hits = hits.withColumn("size", F.count("*").over(w)).where(F.col("size").between(least, most))
     run = w.orderBy("rank")
     weight, total = F.abs(F.col("stat")), F.sum(F.abs(F.col("stat"))).over(w)
     up = F.sum(weight).over(run)
-    miss = (F.col("rank") - F.row_number().over(run)) / (F.col("n_ranked") - F.col("size"))
-    return hits.withColumn("__top", up / total - miss).withColumn("__bot", (up - weight) / total - miss)
+    miss = F.coalesce(F.try_divide(F.col("rank") - F.row_number().over(run), F.col("n_ranked") - F.col("size")), F.lit(0.0))
+    share = lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0))
+    t = hits.withColumn("__top", share(up) - miss).withColumn("__bot", share(up - weight) - miss)
+    g = t.groupBy(*keys, set_col).agg(
+        F.first("size").alias("size"), F.first("n_ranked").alias("n_ranked"), F.max("__top").alias("__mx"), F.min("__bot").alias("__mn"),
+        F.max_by("rank", F.struct("__top", -F.col("rank"))).alias("__at_max"), F.min_by("rank", F.struct("__bot", "rank")).alias("__at_min"),
+        F.sort_array(F.collect_list(F.struct("rank", gene))).alias("__genes"))
+    es = F.when(F.col("__mx") > -F.col("__mn"), F.col("__mx")).when(F.col("__mx") < -F.col("__mn"), F.col("__mn")).otherwise(0.0)
+    edge = F.filter("__genes", lambda x: F.when(F.col("es") > 0, x["rank"] <= F.col("__at_max")).when(F.col("es") < 0, x["rank"] >= F.col("__at_min")).otherwise(False))
+    return g.withColumn("es", es).select(*keys, set_col, "size", "es", F.transform(edge, lambda x: x[gene]).alias("leading_edge"), "n_ranked")
 
 
 def enrichment_score(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, least: int = 20, most: int = 200) -> DataFrame:
@@ -33,110 +47,111 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], se
     """
     if not keys:
         return enrichment_score(ranked.withColumn("__one", F.lit(0)), sets, ["__one"], set_col, gene, least, most).drop("__one")
-    t = _hits(ranked, sets, keys, set_col, gene, least, most)
-    g = t.groupBy(*keys, set_col).agg(
-        F.first("size").alias("size"), F.max("__top").alias("__mx"), F.min("__bot").alias("__mn"),
-        F.max_by("rank", F.struct("__top", -F.col("rank"))).alias("__at_max"), F.min_by("rank", F.struct("__bot", "rank")).alias("__at_min"),
-        F.sort_array(F.collect_list(F.struct("rank", gene))).alias("__genes"))
-    es = F.when(F.col("__mx") > -F.col("__mn"), F.col("__mx")).when(F.col("__mx") < -F.col("__mn"), F.col("__mn")).otherwise(0.0)
-    edge = F.filter("__genes", lambda x: F.when(F.col("es") > 0, x["rank"] <= F.col("__at_max")).when(F.col("es") < 0, x["rank"] >= F.col("__at_min")).otherwise(False))
-    return g.withColumn("es", es).select(*keys, set_col, "size", "es", F.transform(edge, lambda x: x[gene]).alias("leading_edge"))
-
-
-def null_scores(rank: np.ndarray, weight: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
-    """Scores of the sets made of the first k of the drawn ranks (from 0, of n), for each k; ``weight`` is |stat| there."""
-    out = np.empty(len(sizes))
-    for j, k in enumerate(sizes):
-        along = np.argsort(rank[:k])
-        r, w = rank[along], weight[along]
-        up = np.cumsum(w)
-        miss = (r - np.arange(k)) / (n - k) if n > k else np.zeros(k)
-        top, bottom = (up / up[-1] - miss).max(), ((up - w) / up[-1] - miss).min()
-        out[j] = top if top > -bottom else bottom if top < -bottom else 0.0
-    return out
-
-
-def enrichment_test(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, n_perm: int = 1000, seed: int = 1, least: int = 20, most: int = 200) -> DataFrame:
+    return _scores(_hits(ranked, sets, keys, gene), keys, set_col, gene, least, most).drop("n_ranked")
+
+
+def _tested(scratch: Scratch, scores: DataFrame, chunks: DataFrame, requests: DataFrame, base: Sequence[str], keys: Sequence[str], set_col: str, n_perm: int, seed: int, few: int, chains: int, least_p: float) -> DataFrame:
+    """Scores with ``pval`` and ``nes``; requests name for each of the keys its ranking and the ranks that it lacks."""
+    sizes = scores.groupBy(*keys).agg(F.first("n_ranked").alias("n"), F.array_sort(F.collect_set(F.col("size").cast("long"))).alias("sizes"))
+    asked = scratch.keep(requests.join(sizes, list(keys)), "requests")
+    nulls = scratch.keep(null_blocks(chunks, asked, base, keys, n_perm, seed), "nulls")
+    same, far, total = null_counts(F.col("nulls"), F.col("es"))
+    t = scores.select(*keys, set_col, F.col("size").cast("long").alias("size"), "es").join(nulls, [*keys, "size"])
+    t = t.groupBy(*keys, set_col).agg(F.sum(same).alias("__same"), F.sum(far).alias("__far"), F.sum(total).alias("__sum"))
+    plain = (1 + F.col("__far")) / (1 + F.col("__same"))
+    out = scores.join(t, [*keys, set_col]).withColumn("pval", plain).withColumn("nes", F.try_divide(F.col("es") * F.col("__same"), F.col("__sum")))
+    if few > 0:
+        out = scratch.keep(out, "plain")
+        rare = out.where((F.col("__far") < few) & (F.col("es") != 0))
+        units = rare.groupBy(*keys, F.col("size").cast("long").alias("size"), (F.col("es") > 0).alias("up")).agg(F.collect_set("es").alias("scores"))
+        tails = tail_p(chunks, units.join(asked.drop("sizes"), list(keys)), base, keys, chains, seed, least_p)
+        tails = scratch.keep(tails.select(*keys, F.col("size").alias("__size"), F.col("es").alias("__es"), "tail"), "tails")
+        on = [out[c].eqNullSafe(tails[c]) for c in keys] + [out["size"] == tails["__size"], out["es"] == tails["__es"], out["__far"] < few]
+        out = out.join(tails, on, "left").drop(*[tails[c] for c in keys], "__size", "__es")
+        given = F.col("tail") * (1 + n_perm) / (1 + F.col("__same"))  # given the sign
+        out = out.withColumn("pval", F.coalesce(F.least(F.lit(1.0), given), "pval")).drop("tail")
+    return out.drop("__same", "__far", "__sum", "n_ranked")
+
+
+def enrichment_test(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set_col: str, gene: str, n_perm: int = 1000, seed: int = 1, least: int = 20, most: int = 200, few: int = 10, chains: int = 201, least_p: float = 1e-50) -> DataFrame:
     """Adds ``pval, nes, padj`` to the scores, from ``n_perm`` seeded draws of ranks from each ranking.
 
-    The null of a score depends on the set's size alone, and the first k ranks of one draw serve all sizes. Weights
-    of drawn ranks are joined, so no task holds a ranking, and rankings may have any length.
     p = (1 + as extreme with the same sign) / (1 + with the same sign), NES = ES / mean |null ES| of the same sign,
-    padj by Benjamini-Hochberg within the keys.
+    padj by Benjamini-Hochberg within the keys. Where fewer than ``few`` draws are as extreme, p comes from adaptive
+    multilevel splitting with ``chains`` chains instead, so it has no floor at 1 / (1 + n_perm) but ``least_p``; its
+    relative error grows as sqrt(log2(1 / p) / chains). ``few`` 0 leaves all as counted.
     """
     if not keys:
-        return enrichment_test(ranked.withColumn("__one", F.lit(0)), sets, ["__one"], set_col, gene, n_perm, seed, least, most).drop("__one")
+        how = dict(n_perm=n_perm, seed=seed, least=least, most=most, few=few, chains=chains, least_p=least_p)
+        return enrichment_test(ranked.withColumn("__one", F.lit(0)), sets, ["__one"], set_col, gene, **how).drop("__one")
     scratch = Scratch(ranked.sparkSession, "enrichment")
-    scores = scratch.keep(enrichment_score(ranked, sets, keys, set_col, gene, least, most), "scores")
-    names = list(keys)
-    work = ranked.groupBy(*names).agg(F.count("*").alias("__k")).join(scores.groupBy(*names).agg(F.array_sort(F.collect_set("size")).alias("__sizes")), names)
-    blocks = work.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // 50))))
-    own = ", ".join(f"`{k}` {t}" for k, t in work.select(*names).dtypes)
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                for perm in range(row["__block"] * 50, min(n_perm, row["__block"] * 50 + 50)):
-                    rank = np.random.default_rng([seed, perm]).choice(row["__k"], max(row["__sizes"]), replace=False)
-                    yield pd.DataFrame({c: [row[c]] * len(rank) for c in names} | {"__perm": perm, "__i": np.arange(len(rank)), "rank": rank + 1})
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                k = np.asarray(row["__sizes"])
-                es0 = null_scores(np.asarray(row["__at"]) - 1, np.asarray(row["__w"], dtype=float), row["__k"], k)
-                yield pd.DataFrame({c: [row[c]] * len(k) for c in names} | {"size": k, "es0": es0})
-
-    drawn = blocks.repartition(*names, "__block").mapInPandas(draw, own + ", __perm int, __i long, rank long")
-    drawn = drawn.join(ranked.select(*names, F.col("rank").cast("long").alias("rank"), F.abs("stat").alias("__w")), [*names, "rank"])
-    drawn = drawn.groupBy(*names, "__perm").agg(F.sort_array(F.collect_list(F.struct("__i", "rank", "__w"))).alias("__d"))
-    drawn = drawn.join(work, names).select(*names, "__k", "__sizes", F.col("__d.rank").alias("__at"), F.col("__d.__w").alias("__w"))
-    null = drawn.mapInPandas(score, own + ", size long, es0 double")
-    t = scores.join(null, [*names, "size"])
-    same = F.when(F.col("es") >= 0, F.col("es0") >= 0).otherwise(F.col("es0") < 0)
-    far = same & (F.abs("es0") >= F.abs("es"))
-    t = t.groupBy(*names, set_col).agg(F.count_if(same).alias("__n"), F.count_if(far).alias("__far"), F.avg(F.when(same, F.abs("es0"))).alias("__mean"))
-    out = scores.join(t, [*names, set_col]).withColumn("pval", (1 + F.col("__far")) / (1 + F.col("__n"))).withColumn("nes", F.try_divide("es", "__mean")).drop("__n", "__far", "__mean")
-    return bh_adjust(out, "pval", names)
-
-
-def leave_one_out(ranked: DataFrame, sets: DataFrame, candidates: DataFrame, set_col: str, gene: str, **how) -> DataFrame:
-    """The enrichment test once for each candidate gene, without it in ranking and sets: one job, ``left_out`` as key."""
-    each = candidates.select(F.col(gene).alias("left_out")).distinct()
-    w = Window.partitionBy("left_out").orderBy("rank")
-    r = ranked.join(each, how="cross").where(F.col(gene) != F.col("left_out")).withColumn("rank", F.row_number().over(w))
-    s = sets.join(each, how="cross").where(F.col(gene) != F.col("left_out"))
-    return enrichment_test(r, s, ["left_out"], set_col, gene, **how)
-
-
-def collapse_sets(tested: DataFrame, ranked: DataFrame, sets: DataFrame, set_col: str, gene: str, p: float = 0.01, significant: Column | None = None, **how) -> DataFrame:
+    scores = scratch.keep(_scores(_hits(ranked, sets, keys, gene), keys, set_col, gene, least, most), "scores")
+    chunks = scratch.keep(weight_chunks(ranked, keys), "chunks")
+    requests = chunks.select(*keys).distinct().withColumn("removed", F.array().cast("array<long>"))
+    return bh_adjust(_tested(scratch, scores, chunks, requests, keys, keys, set_col, n_perm, seed, few, chains, least_p), "pval", keys)
+
+
+def leave_one_out(ranked: DataFrame, sets: DataFrame, candidates: DataFrame, set_col: str, gene: str, n_perm: int = 1000, seed: int = 1, least: int = 20, most: int = 200, few: int = 10, chains: int = 201, least_p: float = 1e-50) -> DataFrame:
+    """The enrichment test once for each candidate gene, without it in ranking and sets: one job, ``left_out`` as key.
+
+    The ranking is not copied for the candidates: members below a candidate move up by one rank, and draws skip the
+    candidate's rank. Rows are members of sets for each candidate, as many as the result is about. A candidate that
+    the ranking lacks leaves it as it is.
+    """
+    scratch = Scratch(ranked.sparkSession, "leave-one-out")
+    found = ranked.select(gene, F.col("rank").cast("long").alias("rank"), "stat", F.lit(0).alias("__base"))
+    each = candidates.select(gene).distinct().join(found.select(gene, F.col("rank").alias("__gone")), gene, "left").withColumnRenamed(gene, "left_out")
+    each = scratch.keep(each.withColumn("__base", F.lit(0)), "candidates")
+    n = found.groupBy("__base").agg(F.count("*").alias("__n"))
+    hits = sets.join(found, gene).join(n, "__base").join(each, "__base").where(F.col(gene) != F.col("left_out"))
+    hits = hits.withColumn("rank", F.col("rank") - F.coalesce((F.col("rank") > F.col("__gone")).cast("long"), F.lit(0))).withColumn("n_ranked", F.col("__n") - F.col("__gone").isNotNull().cast("int"))
+    scores = scratch.keep(_scores(hits, ["left_out"], set_col, gene, least, most), "scores")
+    chunks = scratch.keep(weight_chunks(found, ["__base"]), "chunks")
+    requests = each.select("left_out", "__base", F.array_compact(F.array("__gone")).alias("removed"))
+    return bh_adjust(_tested(scratch, scores, chunks, requests, ["__base"], ["left_out"], set_col, n_perm, seed, few, chains, least_p), "pval", ["left_out"])
+
+
+def collapse_sets(tested: DataFrame, ranked: DataFrame, sets: DataFrame, set_col: str, gene: str, p: float = 0.01, significant: Column | None = None, n_perm: int = 1000, seed: int = 1) -> DataFrame:
     """(set, kept): sets (those that are ``significant``, if given) by p value, each dropped that an earlier kept set explains.
 
     A set is explained by another if its enrichment both among the other's genes and among all others has p above
     the limit. Only a set that shares genes can explain another, since outside of it the ranking would be as before.
-    All such ordered pairs are tested as one job; the greedy walk is then a fix-point of joins: a set is
-    dropped once an earlier kept one explains it, and kept once none that is undecided or kept does.
+    Ranks among a set's genes are its members' order; a rank among the others is the rank less the members above it. So
+    a pair costs the members of both, and the ranking is not ranked anew. All pairs are tested as one job; the greedy
+    walk is then a fix-point of joins: a set is dropped once an earlier kept one explains it, and kept once none that
+    is undecided or kept does.
     """
     scratch = Scratch(ranked.sparkSession, "collapse")
     tested = tested if significant is None else tested.where(significant)
-    order = scratch.keep(tested.select(set_col, "pval").withColumn("o", F.row_number().over(Window.orderBy("pval", set_col))), "order")  # a collection's significant sets
-    members = sets.join(order.select(set_col), set_col, "left_semi")
-    parent = order.select(F.col(set_col).alias("parent"), F.col("o").alias("po"))
-    inside = members.select(F.col(set_col).alias("parent"), gene).withColumn("in", F.lit(True))
+    order = scratch.keep(rank_over_all(tested.select(set_col, "pval"), [F.col("pval"), F.col(set_col)], "o"), "order")
+    found = ranked.select(gene, F.col("rank").cast("long").alias("rank"), "stat")
+    members = scratch.keep(sets.select(set_col, gene).distinct().join(order.select(set_col, "o"), set_col).join(found, gene), "members")
+    parents = members.select(F.col(set_col).alias("parent"), F.col("o").alias("po"), gene, "rank", "stat")
     # pairs that share genes, the earlier one as parent
-    shared = members.join(order.select(set_col, "o"), set_col).join(inside.drop("in").join(parent, "parent"), gene).where("po < o").select(set_col, "parent").distinct()
+    shared = members.select(set_col, "o", gene).join(parents.select("parent", "po", gene), gene).where("po < o").select(set_col, "parent").distinct()
     shared = scratch.keep(shared, "shared")
+    own = members.select(set_col, gene, "rank", "stat").join(shared, set_col).withColumn("__mine", F.lit(1))
+    theirs = parents.select("parent", gene, "rank", "stat").join(shared, "parent").withColumn("__theirs", F.lit(1))
+    both = own.unionByName(theirs, allowMissingColumns=True).groupBy("parent", set_col, gene, "rank", "stat").agg(F.max("__mine").alias("mine"), F.max("__theirs").alias("side"))
+    above = F.count("side").over(Window.partitionBy("parent", set_col).orderBy("rank"))  # the parent's members down to this rank
+    sized = parents.groupBy("parent").agg(F.count("*").alias("__k"))
+    total = found.agg(F.count("*").alias("__n"))
+    hits = both.withColumn("__above", above).where("mine = 1").withColumn("side", F.col("side").isNotNull()).join(sized, "parent").join(total, how="cross")  # one row
+    hits = hits.withColumn("rank", F.when(F.col("side"), F.col("__above")).otherwise(F.col("rank") - F.col("__above"))).withColumn("n_ranked", F.when(F.col("side"), F.col("__k")).otherwise(F.col("__n") - F.col("__k")))
+    scores = scratch.keep(_scores(hits, ["parent", "side"], set_col, gene, 1, 10**9), "scores")
     wanted = shared.select("parent").distinct()
-    # each parent splits the ranking in two, so parents x ranking rows are ranked anew
-    both = ranked.join(wanted, how="cross")
-    both = both.join(inside, ["parent", gene], "left").withColumn("side", F.coalesce("in", F.lit(False))).drop("in")
-    w = Window.partitionBy("parent", "side").orderBy("rank")
-    both = both.withColumn("rank", F.row_number().over(w))
-    spread = members.join(shared, set_col).withColumn("side", F.explode(F.array(F.lit(True), F.lit(False))))
-    result = enrichment_test(both, spread, ["parent", "side"], set_col, gene, least=1, most=10**9, **how)
-    pairs = result.groupBy("parent", set_col).agg(F.min("pval").alias("least"))
-    pairs = pairs.where(F.col("least") > p).join(parent, "parent").join(order.select(set_col, "o"), set_col).where("po < o").select("parent", set_col)
-    pairs = scratch.keep(pairs, "pairs")
+    inside = parents.join(wanted, "parent", "left_semi")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("rank")).cast("long")
+    inner = inside.withColumn("rank", place).withColumn("of", F.col("parent"))
+    outer = found.withColumn("of", F.lit(None).cast(dict(inner.dtypes)["of"]))
+    named = lambda t: t.select(F.coalesce(F.col("of").cast("string"), F.lit("")).alias("__of"), F.col("of").isNotNull().alias("__in"), "rank", "stat")
+    chunks = scratch.keep(weight_chunks(named(inner).unionByName(named(outer)), ["__of", "__in"]), "chunks")
+    gone = inside.groupBy("parent").agg(F.array_sort(F.collect_list("rank")).alias("removed"))
+    within = gone.select("parent", F.lit(True).alias("side"), F.array().cast("array<long>").alias("removed"), F.col("parent").cast("string").alias("__of"), F.lit(True).alias("__in"))
+    without = gone.select("parent", F.lit(False).alias("side"), "removed", F.lit("").alias("__of"), F.lit(False).alias("__in"))
+    result = _tested(scratch, scores, chunks, within.unionByName(without), ["__of", "__in"], ["parent", "side"], set_col, n_perm, seed, 0, 0, 0.0)
+    explained = result.groupBy("parent", set_col).agg(F.min("pval").alias("least")).where(F.col("least") > p)
+    pairs = scratch.keep(explained.select("parent", set_col), "pairs")
     state, turn = order.select(set_col, F.lit(None).cast("boolean").alias("kept")), 0
     while True:
         of = state.select(F.col(set_col).alias("parent"), F.col("kept").alias("by"))

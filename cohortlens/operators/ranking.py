@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.runtime import Scratch
+from cohortlens.runtime import Scratch, shuffle_partitions
 
 
 def best_per_symbol(rows: DataFrame, keys: Sequence[str], z: str, tie: str) -> DataFrame:
@@ -21,6 +21,22 @@ def rank_desc(rows: DataFrame, entity: str, value: str, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(entity).orderBy(F.col(value).desc(), tie)))
 
 
+def rank_over_all(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of each row over the whole table, from 1; rows that ``order`` does not tell apart are in any order.
+
+    Rows are dealt to ranges of the order and sorted there; a row's number in its range and the sizes of the ranges
+    before it, one row a range, make its place, so no task sees all rows.
+    """
+    scratch = Scratch(rows.sparkSession, "places")
+    fixed = scratch.keep(rows, "rows")  # the ranges are sampled from what is then dealt
+    dealt = fixed.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = scratch.keep(dealt.withColumn("__at", F.monotonically_increasing_id()), "order")  # range in the high bits, number in the low 33
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(sizes), part == F.col("__part")).withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(2**33 - 1) + 1).drop("__at", "__part", "__before")
+
+
 def combine_replicates(rows: DataFrame, keys: Sequence[str], value: str, mode: str = "signed_min_abs", tie: str | None = None) -> DataFrame:
     """One value per key: the median, or the value of smallest magnitude, damped by 1 - min/max where signs differ."""
     if mode == "median":

@@ -38,7 +38,7 @@ def en2(spark, d):
 def _ranked_over_all(spark, d):
     """One ranking of the genes, by their statistic over all donors."""
     z = role(spark, d, "r_z").groupBy("gene").agg(F.sum("z").alias("stat"))
-    return R.rank_desc(z.withColumn("one", F.lit(0)), "one", "stat", "gene").drop("one")
+    return R.rank_over_all(z, [F.col("stat").desc(), F.col("gene")])
 
 
 @Q.add("en4_leave_one_out")

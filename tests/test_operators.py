@@ -100,17 +100,6 @@ def test_enrichment_nulls_of_long_rankings(spark):
     assert set(got) == {1, 2} and got[1]["pval"] < 0.05 < got[2]["pval"]
 
 
-def test_null_scores_equal_the_running_sum():
-    rng = np.random.default_rng(3)
-    stat = rng.normal(size=50)
-    rank = rng.choice(50, 12, replace=False)
-    for k, es in zip((5, 12), E.null_scores(rank, np.abs(stat[rank]), 50, np.array([5, 12]))):
-        hit = np.isin(np.arange(50), rank[:k])
-        walk = np.cumsum(np.where(hit, np.abs(stat) / np.abs(stat)[hit].sum(), -1 / (50 - k)))
-        walk = np.append(walk, 0.0)
-        assert math.isclose(es, max(walk.max(), walk.min(), key=abs), abs_tol=1e-12)
-
-
 def test_hwe_exact():
     p = G.hwe_p([0, 57, 50], [0, 14, 25], [0, 50, 25])
     assert p[0] == 1 and math.isclose(p[1], 0.8422798, rel_tol=1e-3) and p[2] > 0.9
