@@ -4,8 +4,8 @@ Each document is its set of hashed 5-word shingles. Documents with equal sets fo
 Per run, a class follows at each node of a tree the tokens that a hash of (node, token) selects at rate
 ``branch / set size``; so two similar sets choose common tokens, hence common children. Children with one class
 are dropped, small ones are compared by brute force, large ones are split again. To split a group of near copies
-would never end: in a large child each class is held against a few leaders. Those near one are linked to it and leave;
-those within reach of such a class (by the triangle inequality of Jaccard distance) are linked and go on. Runs are
+would never end: in a large child each class is held against a few leaders, against the first of them once for all
+children that have the same first. Those near one are linked to it and leave; those within reach of such a class (by the triangle inequality of Jaccard distance) are linked and go on. Runs are
 repeated until the recall that ``branch`` gives for pairs at the threshold reaches ``recall``.
 
 All this works on a coordinated sample of each set (about 64 tokens), and only yields candidate components. The
@@ -229,6 +229,14 @@ def _split(at: int):
     return run
 
 
+def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, first): classes that are near the first leader of children that they are in."""
+    for batch in batches:
+        rows = zip(*(batch[k].to_pylist() for k in ("cid", "n", "pool", "first", "ln", "lpool")))
+        near = [(c, f) for c, n, pool, f, ln, lpool in rows if c == f or _alike(n, np.frombuffer(pool, "<u8"), ln, np.frombuffer(lpool, "<u8")) >= NEAR]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in near], pa.int64()) for k in (0, 1)], names=["cid", "first"])
+
+
 def _compare_pools(threshold: float):
     """Forest of likely links in each small child."""
 
@@ -309,28 +317,39 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     rows = scratch.keep(pools.mapInArrow(_expand(branch, runs_for(recall, threshold, branch)), "cid long, path long"), "level0")
     small, links, rest, level = [], [], None, 0
     while True:
-        sized = rows.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
+        first = F.min(F.struct(F.xxhash64("cid", F.lit(9)).alias("h"), "cid"))["cid"].alias("first")
+        sized = rows.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"), first)
         few = sized.where(F.col("size").between(2, SMALL)).groupBy("size", "mark").agg(F.min("path").alias("path"))  # equal children count once
         small.append(scratch.keep(rows.select("path", "cid").join(few.select("path"), "path"), f"small{level}"))
-        big = scratch.keep(sized.where(F.col("size") > SMALL).select("path", "size"), f"big{level}")
+        big = scratch.keep(sized.where(F.col("size") > SMALL).select("path", "size", "first"), f"big{level}")
         if big.isEmpty():
             break
         if level == DEPTH:
             rest = scratch.keep(rows.join(big, "path").select("path", "cid", "size"), "rest")
             break
-        members = rows.join(big, "path")
-        if level == 0:  # deeper rows carry their samples along
-            members = members.join(pools, "cid")
-        members = scratch.keep(members, f"members{level}")
-        lead = members.groupBy("path", "size", F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l"))
-        lead = lead.groupBy("path", "size").agg(F.collect_list("l").alias("leaders"))
-        # a child is dealt out in shares of its rows, each with a copy of the leaders
+        members = scratch.keep(rows.join(big, "path"), f"members{level}")
+        # Children of near copies mostly have the same first leader: a class is held against it once, not in each of them.
+        sketch = [] if level == 0 else [F.first("n").alias("n"), F.first("pool").alias("pool")]  # deeper rows carry their samples along
+        once = members.groupBy("first", "cid").agg(F.max("size").alias("size"), *sketch)
+        once = once.join(pools, "cid") if level == 0 else once
         shares = F.ceil(F.col("size") / SHARE).cast("int")
+        firsts = big.groupBy("first").agg(F.max("size").alias("size")).join(pools.select(F.col("cid").alias("first"), F.col("n").alias("ln"), F.col("pool").alias("lpool")), "first")
+        copies = firsts.select("first", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "ln", "lpool")
+        once = once.join(big.groupBy("first").agg(F.max("size").alias("most")), "first").withColumn("share", F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("most") / SHARE).cast("int")).cast("int")).drop("size", "most")
+        near = once.repartition(parts, "first", "share").join(copies.repartition(parts, "first", "share").hint("merge"), ["first", "share"])
+        near = scratch.keep(near.select("cid", "n", "pool", "first", "ln", "lpool").mapInArrow(_near_first, "cid long, first long"), f"near{level}")
+        links.append(near.where("cid <> first").select(F.col("cid").alias("src"), F.col("first").alias("dst")))
+        members = members.join(near, ["cid", "first"], "left_anti").drop("first")
+        members = scratch.keep(members.join(pools, "cid") if level == 0 else members, f"others{level}")
+        lead = members.groupBy("path", "size", F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "pool")).alias("l")).drop("part")
+        of_first = big.select("path", "size", "first").join(firsts.drop("size"), "first").select("path", "size", F.struct(F.xxhash64("first").alias("h"), F.col("first").alias("cid"), F.col("ln").alias("n"), F.col("lpool").alias("pool")).alias("l"))
+        lead = lead.unionByName(of_first).groupBy("path", "size").agg(F.collect_list("l").alias("leaders"))
+        # a child is dealt out in shares of its rows, each with a copy of the leaders
         lead = lead.select("path", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "leaders")
         members = members.withColumn("share", F.pmod(F.xxhash64("cid", F.lit(7)), shares).cast("int")).drop("size")
         told = members.repartition(parts, "path", "share").join(lead.repartition(parts, "path", "share").hint("merge"), ["path", "share"]).mapInArrow(_split(level), "cid long, path long, leader long, n long, pool binary")
         told = scratch.keep(told, f"told{level}")
-        scratch.drop(f"members{level}", f"big{level}", f"level{level}")
+        scratch.drop(f"members{level}", f"others{level}", f"big{level}", f"level{level}")
         links.append(told.where("leader is not null").select(F.col("cid").alias("src"), F.col("leader").alias("dst")))
         rows = told.where("path is not null").select("cid", "path", "n", "pool")
         level += 1
@@ -384,7 +403,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     known = classes.select("cid", *key, first.alias("rep"), "size").join(linked, "cid", "left").withColumn("head", F.coalesce("head", "rep"))
     known = known.select(*key, F.col("head.id").alias("class_id"), F.col("head.h").alias("class_h"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = scratch.keep(known, "known")
-    scratch.drop("classes", "candidates", "unsized", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "told")])
+    scratch.drop("classes", "candidates", "unsized", "chosen", "sets", "checked", "rest", *[f"{kind}{k}" for k in range(level + 1) for kind in ("level", "small", "big", "near", "told")])
     ids = sketches.select("id", "h", *key)
     kept = (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))).alias("kept")
     found = ids.where("n > 0").join(known, key).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("h").alias("text_hash"), kept)
