@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
+from cohortlens.operators.ranking import order_statistics
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key by ``order``; ties go by all other columns."""
@@ -227,10 +229,12 @@ def cross_table(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def qc_flags(rows: DataFrame, value: str, k: float = 3.0) -> DataFrame:
     """Adds ``high``: above the median plus k unscaled median absolute deviations over all rows; null where not a number."""
-    x = F.col(value).try_cast("double")
-    middle = rows.agg(F.percentile(x, F.lit(0.5)).alias("__m"))
-    spread = rows.join(middle, how="cross").agg(F.first("__m").alias("__m"), F.percentile(F.abs(x - F.col("__m")), F.lit(0.5)).alias("__d"))
-    return rows.join(spread, how="cross").withColumn("high", x > F.col("__m") + k * F.col("__d")).drop("__m", "__d")
+    x = F.nanvl(F.col(value).try_cast("double"), F.lit(None).cast("double"))
+    (middle,) = order_statistics(rows, x, [0.5])
+    if middle is None:
+        return rows.withColumn("high", F.lit(None).cast("boolean"))
+    (spread,) = order_statistics(rows, F.abs(x - middle), [0.5])
+    return rows.withColumn("high", x > middle + k * spread)
 
 
 def fraction_summary(rows: DataFrame, keys: Sequence[str], cls: str, value: str, classes: Sequence[str]) -> DataFrame:

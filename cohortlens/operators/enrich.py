@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.operators.nulls import null_blocks, null_counts, tail_p, weight_chunks
-from cohortlens.operators.ranking import bh_adjust, rank_over_all
+from cohortlens.operators.ranking import bh_adjust, rank_over_all, running_totals
 from cohortlens.runtime import Scratch
 
 
@@ -178,15 +178,14 @@ def overlay_p(rows: DataFrame, own: DataFrame, keys: Sequence[str], p: str = "pv
 def matched_null_test(rows: DataFrame, gene: str, stratum: str, min_p: str, candidate: str, least_pool: int = 20) -> DataFrame:
     """Empirical p of candidates: (1 + pool genes with at most that p) / (1 + pool), BH over candidates, ``small_pool`` flag.
 
-    The pool is the genes of the stratum that are no candidates and have a p. A stratum's p values are counted once
-    per distinct value before candidates look them up.
+    The pool is the genes of the stratum that are no candidates and have a p. The distinct p values of a stratum, with
+    their pool genes counted, are summed in one sweep over ranges of both; candidates look their own value up in it.
     """
-    pool = rows.where(~F.col(candidate) & F.col(min_p).isNotNull()).groupBy(stratum, F.col(min_p).alias("__p")).agg(F.count("*").alias("__k"))
-    steps = pool.withColumn("__cum", F.sum("__k").over(Window.partitionBy(stratum).orderBy("__p")))
-    total = pool.groupBy(stratum).agg(F.sum("__k").alias("pool"))
     asked = rows.where(F.col(candidate) & F.col(min_p).isNotNull())
-    below = asked.select(gene, stratum, min_p).join(steps, stratum).where(F.col("__p") <= F.col(min_p)).groupBy(gene, stratum).agg(F.max("__cum").alias("n_le"))
-    out = asked.join(below, [gene, stratum], "left").join(total, stratum, "left").na.fill(0, ["n_le", "pool"])
+    counted = rows.where(F.col(min_p).isNotNull()).groupBy(stratum, min_p).agg(F.count_if(~F.col(candidate)).alias("__k"))
+    swept = running_totals(counted, [stratum], min_p, "__k", "n_le", "pool").drop("__k")
+    side = swept.select(F.col(stratum).alias("__s"), F.col(min_p).alias("__p"), "n_le", "pool")
+    out = asked.join(side, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col(min_p) == F.col("__p"))).drop("__s", "__p")
     out = out.withColumn("p_matched", (1 + F.col("n_le")) / (1 + F.col("pool"))).withColumn("small_pool", F.col("pool") < least_pool)
     return bh_adjust(out, "p_matched", name="padj")
 

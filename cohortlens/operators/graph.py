@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from cohortlens.operators.ranking import rank_over_all
 from cohortlens.runtime import Scratch
 
 
@@ -53,20 +54,77 @@ def family_representatives(samples: DataFrame, relatives: DataFrame, node: str,
     return out.withColumn("kept", F.col(node) == F.col("family"))
 
 
+#: Sites of a block, samples of a tile, and blocks whose counts one task sums before it tells them.
+BLOCK_SITES, TILE, BLOCKS_EACH = 4096, 128, 64
+
+
+def _site_words(calls: DataFrame, sample: str, site: str, dosage: str, scratch: Scratch) -> DataFrame:
+    """(block, word, sample, het, alt, both): dosages of 64 sites a row, as bits: heterozygous, homozygous alternate, called."""
+    called = scratch.keep(calls.where(F.col(dosage).isNotNull()).select(F.col(sample).alias("sample"), F.col(site).alias("__site"), F.col(dosage).cast("int").alias("d")), "calls")
+    sites = called.select("__site").distinct()
+    blocks = F.lit(max(1, -(-sites.count() // BLOCK_SITES)))
+    within = Window.partitionBy("block").orderBy("__site")  # about BLOCK_SITES rows
+    numbered = sites.withColumn("block", F.pmod(F.xxhash64("__site"), blocks)).withColumn("at", F.row_number().over(within) - 1)
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    t = called.join(numbered, "__site").groupBy("block", F.floor(F.col("at") / 64).cast("int").alias("word"), "sample")
+    marked = lambda test: F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("long")))
+    return t.agg(marked(F.col("d") == 1).alias("het"), marked(F.col("d") == 2).alias("alt"), marked(F.lit(True)).alias("both"))
+
+
 def pairwise_kinship(calls: DataFrame, sample: str, site: str, dosage: str, least: float | None = 0.0) -> DataFrame:
     """KING-robust kinship of sample pairs over sites that both have: shared sites, both het, opposite homozygotes.
 
     With h the heterozygotes of each and m the smaller: (HH - 2 O) / 2m + 1/2 - (ha + hb) / 4m, null if m is 0;
-    rows below ``least`` go (None keeps all). The pairs of a site are bounded by the cohort's samples.
+    rows below ``least`` go (None keeps all), and pairs without a shared site are not reported. A sample has one
+    call a site; dosages are 0, 1, 2 or null.
+
+    Dosages of a block of sites are bits of 64-bit words, so a pair costs a few bit counts a word. Tiles of samples meet
+    in pairs, and a task sums many blocks before it tells a pair of tiles' counts, so what is shuffled follows
+    sites x samples / 64 and pairs of tiles, not sites x samples squared.
     """
-    x = calls.where(F.col(dosage).isNotNull())
-    left = x.select(F.col(sample).alias("a"), site, F.col(dosage).alias("da"))
-    right = x.select(F.col(sample).alias("b"), site, F.col(dosage).alias("db"))
-    da, db = F.col("da"), F.col("db")
-    t = left.join(right, site).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_sites"), F.count_if((da == 1) & (db == 1)).alias("het_het"), F.count_if(F.abs(da - db) == 2).alias("opposite"), F.count_if(da == 1).alias("__ha"), F.count_if(db == 1).alias("__hb"))
-    m = F.least("__ha", "__hb")
-    k = F.when(m > 0, (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * m) + 0.5 - (F.col("__ha") + F.col("__hb")) / (4.0 * m))
-    out = t.withColumn("kinship", k).drop("__ha", "__hb")
+    spark = calls.sparkSession
+    scratch = Scratch(spark, "kinship")
+    words = scratch.keep(_site_words(calls, sample, site, dosage, scratch), "words")
+    samples = words.select("sample").distinct()
+    numbered = scratch.keep(rank_over_all(samples, [F.col("sample")], "id").withColumn("id", F.col("id") - 1), "samples")
+    tiles = -(-numbered.count() // TILE)
+    words = words.join(numbered, "sample").select("block", "word", F.col("id"), F.floor(F.col("id") / TILE).cast("int").alias("tile"), "het", "alt", "both")
+    words = words.withColumn("share", F.floor(F.col("block") / BLOCKS_EACH)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(tiles, 1) - 1))))
+    words = words.withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        ti, tj = int(group["ti"].iloc[0]), int(group["tj"].iloc[0])
+        place, _ = pd.factorize(group["block"] * (BLOCK_SITES * 2) + group["word"])
+        n_words = int(place.max()) + 1
+
+        def bits(tile: int) -> list[np.ndarray]:
+            mine = (group["tile"] == tile).to_numpy()
+            out = [np.zeros((TILE, n_words), dtype=np.uint64) for _ in range(3)]
+            for m, c in zip(out, ("het", "alt", "both")):
+                m[group["id"].to_numpy()[mine] % TILE, place[mine]] = group[c].to_numpy(dtype=np.int64)[mine].view(np.uint64)
+            return out
+
+        het_a, alt_a, both_a = bits(ti)
+        het_b, alt_b, both_b = bits(tj)
+        ref_b = both_b & ~het_b & ~alt_b
+        ones = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        rows = []
+        for i in range(TILE):
+            if both_a[i].any():
+                h, v, t = het_a[i], both_a[i], alt_a[i]
+                n, opposite = ones(v & both_b), ones(v & ~h & ~t & alt_b) + ones(t & ref_b)
+                table = np.stack([n, ones(h & het_b), opposite, ones(h & both_b), ones(v & het_b)])
+                at = np.flatnonzero((n > 0) & (tj * TILE + np.arange(TILE) > ti * TILE + i))
+                rows.append(pd.DataFrame({"ia": ti * TILE + i, "ib": tj * TILE + at, **dict(zip(("n_sites", "het_het", "opposite", "ha", "hb"), table[:, at]))}))
+        return pd.concat(rows) if rows else pd.DataFrame(columns=["ia", "ib", "n_sites", "het_het", "opposite", "ha", "hb"])
+
+    counted = words.groupBy("ti", "tj", "share").applyInPandas(count, "ia long, ib long, n_sites long, het_het long, opposite long, ha long, hb long")
+    t = counted.groupBy("ia", "ib").agg(*[F.sum(c).alias(c) for c in ("n_sites", "het_het", "opposite", "ha", "hb")])
+    name = lambda end: numbered.select(F.col("id").alias(f"i{end}"), F.col("sample").alias(end))
+    t = t.join(name("a"), "ia").join(name("b"), "ib")
+    m = F.least("ha", "hb")
+    k = F.when(m > 0, (F.col("het_het") - 2 * F.col("opposite")) / (2.0 * m) + 0.5 - (F.col("ha") + F.col("hb")) / (4.0 * m))
+    out = t.select("a", "b", "n_sites", "het_het", "opposite", k.alias("kinship"))
     return out if least is None else out.where(F.col("kinship") >= least)
 
 

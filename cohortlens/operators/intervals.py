@@ -9,24 +9,55 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.runtime import Scratch
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width)))
+#: Each level of bins is so many times as wide as the one below, up to the top level.
+FACTOR, TOP_LEVEL = 8, 12
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The lowest level whose bins are at least as wide as the interval, so that it touches two of them at most."""
+    out = F.lit(TOP_LEVEL)
+    for k in range(TOP_LEVEL - 1, -1, -1):
+        out = F.when(end - start <= width * FACTOR**k, k).otherwise(out)
+    return out
+
+
+def _places(own: Column, start: Column, end: Column, width: int, kinds: Sequence[tuple[int, int, Column]]) -> Column:
+    """Rows (kind, level, bin) of an interval: its bins at each level for which the kind's test holds."""
+
+    def at(kind: int, level: int, test: Column) -> Column:
+        size = width * FACTOR**level
+        bins = F.transform(F.sequence(F.floor(start / size), F.floor((end - 1) / size)), lambda b: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), b.alias("bin")))
+        return F.when(test, bins).otherwise(F.array().cast("array<struct<kind:int,level:int,bin:bigint>>"))
+
+    return F.explode(F.flatten(F.array(*[at(*k) for k in kinds])))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, contig: str = "contig", start: str = "s", end: str = "e", width: int = 64, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of overlapping intervals; columns of a as they are, of b prefixed ``b_``.
 
-    Each interval goes to all bins of ``width`` that it touches; pairs meet by contig and bin, and count in the bin
-    where the later of both starts lies, which needs no distinct. Choose width near the median length. Empty
-    intervals overlap nothing; a hot bin is split by Spark's skew join.
+    Bins have levels, each FACTOR times as wide as the one below, and an interval's own level is the lowest at which
+    it touches two bins at most; choose ``width``, that of the lowest, near the median length. A pair meets at the
+    higher of both own levels: intervals of a on their level meet those of b on the same or a lower one, and those of b on
+    theirs meet the lower ones of a. So the longest interval makes two rows for each level that the other side
+    has, whatever its length. Pairs meet by contig, level and bin, and count in the bin where the later of both starts lies, which
+    needs no distinct. Empty intervals overlap nothing; a hot bin is split by Spark's skew join.
     """
-    left = a.where(F.col(end) > F.col(start)).withColumn("__bin", _bins(F.col(start), F.col(end), width))
-    right = b.where(F.col(end) > F.col(start)).select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("__bbin", _bins(F.col(f"b_{start}"), F.col(f"b_{end}"), width))
-    keys = [F.col(c) == F.col(f"b_{c}") for c in (contig, *extra_keys)]
-    joined = left.join(right, [*keys, F.col("__bin") == F.col("__bbin")])
+    left = a.where(F.col(end) > F.col(start)).withColumn("__own", _level(F.col(start), F.col(end), width))
+    right = b.where(F.col(end) > F.col(start)).select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("__bown", _level(F.col(f"b_{start}"), F.col(f"b_{end}"), width))
+    used = left.select(F.lit("a").alias("side"), F.col("__own").alias("level")).distinct().unionByName(right.select(F.lit("b").alias("side"), F.col("__bown").alias("level")).distinct())
+    used = sorted((r["side"], r["level"]) for r in used.collect())  # a row a level
+    of_a, of_b = [k for side, k in used if side == "a"], [k for side, k in used if side == "b"]
+    own, bown = F.col("__own"), F.col("__bown")
+    kinds_a = [(1, k, own == k) for k in of_a] + [(2, k, own < k) for k in of_b]
+    kinds_b = [(1, k, bown <= k) for k in of_a] + [(2, k, bown == k) for k in of_b]
+    none = [(0, 0, F.lit(False))]
+    left = left.withColumn("__at", _places(own, F.col(start), F.col(end), width, kinds_a or none)).drop("__own")
+    right = right.withColumn("__bat", _places(bown, F.col(f"b_{start}"), F.col(f"b_{end}"), width, kinds_b or none)).drop("__bown")
+    keys = [F.col(c) == F.col(f"b_{c}") for c in (contig, *extra_keys)] + [F.col(f"__at.{c}") == F.col(f"__bat.{c}") for c in ("kind", "level", "bin")]
     inside = (F.col(start) < F.col(f"b_{end}")) & (F.col(f"b_{start}") < F.col(end))
-    once = F.col("__bin") == F.floor(F.greatest(F.col(start), F.col(f"b_{start}")) / width)
-    return joined.where(inside & once).drop("__bin", "__bbin")
+    size = F.element_at(F.array(*[F.lit(width * FACTOR**k) for k in range(TOP_LEVEL + 1)]), F.col("__at.level") + 1)
+    once = F.col("__at.bin") == F.floor(F.greatest(F.col(start), F.col(f"b_{start}")) / size)
+    return left.join(right, keys).where(inside & once).drop("__at", "__bat")
 
 
 def count_overlaps(reads: DataFrame, regions: DataFrame, record: str, keys: Sequence[str], unique: bool = False, **how) -> DataFrame:

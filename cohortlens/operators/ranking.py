@@ -84,18 +84,76 @@ def seeded_order(seed: int, *cols: str) -> Column:
 
 
 def equal_frequency_bins(rows: DataFrame, key: str, value: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``bin`` 1..n of equal size, ties broken by a seeded hash, and ``percentile`` by average ranks. Gene-sized groups."""
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(value, seeded_order(seed, key), key)) - 1
-    total = F.count("*").over(w)
-    average = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-    return rows.withColumn("bin", (F.floor(place * n / total) + 1).cast("int")).withColumn("percentile", average / total)
+    """Adds ``bin`` 1..n of equal size, ties broken by a seeded hash, and ``percentile`` by average ranks.
+
+    With no group the rows are placed by ranges over the whole table; groups are gene-sized windows of their own.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        place = F.row_number().over(w.orderBy(value, seeded_order(seed, key), key)) - 1
+        total = F.count("*").over(w)
+        average = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+        return rows.withColumn("bin", (F.floor(place * n / total) + 1).cast("int")).withColumn("percentile", average / total)
+    names = [c for c in rows.columns if c not in ("bin", "percentile")]
+    placed = rank_over_all(rows.select(*names), [F.col(value), seeded_order(seed, key), F.col(key)], "__place")
+    ties = placed.groupBy(F.col(value).alias("__v")).agg(F.min("__place").alias("__low"), F.count("*").alias("__k"))
+    total = placed.count()
+    both = placed.join(ties, F.col(value).eqNullSafe(F.col("__v")))
+    average = F.col("__low") + (F.col("__k") - 1) / 2
+    return both.select(*names, (F.floor((F.col("__place") - 1) * n / total) + 1).cast("int").alias("bin"), (average / total).alias("percentile"))
+
+
+def order_statistics(rows: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
+    """Exact type-7 quantiles of a column over the whole table, as numbers; null and NaN do not count.
+
+    Equal values are counted first, then the distinct ones are dealt to ranges. The sizes of the ranges, one number
+    each, tell in which of them the wanted places lie, and only those are ordered, each on its own.
+    """
+    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    scratch = Scratch(rows.sparkSession, "statistics")
+    counts = scratch.keep(rows.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")), "counts")
+    dealt = scratch.keep(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), "x").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a range
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None] * len(shares)
+    at = [(total - 1) * q for q in shares]
+    wanted = sorted({int(k) for h in at for k in (h, min(h + 1, total - 1))})  # places from 0
+    inside, below = {}, 0
+    for part, n in sizes:
+        for k in wanted:
+            if below <= k < below + n:
+                inside.setdefault(part, []).append((k, k - below))
+        below += n
+    pairs = rows.sparkSession.createDataFrame([(p, k, place) for p, found in inside.items() for k, place in found], "part int, k long, place long")
+    some = dealt.where(F.col("part").isin(*inside)).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("x")))
+    found = some.join(F.broadcast(pairs), "part").where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))  # two numbers a share
+    of = {r["k"]: r["x"] for r in found.select("k", "x").collect()}
+    return [of[int(h)] + (h - int(h)) * (of[min(int(h) + 1, total - 1)] - of[int(h)]) for h in at]
+
+
+def running_totals(rows: DataFrame, by: Sequence[str], order: str, value: str, name: str, total: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the group down to this one, and over the whole group.
+
+    Rows must differ in group and order. They are dealt to ranges of both; sums of a group's earlier ranges are
+    carried, from one row a range and group, so no group is one task.
+    """
+    scratch = Scratch(rows.sparkSession, "totals")
+    fixed = scratch.keep(rows, "rows")
+    dealt = scratch.keep(fixed.repartitionByRange(shuffle_partitions(rows.sparkSession), *by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__part").alias("__of"), before.alias("__before"), F.sum("__sum").over(group).alias(total))
+    own = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order))
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by] + [F.col("__part") == F.col("__of")]
+    return dealt.withColumn(name, own).join(sums, on).withColumn(name, F.col(name) + F.col("__before")).select(*rows.columns, name, total)
 
 
 def quantile_breaks(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """One row with ``breaks``: type-7 quantiles at equal shares, repeated ones removed."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    return rows.agg(F.array_distinct(F.percentile(value, shares)).alias("breaks"))
+    found = order_statistics(rows, F.col(value), [k / bins for k in range(bins + 1)])
+    return rows.sparkSession.createDataFrame([(list(dict.fromkeys(x for x in found if x is not None)),)], "breaks array<double>")
 
 
 def quantile_strata(rows: DataFrame, breaks: DataFrame, value: str) -> DataFrame:

@@ -51,7 +51,7 @@ def wn4b(spark, d):
 @Q.add("wn5_equal_frequency_bins", """select p_partkey as k, cast(floor((row_number() over (order by p_size, md5('7|' || p_partkey), p_partkey) - 1) * 10 / count(*) over ()) + 1 as int) as bin,
  round((rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0) / count(*) over (), 9) as percentile from part""")
 def wn5(spark, d):
-    out = R.equal_frequency_bins(role(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", F.lit(1).alias("one")), "k", "p_size", 10, 7, by=["one"])
+    out = R.equal_frequency_bins(role(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size"), "k", "p_size", 10, 7)
     return out.select("k", "bin", F.round("percentile", 9).alias("percentile"))
 
 
