@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from math import log2
+from math import ceil, log2
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -62,40 +65,129 @@ def low_complexity_filter(reads: DataFrame, key: str, name: str, seq: str, least
     return scored.join(pairs, name, "left_semi")
 
 
+#: Letters of the queries that one automaton is made of; more queries are searched in blocks of about so many.
+QUERY_LETTERS = 4_000_000
+#: Candidate places that are compared at once.
+COMPARED = 1 << 16
+
+
+class _Blocks:
+    """Queries of one block: an automaton of their pieces, and their letters by length."""
+
+    def __init__(self, queries: Sequence[str], pieces: int, similar: Sequence[str]):
+        import ahocorasick
+
+        self.queries, self.automaton = list(queries), ahocorasick.Automaton()
+        self.length = np.array([len(q) for q in self.queries], dtype=np.int64)
+        found: dict[str, list[tuple[int, int]]] = {}
+        for k, q in enumerate(self.queries):
+            cut = [len(q) * i // pieces for i in range(pieces + 1)]
+            for low, high in zip(cut, cut[1:]):
+                found.setdefault(q[low:high], []).append((k, high - 1))
+        for piece, where in found.items():
+            self.automaton.add_word(piece, np.array(where, dtype=np.int64))
+        if found:
+            self.automaton.make_automaton()
+        self.row = np.zeros(len(self.queries), dtype=np.int64)  # of a query among those of its length
+        self.by_length = {}
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            self.row[at] = np.arange(len(at))
+            self.by_length[int(n)] = np.stack([_codes(self.queries[k]) for k in at])
+        self.groups = [np.unique(_codes(g)) for g in similar]
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(query, start) of all places where a piece of the query lies as in the query, without repeats."""
+        if not self.queries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts = [np.stack((where[:, 0], end - where[:, 1])) for end, where in self.automaton.iter(text)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        query, start = np.concatenate(parts, axis=1)
+        fits = (start >= 0) & (start + self.length[query] <= len(text))
+        both = np.unique(query[fits] * (len(text) + 1) + start[fits])
+        return both // (len(text) + 1), both % (len(text) + 1)
+
+
+    def compare(self, text: str, codes: np.ndarray, which: np.ndarray, start: np.ndarray, mismatches: int, anchors: Sequence[int], fraction: float) -> Iterator[tuple]:
+        """(query, start, identities, window, tier) of the places that match, by length."""
+        for size in np.unique(self.length[which]).tolist():
+            mine = np.flatnonzero(self.length[which] == size)
+            want, have = self.by_length[size][self.row[which[mine]]], codes[start[mine][:, None] + np.arange(size)]
+            same = want == have
+            identities = same.sum(axis=1)
+            ok = identities >= size - mismatches
+            for a in anchors:
+                spot = size if a == -1 else a
+                if spot <= size:
+                    ok &= same[:, spot - 1]
+            if self.groups:
+                close = same.copy()
+                for g in self.groups:
+                    close |= np.isin(want, g) & np.isin(have, g)
+                ok &= close.sum(axis=1) >= ceil(size * fraction)
+            for i in np.flatnonzero(ok).tolist():
+                p = int(start[mine[i]])
+                yield self.queries[which[mine[i]]], p, int(identities[i]), text[p : p + size], "exact" if identities[i] == size else "near"
+
+
+#: One block in each Python worker, so that its tasks share the automaton: (name, block).
+_BLOCK: list = [None, None]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def near_matches(queries: DataFrame, db: DataFrame, query: str, db_id: str, seq: str, mismatches: int = 2, anchors: Sequence[int] = (2, -1), similar: Sequence[str] = (), fraction: float = 1.0) -> DataFrame:
     """(query, db_id, at, found, identities, tier): full-length ungapped matches of the queries in the database.
 
     At most ``mismatches`` letters differ, anchor positions (from 1, -1 the last) do not, and at least ``fraction`` of
     all positions are equal or in one of the groups of ``similar`` letters (none: all count). A window with that few
-    mismatches shares one of ``mismatches + 1`` blocks exactly, so pairs meet by (length, block, text of the block).
-    Queries are few and short, so the tiles that meet none of their blocks go early; hot blocks are split by Spark.
+    mismatches has one of the query's ``mismatches + 1`` pieces in its place, so an automaton of all pieces is run
+    over each text once, and only the places it reports are compared. The automaton is made of a block of queries of
+    bounded size; more queries are searched block by block. Null texts and queries shorter than the pieces match nothing; repeated
+    queries count once, repeated rows of the database each on its own.
     """
-    n = mismatches + 1
+    spark, n = db.sparkSession, mismatches + 1
     q = queries.select(F.col(query).alias("query")).distinct().where(F.length("query") >= n)
-    size = F.length("query")
-    block = lambda text, length, i: F.substr(text, (F.floor(length * i / n) + 1).cast("int"), (F.floor(length * (i + 1) / n) - F.floor(length * i / n)).cast("int"))
-    seeds = q.select("query", size.alias("len"), F.posexplode(F.array(*[block(F.col("query"), size, i) for i in range(n)])).alias("i", "seed"))
-    lengths = q.select(size.alias("len")).distinct().agg(F.array_sort(F.collect_set("len")).alias("lens"))  # distinct lengths of short queries
-    tiles = db.select(db_id, F.col(seq).alias("__s")).join(F.broadcast(lengths), how="cross").withColumn("len", F.explode("lens")).where(F.length("__s") >= F.col("len"))
-    tiles = _pieces(tiles, db_id, "__s", F.col("len"))
-    tiles = tiles.select(db_id, "len", "base", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - F.col("len"))).alias("k"))
-    tiles = tiles.select(db_id, "len", (F.col("base") + F.col("k")).alias("at"), F.substr("piece", F.col("k") + 1, F.col("len")).alias("found"))
-    cut = tiles.select("*", F.posexplode(F.array(*[block(F.col("found"), F.col("len"), i) for i in range(n)])).alias("i", "seed"))
-    t = cut.join(seeds, ["len", "i", "seed"]).select("query", db_id, "at", "found", "len").distinct()
-    letters = lambda c: F.split(c, "")
-    same = F.zip_with(letters("query"), letters("found"), lambda a, b: (a == b).cast("int"))
-    close = same
-    if similar:
-        alike = lambda a, b: sum(((a.isin(*g) & b.isin(*g)).cast("int") for g in similar), (a == b).cast("int")) > 0
-        close = F.zip_with(letters("query"), letters("found"), lambda a, b: alike(a, b).cast("int"))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
-    t = t.withColumn("identities", total(same)).withColumn("__p", total(close)).where(F.col("identities") >= F.col("len") - mismatches)
-    if similar:
-        t = t.where(F.col("__p") >= F.ceil(F.col("len") * fraction))
-    for a in anchors:
-        spot = F.col("len") if a == -1 else F.lit(a)
-        t = t.where((spot > F.col("len")) | (F.substr("query", spot, F.lit(1)) == F.substr("found", spot, F.lit(1))))
-    return t.select("query", db_id, "at", "found", "identities", F.when(F.col("identities") == F.col("len"), "exact").otherwise("near").alias("tier"))
+    letters = q.agg(F.sum(F.length("query")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-letters // QUERY_LETTERS))
+    rows = db.select(F.col(db_id), F.col(seq).alias("__s")).where(F.col(seq).isNotNull())
+    kind = dict(rows.dtypes)[db_id]
+    schema = f"query string, `{db_id}` {kind}, at int, found string, identities int, tier string"
+
+    def search(texts: Sequence[str]):
+        shared, name = spark.sparkContext.broadcast(list(texts)), uuid.uuid4().hex  # about QUERY_LETTERS at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if _BLOCK[0] != name:
+                _BLOCK[:] = name, _Blocks(shared.value, n, similar)
+            own = _BLOCK[1]
+            for batch in batches:
+                out: list[tuple] = []
+                for k, text in enumerate(batch["__s"].to_pylist()):
+                    which, start = own.places(text)
+                    codes = _codes(text) if len(which) else None
+                    for low in range(0, len(which), COMPARED):
+                        out += [(k, *m) for m in own.compare(text, codes, which[low : low + COMPARED], start[low : low + COMPARED], mismatches, anchors, fraction)]
+                        if len(out) > COMPARED:
+                            yield told(batch, out)
+                            out = []
+                yield told(batch, out)
+
+        def told(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+            k, which, place, same, found, tier = zip(*out) if out else ((),) * 6
+            columns = [pa.array(which, pa.string()), batch[db_id].take(pa.array(k, pa.int64())), pa.array(place, pa.int32()), pa.array(found, pa.string()), pa.array(same, pa.int32()), pa.array(tier, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["query", db_id, "at", "found", "identities", "tier"])
+
+        return rows.mapInArrow(run, schema)
+
+    found = None
+    for k in range(blocks):
+        texts = [r["query"] for r in q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).collect()]
+        found = search(texts) if found is None else found.unionByName(search(texts))
+    return found
 
 
 def hits_by_organism(hits: DataFrame, organism: str, own: str, priority: Sequence[str] = ()) -> DataFrame:

@@ -30,6 +30,14 @@ def sq1(spark, d):
     return S.near_matches(queries, role(spark, d, "documents"), "q", "doc_id", "text").select("query", F.col("doc_id").alias("k"), F.col("at").alias("pos"), "identities", "tier")
 
 
+@Q.add("sq1_similar_matches")
+def sq1b(spark, d):
+    """Words of nine letters or more in all whole texts; letters that differ must be both vowels or both of one group of consonants."""
+    words = F.explode(F.split("text", "[^A-Za-z]+")).alias("q")
+    queries = role(spark, d, "benchmark").select(words).where(F.length("q") >= 9)
+    return S.near_matches(queries, role(spark, d, "documents"), "q", "doc_id", "text", similar=["aeiou", "bdpt", "mn", "cgkq", "fvw", "sz"])
+
+
 @Q.add("sq2_hits_by_organism", "select p_type as organism, count(*) as hits, count(*) filter (p_size % 2 = 0) as exact, p_type = 'PROMO' as is_self, p_type in ('SMALL', 'LARGE') as is_priority from part group by p_type")
 def sq2(spark, d):
     hits = role(spark, d, "part").select(F.col("p_type").alias("organism"), F.when(F.col("p_size") % 2 == 0, "exact").otherwise("near").alias("tier"))
