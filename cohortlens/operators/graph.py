@@ -168,27 +168,75 @@ def prune_sites(calls: DataFrame, site: str, dosage: str, n_samples: int, maf: f
     return t.where((F.col("maf") >= maf) & (F.col("missing") <= missing)).withColumn("p", exact("het", "hom_ref", "hom_alt")).where(F.col("p") >= hwe)
 
 
-def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "set_a", b: str = "set_b", weight: str = "similarity") -> DataFrame:
-    """Nodes with their ``community`` by weighted label propagation, until the labels no longer change or come again.
+def _moved(links: DataFrame, start: DataFrame, scratch: Scratch, name: str, rounds: int) -> tuple[DataFrame, bool]:
+    """(v, label) after moving nodes between communities while that raises modularity, and whether any moved.
 
-    A deterministic stand-in for randomised modularity optimisation: each round every node takes the label with the
-    largest weight among its neighbours and itself (its own counts its largest edge), the smallest label among ties.
+    ``links`` has (u, v, w) both ways; a contracted node's inner weight is a loop. Each round every node finds the
+    community where it raises modularity most, the smallest label among ties; of the nodes that want to move, those
+    that a hash of the node and the round picks do, so that neighbours do not swap places for ever.
+    """
+    weight = scratch.keep(links.groupBy("u").agg(F.sum("w").alias("k")), f"{name}-weight")
+    total = weight.agg(F.sum("k")).first()[0] or 0.0
+    labels, moved = start, False
+    if not total:
+        return labels, False
+    for k in range(rounds):
+        own = labels.join(weight.withColumnRenamed("u", "v"), "v")
+        sizes = own.groupBy("label").agg(F.sum("k").alias("__of"))
+        votes = links.where("u <> v").join(labels, "v").groupBy("u", "label").agg(F.sum("w").alias("to"))
+        here = own.select(F.col("v").alias("u"), "label", F.lit(0.0).alias("to"))
+        votes = votes.unionByName(here).groupBy("u", "label").agg(F.sum("to").alias("to"))
+        votes = votes.join(sizes, "label").join(own.select(F.col("v").alias("u"), F.col("label").alias("was"), "k"), "u")
+        gain = F.col("to") - F.col("k") * (F.col("__of") - F.when(F.col("label") == F.col("was"), F.col("k")).otherwise(0.0)) / total
+        rank = F.struct((-F.round(gain, 9)).alias("g"), (F.col("label") != F.col("was")).alias("away"), "label")
+        best = votes.groupBy("u").agg(F.min(rank).alias("best"))
+        chosen = labels.join(best.select(F.col("u").alias("v"), F.col("best.label").alias("new")), "v", "left").withColumn("new", F.coalesce("new", "label"))
+        wants = F.col("new") != F.col("label")
+        picked = F.pmod(F.xxhash64("v", F.lit(k)), F.lit(2)) == 0
+        chosen = scratch.keep(chosen.select("v", F.when(wants & picked, F.col("new")).otherwise(F.col("label")).alias("label"), wants.alias("wants")), f"{name}-{k}", tidy=False)
+        labels = chosen.select("v", "label")
+        if not chosen.where("wants").head(1):
+            return labels, moved
+        moved = True
+    return labels, moved
+
+
+def modularity(links: DataFrame, labels: DataFrame) -> float:
+    """Of the communities (v, label) of a graph (u, v, w both ways): inner weight less what degrees alone would give."""
+    of = labels.select(F.col("v").alias("u"), F.col("label").alias("of"))
+    t = links.join(of, "u").join(labels, "v").groupBy("of").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("of") == F.col("label"), F.col("w")).otherwise(0.0)).alias("inside"))
+    total = links.agg(F.sum("w")).first()[0]
+    return t.agg(F.sum(F.col("inside") / total - F.pow(F.col("k") / total, 2))).first()[0] if total else 0.0
+
+
+def similarity_graph(edges: DataFrame, nodes: DataFrame, node: str, a: str = "set_a", b: str = "set_b", weight: str = "similarity", padj: str | None = None, rounds: int = 24) -> DataFrame:
+    """Nodes with all their columns and their ``community``, and with ``padj`` also ``neg_log10_padj``.
+
+    Modularity is raised by moving nodes between communities; then each community becomes one node, with its inner
+    weight as a loop, and moving goes on a level higher, until a level brings no more modularity. A community's name
+    is its smallest node, and nodes without edges are their own. Moves are deterministic, ``rounds`` a level at most. Each
+    pair of nodes is one edge at most.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "communities")
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).alias("w"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    own = both.groupBy("u").agg(F.max("w").alias("w")).select("u", F.col("u").alias("v"), "w")
-    both = scratch.keep(both.unionByName(own), "edges")
-    labels = scratch.keep(nodes.select(F.col(node).alias("v")).distinct().withColumn("label", F.col("v")), "labels0")
-    seen, k = set(), 0
+    one_way = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).cast("double").alias("w")).where("u <> v")
+    base = scratch.keep(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "edges")
+    found = scratch.keep(base.select(F.col("u").alias("v")).distinct().select("v", F.col("v").alias("label")), "single")
+    links, best, level = base, modularity(base, found), 0
     while True:
-        mark = labels.agg(F.sum(F.xxhash64("v", "label").cast("decimal(38,0)"))).first()[0]
-        if mark in seen:
+        here = links.select(F.col("u").alias("v")).distinct().select("v", F.col("v").alias("label"))
+        labels, moved = _moved(links, here, scratch, f"level{level}", rounds)
+        if not moved:
+            break
+        smallest = labels.groupBy("label").agg(F.min("v").alias("name"))
+        labels = scratch.keep(labels.join(smallest, "label").select("v", F.col("name").alias("label")), f"names{level}")
+        new = scratch.keep(found.join(labels.select(F.col("v").alias("label"), F.col("label").alias("up")), "label").select("v", F.col("up").alias("label")), f"found{level}")
+        value = modularity(base, new)
+        if value <= best + 1e-9:
             break
-        seen.add(mark)
-        votes = both.join(labels, "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("u").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("best")).select(F.col("u").alias("v"), F.col("best.label").alias("new"))
-        k += 1
-        labels = scratch.keep(labels.join(best, "v", "left").select("v", F.coalesce("new", "label").alias("label")), f"labels{k}")
-    return nodes.join(labels.select(F.col("v").alias(node), F.col("label").alias("community")), node, "left")
+        found, best = new, value
+        up = labels.select(F.col("v").alias("u"), F.col("label").alias("cu"))
+        links = links.join(up, "u").join(labels, "v").groupBy(F.col("cu").alias("u"), F.col("label").alias("v")).agg(F.sum("w").alias("w"))
+        links, level = scratch.keep(links, f"links{level}"), level + 1
+    out = nodes.join(found.select(F.col("v").alias(node), F.col("label").alias("community")), node, "left").withColumn("community", F.coalesce("community", node))
+    return out if padj is None else out.withColumn("neg_log10_padj", -F.log10(padj))

@@ -187,5 +187,8 @@ def gr5(spark, d):
 
 @Q.add("gr6_similarity_graph")
 def gr6(spark, d):
-    edges = S.set_similarity(role(spark, d, "r_sets"), "set_id", "gene", "jaccard", 0.04)
-    return G.similarity_graph(edges, role(spark, d, "r_sets").groupBy("set_id").agg(F.count("*").alias("size")), "set_id")
+    """Sets with a size and an adjusted p value, and their communities."""
+    sets = role(spark, d, "r_sets")
+    edges = S.set_similarity(sets, "set_id", "gene", "jaccard", 0.04)
+    nodes = sets.groupBy("set_id").agg(F.count("*").alias("size")).withColumn("padj", (1 + F.col("set_id") * 37 % 101) / 102)
+    return G.similarity_graph(edges, nodes, "set_id", padj="padj")
