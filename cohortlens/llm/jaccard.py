@@ -38,9 +38,9 @@ NEAR, REACH = 0.5, 0.2
 SHARE = 512
 #: Leaders of a large child at most.
 LEADERS = 8
-#: Expected children of a class at the nodes below the root. With 2, a third of the pairs would be lost below a large child,
-#: which more runs would have to make up for at the root, where all classes are.
-DEEP_BRANCH = 3.0
+#: Expected children of a class at the nodes below the root. With more, classes that share a common passage would follow its
+#: tokens together from level to level and their rows not fall; what pairs lose by fewer, runs make up for at the root.
+DEEP_BRANCH = 1.5
 #: Classes in a block of the exact comparison, and shingles (about) that it holds at most.
 BLOCK, BLOCK_TOKENS = 128, 2_000_000
 #: From this depth on, large children are compared in blocks of SMALL.
@@ -277,7 +277,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, branch: float = 3.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, branch: float = 3.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, class_id, n_links, text_hash, kept) for every row of docs.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width`` consecutive words (words split
