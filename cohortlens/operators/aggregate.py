@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
@@ -40,8 +41,12 @@ def gene_set(rows: DataFrame, symbol: str, *tests: Column) -> DataFrame:
     return rows.select(F.trim(symbol).alias(symbol)).where(F.col(symbol) != "").distinct()
 
 
-def constrained_set(rows: DataFrame, symbol: str, loeuf: str, most: float = 0.6) -> DataFrame:
-    """Symbols with any row below the limit."""
+def constrained_set(rows: DataFrame | None, symbol: str, loeuf: str, most: float = 0.6, panel: DataFrame | None = None) -> DataFrame:
+    """Symbols with any row below the limit; without a constraint table, or with an empty one, those of the panel."""
+    if panel is not None and (rows is None or rows.isEmpty()):
+        return gene_set(panel, symbol)
+    if rows is None:
+        raise ValueError("neither a constraint table nor a panel is given")
     return gene_set(rows, symbol, F.col(loeuf).try_cast("double") < most)
 
 
@@ -90,8 +95,15 @@ def cpm(counts: DataFrame, sample: str, count: str, empty_library: float | None
     return out.withColumn("log2cpm", F.log2(F.col("cpm") + 1)).drop("__lib")
 
 
-def pseudobulk(cells: DataFrame, gene: str, subject: str, cls: str, count: str) -> DataFrame:
-    """Sum per gene, subject and class, with CPM within subject and class."""
+def pseudobulk(cells: DataFrame, gene: str, subject: str, cls: str, count: str, least_subjects: int = 2) -> DataFrame:
+    """Sum per gene, subject and class, with CPM within subject and class.
+
+    Warns of classes with fewer than ``least_subjects`` subjects; 0 asks for no such job.
+    """
+    if least_subjects:
+        few = cells.groupBy(cls).agg(F.count_distinct(subject).alias("n")).where(F.col("n") < least_subjects)
+        if names := sorted(str(r[cls]) for r in few.collect()):  # at most a row a class
+            warnings.warn(f"classes with fewer than {least_subjects} subjects: {', '.join(names)}", stacklevel=2)
     summed = cells.groupBy(gene, subject, cls).agg(F.sum(count).alias(count))
     library = summed.groupBy(subject, cls).agg(F.sum(count).alias("__lib"))
     return summed.join(library, [subject, cls]).withColumn("cpm", F.try_divide(F.col(count) * 1e6, F.col("__lib"))).drop("__lib")

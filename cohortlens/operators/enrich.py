@@ -306,6 +306,19 @@ def marker_select(values: DataFrame, gene: str, cls: str, value: str, n: int = 1
     return own.where(F.col("lead") >= ratio).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def marker_purity(markers: DataFrame, values: DataFrame, gene: str, cls: str, value: str) -> DataFrame:
+    """Per class of the markers: how many there are, and the share of them whose mean log2 value is highest in that class.
+
+    A gene that another class reaches equally is not highest.
+    """
+    means = values.groupBy(gene, cls).agg(F.avg(F.log2(F.col(value) + 1)).alias("m"))
+    top = means.groupBy(gene).agg(F.max("m").alias("top"))
+    best = means.join(top, gene).where("m = top").groupBy(gene).agg(F.collect_list(cls).alias("__in"))
+    t = markers.select(gene, cls).distinct().join(best, gene, "left")
+    alone = F.coalesce((F.size("__in") == 1) & F.array_contains("__in", F.col(cls)), F.lit(False))
+    return t.groupBy(cls).agg(F.count("*").alias("n_markers"), F.avg(alone.cast("double")).alias("highest"))
+
+
 def proportions_closed_form(mixture: DataFrame, reference: DataFrame, markers: DataFrame, sample: str, gene: str, cls: str, value: str) -> DataFrame:
     """Class proportions per sample from marker means on the log scale, summing to 1. An approximation, not a solver."""
     ref = reference.groupBy(gene, cls).agg(F.avg(F.log2(F.col(value) + 1)).alias("r"))

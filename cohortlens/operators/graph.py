@@ -155,8 +155,23 @@ def hwe_p(het, hom_a, hom_b):
     return out
 
 
-def prune_sites(calls: DataFrame, site: str, dosage: str, n_samples: int, maf: float = 0.05, missing: float = 0.05, hwe: float = 1e-6) -> DataFrame:
-    """Sites with minor allele frequency, missing share and exact Hardy-Weinberg p inside the limits."""
+#: Names of autosomes, with or without the prefix.
+AUTOSOMES = r"^(chr)?([1-9]|1[0-9]|2[0-2])$"
+
+
+def prune_sites(calls: DataFrame, site: str, dosage: str, n_samples: int, maf: float = 0.05, missing: float = 0.05, hwe: float = 1e-6, contig: str | None = None, ref: str | None = None, alt: str | None = None) -> DataFrame:
+    """Sites with minor allele frequency, missing share and exact Hardy-Weinberg p inside the limits.
+
+    With ``contig`` only autosomal sites count; with ``ref`` and ``alt`` only biallelic ones: one alternate, neither
+    ``*`` nor missing. A call whose contig or allele is null does not count.
+    """
+    if contig is not None:
+        calls = calls.where(F.col(contig).rlike(AUTOSOMES))
+    if alt is not None:
+        calls = calls.where(~F.col(alt).contains(",") & ~F.col(alt).isin("*", ".", ""))
+    if ref is not None:
+        calls = calls.where(~F.col(ref).isin(".", ""))
+
     @F.pandas_udf("double")
     def exact(het: pd.Series, hom_a: pd.Series, hom_b: pd.Series) -> pd.Series:
         return pd.Series(hwe_p(het.to_numpy(), hom_a.to_numpy(), hom_b.to_numpy()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -241,7 +242,11 @@ def goi_listing(ticks: DataFrame, set_col: str, gene: str, rank: str, leading: C
     return t.select(set_col, F.concat(F.array_join(F.slice("g", 1, most), ", "), F.when(F.size("g") > most, ", ...").otherwise("")).alias("genes"))
 
 
-def stratified_cap(rows: DataFrame, group: str, key: str, cap: int, seed: int) -> DataFrame:
-    """At most ``cap`` rows of each group, in the seeded order. A sampling operator."""
+def stratified_cap(rows: DataFrame, group: str, key: str, cap: int, seed: int, floor: int = 0) -> DataFrame:
+    """At most ``cap`` rows of each group, in the seeded order. A sampling operator. Warns of groups with fewer rows than ``floor``."""
+    if floor:
+        few = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") < floor)
+        if names := sorted(f"{r[group]} ({r['n']})" for r in few.collect()):  # at most a row a group
+            warnings.warn(f"groups with fewer than {floor} rows: {', '.join(names)}", stacklevel=2)
     w = Window.partitionBy(group).orderBy(seeded_order(seed, key), key)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap).drop("__n")

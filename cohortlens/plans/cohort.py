@@ -253,6 +253,12 @@ def ag5(spark, d):
     return A.constrained_set(role(spark, d, "r_constraint"), "symbol", "loeuf")
 
 
+@Q.add("ag5_panel_instead", using("r_panel") + " select distinct symbol from r_panel")
+def ag5b(spark, d):
+    """An empty constraint table: the panel's symbols count as constrained."""
+    return A.constrained_set(role(spark, d, "r_constraint").where("false"), "symbol", "loeuf", panel=role(spark, d, "r_panel"))
+
+
 @Q.add("jn6_ag1_ag3_annotations", using("r_panel") + """, f as (select symbol, arg_min(confidence, ord) as first_confidence from r_panel group by symbol),
  v as (select symbol, cast(confidence as varchar) as c, min(ord) as o from r_panel group by symbol, confidence),
  k as (select symbol, string_agg(c, '; ' order by o) as confidences from v group by symbol)

@@ -155,6 +155,16 @@ def en13(spark, d):
     return E.marker_select(rows, "gene", "cls", "cnt").select("cls", "place", F.round("lead", 6).alias("lead"))
 
 
+@Q.add("en13_marker_purity", using("r_counts") + """, v as (select gene, sample % 3 as cls, avg(log2(cnt + 1)) as m from r_counts group by 1, 2), b as (select gene, max(m) as top from v group by gene),
+ o as (select gene, list(cls) as cls from v join b using (gene) where m = top group by gene)
+ select gene % 3 as cls, count(*) as n_markers, round(avg(case when len(o.cls) = 1 and list_contains(o.cls, gene % 3) then 1.0 else 0.0 end), 9) as highest from o group by 1""")
+def en13b(spark, d):
+    """Every gene as a marker of the class that its number names."""
+    rows = role(spark, d, "r_counts").withColumn("cls", F.col("sample") % 3)
+    markers = rows.select("gene", (F.col("gene") % 3).cast("int").alias("cls")).distinct()
+    return E.marker_purity(markers, rows, "gene", "cls", "cnt").withColumn("highest", F.round("highest", 9))
+
+
 @Q.add("en14_proportions", using("r_counts") + """, v as (select gene, sample % 3 as cls, avg(log2(cnt + 1)) as r from r_counts group by 1, 2),
  d as (select sample, cls, pow(2.0, avg(log2(cnt + 1) - r)) as e from r_counts join v using (gene) where gene % 3 = cls group by 1, 2) select sample, cls, round(e / sum(e) over (partition by sample), 6) as proportion from d""")
 def en14(spark, d):

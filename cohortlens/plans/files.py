@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.plans.roles import Catalogue, role, using
-from cohortlens.runtime import Scratch
+from cohortlens.runtime import Scratch, shuffle_partitions
 from cohortlens.sources import readers as R, writers as W
 from cohortlens.streaming.ingest import incremental_samples
 
 Q = Catalogue()
 
 
-def _written(lines: DataFrame, order: str, name: str, head: str | None = None) -> str:
-    """Writes the column ``line`` in one sorted text file below an optional head, and returns the folder."""
+def _written(lines: DataFrame, order: str, name: str, head: str | None = None, together: int = 1) -> str:
+    """Writes the column ``line`` in sorted text files, one a range of the order, each below an optional head; returns the folder.
+
+    Rows whose order divided by ``together`` is the same stay in one file.
+    """
     spark = lines.sparkSession
     path = f"{Scratch(spark, 'text').base}/{name}"
-    rows = lines.select(F.col(order).cast("long").alias("o"), "line")
-    if head is not None:
-        rows = rows.unionByName(spark.createDataFrame([(-len(head.splitlines()) + k, x) for k, x in enumerate(head.splitlines())], "o long, line string"))
-    rows.repartitionByRange(1, "o").sortWithinPartitions("o").select("line").write.text(path)
+    top = [] if head is None else head.splitlines()
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            if schema is None:
+                schema = batch.schema
+                yield pa.RecordBatch.from_arrays([pa.array(top, schema.field(0).type)], schema=schema)
+            yield batch
+
+    rows = lines.select(F.col(order).cast("long").alias("o"), "line").repartitionByRange(shuffle_partitions(spark), F.floor(F.col("o") / together)).sortWithinPartitions("o").select("line")
+    (rows.mapInArrow(headed, "line string") if top else rows).write.text(path)
     return path
 
 
@@ -59,6 +73,12 @@ def src5(spark, d):
     return R.read_star_counts(spark, _written(role(spark, d, "part").select("p_partkey", line.alias("line")), "p_partkey", "star", head), "reverse").select("gene", "count")
 
 
+@Q.add("src6_read_fam", "select 'f' || c_nationkey as family, 's' || c_custkey as sample from customer")
+def src6b(spark, d):
+    line = F.concat_ws("  ", F.concat(F.lit("f"), F.col("c_nationkey").cast("string")), F.concat(F.lit("s"), F.col("c_custkey").cast("string")), F.lit("0 0 1 -9"))
+    return R.read_fam(spark, _written(role(spark, d, "customer").select("c_custkey", line.alias("line")), "c_custkey", "fam"))
+
+
 @Q.add("src7_read_intervals", using("r_regions") + " select contig, s, e, name from r_regions")
 def src7(spark, d):
     rows = role(spark, d, "r_regions")
@@ -70,7 +90,7 @@ def src7(spark, d):
 def src14(spark, d):
     line = F.when(F.col("p_partkey") % 100 == 0, F.concat(F.lit("## section "), F.floor(F.col("p_partkey") / 100).cast("string"))).otherwise(F.concat("p_type", F.lit("\tA"), F.col("p_partkey").cast("string")))
     first = role(spark, d, "part").select("p_partkey", line.alias("line"))
-    return R.read_catalogue(spark, _written(first, "p_partkey", "cat", "# all\n# section 0")).select("section", "id")
+    return R.read_catalogue(spark, _written(first, "p_partkey", "cat", "# all\n# section 0", together=100)).select("section", "id")
 
 
 @Q.add("src16_snk5_mtx", using("r_counts") + " select 'g' || gene as gene, 's' || sample as cell, cnt as count from r_counts")

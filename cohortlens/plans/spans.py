@@ -180,6 +180,21 @@ def gr4(spark, d):
     return out.select("site", "n", "hom_ref", "het", "hom_alt", F.round("maf", 9).alias("maf"))
 
 
+@Q.add("gr4_autosomal_biallelic", using("r_calls") + """, n as (select site, case site % 25 when 0 then 'X' when 24 then 'MT' else 'chr' || (site % 25) end as contig, case site % 7 when 0 then 'A,T' when 1 then '*' else 'T' end as alt from (select distinct site from r_calls) s),
+ g as (select site, count(*) filter (coalesce(dosage, 0) = 1) as het, count(*) filter (coalesce(dosage, 0) = 2) as hom_alt, count(*) as n from (select distinct sample from r_calls) s cross join (select distinct site from r_calls) t left join r_calls using (sample, site) group by site)
+ select site, n, het, hom_alt, round(least((het + 2 * hom_alt) / (2.0 * n), 1 - (het + 2 * hom_alt) / (2.0 * n)), 9) as maf from g join n using (site) where contig not in ('X', 'chr23', 'MT') and alt = 'T' and least((het + 2 * hom_alt) / (2.0 * n), 1 - (het + 2 * hom_alt) / (2.0 * n)) >= 0.01""")
+def gr4b(spark, d):
+    """Sites on autosomes with one alternate, at a frequency that many have."""
+    from cohortlens.operators.joins import cohort_matrix
+
+    calls, k = role(spark, d, "r_calls"), F.col("site") % 25
+    contig = F.when(k == 0, "X").when(k == 24, "MT").otherwise(F.concat(F.lit("chr"), k.cast("string")))
+    alt = F.when(F.col("site") % 7 == 0, "A,T").when(F.col("site") % 7 == 1, "*").otherwise("T")
+    cells = cohort_matrix(calls, calls, ["site"], "sample", "dosage", 0).withColumns({"contig": contig, "alt": alt, "ref": F.lit("A")})
+    out = G.prune_sites(cells, "site", "dosage", calls.select("sample").distinct().count(), maf=0.01, hwe=0.0, contig="contig", ref="ref", alt="alt")
+    return out.select("site", "n", "het", "hom_alt", F.round("maf", 9).alias("maf"))
+
+
 @Q.add("gr5_hubness", using("r_sets") + " select p_partkey as gene, count(set_id) as n_signatures, count(set_id) as n_components from part left join r_sets on gene = p_partkey group by 1")
 def gr5(spark, d):
     return S.hubness(role(spark, d, "r_sets"), role(spark, d, "part").select(F.col("p_partkey").alias("gene")), "set_id", "gene", 0.5)

@@ -104,13 +104,13 @@ def read_gtf(spark: SparkSession, path, feature: str | None = None, first_per: s
     rows = _numbered(spark, path).where(~F.col("value").startswith("#") & (F.size(parts) >= 9))
     pairs = F.regexp_extract_all(F.get(parts, F.lit(8)), F.lit(r'(\w+) "([^"]*)"'), F.lit(0))
     entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("k"), F.regexp_extract(x, r'"([^"]*)"', 1).alias("v")))
-    t = rows.select("n", F.get(parts, F.lit(0)).alias("contig"), F.get(parts, F.lit(2)).alias("feature"), (F.get(parts, F.lit(3)).try_cast("long") - 1).alias("s"), F.get(parts, F.lit(4)).try_cast("long").alias("e"), F.get(parts, F.lit(6)).alias("strand"), _first_of_each(entries).alias("attrs"))
+    t = rows.select("file", "n", F.get(parts, F.lit(0)).alias("contig"), F.get(parts, F.lit(2)).alias("feature"), (F.get(parts, F.lit(3)).try_cast("long") - 1).alias("s"), F.get(parts, F.lit(4)).try_cast("long").alias("e"), F.get(parts, F.lit(6)).alias("strand"), _first_of_each(entries).alias("attrs"))
     if feature:
         t = t.where(F.col("feature") == feature)
     if first_per:
         key = F.try_element_at("attrs", F.lit(first_per))
-        t = t.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("n"))).where("__r = 1").drop("__r")
-    return t
+        t = t.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("file", "n"))).where("__r = 1").drop("__r")
+    return t.drop("file")
 
 
 def read_gct(spark: SparkSession, path) -> DataFrame:
@@ -212,14 +212,14 @@ def read_panel_json(spark: SparkSession, path) -> DataFrame:
 def read_catalogue(spark: SparkSession, path, heading: str | None = None) -> DataFrame:
     """(n, section, id, name, accession): tab lines under the last ``#`` heading; id is the sanitised name and accession, the first wins.
 
-    A catalogue is one short file. ``heading`` is a pattern that the section must match, in any case.
+    A heading holds within its file; of several files the first by name counts first. ``heading`` is a pattern that the section must match, in any case.
     """
     title = F.when(F.col("value").rlike(r"^#+\s*\S"), F.trim(F.regexp_replace("value", r"^#+", "")))
     t = _carried(_numbered(spark, path), title, "section").where(~F.col("value").startswith("#") & F.col("value").contains("\t"))
     p = F.split("value", "\t")
-    t = t.select("n", "section", F.trim(F.get(p, F.lit(0))).alias("name"), F.trim(F.get(p, F.lit(1))).alias("accession"))
+    t = t.select("file", "n", "section", F.trim(F.get(p, F.lit(0))).alias("name"), F.trim(F.get(p, F.lit(1))).alias("accession"))
     t = t.withColumn("id", F.concat(F.regexp_replace("name", r"[^A-Za-z0-9]+", "_"), F.lit("_"), "accession"))
-    t = t.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("n"))).where("__r = 1").drop("__r")
+    t = t.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("file", "n"))).where("__r = 1").drop("__r", "file")
     return t.where(F.col("section").rlike(f"(?i){heading}")) if heading else t
 
 
