@@ -24,9 +24,14 @@ def _scores(spark, d):
     return E.enrichment_score(_ranked(spark, d), role(spark, d, "r_sets"), ["donor"], "set_id", "gene")
 
 
-@Q.add("en1_enrichment_score", _EN + " select donor, set_id, size, round(es, 6) as es from es")
+_EDGE = """, tb as (select *, up / tot - (rank - i) / cast(n_ranked - size as double) as top, (up - abs(stat)) / tot - (rank - i) / cast(n_ranked - size as double) as bot from f),
+ ends as (select donor, set_id, arg_max(rank, struct_pack(a := top, b := -rank)) as at_max, arg_min(rank, struct_pack(a := bot, b := rank)) as at_min from tb group by 1, 2),
+ lead as (select f.donor, f.set_id, string_agg(cast(gene as varchar), ',' order by rank) as genes from f join es on es.donor = f.donor and es.set_id = f.set_id join ends on ends.donor = f.donor and ends.set_id = f.set_id where (es > 0 and rank <= at_max) or (es < 0 and rank >= at_min) group by 1, 2)"""
+
+
+@Q.add("en1_enrichment_score", _EN + _EDGE + " select es.donor, es.set_id, size, round(es, 6) as es, coalesce(genes, '') as leading_edge from es left join lead on lead.donor = es.donor and lead.set_id = es.set_id")
 def en1(spark, d):
-    return _scores(spark, d).select("donor", "set_id", "size", F.round("es", 6).alias("es"))
+    return _scores(spark, d).select("donor", "set_id", "size", F.round("es", 6).alias("es"), F.array_join(F.col("leading_edge").cast("array<string>"), ",").alias("leading_edge"))
 
 
 @Q.add("en2_enrichment_test")
@@ -103,10 +108,13 @@ def en8b(spark, d):
     return E.group_correlation(_pairs(spark, d), ["gene"], "z", "frac", "spearman").select("gene", "n", F.round("r", 6).alias("r"))
 
 
-@Q.add("en9_residual_z", using("r_z") + _FR + """, f as (select gene, regr_slope(z, frac) as sl, regr_intercept(z, frac) as ic from pr where donor <> 2 group by gene), s as (select gene, stddev_samp(z - sl * frac - ic) as sd from pr join f using (gene) where donor <> 2 group by gene)
- select gene, round((z - sl * frac - ic), 4) as residual from pr join f using (gene) join s using (gene) where donor = 2 and sd > 1""")
+@Q.add("en9_residual_z", using("r_z") + _FR + """, f as (select gene, regr_slope(z, frac) as sl, regr_intercept(z, frac) as ic from pr where donor <> 2 group by gene having count(*) >= 3), s as (select gene, stddev_samp(z - sl * frac - ic) as sd from pr join f using (gene) where donor <> 2 group by gene)
+ select gene, round(z - sl * frac - ic, 4) as residual, case when sd > 0 then round((z - sl * frac - ic) / sd, 6) end as z from pr join f using (gene) join s using (gene) where donor = 2""")
 def en9(spark, d):
-    return E.residual_z(_pairs(spark, d), "gene", "donor", "frac", "z", 2).where(F.abs(F.col("residual") / F.col("z")) > 1).select("gene", F.round("residual", 4).alias("residual"))
+    """Genes with three other donors or more: two lie on their line, and their spread is rounding alone."""
+    pairs = _pairs(spark, d)
+    enough = pairs.where("donor <> 2").groupBy("gene").agg(F.count("*").alias("n")).where("n >= 3").select("gene")
+    return E.residual_z(pairs.join(enough, "gene", "left_semi"), "gene", "donor", "frac", "z", 2).select("gene", F.round("residual", 4).alias("residual"), F.round("z", 6).alias("z"))
 
 
 @Q.add("en10_permutation_null", """with n as (select p_brand, sum(case when md5('3|' || p_partkey) < '8' then 1 else 0 end) as c from part group by 1), s as (select list(c order by c) as v, count(*) as k from n)

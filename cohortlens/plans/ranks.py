@@ -108,30 +108,37 @@ def wn10b(spark, d):
     return R.top_with_candidate(rows, "donor", "z", "padj", "gene", "edge", [1, 11]).select("donor", "gene", "place", "direction")
 
 
-@Q.add("wn11_duplicate_columns", """select a.d as donor_a, b.d as donor_b from (values (0), (1), (2), (3), (4), (5)) a(d), (values (0), (1), (2), (3), (4), (5)) b(d) where a.d < b.d and a.d % 3 = b.d % 3 and (select count(*) from part) > 0""")
+@Q.add("wn11_duplicate_columns", using("r_z") + """, v as (select donor, gene, z from r_z union all select donor + 100, gene, z from r_z where donor % 2 = 1 union all select donor + 200, gene, z + (case when gene % 7 = 0 then 0.5 else 0 end) from r_z where donor < 4),
+ n as (select donor, count(*) as n from v group by donor)
+ select a.donor as donor_a, b.donor as donor_b from v a join v b on a.gene = b.gene and a.donor < b.donor join n x on x.donor = a.donor join n y on y.donor = b.donor group by a.donor, b.donor, x.n, y.n having max(abs(a.z - b.z)) <= 1e-10 and count(*) = x.n and count(*) = y.n""")
 def wn11(spark, d):
-    rows = role(spark, d, "part").select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("donor"), "p_partkey", "p_size").withColumn("x", F.col("p_size") * (F.col("donor") % 3 + 1))
-    return R.duplicate_columns(rows, "donor", "p_partkey", "x")
+    """Half of the donors come twice; half have a copy that differs in some genes."""
+    z = role(spark, d, "r_z")
+    copies = z.where("donor % 2 = 1").select(F.col("donor") + 100, "gene", "z")
+    others = z.where("donor < 4").select(F.col("donor") + 200, "gene", F.col("z") + F.when(F.col("gene") % 7 == 0, 0.5).otherwise(0.0))
+    return R.duplicate_columns(z.select("donor", "gene", "z").union(copies).union(others), "donor", "gene", "z")
 
 
-_TICK = """, k as (select gene, stat, cast(row_number() over (order by stat desc, gene) as int) as rank from r_stat where donor = 0),
- t as (select set_id, gene, stat, rank, case when gene % 11 = 0 then 'highlight' when rank <= 300 then 'leading' else 'regular' end as category from r_sets join k using (gene))"""
+_TICK = """, k as (select donor, gene, stat, cast(row_number() over (partition by donor order by stat desc, gene) as int) as rank from r_stat),
+ t as (select set_id, donor, gene, stat, rank, case when gene % 11 = 0 then 'highlight' when rank <= 300 then 'leading' else 'regular' end as category from r_sets join k using (gene))"""
 
 
 def _ticks(spark, d):
-    ranked = R.rank_desc(role(spark, d, "r_stat").where("donor = 0"), "donor", "stat", "gene").drop("donor")
+    ranked = R.rank_desc(role(spark, d, "r_stat"), "donor", "stat", "gene")
     return R.tick_table(ranked, role(spark, d, "r_sets"), "gene", "stat", "rank", 0.5, F.col("rank") <= 300, F.col("gene") % 11 == 0)
 
 
-@Q.add("wn12_tick_table", using("r_stat", "r_sets") + _TICK + " select set_id, gene, rank, category, round(sqrt(stat), 6) as value from t")
+@Q.add("wn12_tick_table", using("r_stat", "r_sets") + _TICK + " select set_id, donor, gene, rank, category, round(sqrt(stat), 6) as value from t")
 def wn12(spark, d):
-    return _ticks(spark, d).select("set_id", "gene", "rank", "category", F.round("value", 6).alias("value"))
+    return _ticks(spark, d).select("set_id", "donor", "gene", "rank", "category", F.round("value", 6).alias("value"))
 
 
-@Q.add("wn12_goi_listing", using("r_stat", "r_sets") + _TICK + """, l as (select set_id, list(gene || case when rank <= 300 then '*' else '' end order by rank) as g from t where gene % 2 = 0 group by set_id)
- select set_id, array_to_string(g[1:8], ', ') || case when len(g) > 8 then ', ...' else '' end as genes from l""")
+@Q.add("wn12_goi_listing", using("r_stat", "r_sets") + _TICK + """, l as (select set_id * 10 + donor as panel, list(gene || case when rank <= 300 then '*' else '' end order by rank) as g from t where gene % 2 = 0 group by 1)
+ select panel, array_to_string(g[1:8], ', ') || case when len(g) > 8 then ', ...' else '' end as genes from l""")
 def wn12b(spark, d):
-    return R.goi_listing(_ticks(spark, d).where("gene % 2 = 0"), "set_id", "gene", "rank", F.col("rank") <= 300)
+    """A panel for each set and donor; every second gene is of interest."""
+    ticks = _ticks(spark, d).withColumn("panel", F.col("set_id") * 10 + F.col("donor"))
+    return R.goi_listing(ticks.where("gene % 2 = 0"), "panel", "gene", "rank", F.col("rank") <= 300)
 
 
 @Q.add("wn13_stratified_cap", "select g, k from (select p_brand as g, p_partkey as k, row_number() over (partition by p_brand order by md5('5|' || p_partkey), p_partkey) as n from part) t where n <= 20")

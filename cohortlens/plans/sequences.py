@@ -11,9 +11,9 @@ from cohortlens.plans.roles import Catalogue, role
 Q = Catalogue()
 
 
-@Q.add("prj25_kmer_tile", "select item_id as k0, k, substr(text, i, k) as kmer, min(i - 1) as first from benchmark, (values (8), (11)) l(k), range(1, 20000) t(i) where i <= length(text) - k + 1 group by 1, 2, 3")
+@Q.add("prj25_kmer_tile", "select item_id as k0, k, substr(text, i, k) as kmer, min(i - 1) as first from benchmark, (values (8), (9), (10), (11)) l(k), range(1, 20000) t(i) where i <= length(text) - k + 1 group by 1, 2, 3")
 def prj25(spark, d):
-    return S.kmer_tile(role(spark, d, "benchmark").withColumnRenamed("item_id", "k0"), "k0", "text", [8, 11])
+    return S.kmer_tile(role(spark, d, "benchmark").withColumnRenamed("item_id", "k0"), "k0", "text", [8, 9, 10, 11])
 
 
 _WORDS = "q as (select distinct w as q from (select unnest(regexp_split_to_array(text, '[^A-Za-z]+')) as w from benchmark) x where length(w) = 12)"

@@ -155,6 +155,17 @@ def gr1(spark, d):
     return G.connected_components(role(spark, d, "r_edges"))
 
 
+@Q.add("gr1_hubs_and_rings", """with c as (select c_custkey as k, 1000000 + c_nationkey * 40 + c_custkey % 40 as hub from customer), h as (select hub // 2 as pair, min(k) as root from c group by 1)
+ select k as node, root as component from c join h on pair = hub // 2 union select hub, root from c join h on pair = hub // 2""")
+def gr1b(spark, d):
+    """Customers linked to hubs, and in a ring within each; hubs with an even number are joined with the next one where both occur."""
+    c = role(spark, d, "customer").select(F.col("c_custkey").alias("k"), (1_000_000 + F.col("c_nationkey") * 40 + F.col("c_custkey") % 40).alias("hub"))
+    ring = c.groupBy("hub").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.explode(F.arrays_zip(F.col("ks").alias("a"), F.concat(F.slice("ks", 2, F.size("ks")), F.slice("ks", 1, 1)).alias("b"))).alias("e")).select("e.a", "e.b")
+    hubs = c.select("hub").distinct()
+    joined = hubs.where("hub % 2 = 0").join(hubs.select((F.col("hub") - 1).alias("hub")), "hub").select("hub", F.col("hub") + 1)
+    return G.connected_components(c.union(ring).union(joined).toDF("src", "dst"))
+
+
 @Q.add("gr2_family_representatives", using("r_edges") + _CHAIN + ", f as (select src as node, root from r union select last + 1, root from r) select c_custkey, coalesce(root, c_custkey) as family, coalesce(root, c_custkey) = c_custkey as kept from customer left join f on node = c_custkey")
 def gr2(spark, d):
     return G.family_representatives(role(spark, d, "customer"), role(spark, d, "r_edges"), "c_custkey")
@@ -200,6 +211,14 @@ def gr5(spark, d):
     return S.hubness(role(spark, d, "r_sets"), role(spark, d, "part").select(F.col("p_partkey").alias("gene")), "set_id", "gene", 0.5)
 
 
+@Q.add("gr5_hubness_collapsed", using("r_sets") + " select p_partkey as gene, 2 * count(set_id) as n_signatures, count(set_id) as n_components from part left join r_sets on gene = p_partkey group by 1")
+def gr5b(spark, d):
+    """Every signature comes twice, under another name, and counts as one component."""
+    sets = role(spark, d, "r_sets")
+    both = sets.unionByName(sets.select((F.col("set_id") + 1_000_000).alias("set_id"), "gene"))
+    return S.hubness(both, role(spark, d, "part").select(F.col("p_partkey").alias("gene")), "set_id", "gene", 0.9)
+
+
 @Q.add("gr6_similarity_graph")
 def gr6(spark, d):
     """Sets with a size and an adjusted p value, and their communities."""
