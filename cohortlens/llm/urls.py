@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted for each host; hosts roll up to registered domains, domains to
 suffixes, suffixes to one root. At each level a beta-binomial prior centred on the parent's posterior mean shrinks
 the counts; its strength is fitted by the method of moments over the children of that level. A page is blocked if
-the lower bound of its host's posterior badness is above a limit. Rules over host and path come first.
+the lower bound of its host's posterior badness is above a limit, which follows the share of bad pages overall. Rules
+over host and path come first.
 
 Outcomes are counted once per host in one aggregation; the reputation of hosts joins back to pages by host. Where no
 labels are given, outcomes are measured on the pages themselves (:func:`page_outcomes`).
@@ -21,6 +22,8 @@ from cohortlens.runtime import Scratch
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Suffixes of two labels; all others have one.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn", "com.mx")
+#: A host is blocked if it is bad, but for the uncertainty, so many times as often as all pages are, or more often than not.
+TIMES_USUAL, MOST_OFTEN = 3.0, 0.5
 #: A page is bad if fewer than so many visible words are left, the text is a smaller share of the markup, there are more
 #: links for a word, more of the text are signs (neither letters, digits, blanks nor common punctuation), or the same
 #: visible text stands on so many pages.
@@ -113,11 +116,11 @@ def page_outcomes(pages: DataFrame, scratch: Scratch, html_col: str = "html") ->
     return rows.join(often, "__body", "left").withColumn("bad", bad).drop("__body", "__thin", "__often")
 
 
-def judge_urls(pages: DataFrame, limit: float = 0.5, rules=RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
+def judge_urls(pages: DataFrame, limit: float | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, double_suffixes: Sequence[str] = DOUBLE_SUFFIXES) -> DataFrame:
     """(id_col, host, path, rule, verdict, posterior, lower) for every page.
 
     The longest rule that fits decides; else a page is blocked if its host's lower bound of badness is above
-    ``limit``. ``outcome`` gives a page's label (1 bad, 0 good, null unknown); without it labels are measured. A null
+    ``limit``, by default TIMES_USUAL times the share of bad pages overall, but MOST_OFTEN at most. ``outcome`` gives a page's label (1 bad, 0 good, null unknown); without it labels are measured. A null
     URL, or one without ``://``, has an empty host and path and is judged as the host ''. Rows that repeat an id are
     pages of their own; other columns are ignored. An empty table gives an empty one.
     """
@@ -129,7 +132,11 @@ def judge_urls(pages: DataFrame, limit: float = 0.5, rules=RULES, id_col: str =
     else:
         seen = pages.select(*named, outcome.cast("int").alias("bad"))
     seen = scratch.keep(seen, "seen")
-    judged = scratch.keep(host_reputation(seen, double_suffixes=double_suffixes), "judged").select("host", "posterior", "lower")
+    judged = scratch.keep(host_reputation(seen, double_suffixes=double_suffixes), "judged")
+    if limit is None:
+        usual = judged.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"] or 0.5
+        limit = min(MOST_OFTEN, TIMES_USUAL * usual)
+    judged = judged.select("host", "posterior", "lower")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return seen.join(judged, "host").select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "posterior", "lower")
