@@ -198,7 +198,7 @@ def _stands_for(leaders: list) -> list[int]:
 
 
 def _split(at: int):
-    """In large children: a link for each class with leaders in reach, and the next level's children of those near no leader.
+    """In large children: a row a class, with a link if leaders are in reach and the next level's children if none is near.
 
     Leaders whose groups a class joins are linked with each other once, not by every such class.
     """
@@ -214,17 +214,21 @@ def _split(at: int):
                 tokens = np.frombuffer(pool, "<u8")
                 like = [1.0 if c == x["cid"] else _alike(n, tokens, x["n"], np.frombuffer(x["pool"], "<u8")) for x in leaders]
                 reached = sorted({groups[p][k] for k, value in enumerate(like) if value >= REACH})
-                if reached and leaders[reached[0]]["cid"] != c:
-                    out.append((c, None, leaders[reached[0]]["cid"], None, None))
+                link = leaders[reached[0]]["cid"] if reached and leaders[reached[0]]["cid"] != c else None
                 for other in reached[1:]:
                     if (reached[0], other) not in joined:
                         joined.add((reached[0], other))
-                        out.append((leaders[other]["cid"], None, leaders[reached[0]]["cid"], None, None))
+                        out.append((leaders[other]["cid"], leaders[reached[0]]["cid"], None, None, []))
+                children = []
                 if max(like) < NEAR:
                     chosen = mix(tokens ^ U64(p % 2**64), 1000 + at)
-                    out += [(c, x, None, n, pool) for x in chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()]
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cid", "path", "leader", "n", "pool"])
+                    children = chosen[mix(chosen, 1) <= _rate(np.array([min(n, POOL)]), DEEP_BRANCH)[0]].view(np.int64).tolist()
+                if children:
+                    out.append((c, link, n, pool, children))
+                elif link is not None:
+                    out.append((c, link, None, None, []))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["cid", "leader", "n", "pool", "children"])
 
     return run
 
@@ -347,11 +351,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
         # a child is dealt out in shares of its rows, each with a copy of the leaders
         lead = lead.select("path", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "leaders")
         members = members.withColumn("share", F.pmod(F.xxhash64("cid", F.lit(7)), shares).cast("int")).drop("size")
-        told = members.repartition(parts, "path", "share").join(lead.repartition(parts, "path", "share").hint("merge"), ["path", "share"]).mapInArrow(_split(level), "cid long, path long, leader long, n long, pool binary")
+        told = members.repartition(parts, "path", "share").join(lead.repartition(parts, "path", "share").hint("merge"), ["path", "share"]).mapInArrow(_split(level), "cid long, leader long, n long, pool binary, children array<long>")
         told = scratch.keep(told, f"told{level}")
         scratch.drop(f"members{level}", f"others{level}", f"big{level}", f"level{level}")
         links.append(told.where("leader is not null").select(F.col("cid").alias("src"), F.col("leader").alias("dst")))
-        rows = told.where("path is not null").select("cid", "path", "n", "pool")
+        rows = told.select("cid", F.explode("children").alias("path"), "n", "pool")
         level += 1
     held = small[0]
     for more in small[1:]:
