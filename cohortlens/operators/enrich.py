@@ -53,15 +53,15 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], se
 def _tested(scratch: Scratch, scores: DataFrame, chunks: DataFrame, requests: DataFrame, base: Sequence[str], keys: Sequence[str], set_col: str, n_perm: int, seed: int, few: int, chains: int, least_p: float) -> DataFrame:
     """Scores with ``pval`` and ``nes``; requests name for each of the keys its ranking and the ranks that it lacks."""
     sizes = scores.groupBy(*keys).agg(F.first("n_ranked").alias("n"), F.array_sort(F.collect_set(F.col("size").cast("long"))).alias("sizes"))
-    asked = scratch.keep(requests.join(sizes, list(keys)), "requests")
-    nulls = scratch.keep(null_blocks(chunks, asked, base, keys, n_perm, seed), "nulls")
+    asked = scratch.keep(requests.join(sizes, list(keys)), "requests", tidy=False)
+    nulls = scratch.keep(null_blocks(chunks, asked, base, keys, n_perm, seed), "nulls", tidy=False)
     same, far, total = null_counts(F.col("nulls"), F.col("es"))
     t = scores.select(*keys, set_col, F.col("size").cast("long").alias("size"), "es").join(nulls, [*keys, "size"])
     t = t.groupBy(*keys, set_col).agg(F.sum(same).alias("__same"), F.sum(far).alias("__far"), F.sum(total).alias("__sum"))
     plain = (1 + F.col("__far")) / (1 + F.col("__same"))
     out = scores.join(t, [*keys, set_col]).withColumn("pval", plain).withColumn("nes", F.try_divide(F.col("es") * F.col("__same"), F.col("__sum")))
     if few > 0:
-        out = scratch.keep(out, "plain")
+        out = scratch.keep(out, "plain", tidy=False)
         rare = out.where((F.col("__far") < few) & (F.col("es") != 0))
         units = rare.groupBy(*keys, F.col("size").cast("long").alias("size"), (F.col("es") > 0).alias("up")).agg(F.collect_set("es").alias("scores"))
         tails = tail_p(chunks, units.join(asked.drop("sizes"), list(keys)), base, keys, chains, seed, least_p)
@@ -86,7 +86,7 @@ def enrichment_test(ranked: DataFrame, sets: DataFrame, keys: Sequence[str], set
         return enrichment_test(ranked.withColumn("__one", F.lit(0)), sets, ["__one"], set_col, gene, **how).drop("__one")
     scratch = Scratch(ranked.sparkSession, "enrichment")
     scores = scratch.keep(_scores(_hits(ranked, sets, keys, gene), keys, set_col, gene, least, most), "scores")
-    chunks = scratch.keep(weight_chunks(ranked, keys), "chunks")
+    chunks = scratch.keep(weight_chunks(ranked, keys), "chunks", tidy=False)
     requests = chunks.select(*keys).distinct().withColumn("removed", F.array().cast("array<long>"))
     return bh_adjust(_tested(scratch, scores, chunks, requests, keys, keys, set_col, n_perm, seed, few, chains, least_p), "pval", keys)
 
@@ -101,12 +101,12 @@ def leave_one_out(ranked: DataFrame, sets: DataFrame, candidates: DataFrame, set
     scratch = Scratch(ranked.sparkSession, "leave-one-out")
     found = ranked.select(gene, F.col("rank").cast("long").alias("rank"), "stat", F.lit(0).alias("__base"))
     each = candidates.select(gene).distinct().join(found.select(gene, F.col("rank").alias("__gone")), gene, "left").withColumnRenamed(gene, "left_out")
-    each = scratch.keep(each.withColumn("__base", F.lit(0)), "candidates")
+    each = scratch.keep(each.withColumn("__base", F.lit(0)), "candidates", tidy=False)
     n = found.groupBy("__base").agg(F.count("*").alias("__n"))
     hits = sets.join(found, gene).join(n, "__base").join(each, "__base").where(F.col(gene) != F.col("left_out"))
     hits = hits.withColumn("rank", F.col("rank") - F.coalesce((F.col("rank") > F.col("__gone")).cast("long"), F.lit(0))).withColumn("n_ranked", F.col("__n") - F.col("__gone").isNotNull().cast("int"))
     scores = scratch.keep(_scores(hits, ["left_out"], set_col, gene, least, most), "scores")
-    chunks = scratch.keep(weight_chunks(found, ["__base"]), "chunks")
+    chunks = scratch.keep(weight_chunks(found, ["__base"]), "chunks", tidy=False)
     requests = each.select("left_out", "__base", F.array_compact(F.array("__gone")).alias("removed"))
     return bh_adjust(_tested(scratch, scores, chunks, requests, ["__base"], ["left_out"], set_col, n_perm, seed, few, chains, least_p), "pval", ["left_out"])
 
@@ -145,7 +145,7 @@ def collapse_sets(tested: DataFrame, ranked: DataFrame, sets: DataFrame, set_col
     inner = inside.withColumn("rank", place).withColumn("of", F.col("parent"))
     outer = found.withColumn("of", F.lit(None).cast(dict(inner.dtypes)["of"]))
     named = lambda t: t.select(F.coalesce(F.col("of").cast("string"), F.lit("")).alias("__of"), F.col("of").isNotNull().alias("__in"), "rank", "stat")
-    chunks = scratch.keep(weight_chunks(named(inner).unionByName(named(outer)), ["__of", "__in"]), "chunks")
+    chunks = scratch.keep(weight_chunks(named(inner).unionByName(named(outer)), ["__of", "__in"]), "chunks", tidy=False)
     gone = inside.groupBy("parent").agg(F.array_sort(F.collect_list("rank")).alias("removed"))
     within = gone.select("parent", F.lit(True).alias("side"), F.array().cast("array<long>").alias("removed"), F.col("parent").cast("string").alias("__of"), F.lit(True).alias("__in"))
     without = gone.select("parent", F.lit(False).alias("side"), "removed", F.lit("").alias("__of"), F.lit(False).alias("__in"))

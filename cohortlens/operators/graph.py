@@ -60,7 +60,7 @@ BLOCK_SITES, TILE, BLOCKS_EACH = 4096, 128, 64
 
 def _site_words(calls: DataFrame, sample: str, site: str, dosage: str, scratch: Scratch) -> DataFrame:
     """(block, word, sample, het, alt, both): dosages of 64 sites a row, as bits: heterozygous, homozygous alternate, called."""
-    called = scratch.keep(calls.where(F.col(dosage).isNotNull()).select(F.col(sample).alias("sample"), F.col(site).alias("__site"), F.col(dosage).cast("int").alias("d")), "calls")
+    called = scratch.keep(calls.where(F.col(dosage).isNotNull()).select(F.col(sample).alias("sample"), F.col(site).alias("__site"), F.col(dosage).cast("int").alias("d")), "calls", tidy=False)
     sites = called.select("__site").distinct()
     blocks = F.lit(max(1, -(-sites.count() // BLOCK_SITES)))
     within = Window.partitionBy("block").orderBy("__site")  # about BLOCK_SITES rows
@@ -84,9 +84,9 @@ def pairwise_kinship(calls: DataFrame, sample: str, site: str, dosage: str, leas
     """
     spark = calls.sparkSession
     scratch = Scratch(spark, "kinship")
-    words = scratch.keep(_site_words(calls, sample, site, dosage, scratch), "words")
+    words = scratch.keep(_site_words(calls, sample, site, dosage, scratch), "words", tidy=False)
     samples = words.select("sample").distinct()
-    numbered = scratch.keep(rank_over_all(samples, [F.col("sample")], "id").withColumn("id", F.col("id") - 1), "samples")
+    numbered = scratch.keep(rank_over_all(samples, [F.col("sample")], "id").withColumn("id", F.col("id") - 1), "samples", tidy=False)
     tiles = -(-numbered.count() // TILE)
     words = words.join(numbered, "sample").select("block", "word", F.col("id"), F.floor(F.col("id") / TILE).cast("int").alias("tile"), "het", "alt", "both")
     words = words.withColumn("share", F.floor(F.col("block") / BLOCKS_EACH)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(tiles, 1) - 1))))

@@ -88,7 +88,7 @@ def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "s", end: s
     scratch = Scratch(spark, "merge")
     good = rows.where(F.col(end) > F.col(start)).select(*by, *([name] if name else []), F.col(start).alias("__s"), F.col(end).alias("__e"))
     starts = good.groupBy(*by, F.floor(F.col("__s") / block).alias("__k"), "__s").agg(F.max("__e").alias("__e"))
-    starts = scratch.keep(starts, "starts")
+    starts = scratch.keep(starts, "starts", tidy=False)
     earlier = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     tops = starts.groupBy(*by, "__k").agg(F.max("__e").alias("__top"))
     tops = tops.select(*by, "__k", F.max("__top").over(earlier).alias("__reach"))
@@ -96,7 +96,7 @@ def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "s", end: s
     reach = F.greatest("__reach", F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     marked = _null_safe_join(starts, tops, [*by, "__k"]).withColumn("__fresh", F.when(reach.isNull() | (F.col("__s") > reach), F.col("__s")))
     marked = marked.withColumn("__own", F.last("__fresh", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = scratch.keep(marked.select(*by, "__k", "__s", "__e", "__own"), "marked")
+    marked = scratch.keep(marked.select(*by, "__k", "__s", "__e", "__own"), "marked", tidy=False)
     lasts = marked.groupBy(*by, "__k").agg(F.max("__own").alias("__last"))
     lasts = lasts.select(*by, "__k", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
     marked = _null_safe_join(marked, lasts, [*by, "__k"]).withColumn("__island", F.coalesce("__own", "__carried"))

@@ -29,9 +29,9 @@ def rank_over_all(rows: DataFrame, order: Sequence[Column], name: str = "rank")
     before it, one row a range, make its place, so no task sees all rows.
     """
     scratch = Scratch(rows.sparkSession, "places")
-    fixed = scratch.keep(rows, "rows")  # the ranges are sampled from what is then dealt
+    fixed = scratch.keep(rows, "rows", tidy=False)  # the ranges are sampled from what is then dealt
     dealt = fixed.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    dealt = scratch.keep(dealt.withColumn("__at", F.monotonically_increasing_id()), "order")  # range in the high bits, number in the low 33
+    dealt = scratch.keep(dealt.withColumn("__at", F.monotonically_increasing_id()), "order", tidy=False)  # range in the high bits, number in the low 33
     part = F.shiftright("__at", 33)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -112,8 +112,8 @@ def order_statistics(rows: DataFrame, value: Column, shares: Sequence[float]) ->
     """
     x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
     scratch = Scratch(rows.sparkSession, "statistics")
-    counts = scratch.keep(rows.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")), "counts")
-    dealt = scratch.keep(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), "x").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = scratch.keep(rows.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")), "counts", tidy=False)
+    dealt = scratch.keep(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), "x").withColumn("part", F.spark_partition_id()), "ranges", tidy=False)
     sizes = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a range
     total = sum(n for _, n in sizes)
     if not total:
@@ -140,8 +140,8 @@ def running_totals(rows: DataFrame, by: Sequence[str], order: str, value: str, n
     carried, from one row a range and group, so no group is one task.
     """
     scratch = Scratch(rows.sparkSession, "totals")
-    fixed = scratch.keep(rows, "rows")
-    dealt = scratch.keep(fixed.repartitionByRange(shuffle_partitions(rows.sparkSession), *by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    fixed = scratch.keep(rows, "rows", tidy=False)
+    dealt = scratch.keep(fixed.repartitionByRange(shuffle_partitions(rows.sparkSession), *by, order).withColumn("__part", F.spark_partition_id()), "ranges", tidy=False)
     sums = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

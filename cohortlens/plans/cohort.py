@@ -132,9 +132,11 @@ def prj8(spark, d):
 
 @Q.add("prj9_split_trim", """select p_partkey as k, i, case when i = 1 then p_partkey + p_size % 4 else p_partkey end as pos, case when i = 1 then 'G' else 'CATG' end as ref,
  case i when 1 then 'T' else '*' end as alt from (select p_partkey, p_size, unnest([1, 2]) as i from part where p_size % 4 = 3) t
- union all select p_partkey, 1, p_partkey + 1, 'AC', 'G' from part where p_size % 4 = 1""")
+ union all select p_partkey, 1, p_partkey + 1, 'AC', 'G' from part where p_size % 4 = 1
+ union all select p_partkey, 1, p_partkey + 1, 'T', 'TA' from part where p_size % 2 = 0""")
 def prj9(spark, d):
-    rows = role(spark, d, "part").where("p_size % 2 = 1").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 4 == 3, "CATG").otherwise("CACT").alias("ref"), F.when(F.col("p_size") % 4 == 3, "CATT,*").otherwise("CGT").alias("alts"))
+    kind = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("p_size") % 4 + 1).cast("int"))
+    rows = role(spark, d, "part").select(F.col("p_partkey").alias("k"), kind("TTA", "CACT", "TTA", "CATG").alias("ref"), kind("TTAA", "CGT", "TTAA", "CATT,*").alias("alts"))
     one = rows.select("k", "ref", F.posexplode(F.split("alts", ",")).alias("i", "alt"))
     return one.select("k", (F.col("i") + 1).alias("i"), S.trim_alleles(F.col("k"), "ref", "alt").alias("t")).select("k", "i", "t.*")
 
