@@ -205,14 +205,13 @@ def largest_roots(poly: list[int], count: int, places: int = PLACES) -> list[tup
 
 def _refined(poly: list[int], low: int, high: int, at: int, places: int) -> int:
     """The one root in (low, high] to ``places``, by halving at the polynomial's sign."""
-    value = lambda x, k: _sign(poly, x, k)
     low, high = low << (places - at), high << (places - at)
-    top = value(high, places)
+    top = _sign(poly, high, places)
     if not top:
         return high
     while high - low > 1:
         middle = (low + high) // 2
-        s = value(middle, places)
+        s = _sign(poly, middle, places)
         if not s:
             return middle
         low, high = (low, middle) if s == top else (middle, high)
@@ -220,6 +219,7 @@ def _refined(poly: list[int], low: int, high: int, at: int, places: int) -> int:
 
 
 def _sign(poly: list[int], x: int, places: int) -> int:
+    """Sign of the polynomial at x / 2**places."""
     v = 0
     for k, c in enumerate(poly):
         v = v * x + (c << (places * k))
