@@ -45,6 +45,21 @@ def remove_member(sets: DataFrame, candidates: DataFrame, gene: str) -> DataFram
     return sets.join(F.broadcast(names), how="cross").withColumn("left_out", F.explode("__all")).drop("__all").where(F.col("left_out") != F.col(gene))
 
 
+def sizes_without(sets: DataFrame, candidates: DataFrame, set_col: str, gene: str) -> DataFrame:
+    """(set, left_out, n): how many genes each set of :func:`remove_member` keeps; a set left empty has no row.
+
+    A set loses one gene to a candidate that it holds and none to others, so its genes are counted once, and the
+    candidates are taken off that count: the collection is not copied. Rows of the result are all sets by all candidates.
+    """
+    names = candidates.select(F.col(gene).alias("left_out")).where("left_out is not null").distinct()
+    held = sets.where(F.col(gene).isNotNull()).join(F.broadcast(names), F.col(gene) == F.col("left_out"), "left")
+    held = held.groupBy(set_col).agg(F.count("*").alias("__n"), F.collect_list("left_out").alias("__held"))
+    out = held.join(F.broadcast(names.agg(F.array_sort(F.collect_list("left_out")).alias("__all"))), how="cross")
+    out = out.withColumn("left_out", F.explode("__all"))
+    lost = F.when(F.size("__held") == 0, 0).otherwise(F.size(F.filter("__held", lambda x: x == F.col("left_out"))))
+    return out.select(set_col, "left_out", (F.col("__n") - lost).alias("n")).where("n > 0")
+
+
 def hubness(signatures: DataFrame, universe: DataFrame, set_col: str, gene: str, collapse: float = 0.5) -> DataFrame:
     """Per gene of the universe: its signatures, and the similarity components among them; zeros where none."""
     similar = set_similarity(signatures, set_col, gene, "jaccard", collapse)
