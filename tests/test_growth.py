@@ -1,11 +1,14 @@
 """Work that grows no faster than the input: the same results as by hand, and no step that makes more rows."""
 
+import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import sets as T
+from cohortlens.operators import enrich as E, sets as T
+from cohortlens.plans import spans
 
 
 def test_sizes_without_a_member_copy_no_collection(spark):
@@ -20,3 +23,25 @@ def test_sizes_without_a_member_copy_no_collection(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # counted first, then repeated
     assert T.sizes_without(sets, sets.limit(0), "s", "g").count() == 0
+
+
+def test_mean_logs_that_tie_but_for_rounding_are_ties(spark):
+    """13 * 33 * 69 = 11 * 39 * 69, and the sums of logarithms differ by the order of their terms."""
+    pairs = list(itertools.product(itertools.permutations((12, 32, 68)), itertools.permutations((10, 38, 68))))
+    rows = [(k, c, v) for k, both in enumerate(pairs) for c, own in enumerate(both) for v in own] + [(99, 0, 7), (99, 1, 8)]
+    values = spark.createDataFrame(rows, "g int, c int, v long").coalesce(1)
+    markers = values.select("g", "c").distinct()
+    got = {r["c"]: (r["n_markers"], r["highest"]) for r in E.marker_purity(markers, values, "g", "c", "v").collect()}
+    assert got == {0: (37, 0.0), 1: (37, 1 / 37)}
+    chosen = E.marker_select(values, "g", "c", "v", n=50).where("g < 99").collect()
+    assert len(chosen) == 36 and {(r["c"], r["lead"]) for r in chosen} == {(1, 0.0)}
+
+
+def test_masked_intervals_reach_beyond_a_fixed_length(spark, tmp_path):
+    part = spark.range(9000).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), (F.col("id") % 4).cast("string")).alias("p_brand"), F.when(F.col("id") % 4 == 3, 1).otherwise(50).alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(spans.Q.oracles["prj27_mask_intervals"]).fetchall()
+    assert sorted(map(tuple, spans.Q.queries["prj27_mask_intervals"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert max(w[2] for w in want) == 22500
