@@ -71,23 +71,50 @@ QUERY_LETTERS = 4_000_000
 COMPARED = 1 << 16
 
 
-class _Blocks:
-    """Queries of one block: an automaton of their pieces, and their letters by length."""
+class _Automaton:
+    """Pieces of queries, each with its place in them."""
 
-    def __init__(self, queries: Sequence[str], pieces: int, similar: Sequence[str]):
+    def __init__(self, queries: Sequence[tuple[int, str, int]]):
+        """Queries are (number, letters, pieces)."""
         import ahocorasick
 
-        self.queries, self.automaton = list(queries), ahocorasick.Automaton()
-        self.length = np.array([len(q) for q in self.queries], dtype=np.int64)
+        self.pieces = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
-        for k, q in enumerate(self.queries):
+        for k, q, pieces in queries:
             cut = [len(q) * i // pieces for i in range(pieces + 1)]
             for low, high in zip(cut, cut[1:]):
                 found.setdefault(q[low:high], []).append((k, high - 1))
         for piece, where in found.items():
-            self.automaton.add_word(piece, np.array(where, dtype=np.int64))
+            self.pieces.add_word(piece, np.array(where, dtype=np.int64))
         if found:
-            self.automaton.make_automaton()
+            self.pieces.make_automaton()
+
+    def places(self, text: str) -> list[np.ndarray]:
+        """(query, start) for each piece that occurs."""
+        return [np.stack((where[:, 0], end - where[:, 1])) for end, where in self.pieces.iter(text)] if len(self.pieces) else []
+
+
+class _Blocks:
+    """Queries of one block: automata of their pieces, and their letters by length.
+
+    A match has at most ``mismatches`` unequal letters, and at most size - ceil(size * fraction) that are not even similar. Where
+    the second is less and no letter is in two groups, the query is searched in texts with one letter for each group, in as
+    many pieces as that asks for: with a fraction of 1 in one piece, the whole query.
+    """
+
+    def __init__(self, queries: Sequence[str], mismatches: int, similar: Sequence[str], fraction: float):
+        self.queries = list(queries)
+        self.length = np.array([len(q) for q in self.queries], dtype=np.int64)
+        self.fold = {ord(x): min(g) for g in similar for x in g}
+        apart = len(self.fold) == sum(len(set(g)) for g in similar) and bool(similar)
+        plain, folded = [], []
+        for k, q in enumerate(self.queries):
+            unlike = max(0, len(q) - ceil(len(q) * fraction))
+            if apart and unlike < mismatches:
+                folded.append((k, q.translate(self.fold), unlike + 1))
+            else:
+                plain.append((k, q, mismatches + 1))
+        self.plain, self.folded = _Automaton(plain), _Automaton(folded)
         self.row = np.zeros(len(self.queries), dtype=np.int64)  # of a query among those of its length
         self.by_length = {}
         for n in np.unique(self.length):
@@ -98,9 +125,7 @@ class _Blocks:
 
     def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(query, start) of all places where a piece of the query lies as in the query, without repeats."""
-        if not self.queries:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts = [np.stack((where[:, 0], end - where[:, 1])) for end, where in self.automaton.iter(text)]
+        parts = self.plain.places(text) + (self.folded.places(text.translate(self.fold)) if len(self.folded.pieces) else [])
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         query, start = np.concatenate(parts, axis=1)
@@ -108,7 +133,6 @@ class _Blocks:
         both = np.unique(query[fits] * (len(text) + 1) + start[fits])
         return both // (len(text) + 1), both % (len(text) + 1)
 
-
     def compare(self, text: str, codes: np.ndarray, which: np.ndarray, start: np.ndarray, mismatches: int, anchors: Sequence[int], fraction: float) -> Iterator[tuple]:
         """(query, start, identities, window, tier) of the places that match, by length."""
         for size in np.unique(self.length[which]).tolist():
@@ -145,7 +169,8 @@ def near_matches(queries: DataFrame, db: DataFrame, query: str, db_id: str, seq:
     At most ``mismatches`` letters differ, anchor positions (from 1, -1 the last) do not, and at least ``fraction`` of
     all positions are equal or in one of the groups of ``similar`` letters (none: all count). A window with that few
     mismatches has one of the query's ``mismatches + 1`` pieces in its place, so an automaton of all pieces is run
-    over each text once, and only the places it reports are compared. The automaton is made of a block of queries of
+    over each text once, and only the places it reports are compared. If fewer letters may be unlike than unequal, pieces are
+    of letters by group, and fewer and longer. The automaton is made of a block of queries of
     bounded size; more queries are searched block by block. Null texts and queries shorter than the pieces match nothing; repeated
     queries count once, repeated rows of the database each on its own.
     """
@@ -162,7 +187,7 @@ def near_matches(queries: DataFrame, db: DataFrame, query: str, db_id: str, seq:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _BLOCK[0] != name:
-                _BLOCK[:] = name, _Blocks(shared.value, n, similar)
+                _BLOCK[:] = name, _Blocks(shared.value, mismatches, similar, fraction)
             own = _BLOCK[1]
             for batch in batches:
                 out: list[tuple] = []

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import enrich as E, sets as T
+from cohortlens.operators import enrich as E, search as S, sets as T
 from cohortlens.plans import spans
 
 
@@ -45,3 +45,16 @@ def test_masked_intervals_reach_beyond_a_fixed_length(spark, tmp_path):
     want = con.execute(spans.Q.oracles["prj27_mask_intervals"]).fetchall()
     assert sorted(map(tuple, spans.Q.queries["prj27_mask_intervals"](spark, str(tmp_path)).collect())) == sorted(want)
     assert max(w[2] for w in want) == 22500
+
+
+def test_similar_letters_leave_few_places_to_compare():
+    """Pieces of three letters lie at every other place of a text; the whole word by groups of letters at a few."""
+    r = random.Random(2)
+    words = ["".join(r.choice("aeioubdptmn") for _ in range(9)) for _ in range(40)]
+    text = "".join(r.choice("aeioubdptmn") for _ in range(20_000)) + "".join(words)
+    similar = ["aeiou", "bdpt", "mn"]
+    block = S._Blocks(words, 2, similar, 1.0)
+    which, start = block.places(text)
+    assert {(k, 20_000 + 9 * k) for k in range(40)} <= set(zip(which.tolist(), start.tolist())) and len(which) < 400
+    assert len(S._Blocks(words, 2, [], 1.0).places(text)[0]) > 1_000
+    assert len(S._Blocks(words, 2, ["aeiou", "bdpta"], 1.0).places(text)[0]) > 1_000  # a letter in two groups
