@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import enrich as E, intervals as I, search as S, sets as T
+from cohortlens.operators import enrich as E, intervals as I, nulls as N, search as S, sets as T
 from cohortlens.plans import spans
 
 
@@ -112,3 +113,30 @@ def test_clipped_intervals_are_counted_before_they_meet(spark):
     few, many = (spark.range(n).select(F.lit("x").alias("contig"), F.lit(0).alias("s"), F.lit(50).alias("e")) for n in (1, 3000))
     out = I.intersect_counts(few.withColumn("id", F.lit(1)), many, "id")
     assert [tuple(x) for x in out.collect()] == [(1, "x", 0, 50, 3000)]
+
+
+def shuffled_bytes(spark):
+    """Bytes that the stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_requests_for_draws_copy_no_ranking(spark, tmp_path):
+    r = random.Random(3)
+    stat = [r.random() for _ in range(N.CHUNK + 900)]
+    ranked = spark.createDataFrame([(0, k + 1, x) for k, x in enumerate(stat)], "b int, rank long, stat double")
+    N.weight_chunks(ranked, ["b"]).write.parquet(str(tmp_path / "chunks"))
+    removed = {q: sorted(r.sample(range(1, len(stat) + 1), 1 + q % 3)) for q in range(160)}
+    asked = [(0, q, len(stat) - len(gone), [2, 4 + q % 2], gone) for q, gone in removed.items()]
+    requests = spark.createDataFrame(asked, "b int, q int, n long, sizes array<long>, removed array<long>")
+    before = shuffled_bytes(spark)
+    got = N.null_blocks(spark.read.parquet(str(tmp_path / "chunks")), requests, ["b"], ["q"], 6, 1).collect()
+    assert shuffled_bytes(spark) - before < 4_000_000  # a copy for each eight requests: ten million
+    assert sorted((x["q"], x["size"]) for x in got) == sorted((q, s) for _, q, _, sizes, _ in asked for s in sizes)
+    for x in got:
+        n, most = len(stat) - len(removed[x["q"]]), 4 + x["q"] % 2
+        ranks = np.stack([N._draw(1, d, n, most) for d in range(6)])
+        weights = np.array(stat)[N.original_ranks(ranks, np.array(removed[x["q"]])) - 1]
+        assert np.allclose(x["nulls"], N.null_scores(ranks[:, : x["size"]], weights[:, : x["size"]], n, x["size"]), rtol=1e-12)
