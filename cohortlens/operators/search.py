@@ -20,36 +20,80 @@ def kmer_tile(rows: DataFrame, key: str, seq: str, lengths: Sequence[int]) -> Da
     return t.select(key, "k", F.substr("__s", F.col("at") + 1, k).alias("kmer"), "at").groupBy(key, "k", "kmer").agg(F.min("at").alias("first"))
 
 
-#: Places of a long sequence that are worked on in one row.
-PIECE = 256
-
-
-def _pieces(rows: DataFrame, key: str, seq: str, width: Column) -> DataFrame:
-    """(key, base, piece): overlapping pieces of each sequence, so that each window of ``width`` is whole in one of them."""
-    base = F.explode(F.sequence(F.lit(0), F.length(seq) - width, F.lit(PIECE)))
-    t = rows.where(F.length(seq) >= width).select(key, F.col(seq).alias("__s"), *[c for c in rows.columns if c == "len"], base.alias("base"))
-    return t.select(*[c for c in t.columns if c != "__s"], F.substr("__s", F.col("base") + 1, PIECE + width - 1).alias("piece"))
+#: Letters of sequences that are worked on together; longer ones in pieces of about so many.
+PIECE = 1 << 20
+
+
+def _kmer_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k-mer at each place, equal where k-mers are."""
+    seen = np.zeros(int(codes.max()) + 1, dtype=np.int64)
+    seen[codes] = 1
+    letters, n = int(seen.sum()), len(codes) - k + 1
+    at = (np.cumsum(seen) - 1)[codes]
+    out = at[:n]
+    for i in range(1, k):
+        if letters ** (i + 1) >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+        out = out * letters + at[i : n + i]
+    return out
+
+
+def _window_entropies(codes: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Entropy of the k-mers of each window over its maximum: log2 of their number less the mean log2 of how often each
+    place's k-mer occurs. Most windows repeat none; only the others are counted."""
+    per = window - k + 1
+    kmers, n, most = _kmer_codes(codes, k), len(codes) - window + 1, log2(min(4**k, per))
+    repeats = np.zeros(n + 1, dtype=np.int64)  # by window: how many equal pairs begin being inside, less those that end
+    for d in range(1, per):
+        at = np.flatnonzero(kmers[d:] == kmers[:-d])
+        repeats += np.bincount(np.maximum(at + d - per + 1, 0), minlength=n + 1)[: n + 1]
+        repeats -= np.bincount(np.minimum(at + 1, n), minlength=n + 1)
+    out = np.full(n, log2(per) / most)
+    some = np.flatnonzero(np.cumsum(repeats[:n]) > 0)
+    for low in range(0, len(some), PIECE // per):
+        which = some[low : low + PIECE // per]
+        inside = kmers[which[:, None] + np.arange(per)]
+        often = np.stack([(inside == inside[:, i : i + 1]).sum(axis=1) for i in range(per)], axis=1)
+        out[which] = (log2(per) - np.log2(often).sum(axis=1) / per) / most
+    return out
 
 
 def sequence_entropy(rows: DataFrame, key: str, seq: str, k: int = 5, window: int = 20) -> DataFrame:
     """(key, entropy): mean over all windows of a sequence of their k-mer entropy over its maximum, summed by pieces, so a
     sequence may have any length. Sequences shorter than a window are left out."""
-    per = window - k + 1
-    most = log2(min(4**k, per))
-    t = _pieces(rows, key, seq, F.lit(window))
-    t = t.withColumn("kmers", F.transform(F.sequence(F.lit(1), F.length("piece") - k + 1), lambda i: F.substr("piece", i, F.lit(k))))
-
-    def spread(inside: Column) -> Column:
-        """Of a window whose k-mers are not all distinct: log2(per) less the mean log2 of how often each place's k-mer occurs."""
-        logs = F.transform(inside, lambda x: F.log2(F.size(F.filter(inside, lambda y: y == x))))
-        return F.lit(log2(per)) - F.aggregate(logs, F.lit(0.0), lambda a, v: a + v) / per
-
-    def entropy(i: Column) -> Column:
-        inside = F.slice("kmers", i, F.lit(per))
-        return F.when(F.size(F.array_distinct(inside)) == per, F.lit(log2(per))).otherwise(spread(inside)) / most
 
-    t = t.withColumn("each", F.transform(F.sequence(F.lit(1), F.size("kmers") - per + 1), entropy))
-    t = t.select(key, F.size("each").alias("n"), F.aggregate("each", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, n, total = [], [], []
+            parts: list[tuple[int, np.ndarray]] = []
+
+            def told() -> None:
+                """Windows of all parts laid end to end, without those that reach into the next part."""
+                codes = np.concatenate([c for _, c in parts])
+                ends = np.cumsum([len(c) for _, c in parts])
+                firsts, windows = ends - [len(c) for _, c in parts], np.array([len(c) - window + 1 for _, c in parts])
+                sums = np.add.reduceat(np.append(_window_entropies(codes, k, window), 0.0), np.stack((firsts, firsts + windows), axis=1).ravel())[::2]
+                which.extend(i for i, _ in parts)
+                n.extend(windows.tolist())
+                total.extend(sums.tolist())
+                parts.clear()
+
+            held = 0
+            for i, text in enumerate(batch["__s"].to_pylist()):
+                codes = _codes(text)
+                for low in range(0, len(codes) - window + 1, PIECE):
+                    parts.append((i, codes[low : low + PIECE + window - 1]))
+                    held += len(parts[-1][1])
+                    if held >= PIECE:
+                        told()
+                        held = 0
+            if parts:
+                told()
+            keys = batch[key].take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=[key, "n", "total"])
+
+    kind = dict(rows.dtypes)[key]
+    t = rows.where(F.length(seq) >= window).select(key, F.col(seq).alias("__s")).mapInArrow(totals, f"`{key}` {kind}, n long, total double")
     return t.groupBy(key).agg((F.sum("total") / F.sum("n")).alias("entropy"))
 
 

@@ -1,6 +1,7 @@
 """Work that grows no faster than the input: the same results as by hand, and no step that makes more rows."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -140,3 +141,24 @@ def test_requests_for_draws_copy_no_ranking(spark, tmp_path):
         ranks = np.stack([N._draw(1, d, n, most) for d in range(6)])
         weights = np.array(stat)[N.original_ranks(ranks, np.array(removed[x["q"]])) - 1]
         assert np.allclose(x["nulls"], N.null_scores(ranks[:, : x["size"]], weights[:, : x["size"]], n, x["size"]), rtol=1e-12)
+
+
+def test_entropy_of_long_texts_makes_no_rows_of_pieces(spark, monkeypatch):
+    """The same as by counting each window, whatever the pieces, the letters and what lies beside a text."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "acgt", "abc\U0001f600é", "".join(map(chr, range(0x4E00, 0x9000)))) for n in (19, 20, 21, 300, 9000)] + ["a" * 20, "ab" * 40, None, ""]
+
+    def entropy(s):
+        windows = [Counter(s[i + j : i + j + 5] for j in range(16)) for i in range(len(s) - 19)]
+        return sum(-sum(v / 16 * math.log2(v / 16) for v in w.values()) / 4 for w in windows) / len(windows)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string").repartition(2)
+    out = S.sequence_entropy(df, "k", "s")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {x["k"]: x["entropy"] for x in out.collect()}
+    want = {k: entropy(s) for k, s in enumerate(texts) if s and len(s) >= 20}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    codes = S._codes(texts[4] + texts[9])
+    whole = S._window_entropies(codes, 5, 20)
+    monkeypatch.setattr(S, "PIECE", 64)
+    assert np.array_equal(whole, S._window_entropies(codes, 5, 20)) and len(np.unique(S._kmer_codes(S._codes(texts[19]), 5))) > 8_900
