@@ -1,5 +1,6 @@
 """Work that grows no faster than the input: the same results as by hand, and no step that makes more rows."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -162,3 +163,12 @@ def test_entropy_of_long_texts_makes_no_rows_of_pieces(spark, monkeypatch):
     whole = S._window_entropies(codes, 5, 20)
     monkeypatch.setattr(S, "PIECE", 64)
     assert np.array_equal(whole, S._window_entropies(codes, 5, 20)) and len(np.unique(S._kmer_codes(S._codes(texts[19]), 5))) > 8_900
+
+
+def test_shuffles_of_one_small_file_are_dealt_out(spark):
+    rows = spark.createDataFrame([(k, "abcdefg"[: k % 8]) for k in range(50)] + [(50, None)], "k int, s string").coalesce(1)
+    out = E.shuffled_sequences(rows, "k", "s", 3, 9)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    order = lambda k, n, s: "".join(c for _, c in sorted((hashlib.md5(f"9|{k}|{n}|{i}".encode()).hexdigest(), c) for i, c in enumerate(s, 1)))
+    want = {(k, n): order(k, n, "abcdefg"[: k % 8]) for k in range(50) for n in (1, 2, 3)} | {(50, n): None for n in (1, 2, 3)}
+    assert {(x["k"], x["shuffle"]): x["s"] for x in out.collect()} == want
