@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 def _file() -> Column:
@@ -19,14 +21,14 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 def _numbered(spark: SparkSession, path) -> DataFrame:
     """(file, block, n, value): lines that are not empty with their number in their file, from 0.
 
-    Lines are numbered within their file block in parallel; blocks then get offsets from the sizes of those before.
+    A task reads a file block from end to end, so a line's number is its number in the task, less that of the block's first
+    line, plus the lines of the blocks before: one row a block, and lines are neither shuffled nor sorted.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("value"))
-    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("__id")) - 1
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("__size"))
+    blocks = lines.groupBy("file", "block").agg(F.min("__id").alias("__first"), F.count("*").alias("__size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select("file", "block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    t = lines.withColumn("__n", within).join(offset, ["file", "block"]).withColumn("n", F.col("__n") + F.col("__offset"))
+    offset = blocks.select("file", "block", (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    t = lines.join(F.broadcast(offset), ["file", "block"]).withColumn("n", F.col("__id") + F.col("__offset"))
     return t.where("value <> ''").select("file", "block", "n", "value")
 
 
@@ -311,9 +313,34 @@ def read_sam_text(spark: SparkSession, path) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path) -> DataFrame:
-    """(name, seq, qual) of four-line records."""
-    t = _numbered(spark, path).withColumn("r", F.floor(F.col("n") / 4)).withColumn("k", F.col("n") % 4)
-    g = t.groupBy("file", "r").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
+    """(name, seq, qual) of four-line records.
+
+    Records whose lines come together in a batch are made there; only lines of others are brought together by a shuffle.
+    """
+    t = _numbered(spark, path).select("file", "n", "value")
+    whole = "whole boolean, file string, r long, k int, name string, seq string, qual string"
+    names = [c.split()[0] for c in whole.split(", ")]
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy(zero_copy_only=False)
+            file = batch["file"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(n[: len(n) - 3] % 4 == 0) if len(n) > 3 else np.zeros(0, np.int64)
+            at = at[(n[at + 1] == n[at] + 1) & (n[at + 2] == n[at] + 2) & (n[at + 3] == n[at] + 3) & (file[at] == file[at + 3])]
+            rest = np.ones(len(n), dtype=bool)
+            for k in range(4):
+                rest[at + k] = False
+            rest = np.flatnonzero(rest)
+            nulls = [pa.nulls(len(at), kind) for kind in (pa.string(), pa.int64(), pa.int32())]
+            lines = [batch["value"].take(pa.array(at + k)).cast(pa.string()) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), *nulls, *lines], names=names)
+            of, line = (batch[c].take(pa.array(rest)).cast(pa.string()) for c in ("file", "value"))
+            none = pa.nulls(len(rest), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rest), dtype=bool)), of, pa.array(n[rest] // 4), pa.array((n[rest] % 4).astype(np.int32)), line, none, none], names=names)
+
+    t = t.mapInArrow(records, whole)
+    apart = t.where("not whole").groupBy("file", "r").agg(*[F.max(F.when(F.col("k") == k, F.col("name"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
+    g = t.where("whole").select("name", "seq", "qual").unionByName(apart.select("name", "seq", "qual"))
     return g.select(F.regexp_extract("name", r"^@(\S+)", 1).alias("name"), "seq", "qual")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import enrich as E, intervals as I, nulls as N, search as S, sets as T
 from cohortlens.plans import spans
+from cohortlens.sources import readers
 
 
 def test_sizes_without_a_member_copy_no_collection(spark):
@@ -172,3 +173,26 @@ def test_shuffles_of_one_small_file_are_dealt_out(spark):
     order = lambda k, n, s: "".join(c for _, c in sorted((hashlib.md5(f"9|{k}|{n}|{i}".encode()).hexdigest(), c) for i, c in enumerate(s, 1)))
     want = {(k, n): order(k, n, "abcdefg"[: k % 8]) for k in range(50) for n in (1, 2, 3)} | {(50, n): None for n in (1, 2, 3)}
     assert {(x["k"], x["shuffle"]): x["s"] for x in out.collect()} == want
+
+
+def test_lines_are_numbered_and_records_made_without_a_shuffle_of_lines(spark, tmp_path):
+    """Files of many blocks, several of them a task; empty lines, a carriage return, a record that ends early."""
+    r = random.Random(5)
+    made = {f: [x for k in range(n) for x in (f"@{f}{k} x", "ACGT"[: r.randrange(1, 5)] * 20 if k % 50 else "", "+", "@III" + "I" * r.randrange(90))] for f, n in (("a", 3000), ("b", 2500), ("c", 1))}
+    made["c"] = made["c"][:2]
+    for f, lines in made.items():
+        (tmp_path / f"{f}.fq").write_bytes(("\r\n" if f == "b" else "\n").join(lines).encode())
+    confs = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "10"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        before = shuffled_bytes(spark)
+        got = {(x["file"][-4], x["n"]): x["value"] for x in readers._numbered(spark, str(tmp_path)).collect()}
+        assert shuffled_bytes(spark) - before < 60_000  # once all lines
+        assert got == {(f, n): x for f, lines in made.items() for n, x in enumerate(lines) if x}
+        records = sorted((x["name"], x["seq"], x["qual"]) for x in readers.read_fastq(spark, str(tmp_path)).collect() if x["seq"])
+        assert len(records) == 60 * 49 + 50 * 49 and records == sorted((v[k][1:].split()[0], v[k + 1], v[k + 3]) for v in made.values() for k in range(0, len(v) - 3, 4) if v[k + 1])
+        assert readers.read_fastq(spark, str(tmp_path)).where("seq is null or qual is null").count() == 60 + 50 + 1
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
