@@ -53,6 +53,7 @@ def write_mtx(df: DataFrame, folder: str, gene: str, cell: str, count: str, fact
     scratch = Scratch(df.sparkSession, "mtx-ids")
     genes, cells = scratch.keep(dense_ids(df, gene), "genes"), scratch.keep(dense_ids(df, cell), "cells")
     entries = df.join(genes.withColumnRenamed("id", "i"), gene).join(cells.withColumnRenamed("id", "j"), cell).select("i", "j", count)
+    entries = scratch.keep(entries, "entries", tidy=False)
     size = entries.count()
     head = df.sparkSession.createDataFrame([(-2, "%%MatrixMarket matrix coordinate integer general"), (-1, f"{genes.count()} {cells.count()} {size}")], "i long, value string")
     lines = entries.select(F.col("i").cast("long").alias("i"), F.concat_ws(" ", "i", "j", count).alias("value")).unionByName(head)
@@ -60,7 +61,7 @@ def write_mtx(df: DataFrame, folder: str, gene: str, cell: str, count: str, fact
     for ids, col, name in ((genes, gene, "features"), (cells, cell, "cells")):
         ids.repartitionByRange("id").sortWithinPartitions("id").select(F.col(col).cast("string")).write.mode("overwrite").text(f"{folder}/{name}.tsv")
     df.sparkSession.createDataFrame([(k, str(v)) for k, v in {**facts, "entries": size}.items()], "fact string, value string").write.mode("overwrite").json(f"{folder}/provenance")
-    scratch.drop("genes", "cells")
+    scratch.drop("genes", "cells", "entries")
 
 
 def flatten_lists(df: DataFrame, sep: str = ", ") -> DataFrame:
