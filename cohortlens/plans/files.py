@@ -195,7 +195,16 @@ def src6(spark, d):
 def _per_sample_files(lines: DataFrame, name: str) -> str:
     """One text file per sample; columns sample, o and line."""
     path = f"{Scratch(lines.sparkSession, 'text').base}/{name}"
-    lines.repartition("sample").sortWithinPartitions("sample", "o").select("sample", "line").write.partitionBy("sample").text(path)
+    parts = shuffle_partitions(lines.sparkSession)  # given, since many small files are few bytes but much work
+    lines.repartition(parts, "sample").sortWithinPartitions("sample", "o").select("sample", "line").write.partitionBy("sample").text(path)
+    return path
+
+
+def _file_each(texts: DataFrame, name: str) -> str:
+    """One text file for each row of the column ``line``, all in one folder: files in folders of their own are slow to make and to list."""
+    spark = texts.sparkSession
+    path = f"{Scratch(spark, 'text').base}/{name}"
+    texts.select("line").repartition(shuffle_partitions(spark)).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -205,7 +214,8 @@ def src8(spark, d):
     pair = lambda k, v: F.concat(F.lit(f"{k}_"), F.col("c_custkey").cast("string"), F.lit("\t"), v.cast("string"))
     rows = c.select("sample", F.col("c_custkey").alias("o"), F.explode(F.array(pair("reads", F.col("c_nationkey")), pair("bases", F.col("c_nationkey") * 2))).alias("line"))
     names = c.select("sample", F.lit(-1).cast("long").alias("o"), F.concat(F.lit("sample\t"), F.col("sample").cast("string")).alias("line")).distinct()
-    return R.read_kv_metrics(spark, f"{_per_sample_files(rows.withColumn('o', F.col('o').cast('long')).unionByName(names), 'kv')}/*")
+    lines = rows.withColumn("o", F.col("o").cast("long")).unionByName(names).groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("o", "line"))).alias("l"))  # of at most 100 customers
+    return R.read_kv_metrics(spark, _file_each(lines.select(F.array_join(F.col("l")["line"], "\n").alias("line")), "kv"))
 
 
 _LABELS = {"reads": "input reads", "unique": "Uniquely mapped reads number", "unique_pct": "Uniquely mapped reads %", "multi_pct": "mapped to multiple loci", "many_pct": "mapped to too many loci", "short_pct": "unmapped: too short", "splices": "splices: Total"}
@@ -218,7 +228,7 @@ def src9(spark, d):
     line = lambda label, v, end="": F.concat(F.lit(f"  {label} |\t"), v.cast("string"), F.lit(end))
     lines = F.array(F.lit("Started job on |\tnow"), line("Number of input reads", F.col("n")), line("Uniquely mapped reads number", F.col("a")), line("Uniquely mapped reads %", F.col("s") / 4.0, "%"), line("% of reads mapped to multiple loci", F.lit(1.5), "%"),
                     line("% of reads mapped to too many loci", F.col("hi"), "%"), line("% of reads unmapped: too short", F.col("lo"), "%"), line("Number of splices: Total", F.col("b")))
-    t = R.read_aligner_log(spark, f"{_per_sample_files(c.select('sample', F.posexplode(lines).alias('o', 'line')), 'log')}/*", _LABELS)
+    t = R.read_aligner_log(spark, _file_each(c.select(F.array_join(lines, "\n").alias("line")), "log"), _LABELS)
     return t.select(*_LABELS)
 
 
@@ -226,7 +236,7 @@ def src9(spark, d):
 def src10(spark, d):
     c = role(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("sample")).agg(F.sum("c_nationkey").alias("s"), F.count("*").alias("n"))
     lines = F.array(F.lit("## METRICS"), F.lit("PF_BASES\tPF_READS\tX"), F.concat_ws("\t", F.col("s").cast("string"), F.col("n").cast("string"), F.lit("?")), F.lit("tail"))
-    t = R.read_sectioned_metrics(spark, f"{_per_sample_files(c.select('sample', F.posexplode(lines).alias('o', 'line')), 'sec')}/*")
+    t = R.read_sectioned_metrics(spark, _file_each(c.select(F.array_join(lines, "\n").alias("line")), "sec"))
     return t.select(F.col("metrics")["PF_BASES"].alias("bases"), F.col("metrics")["PF_READS"].alias("reads"))
 
 
@@ -243,7 +253,7 @@ def src12(spark, d):
     c = role(spark, d, "customer").withColumn("sample", F.floor(F.col("c_custkey") / 20))
     c = c.groupBy("sample").agg(F.sort_array(F.collect_list(F.concat(F.lit("A*"), F.col("c_custkey").cast("string")))).alias("A"))
     made = F.to_json(F.struct("A", F.array(F.concat(F.lit("B*"), F.col("sample").cast("string"))).alias("B")))
-    t = R.read_hla_json(spark, f"{_per_sample_files(c.select('sample', F.lit(0).alias('o'), made.alias('line')), 'hla')}/*")
+    t = R.read_hla_json(spark, _file_each(c.select(made.alias("line")), "hla"))
     return t.select("gene", F.explode("alleles").alias("allele")).groupBy("gene", "allele").agg(F.count("*").alias("n"))
 
 
@@ -253,7 +263,7 @@ def src13(spark, d):
     symbol = F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise(" ")
     gene = F.struct(F.struct(symbol.alias("gene_symbol")).alias("gene_data"), (F.col("p_size") % 4).cast("string").alias("confidence_level"), F.lit("AD").alias("mode_of_inheritance"), F.array("p_type", "p_name").alias("phenotypes"))
     panels = role(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("sample")).agg(F.to_json(F.struct(F.collect_list(gene).alias("genes"))).alias("line"))
-    return R.read_panel_json(spark, f"{_per_sample_files(panels.withColumn('o', F.lit(0)), 'panel')}/*")
+    return R.read_panel_json(spark, _file_each(panels, "panel"))
 
 
 @Q.add("src15_read_sample_sheet", "select 'kept' as side, count(*) as n from customer where c_custkey % 2 = 1 and c_custkey % 3 = 0 union all select 'gone', count(*) from customer where c_custkey % 2 = 1 and c_custkey % 3 <> 0")

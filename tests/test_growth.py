@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import enrich as E, intervals as I, nulls as N, search as S, sets as T
-from cohortlens.plans import spans
+from cohortlens.plans import files, spans
 from cohortlens.sources import readers
 
 
@@ -196,3 +196,11 @@ def test_lines_are_numbered_and_records_made_without_a_shuffle_of_lines(spark, t
     finally:
         for k in confs:
             spark.conf.unset(k)
+
+
+def test_small_files_are_written_by_all_tasks(spark):
+    texts = [f"{k}\n\n{k + 1}" for k in range(60)]
+    path = files._file_each(spark.createDataFrame([(x,) for x in texts], "line string").coalesce(1), "t")
+    got = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p")).collect()
+    assert sorted(x["value"].removesuffix("\n") for x in got) == sorted(texts) and all(x["p"].endswith(f"/t/{x['f']}") for x in got)
+    assert len({x["f"][:10] for x in got}) > 1  # part-00000 and others
