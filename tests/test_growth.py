@@ -204,3 +204,17 @@ def test_small_files_are_written_by_all_tasks(spark):
     got = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_path").alias("p")).collect()
     assert sorted(x["value"].removesuffix("\n") for x in got) == sorted(texts) and all(x["p"].endswith(f"/t/{x['f']}") for x in got)
     assert len({x["f"][:10] for x in got}) > 1  # part-00000 and others
+
+
+def test_a_ranking_is_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    ranked = spark.createDataFrame([(0, g, 9.5 - g, g + 1) for g in range(20)], "d int, g int, stat double, rank int").mapInPandas(counted, "d int, g int, stat double, rank int")
+    sets = spark.createDataFrame([(s, g) for s in range(3) for g in range(s, 20, 4)], "s int, g int")
+    assert E.enrichment_test(ranked, sets, ["d"], "s", "g", n_perm=4, least=1, few=0).count() == 3
+    assert made.value == 20
